@@ -111,3 +111,165 @@ FROM events WHERE event_type IN ('signup', 'purchase')"""
 
 ORACLE["f4_per_second_counts"] = """
 SELECT time_bucket(INTERVAL '1 second', ts) AS second, count(*) AS count FROM events GROUP BY 1"""
+
+V["llm_runs"] = """SELECT CAST(user_id AS VARCHAR) AS run_id, user_id AS host,
+        'model-' || CAST(user_id % 3 AS VARCHAR) AS model,
+        min(ts) FILTER (WHERE event_type = 'signup') AS start,
+        min(ts) FILTER (WHERE event_type = 'purchase') AS "end"
+    FROM events WHERE event_type IN ('signup', 'purchase') GROUP BY user_id
+    HAVING min(ts) FILTER (WHERE event_type = 'signup') IS NOT NULL
+       AND min(ts) FILTER (WHERE event_type = 'purchase') IS NOT NULL"""
+_SC = "['write_seq_4m','read_seq_4m','write_seq_4k','read_seq_4k','write_rand_4k','read_rand_4k','writeread_rand_4k_shared']"
+V["ior_marks"] = f"""SELECT ts AS timestamp, CASE WHEN event_type = 'signup' THEN 'START' ELSE 'END' END AS status,
+        upper(CASE WHEN user_id % 2 = 0 THEN 'posix' ELSE 'mpiio' END) AS backend,
+        {_SC}[CAST((user_id // 2) % 7 AS INTEGER) + 1] AS scenario, user_id AS iter
+    FROM events WHERE event_type IN ('signup', 'purchase') AND user_id % 11 <> 0"""
+V["ior_pairs"] = """SELECT s.backend, s.scenario, s.iter, s.idx, s.timestamp AS start, e.timestamp AS "end" FROM
+      (SELECT *, row_number() OVER (PARTITION BY backend, scenario, iter ORDER BY timestamp) - 1 AS idx
+         FROM ior_marks WHERE status = 'START') s
+      JOIN (SELECT *, row_number() OVER (PARTITION BY backend, scenario, iter ORDER BY timestamp) - 1 AS idx
+         FROM ior_marks WHERE status = 'END') e
+      USING (backend, scenario, iter, idx) WHERE e.timestamp >= s.timestamp"""
+V["ipmi"] = f"""SELECT ts AS timestamp, {DEV} || '.dc.example' AS host, CAST(event_id % 2 AS VARCHAR) AS psu_id,
+        CASE WHEN event_type = 'error' THEN 'A' ELSE 'W' END AS unit, value
+    FROM events WHERE event_type <> 'view' AND user_id % 40 < 30"""
+V["meter10"] = """SELECT time_bucket(INTERVAL '10 minutes', ts) AS timestamp, avg(value * 50) AS value
+    FROM events WHERE event_type = 'view' GROUP BY 1"""
+V["pdu10"] = """SELECT timestamp, sum(value_W) AS total_power_W FROM (
+        SELECT time_bucket(INTERVAL '10 minutes', timestamp) AS timestamp, connected_device, port,
+               avg(value_W) AS value_W FROM pdu GROUP BY 1, 2, 3) GROUP BY timestamp"""
+V["pue"] = """SELECT m.timestamp, m.value / nullif(p.total_power_W, 0) AS ratio
+    FROM meter10 m JOIN pdu10 p USING (timestamp)"""
+
+ORACLE["i1_experiment_runs"] = with_views("llm_runs") + """x AS (SELECT 1)
+SELECT run_id, model, start, "end" FROM llm_runs"""
+
+ORACLE["e5_pivot_first"] = with_views("ior_marks") + """x AS (SELECT 1)
+SELECT backend, scenario, iter, min(timestamp) FILTER (WHERE status = 'START') AS start,
+       min(timestamp) FILTER (WHERE status = 'END') AS "end"
+FROM ior_marks GROUP BY ALL"""
+
+ORACLE["i1_runs_long"] = with_views("llm_runs") + """x AS (SELECT 1)
+SELECT run_id, 'start' AS mark, start AS timestamp FROM llm_runs
+UNION ALL SELECT run_id, 'end' AS mark, "end" AS timestamp FROM llm_runs"""
+
+ORACLE["h1_regex_extract"] = """
+SELECT DISTINCT CASE WHEN user_id % 11 = 0 THEN 'IOR-idle' ELSE 'IOR-backend=' || CASE WHEN user_id % 2 = 0 THEN 'posix' ELSE 'mpiio' END
+         || '-scenario=' || ['write_seq_4m','read_seq_4m','write_seq_4k','read_seq_4k','write_rand_4k','read_rand_4k','writeread_rand_4k_shared'][CAST((user_id // 2) % 7 AS INTEGER) + 1]
+         || '_' || CAST(user_id AS VARCHAR) END AS notes,
+       upper(CASE WHEN user_id % 2 = 0 THEN 'posix' ELSE 'mpiio' END) AS backend,
+       ['write_seq_4m','read_seq_4m','write_seq_4k','read_seq_4k','write_rand_4k','read_rand_4k','writeread_rand_4k_shared'][CAST((user_id // 2) % 7 AS INTEGER) + 1] AS scenario,
+       user_id AS iter
+FROM events WHERE event_type IN ('signup', 'purchase') AND user_id % 11 <> 0"""
+
+ORACLE["d3_start_end_pairing"] = with_views("ior_marks", "ior_pairs") + """x AS (SELECT 1)
+SELECT * FROM ior_pairs"""
+
+ORACLE["d4_run_window_join"] = with_views("llm_runs", "machine_power") + """x AS (SELECT 1)
+SELECT r.run_id, m.event_id FROM machine_power m JOIN llm_runs r ON m.host = r.host
+ AND m.timestamp BETWEEN r.start - INTERVAL 60 SECOND AND r."end" + INTERVAL 60 SECOND"""
+
+ORACLE["d5_interval_union_filter"] = with_views("ior_marks", "ior_pairs") + """x AS (SELECT 1)
+SELECT event_id FROM events e WHERE EXISTS (SELECT 1 FROM ior_pairs p WHERE e.ts BETWEEN p.start AND p."end")"""
+
+ORACLE["g5_run_viewport"] = with_views("llm_runs") + """
+o AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY start, "end") - 1 AS i,
+             count(*) OVER (PARTITION BY model) AS n FROM llm_runs)
+SELECT model, min(start) FILTER (WHERE i = least(0, n - 1)) - INTERVAL 30 SECOND AS view_start,
+       min("end") FILTER (WHERE i = least(1, n - 1)) + INTERVAL 30 SECOND AS view_end
+FROM o GROUP BY model"""
+
+ORACLE["e15_token_sum"] = with_views("llm_runs") + f"""x AS (SELECT 1)
+SELECT r.run_id, sum({K} * 10) AS total_tokens FROM events e JOIN llm_runs r
+  ON e.user_id = r.host AND e.ts BETWEEN r.start AND r."end" GROUP BY r.run_id"""
+
+_GPU_SPLIT = """
+g AS (SELECT r.run_id, x.* FROM gpu x JOIN llm_runs r ON x.host = r.host AND x.timestamp BETWEEN r.start AND r."end"),
+gs AS (SELECT run_id, "index", avg(utilization_gpu) AS u FROM g
+       WHERE "index" IS NOT NULL AND utilization_gpu IS NOT NULL GROUP BY ALL),
+gl AS (SELECT run_id, "index", timestamp, power_draw AS p, lag(timestamp) OVER w AS pts, lag(power_draw) OVER w AS pp
+       FROM g WHERE "index" IS NOT NULL AND timestamp IS NOT NULL AND power_draw IS NOT NULL
+       WINDOW w AS (PARTITION BY run_id, "index" ORDER BY timestamp, event_id)),
+gi AS (SELECT run_id, "index", ((epoch_us(timestamp) - epoch_us(pts)) // 1000) / 1000.0 AS dt_s, (p + pp) / 2.0 AS pa
+       FROM gl WHERE pts IS NOT NULL),
+ge AS (SELECT run_id, "index", sum(pa * dt_s / 3600.0) AS wh FROM gi WHERE dt_s > 0 GROUP BY ALL),
+split AS (SELECT gs.run_id,
+    count(*) FILTER (WHERE u >= 1.0) AS active_gpus,
+    avg(u) FILTER (WHERE u >= 1.0) AS avg_active_util,
+    coalesce(sum(coalesce(wh, 0.0)) FILTER (WHERE u >= 1.0), 0.0) AS active_gpu_Wh,
+    count(*) FILTER (WHERE u < 1.0) AS inactive_gpus,
+    avg(u) FILTER (WHERE u < 1.0) AS avg_inactive_util,
+    coalesce(sum(coalesce(wh, 0.0)) FILTER (WHERE u < 1.0), 0.0) AS inactive_gpu_Wh
+  FROM gs LEFT JOIN ge USING (run_id, "index") GROUP BY gs.run_id)"""
+
+ORACLE["i5_gpu_activity_split"] = with_views("llm_runs", "gpu") + _GPU_SPLIT + """
+SELECT run_id, active_gpus, round(avg_active_util, 6) AS avg_active_util, round(active_gpu_Wh, 6) AS active_gpu_Wh,
+       inactive_gpus, round(avg_inactive_util, 6) AS avg_inactive_util, round(inactive_gpu_Wh, 6) AS inactive_gpu_Wh
+FROM split"""
+
+ORACLE["i6_llm_energy_report"] = with_views("llm_runs", "gpu", "machine_power", "turbostat", "pdu", "meter10",
+                                            "pdu10", "pue") + _GPU_SPLIT + f""",
+tok AS (SELECT r.run_id, sum({K} * 10) AS total_tokens FROM events e JOIN llm_runs r
+        ON e.user_id = r.host AND e.ts BETWEEN r.start AND r."end" GROUP BY r.run_id),
+sl AS (SELECT r.run_id, m.timestamp, m.value AS p, lag(m.timestamp) OVER w AS pts, lag(m.value) OVER w AS pp
+       FROM machine_power m JOIN llm_runs r ON m.host = r.host AND m.timestamp BETWEEN r.start AND r."end"
+       WHERE m.psu_id = '0' AND m.unit = 'W' AND m.value IS NOT NULL
+       WINDOW w AS (PARTITION BY r.run_id ORDER BY m.timestamp, m.event_id)),
+se AS (SELECT run_id, sum((p + pp) / 2.0 * (((epoch_us(timestamp) - epoch_us(pts)) // 1000) / 1000.0) / 3600.0) AS sys_Wh
+       FROM sl WHERE pts IS NOT NULL AND (epoch_us(timestamp) - epoch_us(pts)) // 1000 > 0 GROUP BY run_id),
+cl AS (SELECT r.run_id, t.timestamp, t.package_power_watt AS a, t.ram_power_watt AS b,
+              lag(t.timestamp) OVER w AS pts, lag(t.package_power_watt) OVER w AS pa, lag(t.ram_power_watt) OVER w AS pb
+       FROM turbostat t JOIN llm_runs r ON t.host = r.host AND t.timestamp BETWEEN r.start AND r."end"
+       WHERE t.die = '-' AND t.package_power_watt IS NOT NULL AND t.ram_power_watt IS NOT NULL
+       WINDOW w AS (PARTITION BY r.run_id ORDER BY t.timestamp, t.event_id)),
+ci AS (SELECT run_id, ((epoch_us(timestamp) - epoch_us(pts)) // 1000) / 1000.0 AS dt_s, a, b, pa, pb FROM cl WHERE pts IS NOT NULL),
+ce AS (SELECT run_id, sum((a + pa) / 2.0 * dt_s / 3600.0) + sum((b + pb) / 2.0 * dt_s / 3600.0) AS cpu_Wh
+       FROM ci WHERE dt_s > 0 GROUP BY run_id),
+ap AS (SELECT r.run_id, avg(p.ratio) AS avg_pue FROM pue p JOIN llm_runs r ON p.timestamp BETWEEN r.start AND r."end"
+       GROUP BY r.run_id),
+rep AS (SELECT r.*, s.*, t.total_tokens, se.sys_Wh, ce.cpu_Wh, ap.avg_pue,
+        (epoch_us(r."end") - epoch_us(r.start)) / 1000000.0 AS dur_s
+        FROM llm_runs r JOIN split s USING (run_id) JOIN tok t USING (run_id)
+        LEFT JOIN se USING (run_id) LEFT JOIN ce USING (run_id) LEFT JOIN ap USING (run_id)
+        WHERE s.active_gpus > 0 AND t.total_tokens > 0)
+SELECT run_id, model, active_gpus,
+  round(CASE WHEN dur_s > 0 THEN total_tokens / dur_s ELSE 0.0 END, 5) AS tokens_per_s,
+  round(avg_active_util, 5) AS avg_active_gpu_util,
+  round(active_gpu_Wh / total_tokens * 1000.0, 5) AS active_gpu_Wh_per_1k,
+  round(inactive_gpu_Wh / total_tokens * 1000.0, 5) AS inactive_gpu_Wh_per_1k,
+  round(cpu_Wh / total_tokens * 1000.0, 5) AS cpu_Wh_per_1k,
+  round(sys_Wh / total_tokens * 1000.0, 5) AS system_Wh_per_1k,
+  round(sys_Wh / total_tokens * avg_pue * 1000.0, 5) AS adjusted_Wh_per_1k
+FROM rep"""
+
+ORACLE["i7_pue_series"] = with_views("pdu", "meter10", "pdu10", "pue") + """x AS (SELECT 1)
+SELECT timestamp, round(ratio, 9) AS ratio FROM pue"""
+
+ORACLE["e3_filtered_mean"] = with_views("ipmi") + """x AS (SELECT 1)
+SELECT time_bucket(INTERVAL '10 minutes', timestamp) AS timestamp, host,
+       round(avg(value) FILTER (WHERE psu_id = '0' AND unit = 'W'), 6) AS value_W
+FROM ipmi GROUP BY 1, 2"""
+
+ORACLE["d6_host_set_difference"] = with_views("pdu", "ipmi") + """x AS (SELECT 1)
+SELECT DISTINCT connected_device FROM pdu EXCEPT SELECT DISTINCT split_part(host, '.', 1) FROM ipmi"""
+
+ORACLE["i8_power_reconciliation"] = with_views("pdu", "ipmi", "meter10", "pdu10") + """
+missing AS (SELECT DISTINCT connected_device FROM pdu EXCEPT SELECT DISTINCT split_part(host, '.', 1) FROM ipmi),
+mp AS (SELECT timestamp, sum(value_W) AS total_power_W FROM (
+        SELECT time_bucket(INTERVAL '10 minutes', timestamp) AS timestamp, connected_device, port, avg(value_W) AS value_W
+        FROM pdu WHERE connected_device IN (SELECT * FROM missing) GROUP BY 1, 2, 3) GROUP BY 1),
+ip AS (SELECT timestamp, coalesce(sum(v), 0) AS total_power_W FROM (
+        SELECT time_bucket(INTERVAL '10 minutes', timestamp) AS timestamp, host,
+               avg(value) FILTER (WHERE psu_id = '0' AND unit = 'W') AS v FROM ipmi GROUP BY 1, 2) GROUP BY 1),
+j AS (SELECT coalesce(p.timestamp, i.timestamp, m.timestamp, e.timestamp) AS timestamp,
+        p.total_power_W / 1000.0 AS pdu_kW, i.total_power_W / 1000.0 AS ipmi_kW, m.total_power_W / 1000.0 AS missing_kW,
+        e.value / 1000.0 AS meter_kW
+      FROM pdu10 p FULL JOIN ip i USING (timestamp) FULL JOIN mp m USING (timestamp) FULL JOIN meter10 e USING (timestamp))
+SELECT timestamp, round(pdu_kW, 9) AS pdu_kW, round(ipmi_kW, 9) AS ipmi_kW, round(missing_kW, 9) AS missing_kW,
+       round(ipmi_kW + missing_kW, 9) AS ipmi_plus_missing_kW, round(meter_kW, 9) AS meter_kW
+FROM j WHERE timestamp > (SELECT min(timestamp) FROM j) AND timestamp < (SELECT max(timestamp) FROM j)"""
+
+ORACLE["c14_weather_overlay"] = with_views("pdu", "meter10", "pdu10", "pue") + """
+w AS (SELECT time_bucket(INTERVAL '1 hour', o_orderdate) AS date, avg(o_totalprice) AS t FROM orders GROUP BY 1)
+SELECT date, round(t, 6) AS temperature_2m FROM w
+WHERE date >= (SELECT min(timestamp) FROM pue) AND date <= (SELECT max(timestamp) FROM pue)"""

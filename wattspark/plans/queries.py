@@ -120,3 +120,140 @@ def f4_per_second_counts(spark, d):
 def g4_trim_ends(spark, d):
     """E4 total series without its first and last 10-minute bucket."""
     return ts.trim_ends(e4_two_level_power(spark, d), "timestamp")
+
+
+# --------------------------------------------------------------------------- runs
+from wattspark.operators import runs as R, joins as J, power as P, llm as L  # noqa: E402
+
+
+def llm_runs(spark, d) -> DataFrame:
+    """LLM runs: run_id (job id), host, model, start, end (both ends present)."""
+    x = V.llm_experiments(spark, d)
+    runs = R.pivot_runs(x, ["SLURM_JOB_ID", "notes"])
+    return runs.select(F.col("SLURM_JOB_ID").alias("run_id"),
+                       F.col("SLURM_JOB_ID").cast("bigint").alias("host"),
+                       F.col("notes").alias("model"), "start", "end")
+
+
+def ior_marks(spark, d) -> DataFrame:
+    """I/O timetable with the note fields parsed (IOR-idle rows dropped)."""
+    return R.parse_ior_notes(V.ior_experiments(spark, d))
+
+
+@query("i1_experiment_runs")
+def i1_experiment_runs(spark, d):
+    return llm_runs(spark, d).select("run_id", "model", "start", "end")
+
+
+@query("e5_pivot_first")
+def e5_pivot_first(spark, d):
+    """I/O runs keyed by (backend, scenario, iter): earliest START and END."""
+    p = R.pivot_runs(ior_marks(spark, d), ["backend", "scenario", "iter"], require_both=False)
+    return p.select("backend", "scenario", "iter", "start", "end")
+
+
+@query("i1_runs_long")
+def i1_runs_long(spark, d):
+    return R.runs_long(llm_runs(spark, d), ["run_id"])
+
+
+@query("h1_regex_extract")
+def h1_regex_extract(spark, d):
+    x = V.ior_experiments(spark, d).select("notes").distinct()
+    return R.parse_ior_notes(x).select("notes", "backend", "scenario", "iter")
+
+
+@query("d3_start_end_pairing")
+def d3_start_end_pairing(spark, d):
+    pairs = R.pair_start_end(ior_marks(spark, d), ["backend", "scenario", "iter"])
+    return pairs.select("backend", "scenario", "iter", "idx", "start", "end")
+
+
+@query("d4_run_window_join")
+def d4_run_window_join(spark, d):
+    """Power samples of each run's host within [start - 60 s, end + 60 s]."""
+    j = R.run_window_join(V.machine_power(spark, d), llm_runs(spark, d), keys=["host"],
+                          pad_seconds=60)
+    return j.select("run_id", "event_id")
+
+
+@query("d5_interval_union_filter")
+def d5_interval_union_filter(spark, d):
+    """Power samples inside any paired I/O interval, each once."""
+    iv = R.pair_start_end(ior_marks(spark, d), ["backend", "scenario", "iter"]).select("start", "end")
+    pts = V.machine_power(spark, d)
+    return J.interval_union_filter(pts, iv, point_ts="timestamp").select("event_id")
+
+
+@query("g5_run_viewport")
+def g5_run_viewport(spark, d):
+    """Per model: [start of its first run - 30 s, end of its second run + 30 s]."""
+    return R.run_viewport(llm_runs(spark, d), ["model"], 0, 2, 30.0)
+
+
+@query("e15_token_sum")
+def e15_token_sum(spark, d):
+    """Tokens served by each run's host inside the run (sum)."""
+    t = R.run_window_join(V.llm_api_usage(spark, d), llm_runs(spark, d), keys=["host"])
+    return t.groupBy("run_id").agg(F.sum("total_tokens").alias("total_tokens"))
+
+
+# --------------------------------------------------------------------------- GPU / LLM
+@query("i5_gpu_activity_split")
+def i5_gpu_activity_split(spark, d):
+    s = L.gpu_activity_split(V.gpu_samples(spark, d), llm_runs(spark, d), tiebreak=["event_id"])
+    return s.select("run_id", "active_gpus", r("avg_active_util").alias("avg_active_util"),
+                    r("active_gpu_Wh").alias("active_gpu_Wh"), "inactive_gpus",
+                    r("avg_inactive_util").alias("avg_inactive_util"),
+                    r("inactive_gpu_Wh").alias("inactive_gpu_Wh"))
+
+
+def pue(spark, d) -> DataFrame:
+    return P.pue_series(V.energy_meter(spark, d), V.pdu_power(spark, d), V.METER_POWER_DESC)
+
+
+@query("i6_llm_energy_report")
+def i6_llm_energy_report(spark, d):
+    rep = L.llm_energy_report(llm_runs(spark, d), V.gpu_samples(spark, d), V.machine_power(spark, d),
+                              V.turbostat(spark, d), V.llm_api_usage(spark, d), pue(spark, d),
+                              tiebreak=["event_id"])
+    return rep.select("run_id", "model", "active_gpus",
+                      *[r(c, 5).alias(c) for c in rep.columns[3:]])
+
+
+# --------------------------------------------------------------------------- site power
+@query("i7_pue_series")
+def i7_pue_series(spark, d):
+    return pue(spark, d).select("timestamp", r("ratio", 9).alias("ratio"))
+
+
+@query("e3_filtered_mean")
+def e3_filtered_mean(spark, d):
+    """Per (host, 10 min) mean of PSU 0 watt rows; hosts with none keep a NULL mean."""
+    keep = (F.col("psu_id") == "0") & (F.col("unit") == "W")
+    out = ts.tumbling_agg(V.ipmi_power(spark, d), "timestamp", 600, ["host"],
+                          [F.avg(F.when(keep, F.col("value"))).alias("value_W")])
+    return out.select("timestamp", "host", r("value_W").alias("value_W"))
+
+
+@query("d6_host_set_difference")
+def d6_host_set_difference(spark, d):
+    return P.missing_devices(V.pdu_power(spark, d), V.ipmi_power(spark, d))
+
+
+@query("i8_power_reconciliation")
+def i8_power_reconciliation(spark, d):
+    out = P.power_reconciliation(V.pdu_power(spark, d), V.ipmi_power(spark, d),
+                                 V.energy_meter(spark, d), V.METER_POWER_DESC)
+    return out.select("timestamp", *[r(c, 9).alias(c) for c in
+                                     ["pdu_kW", "ipmi_kW", "missing_kW", "ipmi_plus_missing_kW", "meter_kW"]])
+
+
+@query("c14_weather_overlay")
+def c14_weather_overlay(spark, d):
+    """Hourly 'weather' rows (derived from orders) inside the PUE series' time range."""
+    o = V.table(spark, d, "orders")
+    w = ts.tumbling_agg(o, "o_orderdate", 3600, [], [F.avg("o_totalprice").alias("temperature_2m")],
+                        label="date")
+    out = P.weather_overlay(w, pue(spark, d))
+    return out.select("date", r("temperature_2m").alias("temperature_2m"))
