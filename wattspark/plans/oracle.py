@@ -270,6 +270,6 @@ SELECT timestamp, round(pdu_kW, 9) AS pdu_kW, round(ipmi_kW, 9) AS ipmi_kW, roun
 FROM j WHERE timestamp > (SELECT min(timestamp) FROM j) AND timestamp < (SELECT max(timestamp) FROM j)"""
 
 ORACLE["c14_weather_overlay"] = with_views("pdu", "meter10", "pdu10", "pue") + """
-w AS (SELECT time_bucket(INTERVAL '1 hour', o_orderdate) AS date, avg(o_totalprice) AS t FROM orders GROUP BY 1)
+w AS (SELECT time_bucket(INTERVAL '1 hour', ts) AS date, avg(value) AS t FROM events WHERE event_type = 'click' GROUP BY 1)
 SELECT date, round(t, 6) AS temperature_2m FROM w
 WHERE date >= (SELECT min(timestamp) FROM pue) AND date <= (SELECT max(timestamp) FROM pue)"""

@@ -251,9 +251,8 @@ def i8_power_reconciliation(spark, d):
 
 @query("c14_weather_overlay")
 def c14_weather_overlay(spark, d):
-    """Hourly 'weather' rows (derived from orders) inside the PUE series' time range."""
-    o = V.table(spark, d, "orders")
-    w = ts.tumbling_agg(o, "o_orderdate", 3600, [], [F.avg("o_totalprice").alias("temperature_2m")],
-                        label="date")
+    """Hourly 'weather' rows (from click events) inside the PUE series' time range."""
+    o = V.table(spark, d, "events").where(F.col("event_type") == "click")
+    w = ts.tumbling_agg(o, "ts", 3600, [], [F.avg("value").alias("temperature_2m")], label="date")
     out = P.weather_overlay(w, pue(spark, d))
     return out.select("date", r("temperature_2m").alias("temperature_2m"))
