@@ -273,3 +273,221 @@ ORACLE["c14_weather_overlay"] = with_views("pdu", "meter10", "pdu10", "pue") + "
 w AS (SELECT time_bucket(INTERVAL '1 hour', ts) AS date, avg(value) AS t FROM events WHERE event_type = 'click' GROUP BY 1)
 SELECT date, round(t, 6) AS temperature_2m FROM w
 WHERE date >= (SELECT min(timestamp) FROM pue) AND date <= (SELECT max(timestamp) FROM pue)"""
+
+# ----------------------------------------------------------------------------- I/O
+def _cnt(mult: int, mod: int) -> str:
+    return f"CAST(((epoch_us(ts) // 1000000) * {mult}) % {mod} AS BIGINT)"
+
+
+V["diskio"] = f"""SELECT ts AS timestamp, 'io' || CAST(user_id % 4 AS VARCHAR) AS host, 'sd' || substr(event_type, 1, 1) AS name,
+        CAST(((epoch_us(ts) // 1000000) * (user_id % 7 + 1) * 4096) % {1 << 34} AS BIGINT) AS read_bytes,
+        CAST(((epoch_us(ts) // 1000000) * (user_id % 7 + 1) * 8192) % {1 << 35} AS BIGINT) AS write_bytes,
+        {_cnt(3, 1 << 23)} AS reads, {_cnt(5, 1 << 23)} AS writes, {_cnt(1, 1 << 22)} AS merged_reads,
+        {_cnt(2, 1 << 22)} AS merged_writes, {_cnt(7, 1 << 24)} AS read_time, {_cnt(11, 1 << 25)} AS write_time,
+        {_cnt(13, 1 << 25)} AS io_time, {_cnt(17, 1 << 26)} AS weighted_io_time FROM events"""
+V["net"] = f"""SELECT ts AS timestamp, 'io' || CAST(user_id % 4 AS VARCHAR) AS host,
+        CASE event_type WHEN 'view' THEN 'ibp1s0' WHEN 'click' THEN 'ipo_ib0' WHEN 'error' THEN 'ipb2'
+             WHEN 'signup' THEN 'bond0' ELSE 'eno1' END AS interface,
+        {_cnt(1500, 1 << 33)} AS bytes_sent, {_cnt(2500, 1 << 33)} AS bytes_recv,
+        {_cnt(3, 1 << 24)} AS packets_sent, {_cnt(4, 1 << 24)} AS packets_recv FROM events"""
+V["cpu"] = f"""SELECT ts AS timestamp, 'io' || CAST(user_id % 4 AS VARCHAR) AS host, CAST(event_id % 16 AS VARCHAR) AS core_id,
+        CAST({K} AS DOUBLE) AS usage_user, value % 50 AS usage_system, (CAST({K} AS DOUBLE) * 7) % 13 AS usage_iowait,
+        100.0 - CAST({K} AS DOUBLE) AS usage_idle, CAST({K} AS DOUBLE) % 5 AS usage_nice FROM events"""
+V["spw"] = """SELECT timestamp, host, CAST(psu_id AS INTEGER) AS psu_id, unit, value FROM ipmi
+    WHERE unit = 'W' AND TRY_CAST(psu_id AS INTEGER) = 0 AND host LIKE 'dev%'"""
+
+_RATES = ["read_bytes", "write_bytes", "reads", "writes", "merged_reads", "merged_writes"]
+_DISK = _RATES + ["read_time", "write_time", "io_time", "weighted_io_time"]
+
+
+def _disk_rates_sql(src: str, keys: str) -> str:
+    part = f"PARTITION BY {keys} " if keys else ""
+    sel = f"{keys}, " if keys else ""
+    sums = ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in _DISK)
+    rates = ", ".join(f"coalesce(greatest({c} - lag({c}) OVER w, 0), 0) AS {c}_rate" for c in _RATES)
+    return f"""ds AS (SELECT {sel}time_bucket(INTERVAL '1 second', timestamp) AS ts, {sums} FROM {src} GROUP BY ALL),
+    dr AS (SELECT {sel}ts, {rates} FROM ds WINDOW w AS ({part}ORDER BY ts)),
+    dm AS (SELECT *, read_bytes_rate / 1048576.0 AS read_MBps, write_bytes_rate / 1048576.0 AS write_MBps FROM dr)"""
+
+
+ORACLE["c5_power_row_filter"] = with_views("ipmi", "spw") + """x AS (SELECT 1)
+SELECT * FROM spw"""
+
+ORACLE["i9_disk_rates"] = with_views("diskio") + _disk_rates_sql("diskio", "") + """
+SELECT ts, """ + ", ".join(c + "_rate" for c in _RATES) + """, round(read_MBps, 6) AS read_MBps,
+       round(write_MBps, 6) AS write_MBps FROM dm"""
+
+_IO_SUMMARY = """
+ranges AS (SELECT backend, scenario, min(timestamp) FILTER (WHERE status = 'START') AS start,
+                  max(timestamp) FILTER (WHERE status = 'END') AS "end" FROM ior_marks GROUP BY ALL),
+dkr AS (SELECT r.backend, r.scenario, d.* FROM diskio d JOIN ranges r
+        ON d.timestamp BETWEEN r.start - INTERVAL 60 SECOND AND r."end" + INTERVAL 60 SECOND),
+""" + _disk_rates_sql("dkr", "backend, scenario") + """,
+pr AS (SELECT r.backend, r.scenario, time_bucket(INTERVAL '1 second', p.timestamp) AS ts, sum(p.value) AS total_power_W
+       FROM spw p JOIN ranges r ON p.timestamp BETWEEN r.start - INTERVAL 60 SECOND AND r."end" + INTERVAL 60 SECOND
+       GROUP BY ALL),
+eff AS (SELECT dm.*, pr.total_power_W, read_MBps + write_MBps AS total_MBps,
+               reads_rate + writes_rate + merged_reads_rate + merged_writes_rate AS total_iops
+        FROM dm JOIN pr USING (backend, scenario, ts)),
+eff2 AS (SELECT *, CASE WHEN total_power_W > 0 THEN total_MBps / total_power_W END AS MBps_per_watt,
+                   CASE WHEN total_power_W > 0 THEN total_iops / total_power_W END AS iops_per_watt FROM eff),
+inside AS (SELECT * FROM eff2 e WHERE EXISTS (SELECT 1 FROM ior_pairs p WHERE p.backend = e.backend
+           AND p.scenario = e.scenario AND e.ts BETWEEN p.start AND p."end")),
+summary AS (SELECT g.backend, g.scenario, avg(MBps_per_watt) AS mean_MBps_per_watt, avg(iops_per_watt) AS mean_iops_per_watt,
+       avg(total_MBps) AS mean_MBps, avg(total_iops) AS mean_iops, avg(total_power_W) AS mean_power_W
+       FROM ranges g LEFT JOIN inside i USING (backend, scenario) GROUP BY g.backend, g.scenario)"""
+
+ORACLE["i10_io_power_efficiency"] = with_views("ior_marks", "ior_pairs", "diskio", "ipmi", "spw") + _IO_SUMMARY + """
+SELECT backend, scenario, round(mean_MBps_per_watt, 6) AS mean_MBps_per_watt, round(mean_iops_per_watt, 6) AS mean_iops_per_watt,
+       round(mean_MBps, 6) AS mean_MBps, round(mean_iops, 6) AS mean_iops, round(mean_power_W, 6) AS mean_power_W
+FROM summary"""
+
+V["ior_rows"] = """SELECT CASE WHEN l_orderkey % 2 = 0 THEN 'scratch' ELSE 'fast' END AS fs_type,
+        ['write_seq_4m','read_seq_4m','write_seq_4k','read_seq_4k','write_rand_4k','read_rand_4k','writeread_rand_4k_shared'][CAST((l_orderkey // 2) % 7 AS INTEGER) + 1] AS scenario,
+        CASE WHEN (l_orderkey // 14) % 2 = 0 THEN 'POSIX' ELSE 'MPIIO' END AS api, l_orderkey AS run_id,
+        first(l_extendedprice ORDER BY l_linenumber, l_extendedprice, l_quantity) AS bw_MiB,
+        first(l_quantity ORDER BY l_linenumber, l_extendedprice, l_quantity) AS iops
+    FROM lineitem WHERE l_orderkey % 13 <> 0 GROUP BY l_orderkey"""
+V["ior_perf"] = """SELECT fs_type, scenario, api, avg(bw_MiB) AS bw_MiB, avg(iops) AS iops FROM ior_rows GROUP BY ALL"""
+
+ORACLE["a11_ior_summary_scan"] = with_views("ior_rows") + """x AS (SELECT 1)
+SELECT * FROM ior_rows"""
+
+ORACLE["i11_ior_performance"] = with_views("ior_rows", "ior_perf") + """x AS (SELECT 1)
+SELECT fs_type, scenario, api, round(bw_MiB, 6) AS bw_MiB, round(iops, 6) AS iops FROM ior_perf"""
+
+
+def _fz(expr: str) -> str:
+    return f"coalesce(CASE WHEN isfinite({expr}) THEN {expr} END, 0.0)"
+
+
+ORACLE["i12_efficiency_comparison"] = with_views("ior_marks", "ior_pairs", "diskio", "ipmi", "spw", "ior_rows",
+                                                 "ior_perf") + _IO_SUMMARY + """,
+realp AS (SELECT scenario, api AS backend, avg(bw_MiB) AS bw, avg(iops) AS io FROM ior_perf GROUP BY ALL)
+SELECT s.backend, s.scenario, round(mean_MBps_per_watt, 3) AS diskio_MBps_per_watt,
+  round(""" + _fz("bw / nullif(mean_power_W, 0)") + """, 3) AS IOR_MBps_per_watt,
+  round(mean_iops_per_watt, 3) AS diskio_iops_per_watt,
+  round(""" + _fz("io / nullif(mean_power_W, 0)") + """, 3) AS IOR_iops_per_watt,
+  round(""" + _fz("bw / nullif(mean_MBps, 0)") + """, 3) AS bw_rateo,
+  round(""" + _fz("io / nullif(mean_iops, 0)") + """, 3) AS iops_rateo,
+  round(mean_power_W, 2) AS mean_power_W
+FROM summary s JOIN realp r ON s.scenario = r.scenario AND s.backend = r.backend"""
+
+ORACLE["i13_power_series"] = with_views("ipmi", "spw") + """x AS (SELECT 1)
+SELECT time_bucket(INTERVAL '1 second', timestamp) + INTERVAL '500 milliseconds' AS ts_center,
+       round(sum(value), 6) AS total_value FROM spw GROUP BY 1"""
+
+ORACLE["i14_cpu_series"] = with_views("cpu") + """
+ph AS (SELECT host, timestamp, avg(usage_user) AS u, avg(usage_system) AS s, avg(usage_iowait) AS w FROM cpu GROUP BY ALL)
+SELECT time_bucket(INTERVAL '1 second', timestamp) + INTERVAL '500 milliseconds' AS ts_center,
+       round(sum(u), 6) AS usage_user, round(sum(s), 6) AS usage_system, round(sum(w), 6) AS usage_iowait
+FROM ph GROUP BY 1"""
+
+_NETC = ["bytes_sent", "bytes_recv", "packets_sent", "packets_recv"]
+ORACLE["i15_network_rates"] = with_views("net") + """
+nc AS (SELECT *, CASE WHEN regexp_matches(interface, 'ipo_ib|^ibp|^ipb') THEN 'infiniband' ELSE interface END AS iface_class FROM net),
+ns AS (SELECT time_bucket(INTERVAL '1 second', timestamp) AS ts, iface_class, """ + ", ".join(
+    f"CAST(sum({c}) AS BIGINT) AS {c}" for c in _NETC) + """ FROM nc GROUP BY ALL),
+nr AS (SELECT ts, iface_class, """ + ", ".join(
+    f"coalesce(greatest({c} - lag({c}) OVER w, 0), 0) AS {c}_rate" for c in _NETC) + """
+       FROM ns WINDOW w AS (PARTITION BY iface_class ORDER BY ts))
+SELECT *, round(bytes_sent_rate / 1048576.0, 6) AS sent_MBps, round(bytes_recv_rate / 1048576.0, 6) AS recv_MBps FROM nr"""
+
+ORACLE["h3_interface_class"] = with_views("net") + """x AS (SELECT 1)
+SELECT DISTINCT interface, CASE WHEN regexp_matches(interface, 'ipo_ib|^ibp|^ipb') THEN 'infiniband' ELSE interface END AS iface_class FROM net"""
+
+# ----------------------------------------------------------------------------- quality
+_DELTA = "abs(epoch_us({t}) - epoch_us(date_trunc('second', {t} + INTERVAL 500 MILLISECOND)))"
+
+
+def _dist(src: str, col: str, p: str = "") -> str:
+    """Summary columns of ``col`` over ``src`` with the nearest-rank quantile rule."""
+    return f"""(SELECT avg({col}) AS {p}mean,
+        (min({col}) FILTER (WHERE i = floor((n - 1) / 2.0)) + min({col}) FILTER (WHERE i = ceil((n - 1) / 2.0))) / 2.0 AS {p}median,
+        CAST(min({col}) FILTER (WHERE i = round((n - 1) * 0.25)) AS DOUBLE) AS {p}q25,
+        CAST(min({col}) FILTER (WHERE i = round((n - 1) * 0.75)) AS DOUBLE) AS {p}q75,
+        CAST(min({col}) AS DOUBLE) AS {p}min, CAST(max({col}) AS DOUBLE) AS {p}max, stddev_samp({col}) AS {p}std
+      FROM (SELECT {col}, row_number() OVER (ORDER BY {col}) - 1 AS i, count(*) OVER () AS n FROM {src}))"""
+
+
+ORACLE["f5_round_delta"] = "SELECT event_id, " + _DELTA.format(t="ts") + " AS delta_us FROM events"
+ORACLE["e12_value_histogram"] = ("SELECT " + _DELTA.format(t="ts") + " AS delta_us, count(*) AS count "
+                                 "FROM events GROUP BY 1")
+ORACLE["e11_distribution_summary"] = ("WITH d AS (SELECT " + _DELTA.format(t="ts") + " AS delta_us FROM events) "
+                                      "SELECT round(COLUMNS(*), 4) FROM " + _dist("d", "delta_us"))
+ORACLE["e13_row_count"] = "SELECT count(*) AS rows FROM lineitem"
+
+
+def _profile(name: str, table: str, col: str) -> str:
+    return f"""(WITH t AS (SELECT {col} AS ts FROM {table} WHERE {col} IS NOT NULL),
+      c AS (SELECT time_bucket(INTERVAL '1 second', ts) AS s, count(*) AS c FROM t GROUP BY 1),
+      d AS (SELECT {_DELTA.format(t='ts')} AS dl FROM t),
+      a AS {_dist('c', 'c', 'cnt_')}, b AS {_dist('d', 'dl', 'delta_')}
+    SELECT '{name}' AS "table", (SELECT count(*) FROM {table}) AS rows, round(COLUMNS(a.*), 4), round(COLUMNS(b.*), 4)
+    FROM a, b)"""
+
+
+ORACLE["i16_quality_profile"] = ("SELECT * FROM " + _profile("events", "events", "ts") + " UNION ALL SELECT * FROM "
+                                 + _profile("lineitem", "lineitem", "l_shipdate") + " UNION ALL SELECT * FROM "
+                                 + _profile("orders", "orders", "o_orderdate"))
+
+# ----------------------------------------------------------------------------- benchmark grid
+V["grid"] = """SELECT CASE l_returnflag WHEN 'A' THEN 'influx' WHEN 'N' THEN 'questdb' ELSE 'timescale' END AS db,
+        CAST(l_linenumber * 8 AS INTEGER) AS ram, CASE WHEN l_linestatus = 'F' THEN 8 ELSE 16 END AS cpus,
+        l_orderkey * 10 + l_linenumber AS iter, l_extendedprice AS rate FROM lineitem"""
+V["gstats"] = """SELECT db, ram, cpus, avg(rate) AS mean, stddev_samp(rate) AS std, count(*) AS n FROM grid GROUP BY ALL"""
+_G = with_views("grid", "gstats")
+
+ORACLE["e7_mean_std"] = _G + "x AS (SELECT 1) SELECT db, ram, cpus, n, round(mean, 6) AS mean, round(std, 6) AS std FROM gstats"
+ORACLE["e6_pivot_mean"] = _G + """x AS (SELECT 1)
+SELECT db, ram, round(avg(mean) FILTER (WHERE cpus = 8), 6) AS cpus_8, round(avg(mean) FILTER (WHERE cpus = 16), 6) AS cpus_16
+FROM gstats GROUP BY db, ram"""
+ORACLE["e8_argmax_row"] = _G + """x AS (SELECT 1)
+SELECT db, ram, cpus, round(mean, 6) AS mean, round(std, 6) AS std FROM (
+  SELECT *, row_number() OVER (PARTITION BY db ORDER BY mean DESC, ram, cpus) AS rn FROM gstats) WHERE rn = 1"""
+ORACLE["e9_mean_of_means"] = _G + "x AS (SELECT 1) SELECT db, round(avg(mean), 6) AS mean_of_means FROM gstats GROUP BY db"
+ORACLE["e10_min_max_mean_scaling"] = _G + """
+s AS (SELECT db, cpus, mean / 1e6 AS m FROM gstats),
+a AS (SELECT db, min(m) AS min_M, max(m) AS max_M, avg(m) AS mean_M, min(cpus) AS lo, max(cpus) AS hi FROM s GROUP BY db)
+SELECT a.db, round(min_M, 9) AS min_M, round(max_M, 9) AS max_M, round(mean_M, 9) AS mean_M,
+  round(avg(s.m) FILTER (WHERE s.cpus = a.hi) / nullif(avg(s.m) FILTER (WHERE s.cpus = a.lo), 0), 9) AS scaling
+FROM a JOIN s USING (db) GROUP BY a.db, min_M, max_M, mean_M"""
+ORACLE["e14_distinct_count"] = with_views("grid") + "x AS (SELECT 1) SELECT count(DISTINCT db) AS n_db FROM grid"
+ORACLE["e16_slice_filters"] = _G + """x AS (SELECT 1)
+SELECT 'fixed_ram' AS slice, db, ram, cpus, round(mean, 6) AS mean, round(std, 6) AS std FROM gstats WHERE ram = 56
+UNION ALL SELECT 'fixed_cpus', db, ram, cpus, round(mean, 6), round(std, 6) FROM gstats WHERE cpus = 16"""
+ORACLE["i17_benchmark_report"] = _G + """
+rk AS (SELECT *, row_number() OVER (PARTITION BY db ORDER BY mean DESC, ram, cpus) AS rank FROM gstats)
+SELECT db, ram, cpus, n, round(mean, 6) AS mean, round(std, 6) AS std, round(mean - std, 6) AS band_lo,
+       round(mean + std, 6) AS band_hi, round(mean / 1e6, 9) AS throughput_M, rank, rank = 1 AS is_best FROM rk"""
+ORACLE["i18_devops_groupby"] = with_views("cpu") + """x AS (SELECT 1)
+SELECT host, time_bucket(INTERVAL '1 minute', timestamp) AS minute,
+  round(max(usage_user), 6) AS max_usage_user, round(max(usage_system), 6) AS max_usage_system,
+  round(max(usage_iowait), 6) AS max_usage_iowait, round(max(usage_idle), 6) AS max_usage_idle,
+  round(max(usage_nice), 6) AS max_usage_nice FROM cpu GROUP BY 1, 2"""
+
+ORACLE["a12_tsdb_load_log_scan"] = """
+SELECT CASE o_orderstatus WHEN 'F' THEN 'influx' WHEN 'O' THEN 'questdb' ELSE 'timescale' END AS db,
+  CAST((o_orderkey % 4 + 1) * 8 AS INTEGER) AS ram, CAST(CASE WHEN o_orderkey % 3 = 0 THEN 8 ELSE 16 END AS INTEGER) AS cpus,
+  CAST(o_orderkey AS INTEGER) AS iter, round(o_totalprice, 2) AS rows_per_sec, 'metrics/sec' AS unit
+FROM orders WHERE o_orderkey % 17 <> 0"""
+ORACLE["a13_tsdb_query_log_scan"] = """
+SELECT CASE l_returnflag WHEN 'A' THEN 'influx' WHEN 'N' THEN 'questdb' ELSE 'timescale' END AS db,
+  CAST(l_linenumber * 8 AS INTEGER) AS ram, CAST(CASE WHEN l_linestatus = 'F' THEN 8 ELSE 16 END AS INTEGER) AS cpus,
+  CAST(l_orderkey * 10 + l_linenumber AS INTEGER) AS iter, CAST(95000 AS BIGINT) AS queries, 8 AS workers,
+  l_extendedprice AS rate_qps, round(l_discount * 10, 2) AS min_ms, round(l_quantity / 10, 2) AS med_ms,
+  round(l_quantity / 8, 2) AS mean_ms, round(l_quantity * 2, 2) AS max_ms, round(l_tax * 100, 2) AS stddev_ms,
+  CAST(185.4 AS DOUBLE) AS sum_s, CAST(95000 AS BIGINT) AS count, round(l_quantity + 20, 2) AS wall_s FROM lineitem"""
+
+_WORDS = "len(regexp_split_to_array(trim(text), '\\s+'))"
+ORACLE["a14_llm_request_log_scan"] = f"""
+SELECT '/llm/benchmark_' || CAST(conv_id AS VARCHAR) || '.out' AS path, 'model-' || CAST(conv_id % 3 AS VARCHAR) AS model,
+  CAST(1000 + turn * 7 AS INTEGER) AS max_tokens, turn + 3 AS prompt_tokens, CAST({_WORDS} AS BIGINT) AS completion_tokens,
+  CAST({_WORDS} + turn + 3 AS BIGINT) AS total_tokens, round(length(text) / 100.0, 2) AS seconds FROM conversations"""
+ORACLE["i19_llm_request_stats"] = f"""
+WITH q AS (SELECT '/llm/benchmark_' || CAST(conv_id AS VARCHAR) || '.out' AS path, 'model-' || CAST(conv_id % 3 AS VARCHAR) AS model,
+  turn + 3 AS p, CAST({_WORDS} AS BIGINT) AS c, CAST({_WORDS} + turn + 3 AS BIGINT) AS t, round(length(text) / 100.0, 2) AS s
+  FROM conversations)
+SELECT path, model, count(*) AS requests, CAST(sum(p) AS BIGINT) AS prompt_tokens, CAST(sum(c) AS BIGINT) AS completion_tokens,
+  CAST(sum(t) AS BIGINT) AS total_tokens, round(sum(t) / nullif(sum(s), 0), 6) AS tokens_per_s, round(avg(s), 6) AS mean_s,
+  min(s) AS min_s, max(s) AS max_s FROM q GROUP BY ALL"""

@@ -256,3 +256,201 @@ def c14_weather_overlay(spark, d):
     w = ts.tumbling_agg(o, "ts", 3600, [], [F.avg("value").alias("temperature_2m")], label="date")
     out = P.weather_overlay(w, pue(spark, d))
     return out.select("date", r("temperature_2m").alias("temperature_2m"))
+
+
+# --------------------------------------------------------------------------- I/O
+from wattspark.operators import io as IO, quality as Q, benchreport as B  # noqa: E402
+from wattspark.sources import textlogs as TL  # noqa: E402
+from wattspark.plans import corpora as C  # noqa: E402
+
+
+def storage_power(spark, d) -> DataFrame:
+    return IO.power_row_filter(V.ipmi_power(spark, d), "W", 0, host_prefix="dev")
+
+
+@query("c5_power_row_filter")
+def c5_power_row_filter(spark, d):
+    return storage_power(spark, d).select("timestamp", "host", "psu_id", "unit", "value")
+
+
+@query("i9_disk_rates")
+def i9_disk_rates(spark, d):
+    out = IO.disk_rates(V.diskio(spark, d))
+    return out.select("ts", *[c + "_rate" for c in IO.DISK_RATES],
+                      r("read_MBps").alias("read_MBps"), r("write_MBps").alias("write_MBps"))
+
+
+def io_summary(spark, d) -> DataFrame:
+    tt = ior_marks(spark, d)
+    return IO.io_power_efficiency(V.diskio(spark, d), storage_power(spark, d), tt)
+
+
+@query("i10_io_power_efficiency")
+def i10_io_power_efficiency(spark, d):
+    s = io_summary(spark, d)
+    return s.select("backend", "scenario", *[r(c).alias(c) for c in s.columns[2:]])
+
+
+@query("a11_ior_summary_scan")
+def a11_ior_summary_scan(spark, d):
+    return TL.parse_ior_summaries(C.ior_corpus(spark, d))
+
+
+def ior_perf(spark, d) -> DataFrame:
+    return IO.ior_performance(TL.parse_ior_summaries(C.ior_corpus(spark, d)))
+
+
+@query("i11_ior_performance")
+def i11_ior_performance(spark, d):
+    p = ior_perf(spark, d)
+    return p.select("fs_type", "scenario", "api", r("bw_MiB").alias("bw_MiB"), r("iops").alias("iops"))
+
+
+@query("i12_efficiency_comparison")
+def i12_efficiency_comparison(spark, d):
+    return IO.efficiency_comparison(io_summary(spark, d), ior_perf(spark, d))
+
+
+@query("i13_power_series")
+def i13_power_series(spark, d):
+    p = storage_power(spark, d)
+    out = ts.tumbling_agg(p, "timestamp", 1, [], [F.sum("value").alias("total_value")],
+                          label="ts_center", center=True)
+    return out.select("ts_center", r("total_value").alias("total_value"))
+
+
+@query("i14_cpu_series")
+def i14_cpu_series(spark, d):
+    out = IO.cpu_series(V.cpu(spark, d))
+    return out.select("ts_center", *[r(c).alias(c) for c in ["usage_user", "usage_system", "usage_iowait"]])
+
+
+@query("i15_network_rates")
+def i15_network_rates(spark, d):
+    out = IO.network_rates(V.net(spark, d))
+    return out.select("ts", "iface_class", *[c + "_rate" for c in IO.NET_COUNTERS],
+                      r("sent_MBps").alias("sent_MBps"), r("recv_MBps").alias("recv_MBps"))
+
+
+@query("h3_interface_class")
+def h3_interface_class(spark, d):
+    return V.net(spark, d).select("interface", IO.interface_class().alias("iface_class")).distinct()
+
+
+# --------------------------------------------------------------------------- quality
+@query("f5_round_delta")
+def f5_round_delta(spark, d):
+    e = V.table(spark, d, "events")
+    return Q.with_round_delta(e, "ts").select("event_id", "delta_us")
+
+
+@query("e12_value_histogram")
+def e12_value_histogram(spark, d):
+    return Q.value_histogram(Q.with_round_delta(V.table(spark, d, "events"), "ts"), "delta_us")
+
+
+@query("e11_distribution_summary")
+def e11_distribution_summary(spark, d):
+    s = Q.distribution_summary(Q.with_round_delta(V.table(spark, d, "events"), "ts"), "delta_us")
+    return s.select(*[r(c, 4).alias(c) for c in s.columns])
+
+
+@query("e13_row_count")
+def e13_row_count(spark, d):
+    return V.table(spark, d, "lineitem").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("i16_quality_profile")
+def i16_quality_profile(spark, d):
+    tabs = {"events": V.table(spark, d, "events").select(F.col("ts").alias("timestamp")),
+            "lineitem": V.table(spark, d, "lineitem").select(F.col("l_shipdate").alias("timestamp")),
+            "orders": V.table(spark, d, "orders").select(F.col("o_orderdate").alias("timestamp"))}
+    p = Q.table_quality_profile(tabs)
+    return p.select("table", "rows", *[r(c, 4).alias(c) for c in p.columns[2:]])
+
+
+# --------------------------------------------------------------------------- benchmark grid
+GRID_CPUS = [8, 16]
+
+
+def grid_stats(spark, d) -> DataFrame:
+    return B.mean_std(V.tsdb_grid(spark, d))
+
+
+@query("e7_mean_std")
+def e7_mean_std(spark, d):
+    s = grid_stats(spark, d)
+    return s.select("db", "ram", "cpus", "n", r("mean").alias("mean"), r("std").alias("std"))
+
+
+@query("e6_pivot_mean")
+def e6_pivot_mean(spark, d):
+    p = B.pivot_mean(grid_stats(spark, d), values=GRID_CPUS)
+    return p.select("db", "ram", *[r(f"cpus_{v}").alias(f"cpus_{v}") for v in GRID_CPUS])
+
+
+@query("e8_argmax_row")
+def e8_argmax_row(spark, d):
+    b = B.argmax_row(grid_stats(spark, d))
+    return b.select("db", "ram", "cpus", r("mean").alias("mean"), r("std").alias("std"))
+
+
+@query("e9_mean_of_means")
+def e9_mean_of_means(spark, d):
+    m = B.mean_of_means(grid_stats(spark, d))
+    return m.select("db", r("mean_of_means").alias("mean_of_means")).orderBy(F.col("mean_of_means").desc())
+
+
+@query("e10_min_max_mean_scaling")
+def e10_min_max_mean_scaling(spark, d):
+    s = B.scaling_summary(grid_stats(spark, d))
+    return s.select("db", *[r(c, 9).alias(c) for c in ["min_M", "max_M", "mean_M", "scaling"]])
+
+
+@query("e14_distinct_count")
+def e14_distinct_count(spark, d):
+    return V.tsdb_grid(spark, d).agg(F.count_distinct("db").alias("n_db"))
+
+
+@query("e16_slice_filters")
+def e16_slice_filters(spark, d):
+    s = B.slices(grid_stats(spark, d), fixed_ram=56, fixed_cpus=16)
+    return s.select("slice", "db", "ram", "cpus", r("mean").alias("mean"), r("std").alias("std"))
+
+
+@query("i17_benchmark_report")
+def i17_benchmark_report(spark, d):
+    rep = B.benchmark_report(V.tsdb_grid(spark, d))
+    return rep.select("db", "ram", "cpus", "n", *[r(c).alias(c) for c in
+                      ["mean", "std", "band_lo", "band_hi"]], r("throughput_M", 9).alias("throughput_M"),
+                      "rank", "is_best")
+
+
+@query("i18_devops_groupby")
+def i18_devops_groupby(spark, d):
+    m = ["usage_user", "usage_system", "usage_iowait", "usage_idle", "usage_nice"]
+    out = B.devops_groupby(V.cpu(spark, d), m)
+    return out.select("host", "minute", *[r("max_" + c).alias("max_" + c) for c in m])
+
+
+@query("a12_tsdb_load_log_scan")
+def a12_tsdb_load_log_scan(spark, d):
+    return TL.parse_tsdb_load_logs(TL.explode_lines(C.tsdb_load_corpus(spark, d)))
+
+
+@query("a13_tsdb_query_log_scan")
+def a13_tsdb_query_log_scan(spark, d):
+    return TL.parse_tsdb_query_logs(C.tsdb_query_corpus(spark, d))
+
+
+@query("a14_llm_request_log_scan")
+def a14_llm_request_log_scan(spark, d):
+    return TL.parse_llm_requests(TL.explode_lines(C.llm_out_corpus(spark, d))).drop("line_no")
+
+
+@query("i19_llm_request_stats")
+def i19_llm_request_stats(spark, d):
+    req = TL.parse_llm_requests(TL.explode_lines(C.llm_out_corpus(spark, d)))
+    s = B.llm_request_stats(req)
+    return s.select("path", "model", "requests", "prompt_tokens", "completion_tokens", "total_tokens",
+                    r("tokens_per_s").alias("tokens_per_s"), r("mean_s").alias("mean_s"), "min_s", "max_s")

@@ -177,14 +177,21 @@ def cpu(spark, d) -> DataFrame:
                     F.concat(F.lit("io"), (F.col("user_id") % 4).cast("string")).alias("host"),
                     (F.col("event_id") % 16).cast("string").alias("core_id"),
                     k.alias("usage_user"), (F.col("value") % 50).alias("usage_system"),
-                    ((k * 7) % 13).alias("usage_iowait"), (F.lit(100.0) - k).alias("usage_idle"))
+                    ((k * 7) % 13).alias("usage_iowait"), (F.lit(100.0) - k).alias("usage_idle"),
+                    (k % 5).alias("usage_nice"))
+
+
+def tsdb_grid_columns() -> list:
+    """db (returnflag), ram (8 x line number), cpus (line status), rate (extended price)."""
+    db = (F.when(F.col("l_returnflag") == "A", "influx")
+           .when(F.col("l_returnflag") == "N", "questdb").otherwise("timescale"))
+    return [db.alias("db"), (F.col("l_linenumber") * 8).cast("int").alias("ram"),
+            F.when(F.col("l_linestatus") == "F", 8).otherwise(16).cast("int").alias("cpus"),
+            F.col("l_extendedprice").alias("rate")]
 
 
 def tsdb_grid(spark, d) -> DataFrame:
     """Benchmark grid: db x ram x cpus x iteration -> rate, from ``lineitem``."""
     li = table(spark, d, "lineitem")
-    db = (F.when(F.col("l_returnflag") == "A", "influx")
-           .when(F.col("l_returnflag") == "N", "questdb").otherwise("timescale"))
-    return li.select(db.alias("db"), (F.col("l_linenumber") * 8).cast("int").alias("ram"),
-                     F.when(F.col("l_linestatus") == "F", 8).otherwise(16).cast("int").alias("cpus"),
-                     F.col("l_orderkey").alias("iter"), F.col("l_extendedprice").alias("rate"))
+    return li.select(*tsdb_grid_columns(),
+                     (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("iter"))
