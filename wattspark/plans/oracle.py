@@ -491,3 +491,30 @@ WITH q AS (SELECT '/llm/benchmark_' || CAST(conv_id AS VARCHAR) || '.out' AS pat
 SELECT path, model, count(*) AS requests, CAST(sum(p) AS BIGINT) AS prompt_tokens, CAST(sum(c) AS BIGINT) AS completion_tokens,
   CAST(sum(t) AS BIGINT) AS total_tokens, round(sum(t) / nullif(sum(s), 0), 6) AS tokens_per_s, round(avg(s), 6) AS mean_s,
   min(s) AS min_s, max(s) AS max_s FROM q GROUP BY ALL"""
+
+# ----------------------------------------------------------------------------- formats
+ORACLE["b7_metric_render"] = f"""
+SELECT event_id, 'power,host=' || CAST(user_id AS VARCHAR) || ',event_type=' || event_type || ' value=' || CAST(value AS VARCHAR)
+       || ',k=' || CAST({K} AS VARCHAR) || 'i ' || CAST(epoch_us(ts) * 1000 AS VARCHAR) AS line FROM events"""
+ORACLE["a16_line_protocol_roundtrip"] = f"""
+SELECT user_id AS host, event_type, event_type || ' k=' || CAST({K} AS VARCHAR) || ',x' AS label, value, {K} AS k, ts
+FROM events"""
+ORACLE["a17_pdu_csv_scan"] = f"""
+SELECT {DEV} AS connected_device, CAST(user_id % 24 AS VARCHAR) AS outlet_num, event_type AS port,
+  CASE WHEN event_type = 'click' THEN CAST(CAST(trunc(value) AS BIGINT) AS DOUBLE) ELSE value END AS value_W,
+  event_type = 'click' AS is_int
+FROM events WHERE event_type NOT IN ('error', 'view')"""
+ORACLE["a18_ipmi_sensor_scan"] = """
+SELECT 'node' || CAST(user_id % 8 AS VARCHAR) AS host, 'Temp_' || event_type AS name, 'C' AS unit, value
+FROM events WHERE event_type NOT IN ('error', 'view')"""
+ORACLE["a19_psu_reading_scan"] = """
+SELECT 'node' || CAST(user_id % 8 AS VARCHAR) AS host, CAST(event_id % 3 AS INTEGER) AS psu_id,
+  'Instantaneous_Power' AS type, 'W' AS unit, value FROM events WHERE event_type <> 'error'"""
+ORACLE["a20_meter_json"] = """
+SELECT CAST(user_id % 10 AS INTEGER) AS vcid, event_type AS name, value AS data, 'kW' AS unit,
+  CASE WHEN event_type = 'error' THEN '' ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S') END AS timestamp,
+  CASE WHEN event_type = 'error' THEN NULL ELSE date_trunc('second', ts) END AS ts
+FROM events"""
+ORACLE["a21_prometheus_text"] = """
+SELECT 'Power ' || event_type AS description, CAST(user_id % 10 AS VARCHAR) AS vcID,
+  CASE WHEN event_type = 'error' THEN NULL ELSE 'W' END AS unit, value FROM events"""

@@ -454,3 +454,109 @@ def i19_llm_request_stats(spark, d):
     s = B.llm_request_stats(req)
     return s.select("path", "model", "requests", "prompt_tokens", "completion_tokens", "total_tokens",
                     r("tokens_per_s").alias("tokens_per_s"), r("mean_s").alias("mean_s"), "min_s", "max_s")
+
+
+# --------------------------------------------------------------------------- formats
+from wattspark.sources import formats as FM  # noqa: E402
+
+
+def _events_k(spark, d) -> DataFrame:
+    return V.table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
+
+
+def events_line_protocol(spark, d) -> DataFrame:
+    e = _events_k(spark, d).withColumn("host", F.col("user_id")) \
+        .withColumn("label", F.concat(F.col("event_type"), F.lit(" k="), F.col("k").cast("string"), F.lit(",x")))
+    lp = FM.render_line_protocol(e, "power", ["host", "event_type", "label"],
+                                 {"value": "float", "k": "int"}, "ts")
+    return e.select(F.concat(F.lit("/lp/"), F.col("user_id").cast("string")).alias("path"),
+                    F.col("event_id").alias("line_no"), lp.alias("line"))
+
+
+@query("b7_metric_render")
+def b7_metric_render(spark, d):
+    e = _events_k(spark, d).withColumn("host", F.col("user_id"))
+    return e.select("event_id", FM.render_line_protocol(e, "power", ["host", "event_type"],
+                                                        {"value": "float", "k": "int"}, "ts").alias("line"))
+
+
+@query("a16_line_protocol_roundtrip")
+def a16_line_protocol_roundtrip(spark, d):
+    p = FM.parse_line_protocol(events_line_protocol(spark, d))
+    return p.select(F.col("tags")["host"].cast("bigint").alias("host"),
+                    F.col("tags")["event_type"].alias("event_type"), F.col("tags")["label"].alias("label"),
+                    FM.field_double("fields", "value").alias("value"), FM.field_long("fields", "k").alias("k"),
+                    F.col("time").alias("ts"))
+
+
+@query("a17_pdu_csv_scan")
+def a17_pdu_csv_scan(spark, d):
+    e = V.table(spark, d, "events")
+    dev = V._device(F.col("user_id"))
+    path = F.concat(F.lit("/pdu/"), dev, F.lit(".csv"))
+    val = (F.when(F.col("event_type") == "error", F.lit("null"))
+            .when(F.col("event_type") == "view", F.lit(""))
+            .when(F.col("event_type") == "click", F.col("value").cast("bigint").cast("string"))
+            .when(F.col("event_type") == "signup", F.concat(F.col("value").cast("string"), F.lit("\r")))
+            .otherwise(F.col("value").cast("string")))
+    data = e.select(path.alias("path"), (F.col("event_id") + 2).alias("line_no"),
+                    F.concat_ws(",", F.lit("pdu-A"), (F.col("user_id") % 24).cast("string"), dev,
+                                F.col("event_type"), val).alias("line"))
+    header = e.select(path.alias("path")).distinct().select(
+        "path", F.lit(1).cast("bigint").alias("line_no"),
+        F.lit("pdu-name,power-outlet-num,connected-device,connected-port,value").alias("line"))
+    p = FM.parse_pdu_csv(header.unionByName(data))
+    return p.select("connected_device", "outlet_num", "port", "value_W", "is_int")
+
+
+@query("a18_ipmi_sensor_scan")
+def a18_ipmi_sensor_scan(spark, d):
+    e = V.table(spark, d, "events")
+    reading = F.when(F.col("event_type") == "error", "N/A").otherwise(F.col("value").cast("string"))
+    unit = F.when(F.col("event_type") == "view", "N/A").otherwise("C")
+    line = F.concat_ws(",", F.col("event_id").cast("string"),
+                       F.concat(F.lit("'Temp "), F.col("event_type"), F.lit("'")), reading, unit, F.lit("'Nominal'"))
+    lines = e.select(F.lit("/sensors").alias("path"), F.col("event_id").alias("line_no"),
+                     F.concat(F.lit("node"), (F.col("user_id") % 8).cast("string")).alias("host"),
+                     line.alias("line"))
+    return FM.parse_ipmi_sensor_csv(lines).select("host", "name", "unit", "value")
+
+
+@query("a19_psu_reading_scan")
+def a19_psu_reading_scan(spark, d):
+    e = V.table(spark, d, "events")
+    v = F.when(F.col("event_type") == "error", "N/A").otherwise(
+        F.concat(F.col("value").cast("string"), F.lit(" W")))
+    lines = e.select(F.lit("/psu").alias("path"), F.col("event_id").alias("line_no"),
+                     F.concat(F.lit("node"), (F.col("user_id") % 8).cast("string")).alias("host"),
+                     (F.col("event_id") % 3).cast("int").alias("psu_id"),
+                     F.concat(F.lit("  Instantaneous Power : "), v).alias("line"))
+    return FM.parse_psu_readings(lines).select("host", "psu_id", "type", "unit", "value")
+
+
+@query("a20_meter_json")
+def a20_meter_json(spark, d):
+    e = V.table(spark, d, "events")
+    vid = (F.col("user_id") % 10).cast("string")
+    lu = F.when(F.col("event_type") == "error", F.lit("garbage")).otherwise(F.date_format("ts", "ddMMyyyyHHmmss"))
+    payload = F.concat(F.lit('{"vcIds":['), vid, F.lit(',"x'), F.col("user_id").cast("string"), F.lit('",99],"v'),
+                       vid, F.lit('":{"name":"'), F.col("event_type"), F.lit('","data":'),
+                       F.col("value").cast("string"), F.lit(',"unit":{"unit":"kW"},"lastUpdate":"'), lu,
+                       F.lit('"}}'))
+    p = FM.parse_meter_json(e.select(payload.alias("payload")))
+    return p.select("vcid", "name", "data", "unit", "timestamp", "ts")
+
+
+@query("a21_prometheus_text")
+def a21_prometheus_text(spark, d):
+    e = V.table(spark, d, "events")
+    path = F.concat(F.lit("/meter/"), F.col("user_id").cast("string"), F.lit("/"),
+                    F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 600_000_000).cast("string"))
+    unit = F.when(F.col("event_type") == "error", F.lit("")).otherwise(F.lit("W"))
+    desc = e.select(path.alias("path"), (F.col("event_id") * 2).alias("line_no"),
+                    F.concat(F.lit("# Power "), F.col("event_type")).alias("line"))
+    val = e.select(path.alias("path"), (F.col("event_id") * 2 + 1).alias("line_no"),
+                   F.concat(F.lit("vcId_"), (F.col("user_id") % 10).cast("string"), F.lit('{unit="'), unit,
+                            F.lit('"} '), F.col("value").cast("string")).alias("line"))
+    p = FM.parse_prometheus_text(desc.unionByName(val))
+    return p.select("description", "vcID", "unit", "value")
