@@ -50,14 +50,15 @@ def parse_line_protocol(df: DataFrame, col: str = "line") -> DataFrame:
     d = d.where(F.size("__tok") >= 2)
     d = d.withColumn("__series", F.regexp_extract_all(F.col("__tok")[0], F.lit(_ITEM), 1))
     d = d.withColumn("__fields", F.regexp_extract_all(F.col("__tok")[1], F.lit(_ITEM), 1))
-    ns = F.try_element_at("__tok", F.lit(3)).try_cast("bigint")
+    d = d.withColumn("__ns", F.try_element_at("__tok", F.lit(3)).try_cast("bigint"))
     keep = [c for c in df.columns if c != col]
     return d.select(
         *keep,
         _unescape(F.col("__series")[0]).alias("measurement"),
         _kv_map(F.slice("__series", 2, 1 << 20), True).alias("tags"),
         _kv_map(F.col("__fields"), False).alias("fields"),
-        F.timestamp_micros(F.floor(ns / 1000)).cast("timestamp_ntz").alias("time"))
+        # integer division: a nanosecond epoch does not fit a double exactly
+        F.timestamp_micros(F.expr("__ns div 1000")).cast("timestamp_ntz").alias("time"))
 
 
 def field_double(fields: str, name: str) -> Column:
