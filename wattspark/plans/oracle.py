@@ -518,3 +518,25 @@ FROM events"""
 ORACLE["a21_prometheus_text"] = """
 SELECT 'Power ' || event_type AS description, CAST(user_id % 10 AS VARCHAR) AS vcID,
   CASE WHEN event_type = 'error' THEN NULL ELSE 'W' END AS unit, value FROM events"""
+
+# ----------------------------------------------------------------------------- scans and lake
+ORACLE["a1_telemetry_scan"] = with_views("llm_runs") + """x AS (SELECT 1)
+SELECT ts, user_id, value FROM events
+WHERE ts BETWEEN (SELECT min(start) FROM llm_runs) AND (SELECT max("end") FROM llm_runs)"""
+ORACLE["a6_lazy_scan"] = "SELECT ts FROM events"
+ORACLE["a5_experiment_scan"] = with_views("llm_runs") + """x AS (SELECT 1)
+SELECT ts AS timestamp, CAST(user_id AS VARCHAR) AS SLURM_JOB_ID,
+  CASE WHEN event_type = 'signup' THEN 'START' ELSE 'END' END AS status, 'model-' || CAST(user_id % 3 AS VARCHAR) AS notes
+FROM events WHERE event_type IN ('signup', 'purchase') AND CAST(user_id AS VARCHAR) IN (SELECT run_id FROM llm_runs)"""
+ORACLE["a8_day_sliced_extract"] = "SELECT event_id, ts, user_id, value, CAST(ts AS DATE) AS day FROM events"
+ORACLE["a7_lake_range_scan"] = "SELECT event_id, ts, user_id, value FROM events"
+ORACLE["b2_day_partitioned_sink"] = "SELECT CAST(ts AS DATE) AS timestamp_day, count(*) AS rows FROM events GROUP BY 1"
+ORACLE["b3_append_with_lineage"] = "SELECT 'events.parquet' AS source_file, count(*) AS rows FROM events"
+ORACLE["b6_load_report"] = ("SELECT CAST(ts AS DATE) AS timestamp_day, count(*) AS rows, true AS has_files "
+                            "FROM events GROUP BY 1")
+ORACLE["b1_parquet_sink"] = with_views("pdu", "meter10", "pdu10", "pue") + """x AS (SELECT 1)
+SELECT timestamp, round(ratio, 9) AS ratio FROM pue"""
+ORACLE["a10_file_checksum_verify"] = """
+SELECT f || '.parquet' AS file, CASE WHEN f = 'region' THEN 'mismatch' ELSE 'ok' END AS status
+FROM (VALUES ('region'), ('nation'), ('customer'), ('supplier'), ('part'), ('orders'), ('lineitem'), ('events'),
+             ('documents'), ('embeddings'), ('pages'), ('benchmark'), ('labels'), ('conversations')) t(f)"""

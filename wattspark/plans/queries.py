@@ -560,3 +560,112 @@ def a21_prometheus_text(spark, d):
                             F.lit('"} '), F.col("value").cast("string")).alias("line"))
     p = FM.parse_prometheus_text(desc.unionByName(val))
     return p.select("description", "vcID", "unit", "value")
+
+
+# --------------------------------------------------------------------------- scans and lake
+import uuid  # noqa: E402
+
+from wattspark.session import scratch_path  # noqa: E402
+from wattspark.sources import telemetry as TS, lake as LK  # noqa: E402
+
+
+def _scratch(spark, name: str) -> str:
+    return scratch_path(spark, f"wattspark/{name}-{uuid.uuid4().hex[:12]}")
+
+
+@query("a1_telemetry_scan")
+def a1_telemetry_scan(spark, d):
+    """Events inside [first run start, last run end] (closed), three columns."""
+    runs = llm_runs(spark, d)
+    lo, hi = runs.select(F.min("start")).scalar(), runs.select(F.max("end")).scalar()
+    return TS.telemetry_scan(spark, f"{d}/events.parquet", timefilter=(lo, hi),
+                             columns=["ts", "user_id", "value"], ts_col="ts")
+
+
+@query("a6_lazy_scan")
+def a6_lazy_scan(spark, d):
+    return TS.telemetry_scan(spark, f"{d}/events.parquet", columns=["ts"])
+
+
+@query("a5_experiment_scan")
+def a5_experiment_scan(spark, d):
+    """Experiment marks of the jobs that have a complete run (semi join on the id list)."""
+    x = V.llm_experiments(spark, d)
+    ids = llm_runs(spark, d).select(F.col("run_id").alias("SLURM_JOB_ID"))
+    return x.join(ids, "SLURM_JOB_ID", "left_semi")
+
+
+@query("a8_day_sliced_extract")
+def a8_day_sliced_extract(spark, d):
+    """Every day of events extracted to day folders in one job, read back with the
+    half-open day range (A7) and partition pruning."""
+    e = V.table(spark, d, "events")
+    lo = F.to_date(e.select(F.min("ts")).scalar()).cast("timestamp_ntz")
+    hi = F.date_add(F.to_date(e.select(F.max("ts")).scalar()), 1).cast("timestamp_ntz")
+    out = _scratch(spark, "extract-events")
+    TS.day_sliced_extract(e, out, lo, hi, ["event_id", "ts", "user_id", "value"], ts_col="ts")
+    back = spark.read.parquet(out)
+    return back.select("event_id", "ts", "user_id", "value", "day")
+
+
+@query("a7_lake_range_scan")
+def a7_lake_range_scan(spark, d):
+    """Day-partitioned events, scanned with a half-open time range covering all of it."""
+    t = _loaded_events(spark, d, "replace")
+    e = V.table(spark, d, "events")
+    lo = e.select(F.min("ts")).scalar()
+    hi = F.date_add(F.to_date(e.select(F.max("ts")).scalar()), 1).cast("timestamp_ntz")
+    return TS.range_half_open(t, lo, hi, ts_col="ts").select("event_id", "ts", "user_id", "value")
+
+
+def _loaded_events(spark, d, mode: str = "create") -> DataFrame:
+    """events loaded into a day-partitioned lake table (schema from the first file, validated)."""
+    out = _scratch(spark, "lake-events")
+    LK.load_folder(spark, f"{d}/events.parquet", out, ts_col="ts", mode=mode)
+    return spark.read.parquet(out)
+
+
+@query("b2_day_partitioned_sink")
+def b2_day_partitioned_sink(spark, d):
+    t = _loaded_events(spark, d)
+    return t.groupBy("timestamp_day").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("b3_append_with_lineage")
+def b3_append_with_lineage(spark, d):
+    return LK.manifest(_loaded_events(spark, d))
+
+
+@query("b6_load_report")
+def b6_load_report(spark, d):
+    rep = LK.load_report(_loaded_events(spark, d))
+    return rep.groupBy("timestamp_day").agg(F.sum("rows").alias("rows"),
+                                            (F.count_distinct("data_file") > 0).alias("has_files"))
+
+
+@query("b1_parquet_sink")
+def b1_parquet_sink(spark, d):
+    out = _scratch(spark, "pue_10m")
+    pue(spark, d).write.mode("overwrite").parquet(out)
+    return spark.read.parquet(out).select("timestamp", r("ratio", 9).alias("ratio"))
+
+
+@query("a10_file_checksum_verify")
+def a10_file_checksum_verify(spark, d):
+    """md5 of every table file against an index rendered from the same files, where the
+    index carries a wrong checksum for ``region.parquet`` and a non-parquet entry."""
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(d)
+                  .select(F.regexp_extract("path", r"([^/]+)$", 1).alias("key"), F.md5("content").alias("m")))
+    entries = files.select(F.struct("key", F.concat(F.lit("md5:"), F.when(F.col("key") == "region.parquet",
+                                                                         F.lit("0" * 32)).otherwise(F.col("m")))
+                                    .alias("checksum")).alias("e"))
+    extra = spark.range(1).select(F.struct(F.lit("README.md").alias("key"),
+                                           F.lit("md5:" + "1" * 32).alias("checksum")).alias("e"))
+    idx = entries.unionByName(extra).agg(F.collect_list("e").alias("files"))
+    js = idx.select(F.to_json(F.struct(
+        F.create_map(F.lit("events"), F.struct(F.array(F.struct(F.lit("events").alias("label"),
+                                                                 F.lit("10.5281/zenodo.123").alias("doi")))
+                                                .alias("zenodo_records"))).alias("tables"),
+        F.col("files"))).alias("json"))
+    _, expected = LK.index_entries(js)
+    return LK.checksum_verify(spark, d, expected).select("file", "status")
