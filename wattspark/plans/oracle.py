@@ -540,3 +540,21 @@ ORACLE["a10_file_checksum_verify"] = """
 SELECT f || '.parquet' AS file, CASE WHEN f = 'region' THEN 'mismatch' ELSE 'ok' END AS status
 FROM (VALUES ('region'), ('nation'), ('customer'), ('supplier'), ('part'), ('orders'), ('lineitem'), ('events'),
              ('documents'), ('embeddings'), ('pages'), ('benchmark'), ('labels'), ('conversations')) t(f)"""
+
+# ----------------------------------------------------------------------------- streaming
+ORACLE["j1_stream_ingest"] = "SELECT user_id AS host, event_type, value, ts FROM events"
+ORACLE["j2_stream_tumbling_power"] = """
+SELECT time_bucket(INTERVAL '10 minutes', ts) AS window_start, round(avg(value), 6) AS mean_W, count(*) AS n
+FROM events GROUP BY 1
+HAVING time_bucket(INTERVAL '10 minutes', ts) + INTERVAL 10 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"""
+ORACLE["j4_stream_energy"] = with_views("machine_power") + _trapezoid("machine_power", "host", "value") + """
+SELECT host, round(sum(p_avg * dt_s) FILTER (WHERE dt_s > 0), 6) AS energy_J,
+       round(sum(p_avg * dt_s) FILTER (WHERE dt_s > 0) / 3600.0, 6) AS energy_Wh,
+       count(*) + 1 AS samples, CAST(0 AS BIGINT) AS late_samples
+FROM iv GROUP BY host"""
+ORACLE["j3_stream_counter_rate"] = with_views("diskio") + """x AS (SELECT 1)
+SELECT host, timestamp, coalesce(greatest(CAST(reads AS DOUBLE) - lag(reads) OVER (PARTITION BY host ORDER BY timestamp), 0.0), 0.0) AS rate
+FROM diskio"""
+ORACLE["j5_stream_pue"] = with_views("pdu", "meter10", "pdu10", "pue") + """x AS (SELECT 1)
+SELECT timestamp, round(ratio, 9) AS ratio FROM pue
+WHERE timestamp + INTERVAL 10 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"""

@@ -669,3 +669,108 @@ def a10_file_checksum_verify(spark, d):
         F.col("files"))).alias("json"))
     _, expected = LK.index_entries(js)
     return LK.checksum_verify(spark, d, expected).select("file", "status")
+
+
+# --------------------------------------------------------------------------- streaming
+from wattspark.streaming import ingest as SI, stateful as SS, pue as SP  # noqa: E402
+
+
+def _lp_input(spark, d, lines: DataFrame) -> str:
+    """Write line-protocol text files (the collector output) for a stream to pick up."""
+    path = _scratch(spark, "stream-in")
+    lines.select("line").write.text(path)
+    return path
+
+
+def _run(q) -> None:
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+
+
+@query("j1_stream_ingest")
+def j1_stream_ingest(spark, d):
+    src = _lp_input(spark, d, events_line_protocol(spark, d))
+    out, ck = _scratch(spark, "stream-table"), _scratch(spark, "stream-ck")
+    _run(SI.ingest(SI.read_line_protocol_stream(spark, src), out, ck))
+    t = spark.read.parquet(out)
+    return t.select(F.col("tags")["host"].cast("bigint").alias("host"),
+                    F.col("tags")["event_type"].alias("event_type"),
+                    FM.field_double("fields", "value").alias("value"), F.col("time").alias("ts"))
+
+
+@query("j2_stream_tumbling_power")
+def j2_stream_tumbling_power(spark, d):
+    src = _lp_input(spark, d, events_line_protocol(spark, d))
+    out, ck = _scratch(spark, "stream-win"), _scratch(spark, "stream-ck")
+    s = SI.power_rows(SI.read_line_protocol_stream(spark, src))
+    agg = SI.tumbling_power(s, "10 minutes", "10 minutes")
+    _run(agg.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
+            .outputMode("append").trigger(availableNow=True).start())
+    t = spark.read.parquet(out)
+    return t.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"),
+                    r("mean_W").alias("mean_W"), "n")
+
+
+def _latest_per_key(path: str, spark, key: str) -> DataFrame:
+    t = spark.read.parquet(path)
+    cols = [c for c in t.columns if c not in (key, "batch_id")]
+    best = t.groupBy(key).agg(F.max_by(F.struct(*cols), "batch_id").alias("s"))
+    return best.select(key, *[F.col("s." + c).alias(c) for c in cols])
+
+
+def _batches_to(path: str):
+    def write(batch, batch_id):
+        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(path)
+    return write
+
+
+@query("j4_stream_energy")
+def j4_stream_energy(spark, d):
+    SI.enable_rocksdb(spark)
+    src = _lp_input(spark, d, events_line_protocol(spark, d))
+    out, ck = _scratch(spark, "stream-energy"), _scratch(spark, "stream-ck")
+    s = SI.power_rows(SI.read_line_protocol_stream(spark, src))
+    e = SS.stream_energy(s)
+    _run(e.writeStream.foreachBatch(_batches_to(out)).option("checkpointLocation", ck)
+          .outputMode("update").trigger(availableNow=True).start())
+    t = _latest_per_key(out, spark, "host")
+    return t.select(F.col("host").cast("bigint").alias("host"), r("energy_J").alias("energy_J"),
+                    r("energy_Wh").alias("energy_Wh"), "samples", "late_samples")
+
+
+@query("j3_stream_counter_rate")
+def j3_stream_counter_rate(spark, d):
+    SI.enable_rocksdb(spark)
+    dk = V.diskio(spark, d).select("timestamp", "host", "reads")
+    lines = dk.select(FM.render_line_protocol(dk, "diskio", ["host"], {"reads": "int"}, "timestamp").alias("line"))
+    src = _lp_input(spark, d, lines)
+    out, ck = _scratch(spark, "stream-rate"), _scratch(spark, "stream-ck")
+    p = SI.read_line_protocol_stream(spark, src)
+    s = p.select(F.col("time").alias("timestamp"), F.col("tags")["host"].alias("host"),
+                 FM.field_double("fields", "reads").alias("value"))
+    _run(SS.stream_counter_rate(s).writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", ck).outputMode("append").trigger(availableNow=True).start())
+    t = spark.read.parquet(out)
+    return t.select("host", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "rate")
+
+
+@query("j5_stream_pue")
+def j5_stream_pue(spark, d):
+    m = V.energy_meter(spark, d).where(F.col("description") == V.METER_POWER_DESC).select(
+        "timestamp", F.lit("meter").alias("kind"), F.lit("site").alias("device"), F.lit("-").alias("port"), "value")
+    p = V.pdu_power(spark, d).select("timestamp", F.lit("pdu").alias("kind"),
+                                     F.col("connected_device").alias("device"), "port",
+                                     F.col("value_W").alias("value"))
+    u = m.unionByName(p)
+    lines = u.select(FM.render_line_protocol(u, "site_power", ["kind", "device", "port"], {"value": "float"},
+                                             "timestamp").alias("line"))
+    src = _lp_input(spark, d, lines)
+    state, ck = _scratch(spark, "stream-pue"), _scratch(spark, "stream-ck")
+    pr = SI.read_line_protocol_stream(spark, src)
+    rows = pr.select(F.col("time").alias("timestamp"), F.col("tags")["kind"].alias("kind"),
+                     F.col("tags")["device"].alias("device"), F.col("tags")["port"].alias("port"),
+                     FM.field_double("fields", "value").alias("value"))
+    _run(rows.writeStream.foreachBatch(SP.partials_writer(state)).option("checkpointLocation", ck)
+         .trigger(availableNow=True).start())
+    return SP.pue_from_partials(spark, state).select("timestamp", r("ratio", 9).alias("ratio"))
