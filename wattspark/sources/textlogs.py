@@ -15,11 +15,11 @@ from wattspark.functions.safe import nullif_empty
 
 def read_corpus(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
     """Whole files as rows: (path, text). ``pattern`` is a glob on file names."""
-    r = spark.read.option("wholetext", True)
+    r = spark.read
     if pattern:
         r = r.option("pathGlobFilter", pattern)
     r = r.option("recursiveFileLookup", True)
-    df = r.text(path)
+    df = r.text(path, wholetext=True)  # the keyword: text() would reset an option to False
     return df.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
@@ -110,11 +110,12 @@ def parse_tsdb_query_logs(corpus: DataFrame) -> DataFrame:
        max_ms, stddev_ms, sum_s, count, wall_s
     """
     t = F.col("text")
-    run = r"Run complete after (\d+) queries with (\d+) workers \(Overall query rate ([\d\.]+) queries/sec\)"
+    run = r"Run complete after (\d+) queries with (\d+) workers \(Overall query rate ([\d,\.]+) queries/sec\)"
     stats = (r"min:\s+([\d\.]+)ms, med:\s+([\d\.]+)ms, mean:\s+([\d\.]+)ms, max:\s+([\d\.]+)ms, "
              r"stddev:\s+([\d\.]+)ms, sum:\s+([\d\.]+)sec, count: (\d+)")
     wall = r"wall clock time: ([\d\.]+)sec"
-    x = lambda p, i, ty: nullif_empty(F.regexp_extract(t, p, i)).try_cast(ty)
+    # thousands separators (H13) are removed before the cast
+    x = lambda p, i, ty: nullif_empty(F.regexp_replace(F.regexp_extract(t, p, i), ",", "")).try_cast(ty)
     out = corpus.select(
         *_tsdb_config(_basename()),
         x(run, 1, "bigint").alias("queries"), x(run, 2, "int").alias("workers"),
