@@ -558,3 +558,68 @@ FROM diskio"""
 ORACLE["j5_stream_pue"] = with_views("pdu", "meter10", "pdu10", "pue") + """x AS (SELECT 1)
 SELECT timestamp, round(ratio, 9) AS ratio FROM pue
 WHERE timestamp + INTERVAL 10 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"""
+
+# ----------------------------------------------------------------------------- building blocks
+ORACLE["a15_llm_run_log_scan"] = """
+WITH l AS (SELECT user_id, arg_max(event_id, event_id) AS n FROM events GROUP BY user_id),
+m AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'signup') AS starts,
+             count(*) FILTER (WHERE event_type = 'purchase') AS ends FROM events GROUP BY user_id)
+SELECT '/llm/run_' || CAST(l.user_id AS VARCHAR) || '.err' AS path, n AS requests, n % 7 AS failures,
+  round(1.0 * (n % 7) / greatest(n, 1) * 100, 2) AS failure_pct, n % 1000 AS avg_ms, n % 900 AS med_ms,
+  CASE WHEN starts + ends > 0 THEN starts END AS starts, CASE WHEN starts + ends > 0 THEN ends END AS ends
+FROM l JOIN m USING (user_id)"""
+ORACLE["c3_equality_filters"] = "SELECT ts AS timestamp, value * 50 AS value FROM events WHERE event_type = 'view'"
+ORACLE["c6_rollup_row_filter"] = """SELECT ts AS timestamp, user_id AS host, value AS package_power_watt
+FROM events WHERE event_type IN ('view', 'click')"""
+ORACLE["c7_drop_nulls"] = with_views("ior_marks") + """x AS (SELECT 1)
+SELECT backend, scenario, iter FROM ior_marks GROUP BY ALL
+HAVING min(timestamp) FILTER (WHERE status = 'START') IS NOT NULL AND min(timestamp) FILTER (WHERE status = 'END') IS NOT NULL"""
+ORACLE["c10_case_when"] = with_views("ipmi", "spw") + """x AS (SELECT 1)
+SELECT time_bucket(INTERVAL '1 second', timestamp) AS ts,
+  round(CASE WHEN sum(value) - 100.0 > 0 THEN 1000.0 / (sum(value) - 100.0) END, 6) AS ratio FROM spw GROUP BY 1"""
+ORACLE["c11_finite_guard"] = with_views("grid", "gstats") + """x AS (SELECT 1)
+SELECT db, ram, cpus, round(coalesce(CASE WHEN isfinite(mean / nullif(std, 0)) THEN mean / nullif(std, 0) END, 0.0), 6) AS ratio
+FROM gstats"""
+ORACLE["c12_clip_fill"] = with_views("diskio") + """x AS (SELECT 1)
+SELECT host, timestamp, name, coalesce(greatest(reads - lag(reads) OVER (PARTITION BY host ORDER BY timestamp, name), 0), 0) AS reads_rate
+FROM diskio"""
+ORACLE["c13_empty_summary"] = "SELECT avg(value) AS mean_value, max(ts) AS last_ts, count(*) AS n FROM events WHERE value < 0"
+ORACLE["d1_bucket_equi_join"] = with_views("diskio", "ipmi", "spw") + _disk_rates_sql("diskio", "") + """,
+pw AS (SELECT time_bucket(INTERVAL '1 second', timestamp) AS ts, sum(value) AS w FROM spw GROUP BY 1)
+SELECT ts, reads_rate, round(w, 6) AS total_power_W FROM dm JOIN pw USING (ts)"""
+ORACLE["d2_dimension_equi_join"] = with_views("ior_marks", "ior_rows", "ior_perf") + """
+g AS (SELECT DISTINCT backend, scenario FROM ior_marks)
+SELECT g.backend, g.scenario, p.fs_type, round(p.bw_MiB, 6) AS bw_MiB FROM g JOIN ior_perf p
+  ON p.scenario = g.scenario AND p.api = g.backend"""
+ORACLE["d7_series_add_align"] = with_views("pdu", "ipmi") + """
+missing AS (SELECT DISTINCT connected_device FROM pdu EXCEPT SELECT DISTINCT split_part(host, '.', 1) FROM ipmi),
+mp AS (SELECT timestamp, sum(value_W) AS w FROM (
+        SELECT time_bucket(INTERVAL '10 minutes', timestamp) AS timestamp, connected_device, port, avg(value_W) AS value_W
+        FROM pdu WHERE connected_device IN (SELECT * FROM missing) GROUP BY 1, 2, 3) GROUP BY 1),
+ip AS (SELECT timestamp, coalesce(sum(v), 0) AS w FROM (
+        SELECT time_bucket(INTERVAL '10 minutes', timestamp) AS timestamp, host,
+               avg(value) FILTER (WHERE psu_id = '0' AND unit = 'W') AS v FROM ipmi GROUP BY 1, 2) GROUP BY 1)
+SELECT timestamp, round(ip.w + mp.w, 6) AS total_W FROM ip JOIN mp USING (timestamp)"""
+ORACLE["d8_vertical_concat"] = """
+SELECT CASE l_returnflag WHEN 'A' THEN 'influx' WHEN 'N' THEN 'questdb' ELSE 'timescale' END AS db,
+  count(*) AS logs, round(avg(l_extendedprice), 6) AS mean_rate FROM lineitem GROUP BY 1"""
+ORACLE["d9_distinct_values"] = with_views("net") + "x AS (SELECT 1) SELECT DISTINCT host, interface FROM net"
+ORACLE["e1_group_sum_mean"] = with_views("ipmi") + """x AS (SELECT 1)
+SELECT host, psu_id, round(coalesce(sum(value) FILTER (WHERE unit = 'W'), 0), 6) AS sum_W,
+  round(avg(value) FILTER (WHERE unit = 'W'), 6) AS mean_W FROM ipmi GROUP BY ALL"""
+ORACLE["e2_global_mean"] = "SELECT round(avg(value), 6) AS mean_value, round(avg(length(props)), 6) AS mean_props_len FROM events"
+ORACLE["f3_truncate_bucket"] = """
+SELECT date_trunc('second', ts) AS second, time_bucket(INTERVAL '5 minutes', ts) AS five_min, count(*) AS n
+FROM events GROUP BY 1, 2"""
+ORACLE["f6_lag_1"] = with_views("gpu") + """x AS (SELECT 1)
+SELECT event_id, "index", lag(power_draw) OVER (PARTITION BY "index" ORDER BY timestamp, event_id) AS prev_power_draw FROM gpu"""
+ORACLE["f7_diff"] = """
+WITH s AS (SELECT time_bucket(INTERVAL '1 second', ts) AS ts, sum(value * 50) AS v FROM events WHERE event_type = 'view' GROUP BY 1)
+SELECT ts, round(v - lag(v) OVER (ORDER BY ts), 6) AS value_diff FROM s"""
+ORACLE["g1_multi_key_sort"] = ORACLE["i12_efficiency_comparison"] + "\nORDER BY backend, scenario"
+ORACLE["g2_desc_sort"] = ORACLE["e7_mean_std"] + "\nORDER BY mean DESC, db, ram, cpus"
+ORACLE["g3_head_n"] = ORACLE["i3_integrate_power_by_host"] + "\nORDER BY energy_J DESC, host LIMIT 5"
+ORACLE["h4_split_first"] = with_views("ipmi") + "x AS (SELECT 1) SELECT DISTINCT host, split_part(host, '.', 1) AS short FROM ipmi"
+ORACLE["h6_timezone_convert"] = """
+SELECT event_id, CAST(timezone('UTC', timezone('Europe/Rome', ts)) AS TIMESTAMP) AS utc,
+  CAST(timezone('Europe/Rome', timezone('UTC', ts)) AS TIMESTAMP) AS rome FROM events"""

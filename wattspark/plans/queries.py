@@ -774,3 +774,193 @@ def j5_stream_pue(spark, d):
     _run(rows.writeStream.foreachBatch(SP.partials_writer(state)).option("checkpointLocation", ck)
          .trigger(availableNow=True).start())
     return SP.pue_from_partials(spark, state).select("timestamp", r("ratio", 9).alias("ratio"))
+
+
+# --------------------------------------------------------------------------- building blocks (C, D, E, F, G, H)
+from wattspark.functions import safe as SF_  # noqa: E402
+
+
+@query("a15_llm_run_log_scan")
+def a15_llm_run_log_scan(spark, d):
+    """Run logs (one per user): START / END marks and status rows; the last status row wins."""
+    e = V.table(spark, d, "events")
+    path = F.concat(F.lit("/llm/run_"), F.col("user_id").cast("string"), F.lit(".err"))
+    stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    mark = F.when(F.col("event_type") == "signup", F.concat(
+        F.lit("["), stamp, F.lit(",000] n1/INFO/root: Experiment START | id=u"), F.col("user_id").cast("string"),
+        F.lit(" | model=model-"), (F.col("user_id") % 3).cast("string"), F.lit(" | job="),
+        F.col("user_id").cast("string"), F.lit(" | nodes=n1"))).when(F.col("event_type") == "purchase", F.concat(
+            F.lit("["), stamp, F.lit(",000] n1/INFO/root: Experiment END | id=u"), F.col("user_id").cast("string"),
+            F.lit(" | model=model-"), (F.col("user_id") % 3).cast("string")))
+    n, f = F.col("event_id"), F.col("event_id") % 7
+    status = F.format_string("         Aggregated      %d     %d(%.2f%%) |  %d  %d  %d  %d |    %.2f        %.2f",
+                             n, f, F.lit(1.0) * f / F.greatest(n, F.lit(1)) * 100, n % 1000, n % 100, n % 5000,
+                             n % 900, F.lit(0.5), F.lit(0.01))
+    lines = e.select(path.alias("path"), (F.col("event_id") * 2).alias("line_no"), status.alias("line")).unionByName(
+        e.where(mark.isNotNull()).select(path.alias("path"), (F.col("event_id") * 2 + 1).alias("line_no"),
+                                         mark.alias("line")))
+    tot = TL.parse_llm_run_totals(lines)
+    ev = TL.parse_llm_run_events(lines).groupBy("path").agg(
+        F.count_if(F.col("status") == "START").alias("starts"), F.count_if(F.col("status") == "END").alias("ends"))
+    return tot.join(ev, "path", "left").select("path", "requests", "failures", r("failure_pct", 2).alias("failure_pct"),
+                                               "avg_ms", "med_ms", "starts", "ends")
+
+
+@query("c3_equality_filters")
+def c3_equality_filters(spark, d):
+    """Meter rows whose description equals the double-space literal exactly."""
+    m = V.energy_meter(spark, d)
+    return m.where(F.col("description") == V.METER_POWER_DESC).select("timestamp", "value")
+
+
+@query("c6_rollup_row_filter")
+def c6_rollup_row_filter(spark, d):
+    return V.turbostat(spark, d).where(F.col("die") == "-").select("timestamp", "host", "package_power_watt")
+
+
+@query("c7_drop_nulls")
+def c7_drop_nulls(spark, d):
+    """Experiments pivoted without the both-ends rule, then rows with any NULL dropped."""
+    p = R.pivot_runs(ior_marks(spark, d), ["backend", "scenario", "iter"], require_both=False)
+    return p.na.drop(subset=["start", "end"]).select("backend", "scenario", "iter")
+
+
+@query("c10_case_when")
+def c10_case_when(spark, d):
+    """Guarded ratio per second: MB/s per watt only where power > 0."""
+    p = IO.power_per_bucket(storage_power(spark, d))
+    return p.select("ts", r(SF_.guarded_ratio(F.lit(1000.0), F.col("total_power_W") - F.lit(100.0))).alias("ratio"))
+
+
+@query("c11_finite_guard")
+def c11_finite_guard(spark, d):
+    """Ratio of two grid statistics with NULL / inf / NaN replaced by 0.0."""
+    s = grid_stats(spark, d)
+    return s.select("db", "ram", "cpus", r(SF_.finite_or_zero(F.try_divide("mean", "std"))).alias("ratio"))
+
+
+@query("c12_clip_fill")
+def c12_clip_fill(spark, d):
+    """Counter differences per host, clipped at 0 and first row filled with 0."""
+    dk = V.diskio(spark, d)
+    out = ts.diff_over(dk.select("timestamp", "host", "reads", "name"), ["host"], "timestamp", ["reads"],
+                       tiebreak=["name"])
+    return out.select("host", "timestamp", "name", "reads_rate")
+
+
+@query("c13_empty_summary")
+def c13_empty_summary(spark, d):
+    """Global means over an empty selection: one row of NULLs (counts 0)."""
+    e = V.table(spark, d, "events").where(F.col("value") < 0)
+    return e.agg(F.avg("value").alias("mean_value"), F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("n"))
+
+
+@query("d1_bucket_equi_join")
+def d1_bucket_equi_join(spark, d):
+    """Disk rates and power per second joined on the second."""
+    rates = IO.disk_rates(V.diskio(spark, d)).select("ts", "reads_rate")
+    watts = IO.power_per_bucket(storage_power(spark, d))
+    return rates.join(watts, "ts", "inner").select("ts", "reads_rate", r("total_power_W").alias("total_power_W"))
+
+
+@query("d2_dimension_equi_join")
+def d2_dimension_equi_join(spark, d):
+    """Benchmark bandwidth joined to the run groups on (scenario, backend)."""
+    groups = ior_marks(spark, d).select("backend", "scenario").distinct()
+    perf = ior_perf(spark, d).withColumnRenamed("api", "backend")
+    # the benchmark table is one row per (fs, scenario, api): broadcast only after a bounded count
+    return groups.join(J.sized_broadcast(perf, 100_000), ["scenario", "backend"]).select(
+        "backend", "scenario", "fs_type", r("bw_MiB").alias("bw_MiB"))
+
+
+@query("d7_series_add_align")
+def d7_series_add_align(spark, d):
+    """IPMI total + listed-device PDU total per 10-minute bucket, aligned on the bucket."""
+    pdu, ipmi = V.pdu_power(spark, d), V.ipmi_power(spark, d)
+    i = P.ipmi_total(ipmi).withColumnRenamed("total_power_W", "ipmi_W")
+    m = P.pdu_total(pdu, devices=P.missing_devices(pdu, ipmi)).withColumnRenamed("total_power_W", "missing_W")
+    return i.join(m, "timestamp", "inner").select("timestamp", r(F.col("ipmi_W") + F.col("missing_W")).alias("total_W"))
+
+
+@query("d8_vertical_concat")
+def d8_vertical_concat(spark, d):
+    """Per-database parsed query logs concatenated by name (UNION ALL)."""
+    q = TL.parse_tsdb_query_logs(C.tsdb_query_corpus(spark, d))
+    parts = [q.where(F.col("db") == db) for db in ("influx", "questdb", "timescale")]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy("db").agg(F.count(F.lit(1)).alias("logs"), r(F.avg("rate_qps")).alias("mean_rate"))
+
+
+@query("d9_distinct_values")
+def d9_distinct_values(spark, d):
+    return V.net(spark, d).select("host", "interface").distinct()
+
+
+@query("e1_group_sum_mean")
+def e1_group_sum_mean(spark, d):
+    """Sum (0 for all-NULL groups) and mean of watts per host and PSU."""
+    p = V.ipmi_power(spark, d).withColumn("w", F.when(F.col("unit") == "W", F.col("value")))
+    return p.groupBy("host", "psu_id").agg(r(SF_.nz_sum("w")).alias("sum_W"), r(F.avg("w")).alias("mean_W"))
+
+
+@query("e2_global_mean")
+def e2_global_mean(spark, d):
+    e = V.table(spark, d, "events")
+    return e.agg(r(F.avg("value")).alias("mean_value"), r(F.avg(F.length("props"))).alias("mean_props_len"))
+
+
+@query("f3_truncate_bucket")
+def f3_truncate_bucket(spark, d):
+    """Samples truncated to the second and to 5 minutes, counted."""
+    e = V.table(spark, d, "events")
+    return e.groupBy(F.date_trunc("second", "ts").cast("timestamp_ntz").alias("second"),
+                     ts.bucket_start("ts", 300).alias("five_min")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("f6_lag_1")
+def f6_lag_1(spark, d):
+    """Previous power value of each sample of a GPU index (chunked lag)."""
+    g = V.gpu_samples(spark, d)
+    out = ts.chunked_lag(g, ["index"], "timestamp", ["power_draw"], tiebreak=["event_id"])
+    return out.select("event_id", "index", "prev_power_draw")
+
+
+@query("f7_diff")
+def f7_diff(spark, d):
+    """Difference along the whole (key-less) per-second meter series."""
+    m = V.energy_meter(spark, d).where(F.col("description") == V.METER_POWER_DESC)
+    s = ts.tumbling_agg(m, "timestamp", 1, [], [F.sum("value").alias("value")], label="ts")
+    out = ts.diff_over(s, [], "ts", ["value"], clip_at_zero=False, fill_first=None, suffix="_diff")
+    return out.select("ts", r("value_diff").alias("value_diff"))
+
+
+@query("g1_multi_key_sort")
+def g1_multi_key_sort(spark, d):
+    return i12_efficiency_comparison(spark, d).orderBy("backend", "scenario")
+
+
+@query("g2_desc_sort")
+def g2_desc_sort(spark, d):
+    return e7_mean_std(spark, d).orderBy(F.col("mean").desc(), "db", "ram", "cpus")
+
+
+@query("g3_head_n")
+def g3_head_n(spark, d):
+    """Top-5 hosts by energy (the limit is the report: a distributed top-k)."""
+    return i3_integrate_power_by_host(spark, d).orderBy(F.col("energy_J").desc(), "host").limit(5)
+
+
+@query("h4_split_first")
+def h4_split_first(spark, d):
+    return V.ipmi_power(spark, d).select("host", P.short_host("host").alias("short")).distinct()
+
+
+@query("h6_timezone_convert")
+def h6_timezone_convert(spark, d):
+    """Naive wall clock labelled as Europe/Rome converted to UTC, and UTC shown in Rome time."""
+    e = V.table(spark, d, "events")
+    return e.select("event_id",
+                    F.to_utc_timestamp(F.col("ts").cast("timestamp"), "Europe/Rome").cast("timestamp_ntz").alias("utc"),
+                    F.from_utc_timestamp(F.col("ts").cast("timestamp"), "Europe/Rome").cast("timestamp_ntz").alias("rome"))
