@@ -36,7 +36,7 @@ def explode_lines(corpus: DataFrame) -> DataFrame:
 
 
 def _basename(col: str = "path") -> F.Column:
-    return F.regexp_extract(F.col(col), r"([^/]+)$", 1)
+    return F.substring_index(F.col(col), "/", -1)
 
 
 def _ws_split(c: F.Column) -> F.Column:
@@ -81,6 +81,7 @@ TSDB_NAME = r"^([a-z-]+?)_(load|query)_ram(\d+)(?:Gi)?_cores(\d+)_iter(\d+)\.log
 
 
 def _tsdb_config(name: F.Column) -> list[F.Column]:
+    """db, ram, cpus, iter from ``<db>_<kind>_ram<r>[Gi]_cores<c>_iter<i>.log``."""
     return [F.regexp_extract(name, TSDB_NAME, 1).alias("db"),
             F.regexp_extract(name, TSDB_NAME, 3).try_cast("int").alias("ram"),
             F.regexp_extract(name, TSDB_NAME, 4).try_cast("int").alias("cpus"),
@@ -103,27 +104,38 @@ def parse_tsdb_load_logs(lines: DataFrame) -> DataFrame:
                 .where(F.col("db") != "")
 
 
+def _numbers(matched: F.Column, allow_commas: bool = False) -> F.Column:
+    """Split a matched line into its numbers. The lines start with a word, so element 1
+    is empty and the k-th number is element k + 1 (no higher-order function needed)."""
+    return F.split(matched, r"[^0-9.,]+" if allow_commas else r"[^0-9.]+")
+
+
 def parse_tsdb_query_logs(corpus: DataFrame) -> DataFrame:
     """Query-run summary per file, matched by pattern (an extra leading line is allowed).
 
+    Each of the three lines (run, latency stats, wall clock) is located by ONE
+    regex search; its numbers are then split out of the matched text.
     -> db, ram, cpus, iter, queries, workers, rate_qps, min_ms, med_ms, mean_ms,
        max_ms, stddev_ms, sum_s, count, wall_s
     """
     t = F.col("text")
-    run = r"Run complete after (\d+) queries with (\d+) workers \(Overall query rate ([\d,\.]+) queries/sec\)"
-    stats = (r"min:\s+([\d\.]+)ms, med:\s+([\d\.]+)ms, mean:\s+([\d\.]+)ms, max:\s+([\d\.]+)ms, "
-             r"stddev:\s+([\d\.]+)ms, sum:\s+([\d\.]+)sec, count: (\d+)")
+    run = r"Run complete after [\d,]+ queries with \d+ workers \(Overall query rate [\d,\.]+ queries/sec\)"
+    stats = (r"min:\s+[\d\.]+ms, med:\s+[\d\.]+ms, mean:\s+[\d\.]+ms, max:\s+[\d\.]+ms, "
+             r"stddev:\s+[\d\.]+ms, sum:\s+[\d\.]+sec, count: \d+")
     wall = r"wall clock time: ([\d\.]+)sec"
-    # thousands separators (H13) are removed before the cast
-    x = lambda p, i, ty: nullif_empty(F.regexp_replace(F.regexp_extract(t, p, i), ",", "")).try_cast(ty)
-    out = corpus.select(
-        *_tsdb_config(_basename()),
-        x(run, 1, "bigint").alias("queries"), x(run, 2, "int").alias("workers"),
-        x(run, 3, "double").alias("rate_qps"),
-        x(stats, 1, "double").alias("min_ms"), x(stats, 2, "double").alias("med_ms"),
-        x(stats, 3, "double").alias("mean_ms"), x(stats, 4, "double").alias("max_ms"),
-        x(stats, 5, "double").alias("stddev_ms"), x(stats, 6, "double").alias("sum_s"),
-        x(stats, 7, "bigint").alias("count"), x(wall, 1, "double").alias("wall_s"))
+    d = corpus.select(*_tsdb_config(_basename()),
+                      _numbers(F.regexp_extract(t, run, 0), allow_commas=True).alias("__r"),
+                      _numbers(F.regexp_extract(t, stats, 0)).alias("__s"),
+                      nullif_empty(F.regexp_extract(t, wall, 1)).try_cast("double").alias("wall_s"))
+    n = lambda a, i, ty: F.regexp_replace(F.try_element_at(a, F.lit(i + 1)), ",", "").try_cast(ty)
+    out = d.select(
+        "db", "ram", "cpus", "iter",
+        n("__r", 1, "bigint").alias("queries"), n("__r", 2, "int").alias("workers"),
+        n("__r", 3, "double").alias("rate_qps"),
+        n("__s", 1, "double").alias("min_ms"), n("__s", 2, "double").alias("med_ms"),
+        n("__s", 3, "double").alias("mean_ms"), n("__s", 4, "double").alias("max_ms"),
+        n("__s", 5, "double").alias("stddev_ms"), n("__s", 6, "double").alias("sum_s"),
+        n("__s", 7, "bigint").alias("count"), "wall_s")
     return out.where((F.col("db") != "") & F.col("rate_qps").isNotNull())
 
 
