@@ -42,33 +42,57 @@ def _key_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return out.drop(*[f"__r_{k}" for k in keys])
 
 
+def _surrogate_keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Non-null stand-ins for series keys: (coalesce(k, default), k IS NULL) per key.
+
+    Window partitioning and the carry join then use the same plain-equality
+    columns, so the join reuses the window's hash partitioning and sort order
+    (a null-safe join would re-shuffle the large side) and NULL keys still
+    form one series.
+    """
+    cols = []
+    for i, k in enumerate(keys):
+        dtype = df.schema[k].dataType.simpleString()
+        default = {"string": F.lit("")}.get(dtype, F.lit(0).cast(dtype))
+        df = df.withColumn(f"__k{i}", F.coalesce(F.col(k), default)).withColumn(f"__n{i}", F.col(k).isNull())
+        cols += [f"__k{i}", f"__n{i}"]
+    return df, cols
+
+
 def chunked_lag(df: DataFrame, keys, ts_col: str, cols, *, tiebreak=(),
                 chunk_seconds: float = DEFAULT_CHUNK_S, prefix: str = "prev_") -> DataFrame:
     """Add ``prev_<c>`` = value of ``c`` on the previous row of the same series.
 
     Series = ``keys`` (may be empty), ordered by ``ts_col`` then ``tiebreak``.
     Equal to ``lag(c) over (partition by keys order by ts, tiebreak)``.
+
+    Plan: one exchange on (keys, chunk) feeds one window computing the in-chunk
+    lag, the row number and the chunk's last values (second frame, same
+    window); the first row of each chunk gives a one-row-per-chunk table, a
+    small window over it finds the previous non-empty chunk, and an equi-join on
+    (keys, chunk) - co-partitioned with the large side - brings the carry in.
     """
     keys, cols, tiebreak = _cols(keys), _cols(cols), _cols(tiebreak)
     order_cols = [ts_col] + tiebreak
     ck = "__chunk"
     width = int(chunk_seconds * 1_000_000)
-    d = df.withColumn(ck, F.floor(epoch_us(ts_col) / F.lit(width)).cast("long"))
-    w = Window.partitionBy(*keys, ck).orderBy(*[F.col(c).asc_nulls_first() for c in order_cols])
+    d, sk = _surrogate_keys(df, keys)
+    d = d.withColumn(ck, F.floor(epoch_us(ts_col) / F.lit(width)).cast("long"))
+    order = [F.col(c).asc_nulls_first() for c in order_cols]
+    w = Window.partitionBy(*sk, ck).orderBy(*order)
+    wall = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     d = d.withColumn("__rn", F.row_number().over(w))
     for c in cols:
-        d = d.withColumn(prefix + c, F.lag(c).over(w))
-    # last row of each (keys, chunk): ordered by the same sort key as the window
-    payload = F.struct(*[F.col(c).alias(c) for c in cols])
-    last = d.groupBy(*keys, ck).agg(
-        F.max_by(payload, F.struct(*[F.col(c) for c in order_cols])).alias("__last"))
-    wc = Window.partitionBy(*keys).orderBy(ck)
-    carry = last.select(*keys, ck, F.lag("__last").over(wc).alias("__carry"))
-    d = _key_join(d, carry, keys + [ck], "left")
+        d = d.withColumn(prefix + c, F.lag(c).over(w)).withColumn("__last_" + c, F.last(c).over(wall))
+    # one row per non-empty chunk, carrying that chunk's last values
+    heads = d.where(F.col("__rn") == 1).select(*sk, ck, *[F.col("__last_" + c) for c in cols])
+    wc = Window.partitionBy(*sk).orderBy(ck)
+    carry = heads.select(*sk, ck, *[F.lag("__last_" + c).over(wc).alias("__carry_" + c) for c in cols])
+    d = d.drop(*["__last_" + c for c in cols]).join(carry, sk + [ck], "left")
     for c in cols:
-        d = d.withColumn(prefix + c, F.when(F.col("__rn") == 1, F.col("__carry")[c])
+        d = d.withColumn(prefix + c, F.when(F.col("__rn") == 1, F.col("__carry_" + c))
                          .otherwise(F.col(prefix + c)))
-    return d.drop("__carry", "__rn", ck)
+    return d.drop(*["__carry_" + c for c in cols], "__rn", ck, *sk)
 
 
 def diff_over(df: DataFrame, keys, ts_col: str, cols, *, tiebreak=(), clip_at_zero=True,
@@ -110,15 +134,16 @@ def chunked_row_number(df: DataFrame, keys, ts_col: str, *, tiebreak=(),
     keys, tiebreak = _cols(keys), _cols(tiebreak)
     ck = "__chunk"
     width = int(chunk_seconds * 1_000_000)
-    d = df.withColumn(ck, F.floor(epoch_us(ts_col) / F.lit(width)).cast("long"))
-    w = Window.partitionBy(*keys, ck).orderBy(*[F.col(c).asc_nulls_first() for c in [ts_col] + tiebreak])
+    d, sk = _surrogate_keys(df, keys)
+    d = d.withColumn(ck, F.floor(epoch_us(ts_col) / F.lit(width)).cast("long"))
+    w = Window.partitionBy(*sk, ck).orderBy(*[F.col(c).asc_nulls_first() for c in [ts_col] + tiebreak])
     d = d.withColumn("__rn", F.row_number().over(w))
-    counts = d.groupBy(*keys, ck).agg(F.count(F.lit(1)).alias("__n"))
-    wc = Window.partitionBy(*keys).orderBy(ck).rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.select(*keys, ck, F.coalesce(F.sum("__n").over(wc), F.lit(0)).alias("__off"))
-    d = _key_join(d, offs, keys + [ck], "left")
+    counts = d.groupBy(*sk, ck).agg(F.count(F.lit(1)).alias("__n"))
+    wc = Window.partitionBy(*sk).orderBy(ck).rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.select(*sk, ck, F.coalesce(F.sum("__n").over(wc), F.lit(0)).alias("__off"))
+    d = d.join(offs, sk + [ck], "left")
     idx = F.col("__rn") + F.col("__off") - (1 if zero_based else 0)
-    return d.withColumn(name, idx.cast("long")).drop("__rn", "__off", ck)
+    return d.withColumn(name, idx.cast("long")).drop("__rn", "__off", ck, *sk)
 
 
 def tumbling_agg(df: DataFrame, ts_col: str, seconds: float, keys, aggs: Sequence[Column],
