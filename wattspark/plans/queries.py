@@ -868,8 +868,8 @@ def d2_dimension_equi_join(spark, d):
     """Benchmark bandwidth joined to the run groups on (scenario, backend)."""
     groups = ior_marks(spark, d).select("backend", "scenario").distinct()
     perf = ior_perf(spark, d).withColumnRenamed("api", "backend")
-    # the benchmark table is one row per (fs, scenario, api): broadcast only after a bounded count
-    return groups.join(J.sized_broadcast(perf, 100_000), ["scenario", "backend"]).select(
+    # one row per (fs, scenario, api): AQE broadcasts it from its measured size
+    return groups.join(perf, ["scenario", "backend"]).select(
         "backend", "scenario", "fs_type", r("bw_MiB").alias("bw_MiB"))
 
 

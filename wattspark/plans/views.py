@@ -33,7 +33,20 @@ N_IPMI_DEVICES = 30     # devices 0..29 also report through IPMI
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that has fewer splits than the cluster has task slots.
+
+    A small table stored as one row group is read by one task, which then
+    runs every narrow step (parsing, projections) alone. On a large input the
+    scan already has many splits and this is a no-op. Only the split count of
+    the planned scan is inspected (file listing, no job); filters and column
+    pruning are still pushed below the repartition into the scan.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
 
 
 def _k() -> F.Column:

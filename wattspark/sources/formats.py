@@ -36,6 +36,23 @@ def _kv_map(items: Column, unescape_values: bool) -> Column:
     return F.map_from_entries(F.transform(items, entry))
 
 
+def _plain_map(s: Column) -> Column:
+    """``k=v,k=v`` without escapes or quotes -> map (code-generated ``str_to_map``)."""
+    return F.when(s == "", F.create_map().cast("map<string,string>")).otherwise(F.str_to_map(s, F.lit(","), F.lit("=")))
+
+
+# a delimiter not preceded by a backslash
+_UNESC_COMMA, _UNESC_EQ = r"(?<!\\),", r"(?<!\\)="
+
+
+def _escaped_tag_map(s: Column) -> Column:
+    """Tag set with escapes: split on unescaped ``,`` / ``=`` in one ``str_to_map``,
+    then remove the escapes from keys and values."""
+    m = F.str_to_map(s, F.lit(_UNESC_COMMA), F.lit(_UNESC_EQ))
+    m = F.transform_values(F.transform_keys(m, lambda k, v: _unescape(k)), lambda k, v: _unescape(v))
+    return F.when(s == "", F.create_map().cast("map<string,string>")).otherwise(m)
+
+
 def parse_line_protocol(df: DataFrame, col: str = "line") -> DataFrame:
     """``measurement,tag=v,... field=v,... [ns]`` -> measurement, tags, fields, time.
 
@@ -43,20 +60,31 @@ def parse_line_protocol(df: DataFrame, col: str = "line") -> DataFrame:
     field tokens (see :func:`field_double` / :func:`field_long`); ``time``:
     TIMESTAMP_NTZ from the nanosecond epoch or NULL. Blank and comment lines and
     lines without fields are dropped.
+
+    Lines without a backslash or a double quote (nearly all collector output)
+    take a code-generated path (``split`` + ``str_to_map``); the others are
+    tokenised by escape-aware regular expressions.
     """
     line = F.col(col)
     d = df.where(line.isNotNull() & (F.trim(line) != "") & ~F.trim(line).startswith("#"))
-    d = d.withColumn("__tok", F.regexp_extract_all(line, F.lit(_TOKEN), 1))
+    simple = ~line.contains("\\") & ~line.contains('"')
+    d = d.withColumn("__simple", simple).withColumn(
+        "__tok", F.when(F.col("__simple"), F.split(F.trim(line), " +"))
+                  .otherwise(F.regexp_extract_all(line, F.lit(_TOKEN), 1)))
     d = d.where(F.size("__tok") >= 2)
-    d = d.withColumn("__series", F.regexp_extract_all(F.col("__tok")[0], F.lit(_ITEM), 1))
-    d = d.withColumn("__fields", F.regexp_extract_all(F.col("__tok")[1], F.lit(_ITEM), 1))
+    series, fields = F.col("__tok")[0], F.col("__tok")[1]
+    meas_plain = F.substring_index(series, ",", 1)
+    tags_plain = F.substring(series, F.length(meas_plain) + 2, 1 << 30)
+    meas_esc = F.regexp_extract(series, r"^((?:[^,\\]|\\.)*)", 1)
+    tags_esc = F.substring(series, F.length(meas_esc) + 2, 1 << 30)
     d = d.withColumn("__ns", F.try_element_at("__tok", F.lit(3)).try_cast("bigint"))
     keep = [c for c in df.columns if c != col]
     return d.select(
         *keep,
-        _unescape(F.col("__series")[0]).alias("measurement"),
-        _kv_map(F.slice("__series", 2, 1 << 20), True).alias("tags"),
-        _kv_map(F.col("__fields"), False).alias("fields"),
+        F.when(F.col("__simple"), meas_plain).otherwise(_unescape(meas_esc)).alias("measurement"),
+        F.when(F.col("__simple"), _plain_map(tags_plain)).otherwise(_escaped_tag_map(tags_esc)).alias("tags"),
+        F.when(~fields.contains('"') & ~fields.contains("\\"), _plain_map(fields))
+         .otherwise(_kv_map(F.regexp_extract_all(fields, F.lit(_ITEM), 1), False)).alias("fields"),
         # integer division: a nanosecond epoch does not fit a double exactly
         F.timestamp_micros(F.expr("__ns div 1000")).cast("timestamp_ntz").alias("time"))
 
