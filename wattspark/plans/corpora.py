@@ -23,7 +23,7 @@ def ior_corpus(spark, d) -> DataFrame:
     (Mean(MiB) = extended price, Mean(OPs) = quantity); every 13th order has no
     summary block. An order has at most seven lineitems, so each group is small.
     """
-    li = V.table(spark, d, "lineitem")
+    li = V.table(spark, d, "lineitem", per_row_cpu=True)
     ok = F.col("l_orderkey")
     fs = F.when(ok % 2 == 0, "scratch").otherwise("fast")
     scen = F.element_at(F.array(*[F.lit(s) for s in V.IOR_SCENARIOS]),
@@ -52,7 +52,7 @@ def ior_corpus(spark, d) -> DataFrame:
 def tsdb_query_corpus(spark, d) -> DataFrame:
     """One query-run log per lineitem of the benchmark grid; every 5th order's logs
     carry an extra leading line. Iteration id = orderkey * 10 + line number."""
-    li = V.table(spark, d, "lineitem")
+    li = V.table(spark, d, "lineitem", per_row_cpu=True)
     g = li.select("*", *V.tsdb_grid_columns())
     g = g.withColumn("iter", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
     ms = lambda c: F.format_string("%.2f", c)
@@ -76,7 +76,7 @@ def tsdb_query_corpus(spark, d) -> DataFrame:
 
 def tsdb_load_corpus(spark, d) -> DataFrame:
     """Load-run logs: one per order, rate = total price with thousands separators."""
-    o = V.table(spark, d, "orders")
+    o = V.table(spark, d, "orders", per_row_cpu=True)
     db = (F.when(F.col("o_orderstatus") == "F", "influx")
            .when(F.col("o_orderstatus") == "O", "questdb").otherwise("timescale"))
     ram = ((F.col("o_orderkey") % 4 + 1) * 8).cast("int")
@@ -93,7 +93,7 @@ def tsdb_load_corpus(spark, d) -> DataFrame:
 
 def llm_out_corpus(spark, d) -> DataFrame:
     """Serving ``.out`` logs: one file per conversation, one request line per turn."""
-    c = V.table(spark, d, "conversations")
+    c = V.table(spark, d, "conversations", per_row_cpu=True)
     words = F.size(F.split(F.trim(F.col("text")), r"\s+"))
     line = F.concat(F.lit("model-"), (F.col("conv_id") % 3).cast("string"),
                     F.lit(" | max_tokens="), (F.lit(1000) + F.col("turn") * 7).cast("string"),

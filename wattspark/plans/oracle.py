@@ -130,9 +130,9 @@ V["ior_pairs"] = """SELECT s.backend, s.scenario, s.iter, s.idx, s.timestamp AS
       JOIN (SELECT *, row_number() OVER (PARTITION BY backend, scenario, iter ORDER BY timestamp) - 1 AS idx
          FROM ior_marks WHERE status = 'END') e
       USING (backend, scenario, iter, idx) WHERE e.timestamp >= s.timestamp"""
-V["ipmi"] = f"""SELECT ts AS timestamp, {DEV} || '.dc.example' AS host, CAST(event_id % 2 AS VARCHAR) AS psu_id,
-        CASE WHEN event_type = 'error' THEN 'A' ELSE 'W' END AS unit, value
-    FROM events WHERE event_type <> 'view' AND user_id % 40 < 30"""
+V["ipmi"] = """SELECT ts AS timestamp, 'dev' || lpad(CAST(user_id % 30 AS VARCHAR), 2, '0') || '.dc.example' AS host,
+        CAST(event_id % 2 AS VARCHAR) AS psu_id, CASE WHEN event_type = 'error' THEN 'A' ELSE 'W' END AS unit, value
+    FROM events WHERE event_type <> 'view'"""
 V["meter10"] = """SELECT time_bucket(INTERVAL '10 minutes', ts) AS timestamp, avg(value * 50) AS value
     FROM events WHERE event_type = 'view' GROUP BY 1"""
 V["pdu10"] = """SELECT timestamp, sum(value_W) AS total_power_W FROM (

@@ -32,16 +32,20 @@ N_DEVICES = 40          # racked devices behind the PDUs
 N_IPMI_DEVICES = 30     # devices 0..29 also report through IPMI
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+def table(spark: SparkSession, sf_dir: str, name: str, *, per_row_cpu: bool = False) -> DataFrame:
+    """A driver table; ``per_row_cpu`` marks reads feeding text rendering / parsing."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if per_row_cpu else df
 
 
 def spread(df: DataFrame) -> DataFrame:
     """Round-robin a scan that has fewer splits than the cluster has task slots.
 
     A small table stored as one row group is read by one task, which then
-    runs every narrow step (parsing, projections) alone. On a large input the
-    scan already has many splits and this is a no-op. Only the split count of
+    runs every narrow step alone. That matters only where the per-row work is
+    heavy (rendering and parsing text); aggregations shrink the data in that
+    task anyway, so they read without it. On a large input the scan already
+    has many splits and this is a no-op. Only the split count of
     the planned scan is inspected (file listing, no job); filters and column
     pruning are still pushed below the repartition into the scan.
     """
@@ -128,11 +132,12 @@ def pdu_power(spark, d) -> DataFrame:
 
 
 def ipmi_power(spark, d) -> DataFrame:
-    """ipmi_power of the IPMI-managed devices, host as FQDN, padded unit strings."""
+    """ipmi_power, host as FQDN. Only devices 0-29 have a BMC: every non-meter event is
+    an IPMI reading of device ``user_id % 30``, so devices 30-39 appear on the PDUs only."""
     e = table(spark, d, "events").where(F.col("event_type") != "view")
-    e = e.where((F.col("user_id") % N_DEVICES) < N_IPMI_DEVICES)
+    dev = F.concat(F.lit("dev"), F.lpad((F.col("user_id") % N_IPMI_DEVICES).cast("string"), 2, "0"))
     return e.select(F.col("ts").alias("timestamp"),
-                    F.concat(_device(F.col("user_id")), F.lit(".dc.example")).alias("host"),
+                    F.concat(dev, F.lit(".dc.example")).alias("host"),
                     (F.col("event_id") % 2).cast("string").alias("psu_id"),
                     F.when(F.col("event_type") == "error", "A").otherwise("W").alias("unit"),
                     F.col("value").alias("value"))
