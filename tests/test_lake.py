@@ -110,3 +110,12 @@ def test_checksum_verify(spark, tmpdir_path):
                                 "file string, expected_md5 string")
     got = {r.file: r.status for r in LK.checksum_verify(spark, src, exp).collect()}
     assert got == {files[0]: "ok", files[1]: "mismatch", files[2]: "unexpected", "gone.parquet": "missing"}
+
+
+def test_tolerant_read_skips_corrupt_file(spark, tmpdir_path):
+    src = _src(spark, tmpdir_path)
+    with open(os.path.join(src, "ipmi_power_2024-01-09_2024-01-10.parquet"), "wb") as f:
+        f.write(b"not a parquet file")
+    schema = spark.read.parquet(os.path.join(src, "ipmi_power_2024-01-01_2024-01-02.parquet")).schema
+    df = TS.telemetry_scan(spark, src, schema=schema, tolerant=True)
+    assert df.count() == 12
