@@ -91,9 +91,12 @@ def tsdb_load_corpus(spark, d) -> DataFrame:
     return o.select(F.concat(F.lit("/tsdb/"), db, F.lit("/"), name).alias("path"), text.alias("text"))
 
 
-def llm_out_corpus(spark, d) -> DataFrame:
-    """Serving ``.out`` logs: one file per conversation, one request line per turn."""
+def llm_out_lines(spark, d) -> DataFrame:
+    """Serving ``.out`` logs as a line corpus (path, line_no, line): one file per
+    conversation, two header lines, then one request line per turn. Built row by
+    row (no per-conversation collect), so a very long conversation is not a hot group."""
     c = V.table(spark, d, "conversations", per_row_cpu=True)
+    path = F.concat(F.lit("/llm/benchmark_"), F.col("conv_id").cast("string"), F.lit(".out"))
     words = F.size(F.split(F.trim(F.col("text")), r"\s+"))
     line = F.concat(F.lit("model-"), (F.col("conv_id") % 3).cast("string"),
                     F.lit(" | max_tokens="), (F.lit(1000) + F.col("turn") * 7).cast("string"),
@@ -101,8 +104,9 @@ def llm_out_corpus(spark, d) -> DataFrame:
                     F.lit(" completion="), words.cast("string"),
                     F.lit(" total="), (words + F.col("turn") + 3).cast("string"),
                     F.lit(" tokens | "), F.format_string("%.2f", F.length("text") / F.lit(100.0)), F.lit("s"))
-    per = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", line.alias("l")))).alias("ls"))
-    text = F.concat(F.lit("Job started on node01\nLoaded 182 prompts from 'prompt.txt'.\n"),
-                    F.array_join(F.transform("ls", lambda x: x["l"]), "\n"), F.lit("\n"))
-    return per.select(F.concat(F.lit("/llm/benchmark_"), F.col("conv_id").cast("string"), F.lit(".out"))
-                      .alias("path"), text.alias("text"))
+    body = c.select(path.alias("path"), (F.col("turn") + 3).alias("line_no"), line.alias("line"))
+    heads = c.select(path.alias("path")).distinct()
+    head = heads.select("path", F.lit(1).cast("bigint").alias("line_no"), F.lit("Job started on node01").alias("line")) \
+        .unionByName(heads.select("path", F.lit(2).cast("bigint").alias("line_no"),
+                                  F.lit("Loaded 182 prompts from 'prompt.txt'.").alias("line")))
+    return head.unionByName(body)

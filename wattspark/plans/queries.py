@@ -445,12 +445,12 @@ def a13_tsdb_query_log_scan(spark, d):
 
 @query("a14_llm_request_log_scan")
 def a14_llm_request_log_scan(spark, d):
-    return TL.parse_llm_requests(TL.explode_lines(C.llm_out_corpus(spark, d))).drop("line_no")
+    return TL.parse_llm_requests(C.llm_out_lines(spark, d)).drop("line_no")
 
 
 @query("i19_llm_request_stats")
 def i19_llm_request_stats(spark, d):
-    req = TL.parse_llm_requests(TL.explode_lines(C.llm_out_corpus(spark, d)))
+    req = TL.parse_llm_requests(C.llm_out_lines(spark, d))
     s = B.llm_request_stats(req)
     return s.select("path", "model", "requests", "prompt_tokens", "completion_tokens", "total_tokens",
                     r("tokens_per_s").alias("tokens_per_s"), r("mean_s").alias("mean_s"), "min_s", "max_s")

@@ -149,9 +149,9 @@ def parse_llm_requests(lines: DataFrame) -> DataFrame:
     l = F.col("line")
     g = lambda i: F.regexp_extract(l, REQ, i)
     return lines.where(l.rlike(REQ)).select(
-        "path", "line_no", g(1).alias("model"), g(2).cast("int").alias("max_tokens"),
-        g(3).cast("bigint").alias("prompt_tokens"), g(4).cast("bigint").alias("completion_tokens"),
-        g(5).cast("bigint").alias("total_tokens"), g(6).cast("double").alias("seconds"))
+        "path", "line_no", g(1).alias("model"), g(2).try_cast("int").alias("max_tokens"),
+        g(3).try_cast("bigint").alias("prompt_tokens"), g(4).try_cast("bigint").alias("completion_tokens"),
+        g(5).try_cast("bigint").alias("total_tokens"), g(6).try_cast("double").alias("seconds"))
 
 
 EVT = r"Experiment (START|END) \| id=([^ |]+) \| model=([^ |]+)(?: \| job=(\d+))?(?: \| nodes=(\S+))?"
@@ -199,7 +199,7 @@ def parse_llm_percentiles(lines: DataFrame) -> DataFrame:
         "path", "line_no", _ws_split(F.regexp_replace(l, r"^\s+Aggregated", "")).alias("v"))
     names = ["p50", "p66", "p75", "p80", "p90", "p95", "p98", "p99", "p999", "p9999", "p100", "n"]
     last = rows.groupBy("path").agg(F.max_by("v", "line_no").alias("v"))
-    return last.select("path", *[F.col("v")[i].cast("bigint").alias(n) for i, n in enumerate(names)])
+    return last.select("path", *[F.col("v")[i].try_cast("bigint").alias(n) for i, n in enumerate(names)])
 
 
 ERR = r"^(\d+)\s{2,}(.+?)\s*$"
@@ -211,5 +211,5 @@ def parse_llm_errors(lines: DataFrame) -> DataFrame:
     head = lines.where(l.startswith("Error report")).groupBy("path").agg(F.max("line_no").alias("__h"))
     d = lines.join(head, "path").where(F.col("line_no") > F.col("__h") + 2)
     return d.where(l.rlike(ERR)).select(
-        "path", F.regexp_extract(l, ERR, 1).cast("bigint").alias("occurrences"),
+        "path", F.regexp_extract(l, ERR, 1).try_cast("bigint").alias("occurrences"),
         F.regexp_extract(l, ERR, 2).alias("error"))
