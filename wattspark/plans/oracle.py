@@ -180,7 +180,7 @@ SELECT model, min(start) FILTER (WHERE i = least(0, n - 1)) - INTERVAL 30 SECOND
 FROM o GROUP BY model"""
 
 ORACLE["e15_token_sum"] = with_views("llm_runs") + f"""x AS (SELECT 1)
-SELECT r.run_id, sum({K} * 10) AS total_tokens FROM events e JOIN llm_runs r
+SELECT r.run_id, CAST(sum({K} * 10) AS BIGINT) AS total_tokens FROM events e JOIN llm_runs r
   ON e.user_id = r.host AND e.ts BETWEEN r.start AND r."end" GROUP BY r.run_id"""
 
 _GPU_SPLIT = """
@@ -457,7 +457,7 @@ ORACLE["e16_slice_filters"] = _G + """x AS (SELECT 1)
 SELECT 'fixed_ram' AS slice, db, ram, cpus, round(mean, 6) AS mean, round(std, 6) AS std FROM gstats WHERE ram = 56
 UNION ALL SELECT 'fixed_cpus', db, ram, cpus, round(mean, 6), round(std, 6) FROM gstats WHERE cpus = 16"""
 ORACLE["i17_benchmark_report"] = _G + """
-rk AS (SELECT *, row_number() OVER (PARTITION BY db ORDER BY mean DESC, ram, cpus) AS rank FROM gstats)
+rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY db ORDER BY mean DESC, ram, cpus) AS INTEGER) AS rank FROM gstats)
 SELECT db, ram, cpus, n, round(mean, 6) AS mean, round(std, 6) AS std, round(mean - std, 6) AS band_lo,
        round(mean + std, 6) AS band_hi, round(mean / 1e6, 9) AS throughput_M, rank, rank = 1 AS is_best FROM rk"""
 ORACLE["i18_devops_groupby"] = with_views("cpu") + """x AS (SELECT 1)
