@@ -66,11 +66,13 @@ def chunked_lag(df: DataFrame, keys, ts_col: str, cols, *, tiebreak=(),
     Series = ``keys`` (may be empty), ordered by ``ts_col`` then ``tiebreak``.
     Equal to ``lag(c) over (partition by keys order by ts, tiebreak)``.
 
-    Plan: one exchange on (keys, chunk) feeds one window computing the in-chunk
-    lag, the row number and the chunk's last values (second frame, same
-    window); the first row of each chunk gives a one-row-per-chunk table, a
-    small window over it finds the previous non-empty chunk, and an equi-join on
-    (keys, chunk) - co-partitioned with the large side - brings the carry in.
+    Plan: one exchange on (keys, chunk) feeds one window (running frames only)
+    computing the in-chunk lag and the row number. Each chunk's last values come
+    from a ``max_by`` aggregate over the same rows - partial on the map side, so
+    one row per chunk and map task is shuffled. A small window over those
+    one-row-per-chunk summaries finds the previous non-empty chunk, and an
+    equi-join on (keys, chunk) - co-partitioned with the large side - brings
+    the carry in. The large side is sorted and windowed once.
     """
     keys, cols, tiebreak = _cols(keys), _cols(cols), _cols(tiebreak)
     order_cols = [ts_col] + tiebreak
@@ -78,17 +80,24 @@ def chunked_lag(df: DataFrame, keys, ts_col: str, cols, *, tiebreak=(),
     width = int(chunk_seconds * 1_000_000)
     d, sk = _surrogate_keys(df, keys)
     d = d.withColumn(ck, F.floor(epoch_us(ts_col) / F.lit(width)).cast("long"))
+    # one row per non-empty chunk, carrying that chunk's last values (in the window's order)
+    if tiebreak:
+        # struct ordering (nulls first per field); a struct buffer makes this a sort aggregate
+        lasts = d.groupBy(*sk, ck).agg(*[F.max_by(F.col(c), F.struct(*[F.col(o) for o in order_cols]))
+                                         .alias("__last_" + c) for c in cols])
+    else:
+        # a fixed-width ordering keeps the aggregate hash-based (no sort of the rows);
+        # NULL timestamps sort first, as in the window
+        o = F.coalesce(epoch_us(ts_col), F.lit(-(2 ** 63)))
+        lasts = d.groupBy(*sk, ck).agg(*[F.max_by(F.col(c), o).alias("__last_" + c) for c in cols])
+    wc = Window.partitionBy(*sk).orderBy(ck)
+    carry = lasts.select(*sk, ck, *[F.lag("__last_" + c).over(wc).alias("__carry_" + c) for c in cols])
     order = [F.col(c).asc_nulls_first() for c in order_cols]
     w = Window.partitionBy(*sk, ck).orderBy(*order)
-    wall = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     d = d.withColumn("__rn", F.row_number().over(w))
     for c in cols:
-        d = d.withColumn(prefix + c, F.lag(c).over(w)).withColumn("__last_" + c, F.last(c).over(wall))
-    # one row per non-empty chunk, carrying that chunk's last values
-    heads = d.where(F.col("__rn") == 1).select(*sk, ck, *[F.col("__last_" + c) for c in cols])
-    wc = Window.partitionBy(*sk).orderBy(ck)
-    carry = heads.select(*sk, ck, *[F.lag("__last_" + c).over(wc).alias("__carry_" + c) for c in cols])
-    d = d.drop(*["__last_" + c for c in cols]).join(carry, sk + [ck], "left")
+        d = d.withColumn(prefix + c, F.lag(c).over(w))
+    d = d.join(carry, sk + [ck], "left")
     for c in cols:
         d = d.withColumn(prefix + c, F.when(F.col("__rn") == 1, F.col("__carry_" + c))
                          .otherwise(F.col(prefix + c)))
