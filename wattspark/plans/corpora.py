@@ -39,7 +39,7 @@ def ior_corpus(spark, d) -> DataFrame:
         F.first(fs).alias("fs"), F.first(scen).alias("scen"), F.first(api).alias("api"),
         F.sort_array(F.collect_list(F.struct("l_linenumber", "l_extendedprice", "l_quantity",
                                              row.alias("row")))).alias("rows"))
-    body = F.array_join(F.transform("rows", lambda x: x["row"]), "\n")
+    body = F.array_join(F.col("rows.row"), "\n")
     summary = F.when(F.col("l_orderkey") % 13 == 0, F.lit("Run aborted\n")).otherwise(
         F.concat(F.lit("Summary of all tests:\n"), F.lit(IOR_HEADER), F.lit("\n"), body, F.lit("\n")))
     text = F.concat(F.lit("IOR-4.0.0: MPI Coordinated Test of Parallel I/O\n\nResults: \n\n"), summary,
@@ -49,10 +49,13 @@ def ior_corpus(spark, d) -> DataFrame:
     return per_order.select(path.alias("path"), text.alias("text"))
 
 
-def tsdb_query_corpus(spark, d) -> DataFrame:
+def tsdb_query_corpus(spark, d, db: str | None = None) -> DataFrame:
     """One query-run log per lineitem of the benchmark grid; every 5th order's logs
-    carry an extra leading line. Iteration id = orderkey * 10 + line number."""
-    li = V.table(spark, d, "lineitem", per_row_cpu=True)
+    carry an extra leading line. Iteration id = orderkey * 10 + line number.
+
+    ``db`` reads one database's logs only (its own folder)."""
+    li = V.table(spark, d, "lineitem", per_row_cpu=True,
+                 where=None if db is None else V.tsdb_db() == db)
     g = li.select("*", *V.tsdb_grid_columns())
     g = g.withColumn("iter", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
     ms = lambda c: F.format_string("%.2f", c)

@@ -885,8 +885,9 @@ def d7_series_add_align(spark, d):
 @query("d8_vertical_concat")
 def d8_vertical_concat(spark, d):
     """Per-database parsed query logs concatenated by name (UNION ALL)."""
-    q = TL.parse_tsdb_query_logs(C.tsdb_query_corpus(spark, d))
-    parts = [q.where(F.col("db") == db) for db in ("influx", "questdb", "timescale")]
+    # each database's logs are their own folder: every part reads only its share
+    parts = [TL.parse_tsdb_query_logs(C.tsdb_query_corpus(spark, d, db))
+             for db in ("influx", "questdb", "timescale")]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

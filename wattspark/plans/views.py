@@ -17,6 +17,8 @@ Mapping (fixed choices of this repository):
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wattspark.functions.timecols import epoch_us
@@ -32,9 +34,15 @@ N_DEVICES = 40          # racked devices behind the PDUs
 N_IPMI_DEVICES = 30     # devices 0..29 also report through IPMI
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, *, per_row_cpu: bool = False) -> DataFrame:
-    """A driver table; ``per_row_cpu`` marks reads feeding text rendering / parsing."""
+def table(spark: SparkSession, sf_dir: str, name: str, *, per_row_cpu: bool = False,
+          where: F.Column | None = None) -> DataFrame:
+    """A driver table; ``per_row_cpu`` marks reads feeding text rendering / parsing.
+
+    ``where`` selects rows before the spread, so only they are moved.
+    """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if where is not None:
+        df = df.where(where)
     return spread(df) if per_row_cpu else df
 
 
@@ -46,11 +54,23 @@ def spread(df: DataFrame) -> DataFrame:
     heavy (rendering and parsing text); aggregations shrink the data in that
     task anyway, so they read without it. On a large input the scan already
     has many splits and this is a no-op. Only the split count of
-    the planned scan is inspected (file listing, no job); filters and column
-    pruning are still pushed below the repartition into the scan.
+    the planned scan is inspected (file listing, no job); column pruning still
+    reaches the scan.
+
+    The spread frame also reports its row count as an observed metric. Catalyst
+    does not push filters through the metric node, so a parser's filter - which
+    renders and regex-matches the whole text - runs after the spread in every
+    task slot instead of in the few scan tasks (and then again above them).
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+    if df.rdd.getNumPartitions() >= slots:
+        return df
+    # one metric name per frame: two spread reads in one plan must not share a name
+    name = f"spread_rows_{next(_SPREAD_IDS)}"
+    return df.repartition(slots).observe(name, F.count(F.lit(1)).alias("rows"))
+
+
+_SPREAD_IDS = itertools.count()
 
 
 def _k() -> F.Column:
@@ -199,11 +219,15 @@ def cpu(spark, d) -> DataFrame:
                     (k % 5).alias("usage_nice"))
 
 
+def tsdb_db() -> F.Column:
+    """Database of a benchmark-grid lineitem (from the return flag)."""
+    return (F.when(F.col("l_returnflag") == "A", "influx")
+             .when(F.col("l_returnflag") == "N", "questdb").otherwise("timescale"))
+
+
 def tsdb_grid_columns() -> list:
     """db (returnflag), ram (8 x line number), cpus (line status), rate (extended price)."""
-    db = (F.when(F.col("l_returnflag") == "A", "influx")
-           .when(F.col("l_returnflag") == "N", "questdb").otherwise("timescale"))
-    return [db.alias("db"), (F.col("l_linenumber") * 8).cast("int").alias("ram"),
+    return [tsdb_db().alias("db"), (F.col("l_linenumber") * 8).cast("int").alias("ram"),
             F.when(F.col("l_linestatus") == "F", 8).otherwise(16).cast("int").alias("cpus"),
             F.col("l_extendedprice").alias("rate")]
 

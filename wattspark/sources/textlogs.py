@@ -62,13 +62,13 @@ def parse_ior_summaries(corpus: DataFrame) -> DataFrame:
         nullif_empty(F.regexp_extract(name, "^" + IOR_NAME, 1)).alias("scenario"),
         F.upper(nullif_empty(F.regexp_extract(name, "^" + IOR_NAME, 2))).alias("api"),
         nullif_empty(F.regexp_extract(name, "^" + IOR_NAME, 3)).try_cast("bigint").alias("run_id"),
-        F.split(F.col("text"), "\n").alias("lines"))
+        F.instr("text", "Summary of all tests:").alias("__i"), "text")
     d = d.where(F.col("scenario").isNotNull())
-    idx = F.array_position(F.transform("lines", lambda l: l.contains("Summary of all tests:")), True)
-    d = d.withColumn("__i", idx.cast("int"))
-    header = _ws_split(F.try_element_at("lines", F.col("__i") + 1))
-    row = _ws_split(F.try_element_at("lines", F.col("__i") + 2))
-    d = d.withColumn("__h", F.when(F.col("__i") > 0, header)).withColumn("__r", F.when(F.col("__i") > 0, row))
+    # from the first marker on: [rest of the marker line, header, first result row, rest]
+    after = F.split(F.substring(F.col("text"), F.col("__i"), F.lit(2 ** 31 - 1)), "\n", 4)
+    d = d.withColumn("__l", F.when(F.col("__i") > 0, after))
+    d = d.withColumn("__h", _ws_split(F.try_element_at("__l", F.lit(2))))
+    d = d.withColumn("__r", _ws_split(F.try_element_at("__l", F.lit(3))))
     pick = lambda h: F.when(F.array_position("__h", h) > 0,
                             F.try_element_at("__r", F.array_position("__h", h).cast("int")).try_cast("double"))
     d = d.select("fs_type", "scenario", "api", "run_id",
