@@ -33,25 +33,42 @@ def hist_quantiles(hist: DataFrame, col: str, qs: dict[str, float], count_col: s
     """Exact quantiles from a histogram, one row.
 
     ``nearest`` rule: index round(q * (n - 1)) of the sorted values; the key
-    ``median`` is interpolated (mean of the two middle values).
+    ``median`` is interpolated (mean of the two middle values). The running
+    and total counts are windows over the histogram (bounded by the value
+    domain), so nothing goes through the driver.
     """
     w = Window.orderBy(col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    h = hist.select(col, count_col, F.sum(count_col).over(w).alias("__cum"))
-    n = hist.select(F.sum(count_col)).scalar()
+    wall = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    h = hist.select(col, count_col, F.sum(count_col).over(w).alias("__cum"),
+                    F.sum(count_col).over(wall).alias("__n"))
+    n, cum = F.col("__n"), F.col("__cum")
     aggs = []
     for name, q in qs.items():
         if name == "median":
             lo = F.floor((n - 1) / F.lit(2.0))
             hi = F.ceil((n - 1) / F.lit(2.0))
-            a = F.min(F.when(F.col("__cum") > lo, F.col(col)))
-            b = F.min(F.when(F.col("__cum") > hi, F.col(col)))
+            a = F.min(F.when(cum > lo, F.col(col)))
+            b = F.min(F.when(cum > hi, F.col(col)))
             aggs.append(((a + b) / F.lit(2.0)).alias(name))
         else:
             idx = F.round((n - 1) * F.lit(float(q)))
-            aggs.append(F.min(F.when(F.col("__cum") > idx, F.col(col))).cast("double").alias(name))
+            aggs.append(F.min(F.when(cum > idx, F.col(col))).cast("double").alias(name))
     return h.agg(*aggs)
 
 
+def side_by_side(*frames: DataFrame) -> DataFrame:
+    """Columns of one-row frames in one row, without a join or a driver round trip.
+
+    The frames are stacked (each NULL in the others' columns) and one global
+    aggregate takes, per column, the single row that carries it.
+    """
+    cols = [c for f in frames for c in f.columns]
+    u = frames[0]
+    for f in frames[1:]:
+        u = u.unionByName(f, allowMissingColumns=True)
+    return u.agg(*[F.max(c).alias(c) for c in cols])
+
+
 def distribution_summary(df: DataFrame, col: str, prefix: str = "") -> DataFrame:
     """Mean, median, q25, q75, min, max, sample std of ``col`` (one row)."""
     base = df.agg(F.avg(col).alias(prefix + "mean"), F.min(col).cast("double").alias(prefix + "min"),
@@ -60,8 +77,7 @@ def distribution_summary(df: DataFrame, col: str, prefix: str = "") -> DataFrame
     q = hist_quantiles(value_histogram(df.where(F.col(col).isNotNull()), col, "__freq"),
                        col, {"median": 0.5, "q25": 0.25, "q75": 0.75}, count_col="__freq")
     q = q.select(*[F.col(c).alias(prefix + c) for c in q.columns])
-    # two one-row frames: combine through scalar sub-queries, no join
-    return base.select("*", *[q.select(c).scalar().alias(c) for c in q.columns])
+    return side_by_side(base, q)
 
 
 def table_quality_profile(tables: dict[str, DataFrame], ts_col: str = "timestamp") -> DataFrame:
@@ -72,8 +88,8 @@ def table_quality_profile(tables: dict[str, DataFrame], ts_col: str = "timestamp
         t = df.select(F.col(ts_col).alias("timestamp"))
         cnt = distribution_summary(per_second_counts(t, "timestamp"), "count", "cnt_")
         dlt = distribution_summary(with_round_delta(t, "timestamp"), "delta_us", "delta_")
-        rows = t.select(F.count(F.lit(1))).scalar()
-        row = cnt.select(F.lit(name).alias("table"), rows.alias("rows"), "*",
-                         *[dlt.select(c).scalar().alias(c) for c in dlt.columns])
+        rows = t.agg(F.count(F.lit(1)).alias("rows"))
+        row = side_by_side(rows, cnt, dlt).select(F.lit(name).alias("table"), "rows", *cnt.columns,
+                                                   *dlt.columns)
         out = row if out is None else out.unionByName(row)
     return out
