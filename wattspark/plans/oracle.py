@@ -524,6 +524,7 @@ ORACLE["a1_telemetry_scan"] = with_views("llm_runs") + """x AS (SELECT 1)
 SELECT ts, user_id, value FROM events
 WHERE ts BETWEEN (SELECT min(start) FROM llm_runs) AND (SELECT max("end") FROM llm_runs)"""
 ORACLE["a6_lazy_scan"] = "SELECT ts FROM events"
+ORACLE["a4_tolerant_read"] = "SELECT event_id, ts, user_id, value FROM events"
 ORACLE["a5_experiment_scan"] = with_views("llm_runs") + """x AS (SELECT 1)
 SELECT ts AS timestamp, CAST(user_id AS VARCHAR) AS SLURM_JOB_ID,
   CASE WHEN event_type = 'signup' THEN 'START' ELSE 'END' END AS status, 'model-' || CAST(user_id % 3 AS VARCHAR) AS notes

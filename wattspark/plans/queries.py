@@ -587,6 +587,18 @@ def a6_lazy_scan(spark, d):
     return TS.telemetry_scan(spark, f"{d}/events.parquet", columns=["ts"])
 
 
+@query("a4_tolerant_read")
+def a4_tolerant_read(spark, d):
+    """Events copied into a folder that also holds a file that is not Parquet (a partial
+    upload); the tolerant scan reads every good file and skips the bad one."""
+    cols = ["event_id", "ts", "user_id", "value"]
+    src = V.table(spark, d, "events").select(*cols)
+    out = _scratch(spark, "tolerant-events")
+    src.write.parquet(out)
+    spark.range(1).select(F.lit("partial upload").alias("value")).write.mode("append").text(out)
+    return TS.telemetry_scan(spark, out, schema=src.schema, tolerant=True, columns=cols, ts_col="ts")
+
+
 @query("a5_experiment_scan")
 def a5_experiment_scan(spark, d):
     """Experiment marks of the jobs that have a complete run (semi join on the id list)."""
