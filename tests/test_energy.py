@@ -87,6 +87,24 @@ def test_hist_quantiles_match_nearest_rule(spark):
     assert s.std == pytest.approx(float(np.std(srt, ddof=1)))
 
 
+def test_distribution_summary_empty_and_single(spark):
+    """Empty input gives one row of NULLs; one value gives a NULL sample std."""
+    empty = Q.distribution_summary(spark.createDataFrame([], "x long"), "x").collect()
+    assert len(empty) == 1 and all(v is None for v in empty[0])
+    one = Q.distribution_summary(spark.createDataFrame([(7,)], "x long"), "x").first()
+    assert (one.mean, one.median, one.q25, one.q75, one.min, one.max, one.std) == (7.0, 7.0, 7.0, 7.0, 7.0, 7.0, None)
+
+
+def test_side_by_side_one_row_frames(spark):
+    a = spark.createDataFrame([(1, None)], "a long, b double")
+    b = spark.createDataFrame([(2.5,)], "c double")
+    out = Q.side_by_side(a, b)
+    assert out.columns == ["a", "b", "c"]
+    assert out.collect() == [(1, None, 2.5)]
+    p = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in p and "CartesianProduct" not in p
+
+
 def test_round_delta_half_up(spark):
     df = spark.createDataFrame([(t(0, 500000),), (t(0, 499999),), (t(0, 700000),)], "timestamp timestamp_ntz")
     got = sorted(r.delta_us for r in Q.with_round_delta(df).collect())

@@ -45,6 +45,26 @@ def test_chunked_lag_equals_lag_keyless(spark):
     assert got.exceptAll(exp).count() == 0 and exp.exceptAll(got).count() == 0
 
 
+def test_chunked_lag_without_tiebreak_equals_lag(spark):
+    """The hash-aggregate path (order = timestamp only): unique timestamps, NULL timestamps first."""
+    rnd = random.Random(7)
+    secs = rnd.sample(range(0, 5 * 86400), 300)
+    rows = [(i, T0 + dt.timedelta(seconds=s), i % 3, float(i)) for i, s in enumerate(secs)]
+    rows += [(1000, None, 0, -1.0), (1001, None, 1, None)]
+    df = spark.createDataFrame(rows, "id long, ts timestamp_ntz, host long, v double")
+    for keys in (["host"], []):
+        got = ts.chunked_lag(df, keys, "ts", ["v", "ts"], chunk_seconds=3600)
+        got = got.select("id", F.col("prev_v").alias("p"), F.col("prev_ts").alias("pt"))
+        w = Window.partitionBy(*keys).orderBy(F.col("ts").asc_nulls_first()) if keys else \
+            Window.orderBy(F.col("ts").asc_nulls_first())
+        exp = df.select("id", F.lag("v").over(w).alias("p"), F.lag("ts").over(w).alias("pt"))
+        if not keys:  # two NULL timestamps tie: compare the rows with a timestamp only
+            got, exp = got.where(F.col("id") < 1000), exp.where(F.col("id") < 1000)
+            first = sorted(rows[:300], key=lambda r: r[1])[0][0]
+            got, exp = got.where(F.col("id") != first), exp.where(F.col("id") != first)
+        assert got.exceptAll(exp).count() == 0 and exp.exceptAll(got).count() == 0
+
+
 def test_carried_null_stays_null(spark):
     """A real NULL on the last row of a chunk is carried as NULL, not skipped."""
     rows = [(1, T0, 0, 1.0), (2, T0 + dt.timedelta(minutes=59), 0, None), (3, T0 + dt.timedelta(hours=2), 0, 5.0)]
