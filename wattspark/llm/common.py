@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import os
 import tempfile
@@ -116,22 +117,29 @@ class Words:
         self.hash = _span_hash(data, self.start, self.end)
 
 
+#: words longer than this are hashed one by one
+LONG = 4096
+
+
 def _span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, block: int = 1 << 20) -> np.ndarray:
     """Hash of the byte spans: a positional polynomial over random byte weights, mixed with the length."""
     out = np.empty(len(start), dtype=U64)
+    size = end - start
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i]:end[i]].tobytes(), digest_size=8).digest(), "little")
+    short = np.flatnonzero(size <= LONG)
+    start, end = start[short], end[short]
     at = 0
     while at < len(start):  # in blocks of bytes: bounded memory, short power tables
         lo = int(start[at])
         to = int(np.searchsorted(start, lo + block, side="right"))
-        to = max(to, at + 1)
         hi = int(end[to - 1])
-        up, _ = powers(hi - lo)
+        up, down = powers(hi - lo + 1)
         total = np.empty(hi - lo + 1, dtype=U64)
         total[0] = 0
-        np.cumsum(_BYTE[data[lo:hi]] * up, out=total[1:])
+        np.cumsum(_BYTE[data[lo:hi]] * up[:-1], out=total[1:])
         s, e = start[at:to] - lo, end[at:to] - lo
-        _, down = powers(int(s[-1]) + 1)
-        out[at:to] = (total[e] - total[s]) * down[s] + (e - s).astype(U64) * _STEP
+        out[short[at:to]] = (total[e] - total[s]) * down[s] + (e - s).astype(U64) * _STEP
         at = to
     return mix(out)
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wattspark.llm import common as C
+from wattspark.llm import common as C, licences, mixing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -36,7 +36,41 @@ def op1_token_files(spark, d):
     return T.read_token_files(spark, path, digest=True)
 
 
+@query("op3_quality_lines")
+def op3_quality_lines(spark, d):
+    from wattspark.llm import crf
+    docs = documents(spark, d)
+    return crf.judge(docs, crf.fit(docs, spark.read.parquet(f"{d}/labels.parquet")))
+
+
+@query("op4_mixing")
+def op4_mixing(spark, d):
+    return mixing.calibrate(documents(spark, d))
+
+
+ORACLE["op4_mixing"] = mixing.oracle()
+
+
 @query("op5_token_counts")
 def op5_token_counts(spark, d):
     from wattspark.llm import token_counts as T
     return T.count_tokens(documents(spark, d), vocabulary(), limit=1024)
+
+
+@query("op8_language_id")
+def op8_language_id(spark, d):
+    from pyspark.sql import functions as F
+    from wattspark.llm import langid as L
+    docs = documents(spark, d)
+    # null ids are neither learned from nor held out
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = L.fit(docs.where(~held_out & F.col("doc_id").isNotNull()))
+    return L.predict(docs.withColumn("held_out", held_out), model, keep=["held_out"])
+
+
+@query("op9_licences")
+def op9_licences(spark, d):
+    return licences.scan(documents(spark, d))
+
+
+ORACLE["op9_licences"] = licences.oracle()

@@ -94,7 +94,7 @@ def write_token_files(docs: DataFrame, path: str, vocab: str, end_id: int | None
 
     def encoded(batches):
         encoder = UnitEncoder.get(vocab)
-        for b in pieces(batches, 4 << 20):
+        for b in pieces(batches, 2 << 20):
             ids, count = encoder.encode(b.column("text"))
             ids = ids.astype(max(wide, encoder.dtype, key=lambda d: d.itemsize))
             if end_id is not None:
