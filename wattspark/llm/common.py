@@ -90,6 +90,8 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_APART = _SPACE.copy()
+_APART[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -98,16 +100,17 @@ class Words:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a list of UTF-8 texts, as flat arrays.
 
     ``doc`` (text index), ``start`` / ``end`` (byte span in ``data``) and ``hash`` per word;
-    ``first`` has the index of each text's first word (one more entry than texts).
+    ``first`` has the index of each text's first word (one more entry than texts). With ``marks``,
+    ASCII punctuation also separates words.
     """
 
-    def __init__(self, texts: list[bytes], lower: bool):
+    def __init__(self, texts: list[bytes], lower: bool, marks: bool = False):
         self.sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
         # one space behind each text: words never cross texts
         self.data = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
         self.begin = np.cumsum(self.sizes + 1) - (self.sizes + 1)
         data = _LOWER[self.data] if lower else self.data
-        space = _SPACE[self.data]
+        space = (_APART if marks else _SPACE)[self.data]
         edge = np.flatnonzero(space[1:] != space[:-1]) + 1
         if len(space) and not space[0]:
             edge = np.concatenate((np.zeros(1, dtype=edge.dtype), edge))

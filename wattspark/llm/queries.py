@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wattspark.llm import common as C, licences, mixing
+from wattspark.llm import common as C, licences, mixing, pii
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -36,6 +36,11 @@ def op1_token_files(spark, d):
     return T.read_token_files(spark, path, digest=True)
 
 
+@query("op2_pii")
+def op2_pii(spark, d):
+    return pii.digest(pii.detect(documents(spark, d)))
+
+
 @query("op3_quality_lines")
 def op3_quality_lines(spark, d):
     from wattspark.llm import crf
@@ -57,6 +62,12 @@ def op5_token_counts(spark, d):
     return T.count_tokens(documents(spark, d), vocabulary(), limit=1024)
 
 
+@query("op6_decontaminate")
+def op6_decontaminate(spark, d):
+    from wattspark.llm import decontaminate as D
+    return D.find(documents(spark, d), spark.read.parquet(f"{d}/benchmark.parquet"))
+
+
 @query("op8_language_id")
 def op8_language_id(spark, d):
     from pyspark.sql import functions as F
