@@ -68,6 +68,12 @@ def op6_decontaminate(spark, d):
     return D.find(documents(spark, d), spark.read.parquet(f"{d}/benchmark.parquet"))
 
 
+@query("op7_jaccard_classes")
+def op7_jaccard_classes(spark, d):
+    from wattspark.llm import groupjoin as G
+    return G.classes(documents(spark, d))
+
+
 @query("op8_language_id")
 def op8_language_id(spark, d):
     from pyspark.sql import functions as F
