@@ -91,3 +91,9 @@ def op9_licences(spark, d):
 
 
 ORACLE["op9_licences"] = licences.oracle()
+
+
+@query("op10_suffix_dedup")
+def op10_suffix_dedup(spark, d):
+    from wattspark.llm import suffixes as S
+    return S.dedup(documents(spark, d))

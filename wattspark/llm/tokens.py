@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: units kept per worker; at the limit the memory is emptied and filled anew
-KEEP = 250_000
+KEEP = 330_000
 
 # letters of which each is of category L, and ASCII marks without the apostrophe (it starts contractions)
 _LET = "A-Za-zÀ-ÖØ-öø-ɏ"
