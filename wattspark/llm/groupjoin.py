@@ -243,7 +243,13 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each class (that with the smallest id), with all columns."""
-    firsts = classes(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    rows = docs.join(firsts, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return rows
+    """One row of each class, with all columns: that with the smallest id, then text hash. Rows without
+    shingles are linked with nothing and stay."""
+    sets = documents_sets(docs)
+    comp = components(links_of(docs, sets))
+    named = sets.where("n > 0").join(comp, "sid", "left").groupBy(F.coalesce("comp", "sid").alias("comp")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("one"))
+    firsts = settle(named.select(F.col("one.doc_id").alias("__first_id"), F.col("one.th").alias("__first_th")), "firsts")
+    rows = docs.withColumn("__th", F.xxhash64("text"))
+    blank = ~F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+    kept = rows.where(~blank).join(firsts, F.col("doc_id").eqNullSafe(F.col("__first_id")) & (F.col("__th") == F.col("__first_th")), "left_semi").dropDuplicates(["doc_id", "__th"])
+    return kept.union(rows.where(blank)).select(*docs.columns)
