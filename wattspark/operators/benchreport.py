@@ -20,15 +20,14 @@ def mean_std(grid: DataFrame, metric: str = "rate", keys=("db", "ram", "cpus"))
                                    F.count(F.lit(1)).alias("n"))
 
 
-def pivot_mean(stats: DataFrame, row: str = "ram", col: str = "cpus", values: Sequence[int] = (),
-               value: str = "mean", keys=("db",)) -> DataFrame:
+def pivot_mean(stats: DataFrame, row: str = "ram", col: str = "cpus", value: str = "mean", keys=("db",)) -> DataFrame:
     """``row`` x ``col`` matrix of means (one matrix per ``keys``), columns ``<col>_<v>``.
 
-    The pivot values are given (the configuration grid is known), so Spark does
-    not run a job to find them.
+    Spark finds the pivot values in the data, so none is lost (it refuses more than
+    ``spark.sql.pivotMaxValues``).
     """
-    p = stats.groupBy(*keys, row).pivot(col, list(values)).agg(F.avg(value))
-    return p.select(*keys, row, *[F.col(str(v)).alias(f"{col}_{v}") for v in values])
+    p = stats.groupBy(*keys, row).pivot(col).agg(F.avg(value))
+    return p.select(*keys, row, *[F.col(f"`{v}`").alias(f"{col}_{v}") for v in p.columns[len(keys) + 1:]])
 
 
 def argmax_row(stats: DataFrame, by: str = "mean", keys=("db",), cols=("ram", "cpus", "mean", "std")) -> DataFrame:

@@ -17,23 +17,13 @@ from wattspark.functions.timecols import epoch_us, add_seconds
 DEFAULT_BUCKET_S = 3600
 
 
-def sized_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast-hint ``df`` only if it has at most ``max_rows`` rows (checked, bounded count).
-
-    Beyond the bound the frame is returned as is and the join shuffles; AQE may
-    still switch to a broadcast from measured shuffle sizes.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def _bucket(ts, width_us: int) -> F.Column:
     return F.floor(epoch_us(ts) / F.lit(width_us)).cast("long")
 
 
 def range_join(points: DataFrame, intervals: DataFrame, *, point_ts: str, start: str, end: str,
                keys=(), pad_seconds: float = 0.0, bucket_seconds: float = DEFAULT_BUCKET_S,
-               how: str = "inner", broadcast_max_rows: int | None = None) -> DataFrame:
+               how: str = "inner") -> DataFrame:
     """Points with ``start - pad <= ts <= end + pad`` of an interval with equal ``keys``.
 
     ``how='inner'`` returns point columns + interval columns (a point inside two
@@ -49,8 +39,6 @@ def range_join(points: DataFrame, intervals: DataFrame, *, point_ts: str, start:
                    .withColumn("__lo", lo).withColumn("__hi", hi)
                    .where(F.col("__hi") >= F.col("__lo"))
                    .withColumn("__b", F.explode(F.sequence(_bucket("__lo", width), _bucket("__hi", width)))))
-    if broadcast_max_rows is not None:
-        iv = sized_broadcast(iv, broadcast_max_rows)
     pts = points.withColumn("__pb", _bucket(point_ts, width))
     cond = (pts["__pb"] == iv["__b"])
     for k in keys:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from wattspark.plans import views as V
 
+# Fixed value: the header row of the tool's summary.
 IOR_HEADER = ("Operation   Max(MiB)   Min(MiB)  Mean(MiB)     StdDev   Max(OPs)   Min(OPs)  Mean(OPs)"
               "     StdDev    Mean(s) Stonewall(s) Stonewall(MiB) Test# #Tasks tPN reps fPP reord"
               " reordoff reordrand seed segcnt   blksiz    xsize aggs(MiB)   API RefNum")
@@ -23,7 +24,7 @@ def ior_corpus(spark, d) -> DataFrame:
     (Mean(MiB) = extended price, Mean(OPs) = quantity); every 13th order has no
     summary block. An order has at most seven lineitems, so each group is small.
     """
-    li = V.table(spark, d, "lineitem", per_row_cpu=True)
+    li = V.table(spark, d, "lineitem")
     ok = F.col("l_orderkey")
     fs = F.when(ok % 2 == 0, "scratch").otherwise("fast")
     scen = F.element_at(F.array(*[F.lit(s) for s in V.IOR_SCENARIOS]),
@@ -54,8 +55,9 @@ def tsdb_query_corpus(spark, d, db: str | None = None) -> DataFrame:
     carry an extra leading line. Iteration id = orderkey * 10 + line number.
 
     ``db`` reads one database's logs only (its own folder)."""
-    li = V.table(spark, d, "lineitem", per_row_cpu=True,
-                 where=None if db is None else V.tsdb_db() == db)
+    li = V.table(spark, d, "lineitem")
+    if db is not None:
+        li = li.where(V.tsdb_db() == db)
     g = li.select("*", *V.tsdb_grid_columns())
     g = g.withColumn("iter", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
     ms = lambda c: F.format_string("%.2f", c)
@@ -79,7 +81,7 @@ def tsdb_query_corpus(spark, d, db: str | None = None) -> DataFrame:
 
 def tsdb_load_corpus(spark, d) -> DataFrame:
     """Load-run logs: one per order, rate = total price with thousands separators."""
-    o = V.table(spark, d, "orders", per_row_cpu=True)
+    o = V.table(spark, d, "orders")
     db = (F.when(F.col("o_orderstatus") == "F", "influx")
            .when(F.col("o_orderstatus") == "O", "questdb").otherwise("timescale"))
     ram = ((F.col("o_orderkey") % 4 + 1) * 8).cast("int")
@@ -98,7 +100,7 @@ def llm_out_lines(spark, d) -> DataFrame:
     """Serving ``.out`` logs as a line corpus (path, line_no, line): one file per
     conversation, two header lines, then one request line per turn. Built row by
     row (no per-conversation collect), so a very long conversation is not a hot group."""
-    c = V.table(spark, d, "conversations", per_row_cpu=True)
+    c = V.table(spark, d, "conversations")
     path = F.concat(F.lit("/llm/benchmark_"), F.col("conv_id").cast("string"), F.lit(".out"))
     words = F.size(F.split(F.trim(F.col("text")), r"\s+"))
     line = F.concat(F.lit("model-"), (F.col("conv_id") % 3).cast("string"),

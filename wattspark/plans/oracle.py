@@ -132,7 +132,7 @@ V["ior_pairs"] = """SELECT s.backend, s.scenario, s.iter, s.idx, s.timestamp AS
       USING (backend, scenario, iter, idx) WHERE e.timestamp >= s.timestamp"""
 V["ipmi"] = """SELECT ts AS timestamp, 'dev' || lpad(CAST(user_id % 30 AS VARCHAR), 2, '0') || '.dc.example' AS host,
         CAST(event_id % 2 AS VARCHAR) AS psu_id, CASE WHEN event_type = 'error' THEN 'A' ELSE 'W' END AS unit, value
-    FROM events WHERE event_type <> 'view'"""
+    FROM events"""
 V["meter10"] = """SELECT time_bucket(INTERVAL '10 minutes', ts) AS timestamp, avg(value * 50) AS value
     FROM events WHERE event_type = 'view' GROUP BY 1"""
 V["pdu10"] = """SELECT timestamp, sum(value_W) AS total_power_W FROM (
@@ -345,6 +345,7 @@ FROM summary"""
 V["ior_rows"] = """SELECT CASE WHEN l_orderkey % 2 = 0 THEN 'scratch' ELSE 'fast' END AS fs_type,
         ['write_seq_4m','read_seq_4m','write_seq_4k','read_seq_4k','write_rand_4k','read_rand_4k','writeread_rand_4k_shared'][CAST((l_orderkey // 2) % 7 AS INTEGER) + 1] AS scenario,
         CASE WHEN (l_orderkey // 14) % 2 = 0 THEN 'POSIX' ELSE 'MPIIO' END AS api, l_orderkey AS run_id,
+        CASE WHEN min(l_linenumber) % 2 = 1 THEN 'write' ELSE 'read' END AS operation,
         first(l_extendedprice ORDER BY l_linenumber, l_extendedprice, l_quantity) AS bw_MiB,
         first(l_quantity ORDER BY l_linenumber, l_extendedprice, l_quantity) AS iops
     FROM lineitem WHERE l_orderkey % 13 <> 0 GROUP BY l_orderkey"""
@@ -469,12 +470,12 @@ SELECT host, time_bucket(INTERVAL '1 minute', timestamp) AS minute,
 ORACLE["a12_tsdb_load_log_scan"] = """
 SELECT CASE o_orderstatus WHEN 'F' THEN 'influx' WHEN 'O' THEN 'questdb' ELSE 'timescale' END AS db,
   CAST((o_orderkey % 4 + 1) * 8 AS INTEGER) AS ram, CAST(CASE WHEN o_orderkey % 3 = 0 THEN 8 ELSE 16 END AS INTEGER) AS cpus,
-  CAST(o_orderkey AS INTEGER) AS iter, round(o_totalprice, 2) AS rows_per_sec, 'metrics/sec' AS unit
+  CAST(o_orderkey AS BIGINT) AS iter, round(o_totalprice, 2) AS rows_per_sec, 'metrics/sec' AS unit
 FROM orders WHERE o_orderkey % 17 <> 0"""
 ORACLE["a13_tsdb_query_log_scan"] = """
 SELECT CASE l_returnflag WHEN 'A' THEN 'influx' WHEN 'N' THEN 'questdb' ELSE 'timescale' END AS db,
   CAST(l_linenumber * 8 AS INTEGER) AS ram, CAST(CASE WHEN l_linestatus = 'F' THEN 8 ELSE 16 END AS INTEGER) AS cpus,
-  CAST(l_orderkey * 10 + l_linenumber AS INTEGER) AS iter, CAST(95000 AS BIGINT) AS queries, 8 AS workers,
+  CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS iter, CAST(95000 AS BIGINT) AS queries, 8 AS workers,
   l_extendedprice AS rate_qps, round(l_discount * 10, 2) AS min_ms, round(l_quantity / 10, 2) AS med_ms,
   round(l_quantity / 8, 2) AS mean_ms, round(l_quantity * 2, 2) AS max_ms, round(l_tax * 100, 2) AS stddev_ms,
   CAST(185.4 AS DOUBLE) AS sum_s, CAST(95000 AS BIGINT) AS count, round(l_quantity + 20, 2) AS wall_s FROM lineitem"""
@@ -497,7 +498,7 @@ ORACLE["b7_metric_render"] = f"""
 SELECT event_id, 'power,host=' || CAST(user_id AS VARCHAR) || ',event_type=' || event_type || ' value=' || CAST(value AS VARCHAR)
        || ',k=' || CAST({K} AS VARCHAR) || 'i ' || CAST(epoch_us(ts) * 1000 AS VARCHAR) AS line FROM events"""
 ORACLE["a16_line_protocol_roundtrip"] = f"""
-SELECT user_id AS host, event_type, event_type || ' k=' || CAST({K} AS VARCHAR) || ',x' AS label, value, {K} AS k, ts
+SELECT user_id AS host, event_type, event_type || ' k=' || CAST({K} AS VARCHAR) || ',x\\' AS label, value, {K} AS k, ts
 FROM events"""
 ORACLE["a17_pdu_csv_scan"] = f"""
 SELECT {DEV} AS connected_device, CAST(user_id % 24 AS VARCHAR) AS outlet_num, event_type AS port,

@@ -370,9 +370,6 @@ def i16_quality_profile(spark, d):
 
 
 # --------------------------------------------------------------------------- benchmark grid
-GRID_CPUS = [8, 16]
-
-
 def grid_stats(spark, d) -> DataFrame:
     return B.mean_std(V.tsdb_grid(spark, d))
 
@@ -385,8 +382,8 @@ def e7_mean_std(spark, d):
 
 @query("e6_pivot_mean")
 def e6_pivot_mean(spark, d):
-    p = B.pivot_mean(grid_stats(spark, d), values=GRID_CPUS)
-    return p.select("db", "ram", *[r(f"cpus_{v}").alias(f"cpus_{v}") for v in GRID_CPUS])
+    p = B.pivot_mean(grid_stats(spark, d))
+    return p.select("db", "ram", *[r(c).alias(c) for c in p.columns[2:]])
 
 
 @query("e8_argmax_row")
@@ -461,12 +458,12 @@ from wattspark.sources import formats as FM  # noqa: E402
 
 
 def _events_k(spark, d) -> DataFrame:
-    return V.table(spark, d, "events", per_row_cpu=True).withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
+    return V.table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
 
 
 def events_line_protocol(spark, d) -> DataFrame:
     e = _events_k(spark, d).withColumn("host", F.col("user_id")) \
-        .withColumn("label", F.concat(F.col("event_type"), F.lit(" k="), F.col("k").cast("string"), F.lit(",x")))
+        .withColumn("label", F.concat(F.col("event_type"), F.lit(" k="), F.col("k").cast("string"), F.lit(",x\\")))
     lp = FM.render_line_protocol(e, "power", ["host", "event_type", "label"],
                                  {"value": "float", "k": "int"}, "ts")
     return e.select(F.concat(F.lit("/lp/"), F.col("user_id").cast("string")).alias("path"),
@@ -491,7 +488,7 @@ def a16_line_protocol_roundtrip(spark, d):
 
 @query("a17_pdu_csv_scan")
 def a17_pdu_csv_scan(spark, d):
-    e = V.table(spark, d, "events", per_row_cpu=True)
+    e = V.table(spark, d, "events")
     dev = V._device(F.col("user_id"))
     path = F.concat(F.lit("/pdu/"), dev, F.lit(".csv"))
     val = (F.when(F.col("event_type") == "error", F.lit("null"))
@@ -511,7 +508,7 @@ def a17_pdu_csv_scan(spark, d):
 
 @query("a18_ipmi_sensor_scan")
 def a18_ipmi_sensor_scan(spark, d):
-    e = V.table(spark, d, "events", per_row_cpu=True)
+    e = V.table(spark, d, "events")
     reading = F.when(F.col("event_type") == "error", "N/A").otherwise(F.col("value").cast("string"))
     unit = F.when(F.col("event_type") == "view", "N/A").otherwise("C")
     line = F.concat_ws(",", F.col("event_id").cast("string"),
@@ -524,7 +521,7 @@ def a18_ipmi_sensor_scan(spark, d):
 
 @query("a19_psu_reading_scan")
 def a19_psu_reading_scan(spark, d):
-    e = V.table(spark, d, "events", per_row_cpu=True)
+    e = V.table(spark, d, "events")
     v = F.when(F.col("event_type") == "error", "N/A").otherwise(
         F.concat(F.col("value").cast("string"), F.lit(" W")))
     lines = e.select(F.lit("/psu").alias("path"), F.col("event_id").alias("line_no"),
@@ -536,7 +533,7 @@ def a19_psu_reading_scan(spark, d):
 
 @query("a20_meter_json")
 def a20_meter_json(spark, d):
-    e = V.table(spark, d, "events", per_row_cpu=True)
+    e = V.table(spark, d, "events")
     vid = (F.col("user_id") % 10).cast("string")
     lu = F.when(F.col("event_type") == "error", F.lit("garbage")).otherwise(F.date_format("ts", "ddMMyyyyHHmmss"))
     payload = F.concat(F.lit('{"vcIds":['), vid, F.lit(',"x'), F.col("user_id").cast("string"), F.lit('",99],"v'),
@@ -549,7 +546,7 @@ def a20_meter_json(spark, d):
 
 @query("a21_prometheus_text")
 def a21_prometheus_text(spark, d):
-    e = V.table(spark, d, "events", per_row_cpu=True)
+    e = V.table(spark, d, "events")
     path = F.concat(F.lit("/meter/"), F.col("user_id").cast("string"), F.lit("/"),
                     F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 600_000_000).cast("string"))
     unit = F.when(F.col("event_type") == "error", F.lit("")).otherwise(F.lit("W"))
@@ -795,7 +792,7 @@ from wattspark.functions import safe as SF_  # noqa: E402
 @query("a15_llm_run_log_scan")
 def a15_llm_run_log_scan(spark, d):
     """Run logs (one per user): START / END marks and status rows; the last status row wins."""
-    e = V.table(spark, d, "events", per_row_cpu=True)
+    e = V.table(spark, d, "events")
     path = F.concat(F.lit("/llm/run_"), F.col("user_id").cast("string"), F.lit(".err"))
     stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
     mark = F.when(F.col("event_type") == "signup", F.concat(

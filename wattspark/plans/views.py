@@ -17,8 +17,6 @@ Mapping (fixed choices of this repository):
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wattspark.functions.timecols import epoch_us
@@ -34,43 +32,9 @@ N_DEVICES = 40          # racked devices behind the PDUs
 N_IPMI_DEVICES = 30     # devices 0..29 also report through IPMI
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, *, per_row_cpu: bool = False,
-          where: F.Column | None = None) -> DataFrame:
-    """A driver table; ``per_row_cpu`` marks reads feeding text rendering / parsing.
-
-    ``where`` selects rows before the spread, so only they are moved.
-    """
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if where is not None:
-        df = df.where(where)
-    return spread(df) if per_row_cpu else df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that has fewer splits than the cluster has task slots.
-
-    A small table stored as one row group is read by one task, which then
-    runs every narrow step alone. That matters only where the per-row work is
-    heavy (rendering and parsing text); aggregations shrink the data in that
-    task anyway, so they read without it. On a large input the scan already
-    has many splits and this is a no-op. Only the split count of
-    the planned scan is inspected (file listing, no job); column pruning still
-    reaches the scan.
-
-    The spread frame also reports its row count as an observed metric. Catalyst
-    does not push filters through the metric node, so a parser's filter - which
-    renders and regex-matches the whole text - runs after the spread in every
-    task slot instead of in the few scan tasks (and then again above them).
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= slots:
-        return df
-    # one metric name per frame: two spread reads in one plan must not share a name
-    name = f"spread_rows_{next(_SPREAD_IDS)}"
-    return df.repartition(slots).observe(name, F.count(F.lit(1)).alias("rows"))
-
-
-_SPREAD_IDS = itertools.count()
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _k() -> F.Column:
@@ -152,9 +116,9 @@ def pdu_power(spark, d) -> DataFrame:
 
 
 def ipmi_power(spark, d) -> DataFrame:
-    """ipmi_power, host as FQDN. Only devices 0-29 have a BMC: every non-meter event is
+    """ipmi_power, host as FQDN. Only devices 0-29 have a BMC: every event is
     an IPMI reading of device ``user_id % 30``, so devices 30-39 appear on the PDUs only."""
-    e = table(spark, d, "events").where(F.col("event_type") != "view")
+    e = table(spark, d, "events")
     dev = F.concat(F.lit("dev"), F.lpad((F.col("user_id") % N_IPMI_DEVICES).cast("string"), 2, "0"))
     return e.select(F.col("ts").alias("timestamp"),
                     F.concat(dev, F.lit(".dc.example")).alias("host"),

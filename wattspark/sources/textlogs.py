@@ -39,13 +39,23 @@ def _basename(col: str = "path") -> F.Column:
     return F.substring_index(F.col(col), "/", -1)
 
 
+def once(df: DataFrame, parsed: str = "__p") -> DataFrame:
+    """The fields of the struct column ``parsed`` as columns, evaluated once.
+
+    A filter over plain projections is pushed below them, so it would evaluate the parse, and the
+    projection above would evaluate it again. Generated columns are materialised by the generator.
+    """
+    return df.select(*[c for c in df.columns if c != parsed], F.inline(F.array(parsed)))
+
+
 def _ws_split(c: F.Column) -> F.Column:
     """Python ``str.split()``: split on runs of whitespace, no empty ends."""
     return F.split(F.regexp_replace(c, r"^\s+|\s+$", ""), r"\s+")
 
 
 # --------------------------------------------------------------------------- A11
-IOR_NAME = r"(.*)_(mpiio|posix)_summary\.txt_(\d+)"
+# Words of the summary files' names and text.
+IOR_PART, IOR_APIS, IOR_MARK = "_summary.txt_", ("mpiio", "posix"), "Summary of all tests:"
 
 
 def parse_ior_summaries(corpus: DataFrame) -> DataFrame:
@@ -53,17 +63,17 @@ def parse_ior_summaries(corpus: DataFrame) -> DataFrame:
 
     Name ``<scenario>_<api>_summary.txt_<n>``; the first line containing
     ``Summary of all tests:`` is followed by a header row and the first result
-    row; ``Mean(MiB)`` and ``Mean(OPs)`` are picked by header name. Missing
-    summary or column -> NULL; rows with NULL bandwidth are dropped.
+    row; ``Mean(MiB)`` and ``Mean(OPs)`` are picked by header name, ``operation`` is that
+    row's. Missing summary or column -> NULL; rows with NULL bandwidth are dropped.
     """
     name = _basename()
-    d = corpus.select(
-        F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1).alias("fs_type"),
-        nullif_empty(F.regexp_extract(name, "^" + IOR_NAME, 1)).alias("scenario"),
-        F.upper(nullif_empty(F.regexp_extract(name, "^" + IOR_NAME, 2))).alias("api"),
-        nullif_empty(F.regexp_extract(name, "^" + IOR_NAME, 3)).try_cast("bigint").alias("run_id"),
-        F.instr("text", "Summary of all tests:").alias("__i"), "text")
-    d = d.where(F.col("scenario").isNotNull())
+    before, run = F.substring_index(name, IOR_PART, 1), F.substring_index(name, IOR_PART, -1)
+    api = F.substring_index(before, "_", -1)
+    scenario = F.substring(before, F.lit(1), F.length(before) - F.length(api) - 1)
+    d = corpus.where(name.contains(IOR_PART) & api.isin(*IOR_APIS)).select(
+        F.substring_index(F.substring_index("path", "/", -2), "/", 1).alias("fs_type"),
+        scenario.alias("scenario"), F.upper(api).alias("api"), run.try_cast("bigint").alias("run_id"),
+        F.instr("text", IOR_MARK).alias("__i"), "text")
     # from the first marker on: [rest of the marker line, header, first result row, rest]
     after = F.split(F.substring(F.col("text"), F.col("__i"), F.lit(2 ** 31 - 1)), "\n", 4)
     d = d.withColumn("__l", F.when(F.col("__i") > 0, after))
@@ -71,12 +81,15 @@ def parse_ior_summaries(corpus: DataFrame) -> DataFrame:
     d = d.withColumn("__r", _ws_split(F.try_element_at("__l", F.lit(3))))
     pick = lambda h: F.when(F.array_position("__h", h) > 0,
                             F.try_element_at("__r", F.array_position("__h", h).cast("int")).try_cast("double"))
-    d = d.select("fs_type", "scenario", "api", "run_id",
-                 pick("Mean(MiB)").alias("bw_MiB"), pick("Mean(OPs)").alias("iops"))
+    d = once(d.select("fs_type", "scenario", "api", "run_id", F.struct(
+        F.when(F.array_position("__h", "Operation") > 0, F.try_element_at("__r", F.array_position("__h", "Operation").cast("int"))).alias("operation"),
+        pick("Mean(MiB)").alias("bw_MiB"), pick("Mean(OPs)").alias("iops")).alias("__p")))
     return d.where(F.col("bw_MiB").isNotNull())
 
 
 # --------------------------------------------------------------------------- A12 / A13
+# Fixed value: the marker in front of a load run's rate.
+MEAN_RATE = "(mean rate "
 TSDB_NAME = r"^([a-z-]+?)_(load|query)_ram(\d+)(?:Gi)?_cores(\d+)_iter(\d+)\.log$"
 
 
@@ -85,7 +98,7 @@ def _tsdb_config(name: F.Column) -> list[F.Column]:
     return [F.regexp_extract(name, TSDB_NAME, 1).alias("db"),
             F.regexp_extract(name, TSDB_NAME, 3).try_cast("int").alias("ram"),
             F.regexp_extract(name, TSDB_NAME, 4).try_cast("int").alias("cpus"),
-            F.regexp_extract(name, TSDB_NAME, 5).try_cast("int").alias("iter")]
+            F.regexp_extract(name, TSDB_NAME, 5).try_cast("bigint").alias("iter")]
 
 
 def parse_tsdb_load_logs(lines: DataFrame) -> DataFrame:
@@ -93,15 +106,14 @@ def parse_tsdb_load_logs(lines: DataFrame) -> DataFrame:
 
     Files without such a line are skipped. -> db, ram, cpus, iter, rows_per_sec, unit
     """
-    pat = r"\(mean rate\s+([\d,\.]+)\s+([a-zA-Z/]+)\)"
-    hit = lines.where(F.col("line").rlike(pat))
-    first = hit.groupBy("path").agg(F.min_by("line", "line_no").alias("line"))
-    name = _basename()
-    return first.select(*_tsdb_config(name),
-                        F.regexp_replace(F.regexp_extract("line", pat, 1), ",", "").try_cast("double")
-                        .alias("rows_per_sec"),
-                        F.regexp_extract("line", pat, 2).alias("unit")) \
-                .where(F.col("db") != "")
+    # "... (mean rate <number> <unit>)": the words between the marker and the bracket
+    words = _ws_split(F.substring_index(F.substring_index("line", MEAN_RATE, -1), ")", 1))
+    rate = F.replace(F.try_element_at(words, F.lit(1)), F.lit(","), F.lit("")).try_cast("double")
+    hit = once(lines.where(F.col("line").contains(MEAN_RATE)).select(
+        "path", "line_no", F.struct(rate.alias("rows_per_sec"), F.try_element_at(words, F.lit(2)).alias("unit")).alias("__p")))
+    first = (hit.where(F.col("rows_per_sec").isNotNull() & F.col("unit").isNotNull())
+             .groupBy("path").agg(F.min_by(F.struct("rows_per_sec", "unit"), "line_no").alias("f")))
+    return first.select(*_tsdb_config(_basename()), "f.rows_per_sec", "f.unit").where(F.col("db") != "")
 
 
 def _numbers(matched: F.Column, allow_commas: bool = False) -> F.Column:
@@ -128,14 +140,14 @@ def parse_tsdb_query_logs(corpus: DataFrame) -> DataFrame:
                       _numbers(F.regexp_extract(t, stats, 0)).alias("__s"),
                       nullif_empty(F.regexp_extract(t, wall, 1)).try_cast("double").alias("wall_s"))
     n = lambda a, i, ty: F.regexp_replace(F.try_element_at(a, F.lit(i + 1)), ",", "").try_cast(ty)
-    out = d.select(
+    out = once(d.select(F.struct(
         "db", "ram", "cpus", "iter",
         n("__r", 1, "bigint").alias("queries"), n("__r", 2, "int").alias("workers"),
         n("__r", 3, "double").alias("rate_qps"),
         n("__s", 1, "double").alias("min_ms"), n("__s", 2, "double").alias("med_ms"),
         n("__s", 3, "double").alias("mean_ms"), n("__s", 4, "double").alias("max_ms"),
         n("__s", 5, "double").alias("stddev_ms"), n("__s", 6, "double").alias("sum_s"),
-        n("__s", 7, "bigint").alias("count"), "wall_s")
+        n("__s", 7, "bigint").alias("count"), "wall_s").alias("__p")))
     return out.where((F.col("db") != "") & F.col("rate_qps").isNotNull())
 
 
@@ -146,12 +158,13 @@ REQ = (r"^(.+?) \| max_tokens=(\d+) \| prompt=(\d+) completion=(\d+) total=(\d+)
 
 def parse_llm_requests(lines: DataFrame) -> DataFrame:
     """Request lines ``model | max_tokens=N | prompt=a completion=b total=c tokens | s``."""
-    l = F.col("line")
-    g = lambda i: F.regexp_extract(l, REQ, i)
-    return lines.where(l.rlike(REQ)).select(
-        "path", "line_no", g(1).alias("model"), g(2).try_cast("int").alias("max_tokens"),
-        g(3).try_cast("bigint").alias("prompt_tokens"), g(4).try_cast("bigint").alias("completion_tokens"),
-        g(5).try_cast("bigint").alias("total_tokens"), g(6).try_cast("double").alias("seconds"))
+    # one search per line; the model ends at the first bar, the rest are the line's numbers
+    hit = once(lines.select("path", "line_no", F.struct(F.regexp_extract("line", REQ, 0).alias("__m")).alias("__p")))
+    rest = F.split(F.substring(F.col("__m"), F.instr("__m", " | ") + 3, F.lit(2 ** 31 - 1)), r"[^0-9.]+")
+    n = lambda i, ty: F.try_element_at("__n", F.lit(i + 1)).try_cast(ty)
+    return hit.where(F.col("__m") != "").select("path", "line_no", F.substring_index("__m", " | ", 1).alias("model"), rest.alias("__n")).select(
+        "path", "line_no", "model", n(1, "int").alias("max_tokens"), n(2, "bigint").alias("prompt_tokens"),
+        n(3, "bigint").alias("completion_tokens"), n(4, "bigint").alias("total_tokens"), n(5, "double").alias("seconds"))
 
 
 EVT = r"Experiment (START|END) \| id=([^ |]+) \| model=([^ |]+)(?: \| job=(\d+))?(?: \| nodes=(\S+))?"
