@@ -10,7 +10,7 @@ outside its buckets (no nested-loop or cartesian join).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from wattspark.functions.timecols import epoch_us, add_seconds
 
@@ -55,9 +55,45 @@ def range_join(points: DataFrame, intervals: DataFrame, *, point_ts: str, start:
     return out.drop("__pb")
 
 
+def islands(intervals: DataFrame, *, start: str = "start", end: str = "end", keys=(),
+            bucket_seconds: float = DEFAULT_BUCKET_S) -> DataFrame:
+    """Disjoint stretches of the union of intervals: one row per (keys, time bucket), ``__b``, with a sorted
+    array ``__islands`` of ``lo, hi`` that covers what the intervals cover of that bucket.
+
+    Intervals are cut at bucket edges, so a bucket needs nothing of its neighbours; equal starts
+    are merged by a partial aggregate before the window over one bucket's pieces.
+    """
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    width = int(bucket_seconds * 1_000_000)
+    iv = intervals.where(F.col(start).isNotNull() & F.col(end).isNotNull() & (F.col(end) >= F.col(start)))
+    pieces = (iv.select(*keys, epoch_us(start).alias("__s"), epoch_us(end).alias("__e"),
+                        F.explode(F.sequence(_bucket(start, width), _bucket(end, width))).alias("__b"))
+                .select(*keys, "__b", F.greatest("__s", F.col("__b") * width).alias("__lo"),
+                        F.least("__e", (F.col("__b") + 1) * width).alias("__hi"))
+                .groupBy(*keys, "__b", "__lo").agg(F.max("__hi").alias("__hi")))
+    w = Window.partitionBy(*keys, "__b").orderBy("__lo")
+    reach = F.max("__hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    cut = pieces.withColumn("__new", F.when(reach.isNull() | (F.col("__lo") > reach), 1).otherwise(0))
+    cut = cut.withColumn("__i", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = cut.groupBy(*keys, "__b", "__i").agg(F.min("__lo").alias("lo"), F.max("__hi").alias("hi"))
+    return merged.groupBy(*keys, "__b").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("__islands"))
+
+
 def interval_union_filter(points: DataFrame, intervals: DataFrame, *, point_ts: str,
                           start: str = "start", end: str = "end", keys=(),
                           bucket_seconds: float = DEFAULT_BUCKET_S) -> DataFrame:
-    """Keep points inside ANY interval, each once; no interval -> no rows."""
-    return range_join(points, intervals, point_ts=point_ts, start=start, end=end, keys=keys,
-                      bucket_seconds=bucket_seconds, how="left_semi")
+    """Keep points inside ANY interval, each once; no interval -> no rows.
+
+    Each point meets one row, the islands of its (keys, bucket), however many intervals overlap there.
+    """
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    width = int(bucket_seconds * 1_000_000)
+    isl = islands(intervals, start=start, end=end, keys=keys, bucket_seconds=bucket_seconds)
+    isl = isl.select(*[F.col(k).alias(f"__i_{k}") for k in keys], F.col("__b").alias("__ib"), "__islands")
+    pts = points.withColumn("__pb", _bucket(point_ts, width))
+    cond = F.col("__pb") == F.col("__ib")
+    for k in keys:
+        cond = cond & (F.col(k) == F.col(f"__i_{k}"))
+    t = epoch_us(point_ts)
+    inside = F.exists("__islands", lambda x: (t >= x["lo"]) & (t <= x["hi"]))
+    return pts.join(isl, cond).where(inside).select(*points.columns)

@@ -625,3 +625,7 @@ ORACLE["h4_split_first"] = with_views("ipmi") + "x AS (SELECT 1) SELECT DISTINCT
 ORACLE["h6_timezone_convert"] = """
 SELECT event_id, CAST(timezone('UTC', timezone('Europe/Rome', ts)) AS TIMESTAMP) AS utc,
   CAST(timezone('Europe/Rome', timezone('UTC', ts)) AS TIMESTAMP) AS rome FROM events"""
+
+ORACLE["a4_skipped_files"] = """
+SELECT * FROM (VALUES ('unreadable or empty', 1::BIGINT), ('no value of value', 1::BIGINT)) t(reason, files)
+WHERE EXISTS (SELECT 1 FROM events WHERE event_id < 10)"""

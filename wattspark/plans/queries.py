@@ -596,6 +596,18 @@ def a4_tolerant_read(spark, d):
     return TS.telemetry_scan(spark, out, schema=src.schema, tolerant=True, columns=cols, ts_col="ts")
 
 
+@query("a4_skipped_files")
+def a4_skipped_files(spark, d):
+    """What a tolerant scan of such a folder leaves out, with a file of a day without values too."""
+    cols = ["event_id", "ts", "user_id", "value"]
+    src = V.table(spark, d, "events").select(*cols)
+    out = _scratch(spark, "skipped-events")
+    src.write.parquet(out)
+    src.where("event_id < 10").drop("value").coalesce(1).write.mode("append").parquet(out)
+    spark.range(1).select(F.lit("partial upload").alias("value")).write.mode("append").text(out)
+    return TS.skipped_files(spark, out, src.schema, cols).groupBy("reason").agg(F.count(F.lit(1)).alias("files"))
+
+
 @query("a5_experiment_scan")
 def a5_experiment_scan(spark, d):
     """Experiment marks of the jobs that have a complete run (semi join on the id list)."""

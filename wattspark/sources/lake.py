@@ -1,7 +1,7 @@
 """Loading telemetry into a day-partitioned lake table.
 
-Schema inference reads the footer of the first file only; the validated
-schema is then enforced on every file in one read. Appends record each row's
+The schema of the first file is validated, and every file's footer is compared with it
+(read by Spark's tasks) before all files are loaded in one read. Appends record each row's
 source file (``_metadata.file_name``) so a manifest is a group-by, not a loop.
 """
 
@@ -42,12 +42,44 @@ def validate_schema(schema: T.StructType, ts_col: str = "timestamp") -> dict[str
     return out
 
 
+def file_schemas(spark: SparkSession, path: str) -> DataFrame:
+    """``file, schema`` of every Parquet file under ``path``; the footers are read by Spark's tasks."""
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True)
+             .load(path).select(F.col("path").alias("file")))  # listing only, no contents
+
+    def footers(batches):
+        import pyarrow as pa
+        import pyarrow.fs as pfs
+        import pyarrow.parquet as pq
+        for b in batches:
+            names = b.column("file").to_pylist()
+            out = []
+            for name in names:
+                fs, inner = pfs.FileSystem.from_uri(name)
+                with fs.open_input_file(inner) as f:
+                    out.append(", ".join(f"{c.name}: {c.type}" for c in pq.read_schema(f)))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(out, pa.string())], names=["file", "schema"])
+
+    return files.mapInArrow(footers, "file string, schema string")
+
+
 def infer_schema(spark: SparkSession, path: str) -> T.StructType:
-    """Schema of the first file (sorted by name) of a folder - one footer read."""
-    files = sorted(spark.read.parquet(path).inputFiles())
-    if not files:
+    """Schema of the first file (by name) of a folder."""
+    first = (spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True)
+             .load(path).agg(F.min("path")).first()[0])
+    if first is None:
         raise SchemaError(f"no parquet files under {path}")
-    return spark.read.parquet(files[0]).schema
+    return spark.read.parquet(first).schema
+
+
+def check_same_schema(spark: SparkSession, path: str) -> None:
+    """Reject a folder whose files differ in columns or types, listing every file that differs from the
+    most common schema."""
+    schemas = file_schemas(spark, path)
+    kinds = schemas.groupBy("schema").agg(F.count("*").alias("files")).orderBy(F.desc("files"), "schema").take(2)
+    if len(kinds) > 1:
+        bad = schemas.where(F.col("schema") != kinds[0]["schema"]).orderBy("file").collect()
+        raise SchemaError(f"files differ from ({kinds[0]['schema']}): " + "; ".join(f"{r.file} has ({r.schema})" for r in bad))
 
 
 def with_day(df: DataFrame, ts_col: str = "timestamp") -> DataFrame:
@@ -80,9 +112,10 @@ def clustered_by_time(df: DataFrame, day_col: str, ts_col: str) -> DataFrame:
 
 def load_folder(spark: SparkSession, src: str, dest: str, ts_col: str = "timestamp",
                 mode: str = "append") -> T.StructType:
-    """B5 + B2: infer and validate from the first file, then load all files with it."""
+    """B5 + B2: validate the schema of the first file, check that all files have it, then load them."""
     schema = infer_schema(spark, src)
     validate_schema(schema, ts_col)
+    check_same_schema(spark, src)
     df = spark.read.schema(schema).parquet(src)
     write_day_partitioned(df, dest, ts_col, mode)
     return schema

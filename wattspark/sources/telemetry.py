@@ -36,17 +36,18 @@ def empty_frame(spark: SparkSession, schema: StructType | None = None) -> DataFr
 
 def telemetry_scan(spark: SparkSession, path: str, *, timefilter: tuple | None = None,
                    columns: Sequence[str] | None = None, ts_col: str = "timestamp",
-                   schema: StructType | None = None, tolerant: bool = True,
+                   schema: StructType | None = None, tolerant: bool = False,
                    prune_file_names: bool = True) -> DataFrame:
     """A1-A4: union of every parquet file under ``path``; empty frame if there are none.
 
     ``timefilter=(tmin, tmax)`` keeps files whose name range overlaps it (A2) and
-    rows with ``tmin <= ts <= tmax`` (C1, closed). ``tolerant`` skips unreadable
-    files (A4); with a ``schema`` files missing a column give NULLs.
+    rows with ``tmin <= ts <= tmax`` (C1, closed). A file that can't be read fails the
+    scan, unless ``tolerant`` (A4): then it is skipped, as are files without a value in one of
+    the requested ``columns``; :func:`skipped_files` reports both.
     """
     r = spark.read
     if tolerant:
-        r = r.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
+        r = r.option("ignoreCorruptFiles", "true")
     if schema is not None:
         r = r.schema(schema)
     try:
@@ -66,11 +67,33 @@ def telemetry_scan(spark: SparkSession, path: str, *, timefilter: tuple | None =
             named = F.regexp_extract(name, FILE_RANGE, 1) != ""
             df = df.where(~named | ((f_lo.cast("timestamp_ntz") <= hi) & (f_hi.cast("timestamp_ntz") >= lo)))
         df = df.where(F.col(ts_col).between(lo, hi))
+    if tolerant and columns:
+        bad = skipped_files(spark, path, schema, columns).where(F.col("reason") != UNREADABLE).select(F.col("file").alias("__bad"))
+        df = df.withColumn("__file", F.col("_metadata.file_path")).join(bad, F.col("__file") == F.col("__bad"), "left_anti")
     if columns:
         df = select_existing(df, columns)
     return df
 
 
+UNREADABLE = "unreadable or empty"
+
+
+def skipped_files(spark: SparkSession, path: str, schema: StructType | None = None,
+                  columns: Sequence[str] = ()) -> DataFrame:
+    """A4: ``file, reason`` of what a tolerant scan of ``path`` leaves out: files without a readable
+    row, and files without a value in one of ``columns`` (one row per file, first such column)."""
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"))  # listing only
+    r = spark.read.option("ignoreCorruptFiles", "true")
+    df = (r.schema(schema) if schema is not None else r).parquet(path)
+    read = df.select(F.col("_metadata.file_path").alias("file"), *[F.col(c) for c in columns if c in df.columns])
+    seen = read.groupBy("file").agg(*[F.count(c).alias(f"n_{c}") for c in columns if c in df.columns] or [F.count(F.lit(1)).alias("n")])
+    reason = F.coalesce(*[F.when(F.col(f"n_{c}") == 0 if c in df.columns else F.lit(True), F.lit(f"no value of {c}")) for c in columns], F.lit(None).cast("string"))
+    known = seen.select("file", F.lit(True).alias("__read"), reason.alias("__why"))
+    return (files.join(known, "file", "left")
+            .select("file", F.when(F.col("__read").isNull(), F.lit(UNREADABLE)).otherwise(F.col("__why")).alias("reason"))
+            .where(F.col("reason").isNotNull()))
+
+
 def select_existing(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """A3: project ``columns``; a column absent from the files is a NULL column."""
     have = set(df.columns)
