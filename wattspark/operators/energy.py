@@ -54,25 +54,25 @@ def integrate_power(df: DataFrame, ts_col: str = "timestamp", p_col: str = "powe
                                   for u in units])
 
 
-def integrate_cpu_energy(df: DataFrame, ts_col: str = "timestamp", host_col: str = "host",
+def integrate_cpu_energy(df: DataFrame, ts_col: str = "timestamp", host_col="host",
                          pkg_col: str = "package_power_watt", ram_col: str = "ram_power_watt",
                          die_col: str = "die", *, tiebreak=(),
                          chunk_seconds: float = DEFAULT_CHUNK_S) -> DataFrame:
-    """I4: package and DRAM energy per host from the roll-up rows (``die == '-'``).
+    """I4: package and DRAM energy per host (one or more key columns) from the roll-up rows (``die == '-'``).
 
     Both power columns must be non-NULL on a row for it to count.
     """
-    tiebreak = _cols(tiebreak)
+    tiebreak, hosts = _cols(tiebreak), _cols(host_col)
     d = (df.where(F.col(die_col) == "-")
-           .select(host_col, ts_col, pkg_col, ram_col, *tiebreak)
+           .select(*hosts, ts_col, pkg_col, ram_col, *tiebreak)
            .dropna(subset=[ts_col, pkg_col, ram_col]))
-    d = chunked_lag(d, [host_col], ts_col, [ts_col, pkg_col, ram_col], tiebreak=tiebreak,
+    d = chunked_lag(d, hosts, ts_col, [ts_col, pkg_col, ram_col], tiebreak=tiebreak,
                     chunk_seconds=chunk_seconds, prefix="__prev_")
     dt_s = F.timestamp_diff("MILLISECOND", F.col("__prev_" + ts_col), F.col(ts_col)) / F.lit(1000.0)
     d = d.withColumn("dt_s", dt_s).where(F.col("dt_s").isNotNull() & (F.col("dt_s") > 0))
     pkg = (F.col(pkg_col) + F.col("__prev_" + pkg_col)) / F.lit(2.0) * F.col("dt_s")
     ram = (F.col(ram_col) + F.col("__prev_" + ram_col)) / F.lit(2.0) * F.col("dt_s")
-    return d.groupBy(host_col).agg(
+    return d.groupBy(*hosts).agg(
         F.sum(pkg).alias("pkg_energy_J"), F.sum(pkg / 3600.0).alias("pkg_energy_Wh"),
         F.sum(pkg / 3_600_000.0).alias("pkg_energy_kWh"),
         F.sum(ram).alias("ram_energy_J"), F.sum(ram / 3600.0).alias("ram_energy_Wh"),

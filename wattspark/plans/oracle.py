@@ -629,3 +629,56 @@ SELECT event_id, CAST(timezone('UTC', timezone('Europe/Rome', ts)) AS TIMESTAMP)
 ORACLE["a4_skipped_files"] = """
 SELECT * FROM (VALUES ('unreadable or empty', 1::BIGINT), ('no value of value', 1::BIGINT)) t(reason, files)
 WHERE EXISTS (SELECT 1 FROM events WHERE event_id < 10)"""
+
+# ----------------------------------------------------------------------------- runs over several hosts
+V["cluster_runs"] = """SELECT 'run-' || CAST(host % 5 AS VARCHAR) AS run_id, host, 'model-' || CAST(host % 5 AS VARCHAR) AS model,
+        min(start) OVER (PARTITION BY host % 5) AS start, max("end") OVER (PARTITION BY host % 5) AS "end" FROM llm_runs"""
+
+
+def _energy_by(src: str, keys: str, cols: str, where: str = "TRUE") -> str:
+    """SELECT of (keys, wh per column) of the series inside cluster runs, by trapezoids."""
+    lags = ", ".join(f"{c}, lag({c}) OVER w AS p_{c}" for c in cols.split())
+    sums = ", ".join(f"sum(({c} + p_{c}) / 2.0 * dt_s / 3600.0) AS wh_{c}" for c in cols.split())
+    return f"""SELECT {keys}, {sums} FROM (
+        SELECT *, ((epoch_us(ts) - epoch_us(pts)) // 1000) / 1000.0 AS dt_s FROM (
+          SELECT {keys}, x.timestamp AS ts, lag(x.timestamp) OVER w AS pts, {lags}
+          FROM {src} x JOIN cluster_runs c ON x.host = c.host AND x.timestamp BETWEEN c.start AND c."end" WHERE {where}
+          WINDOW w AS (PARTITION BY {keys} ORDER BY x.timestamp, x.event_id))) WHERE dt_s > 0 GROUP BY {keys}"""
+
+
+_CLUSTER_SPLIT = """
+u AS (SELECT c.run_id, x.host, x."index", avg(utilization_gpu) AS u FROM gpu x JOIN cluster_runs c
+      ON x.host = c.host AND x.timestamp BETWEEN c.start AND c."end" GROUP BY ALL),
+e AS (""" + _energy_by("gpu", 'c.run_id, x.host, x."index"', "power_draw").replace("SELECT c.run_id, x.host, x.\"index\", sum", 'SELECT run_id, host, "index", sum', 1).replace('GROUP BY c.run_id, x.host, x."index"', 'GROUP BY run_id, host, "index"') + """),
+split AS (SELECT u.run_id, count(*) FILTER (WHERE u >= 1.0) AS active_gpus, avg(u) FILTER (WHERE u >= 1.0) AS avg_active_util,
+    coalesce(sum(wh_power_draw) FILTER (WHERE u >= 1.0), 0.0) AS active_gpu_Wh, count(*) FILTER (WHERE u < 1.0) AS inactive_gpus,
+    avg(u) FILTER (WHERE u < 1.0) AS avg_inactive_util, coalesce(sum(wh_power_draw) FILTER (WHERE u < 1.0), 0.0) AS inactive_gpu_Wh
+  FROM u LEFT JOIN e USING (run_id, host, "index") GROUP BY u.run_id)"""
+
+
+def _per_host(src: str, cols: str, where: str) -> str:
+    return _energy_by(src, "c.run_id, x.host", cols, where).replace("SELECT c.run_id, x.host, sum", "SELECT run_id, host, sum", 1).replace("GROUP BY c.run_id, x.host", "GROUP BY run_id, host")
+
+
+ORACLE["i5_multi_host"] = with_views("llm_runs", "cluster_runs", "gpu") + _CLUSTER_SPLIT + """
+SELECT run_id, active_gpus, round(avg_active_util, 6) AS avg_active_util, round(active_gpu_Wh, 4) AS active_gpu_Wh,
+       inactive_gpus, round(avg_inactive_util, 6) AS avg_inactive_util, round(inactive_gpu_Wh, 4) AS inactive_gpu_Wh FROM split"""
+ORACLE["i5_no_index"] = with_views("llm_runs", "cluster_runs", "gpu") + """
+u AS (SELECT c.run_id, x.host, avg(utilization_gpu) AS u FROM gpu x JOIN cluster_runs c
+      ON x.host = c.host AND x.timestamp BETWEEN c.start AND c."end" GROUP BY ALL),
+e AS (""" + _per_host("gpu", "power_draw", "TRUE") + """)
+SELECT u.run_id, count(*) AS active_gpus, round(avg(u), 6) AS avg_active_util,
+       round(coalesce(sum(wh_power_draw), 0.0), 4) AS active_gpu_Wh, CAST(0 AS BIGINT) AS inactive_gpus
+FROM u LEFT JOIN e USING (run_id, host) GROUP BY u.run_id"""
+ORACLE["i6_multi_host"] = with_views("llm_runs", "cluster_runs", "gpu", "machine_power", "turbostat", "pdu", "meter10", "pdu10", "pue") + _CLUSTER_SPLIT + f""",
+tok AS (SELECT c.run_id, sum({K} * 10) AS t FROM events e JOIN cluster_runs c ON e.user_id = c.host AND e.ts BETWEEN c.start AND c."end" GROUP BY c.run_id),
+sy AS (SELECT run_id, sum(wh_value) AS sys_wh FROM (""" + _per_host("machine_power", "value", "x.psu_id = '0' AND x.unit = 'W'") + """) GROUP BY run_id),
+cp AS (SELECT run_id, sum(wh_package_power_watt + wh_ram_power_watt) AS cpu_wh FROM (""" + _per_host("turbostat", "package_power_watt ram_power_watt", "x.die = '-'") + """) GROUP BY run_id),
+cr AS (SELECT DISTINCT run_id, model, start, "end" FROM cluster_runs),
+ap AS (SELECT cr.run_id, avg(p.ratio) AS avg_pue FROM pue p JOIN cr ON p.timestamp BETWEEN cr.start AND cr."end" GROUP BY cr.run_id)
+SELECT run_id, model, active_gpus, round(t / ((epoch_us("end") - epoch_us(start)) / 1000000.0), 5) AS tokens_per_s,
+  round(avg_active_util, 5) AS avg_active_gpu_util, round(active_gpu_Wh / t * 1000.0, 5) AS active_gpu_Wh_per_1k,
+  round(inactive_gpu_Wh / t * 1000.0, 5) AS inactive_gpu_Wh_per_1k, round(cpu_wh / t * 1000.0, 5) AS cpu_Wh_per_1k,
+  round(sys_wh / t * 1000.0, 5) AS system_Wh_per_1k, round(sys_wh / t * avg_pue * 1000.0, 5) AS adjusted_Wh_per_1k
+FROM cr JOIN split USING (run_id) JOIN tok USING (run_id) LEFT JOIN sy USING (run_id) LEFT JOIN cp USING (run_id) LEFT JOIN ap USING (run_id)
+WHERE active_gpus > 0 AND t > 0"""

@@ -208,6 +208,38 @@ def i5_gpu_activity_split(spark, d):
                     r("inactive_gpu_Wh").alias("inactive_gpu_Wh"))
 
 
+def cluster_runs(spark, d) -> DataFrame:
+    """Runs over several hosts: users whose id has the same remainder by 5 serve one model; a run lasts from
+    its first START to its last END and has a row per host."""
+    x = llm_runs(spark, d).withColumn("cluster", F.col("host") % 5)
+    span = x.groupBy("cluster").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return x.select("cluster", "host").distinct().join(span, "cluster").select(
+        F.concat(F.lit("run-"), F.col("cluster").cast("string")).alias("run_id"), "host",
+        F.concat(F.lit("model-"), F.col("cluster").cast("string")).alias("model"), "start", "end")
+
+
+@query("i5_multi_host")
+def i5_multi_host(spark, d):
+    """GPUs of several hosts with equal indexes stay apart."""
+    s = L.gpu_activity_split(V.gpu_samples(spark, d), cluster_runs(spark, d), tiebreak=["event_id"])
+    return s.select("run_id", "active_gpus", r("avg_active_util").alias("avg_active_util"), r("active_gpu_Wh", 4).alias("active_gpu_Wh"),
+                    "inactive_gpus", r("avg_inactive_util").alias("avg_inactive_util"), r("inactive_gpu_Wh", 4).alias("inactive_gpu_Wh"))
+
+
+@query("i5_no_index")
+def i5_no_index(spark, d):
+    """Without an index column every host of a run counts as one active GPU."""
+    s = L.gpu_activity_split(V.gpu_samples(spark, d).drop("index"), cluster_runs(spark, d), tiebreak=["event_id"])
+    return s.select("run_id", "active_gpus", r("avg_active_util").alias("avg_active_util"), r("active_gpu_Wh", 4).alias("active_gpu_Wh"), "inactive_gpus")
+
+
+@query("i6_multi_host")
+def i6_multi_host(spark, d):
+    rep = L.llm_energy_report(cluster_runs(spark, d), V.gpu_samples(spark, d), V.machine_power(spark, d),
+                              V.turbostat(spark, d), V.llm_api_usage(spark, d), pue(spark, d), tiebreak=["event_id"])
+    return rep.select("run_id", "model", "active_gpus", *[r(c, 5).alias(c) for c in rep.columns[3:]])
+
+
 def pue(spark, d) -> DataFrame:
     return P.pue_series(V.energy_meter(spark, d), V.pdu_power(spark, d), V.METER_POWER_DESC)
 
