@@ -12,11 +12,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from wattspark.operators.timeseries import chunked_lag, _cols, DEFAULT_CHUNK_S
+from wattspark.operators.timeseries import chunked_lag, _cols
 
 
 def power_intervals(df: DataFrame, ts_col: str = "timestamp", p_col: str = "power_draw",
-                    keys=(), *, tiebreak=(), chunk_seconds: float = DEFAULT_CHUNK_S,
+                    keys=(), *, tiebreak=(), chunk_seconds: float | None = None,
                     prefix: str = "") -> DataFrame:
     """Per-interval detail: keys, ts, dt_ms, dt_s, p_avg_W, dE_J, dE_Wh, dE_kWh."""
     keys, tiebreak = _cols(keys), _cols(tiebreak)
@@ -36,7 +36,7 @@ def power_intervals(df: DataFrame, ts_col: str = "timestamp", p_col: str = "powe
 
 
 def integrate_power(df: DataFrame, ts_col: str = "timestamp", p_col: str = "power_draw",
-                    keys=(), *, tiebreak=(), chunk_seconds: float = DEFAULT_CHUNK_S,
+                    keys=(), *, tiebreak=(), chunk_seconds: float | None = None,
                     prefix: str = "") -> DataFrame:
     """Energy totals per series key (``energy_J``, ``energy_Wh``, ``energy_kWh``).
 
@@ -57,7 +57,7 @@ def integrate_power(df: DataFrame, ts_col: str = "timestamp", p_col: str = "powe
 def integrate_cpu_energy(df: DataFrame, ts_col: str = "timestamp", host_col="host",
                          pkg_col: str = "package_power_watt", ram_col: str = "ram_power_watt",
                          die_col: str = "die", *, tiebreak=(),
-                         chunk_seconds: float = DEFAULT_CHUNK_S) -> DataFrame:
+                         chunk_seconds: float | None = None) -> DataFrame:
     """I4: package and DRAM energy per host (one or more key columns) from the roll-up rows (``die == '-'``).
 
     Both power columns must be non-NULL on a row for it to count.

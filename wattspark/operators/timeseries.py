@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from wattspark.functions.timecols import epoch_us, bucket_start
 
 DEFAULT_CHUNK_S = 3600
+#: a series without keys holds all rows of a stretch of time, so its chunks are shorter
+KEYLESS_CHUNK_S = 60
 
 
 def _cols(x) -> list[str]:
@@ -59,37 +61,43 @@ def _surrogate_keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list
     return df, cols
 
 
+def _order_key(df: DataFrame, ts_col: str, tiebreak: Sequence[str]) -> Column:
+    """One value that orders as (ts, tiebreak) with NULLs first; of fixed width, so that an
+    aggregate by it can hash, for at most one whole-number tie-break."""
+    t = F.coalesce(epoch_us(ts_col), F.lit(-(10 ** 18)))
+    if not tiebreak:
+        return t
+    if len(tiebreak) == 1 and df.schema[tiebreak[0]].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint"):
+        tie = F.coalesce(F.col(tiebreak[0]).cast("long"), F.lit(-(2 ** 63)))
+        return t.cast("decimal(19,0)") * F.lit(str(10 ** 19)).cast("decimal(20,0)") + tie.cast("decimal(19,0)")
+    return F.struct(*[F.col(c) for c in [ts_col, *tiebreak]])
+
+
 def chunked_lag(df: DataFrame, keys, ts_col: str, cols, *, tiebreak=(),
-                chunk_seconds: float = DEFAULT_CHUNK_S, prefix: str = "prev_") -> DataFrame:
+                chunk_seconds: float | None = None, prefix: str = "prev_") -> DataFrame:
     """Add ``prev_<c>`` = value of ``c`` on the previous row of the same series.
 
     Series = ``keys`` (may be empty), ordered by ``ts_col`` then ``tiebreak``.
     Equal to ``lag(c) over (partition by keys order by ts, tiebreak)``.
 
     Plan: one exchange on (keys, chunk) feeds one window (running frames only)
-    computing the in-chunk lag and the row number. Each chunk's last values come
-    from a ``max_by`` aggregate over the same rows - partial on the map side, so
-    one row per chunk and map task is shuffled. A small window over those
-    one-row-per-chunk summaries finds the previous non-empty chunk, and an
+    computing the in-chunk lag and the row number, and a hash aggregate that takes each
+    chunk's last values. Both read the same exchange: the aggregate uses every column, so that
+    column pruning leaves the two sides equal and Spark scans and shuffles the rows once. A small window
+    over those one-row-per-chunk summaries finds the previous non-empty chunk, and an
     equi-join on (keys, chunk) - co-partitioned with the large side - brings
-    the carry in. The large side is sorted and windowed once.
+    the carry in. The rows are sorted once.
     """
     keys, cols, tiebreak = _cols(keys), _cols(cols), _cols(tiebreak)
     order_cols = [ts_col] + tiebreak
     ck = "__chunk"
-    width = int(chunk_seconds * 1_000_000)
+    width = int((chunk_seconds or (DEFAULT_CHUNK_S if keys else KEYLESS_CHUNK_S)) * 1_000_000)
     d, sk = _surrogate_keys(df, keys)
-    d = d.withColumn(ck, F.floor(epoch_us(ts_col) / F.lit(width)).cast("long"))
-    # one row per non-empty chunk, carrying that chunk's last values (in the window's order)
-    if tiebreak:
-        # struct ordering (nulls first per field); a struct buffer makes this a sort aggregate
-        lasts = d.groupBy(*sk, ck).agg(*[F.max_by(F.col(c), F.struct(*[F.col(o) for o in order_cols]))
-                                         .alias("__last_" + c) for c in cols])
-    else:
-        # a fixed-width ordering keeps the aggregate hash-based (no sort of the rows);
-        # NULL timestamps sort first, as in the window
-        o = F.coalesce(epoch_us(ts_col), F.lit(-(2 ** 63)))
-        lasts = d.groupBy(*sk, ck).agg(*[F.max_by(F.col(c), o).alias("__last_" + c) for c in cols])
+    d = d.withColumn(ck, F.floor(epoch_us(ts_col) / F.lit(width)).cast("long")).repartition(*sk, ck)
+    lasts = d.groupBy(*sk, ck).agg(*[F.max_by(F.col(c), _order_key(d, ts_col, tiebreak)).alias("__last_" + c) for c in cols],
+                                   *[F.count(c).alias(f"__used_{i}") for i, c in enumerate(df.columns)])
+    used = [F.col(f"__used_{i}") for i in range(len(df.columns))]
+    lasts = lasts.where(F.greatest(*used, F.lit(0), F.lit(0)) >= 0)  # always true; keeps the counts
     wc = Window.partitionBy(*sk).orderBy(ck)
     carry = lasts.select(*sk, ck, *[F.lag("__last_" + c).over(wc).alias("__carry_" + c) for c in cols])
     order = [F.col(c).asc_nulls_first() for c in order_cols]
@@ -105,7 +113,7 @@ def chunked_lag(df: DataFrame, keys, ts_col: str, cols, *, tiebreak=(),
 
 
 def diff_over(df: DataFrame, keys, ts_col: str, cols, *, tiebreak=(), clip_at_zero=True,
-              fill_first=0, suffix: str = "_rate", chunk_seconds: float = DEFAULT_CHUNK_S) -> DataFrame:
+              fill_first=0, suffix: str = "_rate", chunk_seconds: float | None = None) -> DataFrame:
     """``c - lag(c)`` per series (F7/F8); optionally clipped at 0 and first row filled.
 
     Matches ``diff().clip(lower_bound=0).fill_null(0)``: a counter reset gives 0.
@@ -124,7 +132,7 @@ def diff_over(df: DataFrame, keys, ts_col: str, cols, *, tiebreak=(), clip_at_ze
 
 
 def elapsed_between_rows(df: DataFrame, keys, ts_col: str, *, tiebreak=(),
-                         chunk_seconds: float = DEFAULT_CHUNK_S) -> DataFrame:
+                         chunk_seconds: float | None = None) -> DataFrame:
     """``dt_ms`` = whole ms since the previous row of the series (NULL for the first)."""
     d = chunked_lag(df, keys, ts_col, [ts_col], tiebreak=tiebreak,
                     chunk_seconds=chunk_seconds, prefix="__prev_")

@@ -85,7 +85,7 @@ def e4_two_level_power(spark, d):
 @query("f8_diff_over")
 def f8_diff_over(spark, d):
     """Difference of consecutive power samples per host (no clipping)."""
-    p = V.machine_power(spark, d)
+    p = V.machine_power(spark, d).select("event_id", "host", "timestamp", "value")
     out = ts.diff_over(p, ["host"], "timestamp", ["value"], tiebreak=["event_id"],
                        clip_at_zero=False, fill_first=None, suffix="_diff")
     return out.select("event_id", "host", "timestamp", r("value_diff").alias("value_diff"))
@@ -94,7 +94,7 @@ def f8_diff_over(spark, d):
 @query("f10_elapsed_ms")
 def f10_elapsed_ms(spark, d):
     """Whole milliseconds since the previous sample of the same host (first row NULL)."""
-    p = V.machine_power(spark, d)
+    p = V.machine_power(spark, d).select("event_id", "host", "timestamp")
     out = ts.elapsed_between_rows(p, ["host"], "timestamp", tiebreak=["event_id"])
     return out.select("event_id", "host", "dt_ms")
 
@@ -976,7 +976,7 @@ def f3_truncate_bucket(spark, d):
 @query("f6_lag_1")
 def f6_lag_1(spark, d):
     """Previous power value of each sample of a GPU index (chunked lag)."""
-    g = V.gpu_samples(spark, d)
+    g = V.gpu_samples(spark, d).select("event_id", "index", "timestamp", "power_draw")
     out = ts.chunked_lag(g, ["index"], "timestamp", ["power_draw"], tiebreak=["event_id"])
     return out.select("event_id", "index", "prev_power_draw")
 
