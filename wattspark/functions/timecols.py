@@ -7,7 +7,7 @@ TIMESTAMP keeps the instant, which makes ``unix_micros`` usable on both.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import DataFrame, Column, functions as F
 
 
 def _c(c) -> Column:
@@ -61,3 +61,15 @@ def elapsed_ms(prev, cur) -> Column:
 def round_to_second(ts) -> Column:
     """Round to the nearest whole second, halves up."""
     return F.date_trunc("second", add_seconds(ts, 0.5)).cast("timestamp_ntz")
+
+
+def ensure_utc(df: DataFrame, col: str = "timestamp") -> DataFrame:
+    """H6: ``col`` as a UTC wall clock, by its type: text is read as UTC (NULL if it is no time),
+    a naive timestamp is UTC already, a zoned one is converted."""
+    kind = df.schema[col].dataType.simpleString()
+    c = F.col(col)
+    if kind == "string":
+        c = F.coalesce(F.try_to_timestamp(c, F.lit("yyyy-MM-dd HH:mm:ss.SSSSSS")), F.try_to_timestamp(c)).cast("timestamp_ntz")
+    elif kind == "timestamp":
+        c = F.convert_timezone(F.current_timezone(), F.lit("UTC"), c.cast("timestamp_ntz"))
+    return df.withColumn(col, c)

@@ -62,10 +62,12 @@ def scaling_summary(stats: DataFrame, baseline_cpus: int | None = None, target_c
 
 
 def slices(stats: DataFrame, fixed_ram: int, fixed_cpus: int) -> DataFrame:
-    """Fixed-RAM slice (varying cpus) and fixed-CPU slice (varying ram), labelled."""
+    """Fixed-RAM slice (varying cpus), fixed-CPU slice (varying ram) and the databases side by
+    side at that one configuration, labelled."""
     a = stats.where(F.col("ram") == fixed_ram).select(F.lit("fixed_ram").alias("slice"), "*")
     b = stats.where(F.col("cpus") == fixed_cpus).select(F.lit("fixed_cpus").alias("slice"), "*")
-    return a.unionByName(b)
+    c = stats.where((F.col("ram") == fixed_ram) & (F.col("cpus") == fixed_cpus)).select(F.lit("one_config").alias("slice"), "*")
+    return a.unionByName(b).unionByName(c)
 
 
 def benchmark_report(grid: DataFrame, metric: str = "rate") -> DataFrame:
@@ -108,3 +110,17 @@ def llm_request_stats(requests: DataFrame, keys=("path", "model")) -> DataFrame:
         F.sum("total_tokens").alias("total_tokens"),
         F.try_divide(F.sum("total_tokens"), F.sum("seconds")).alias("tokens_per_s"),
         F.avg("seconds").alias("mean_s"), F.min("seconds").alias("min_s"), F.max("seconds").alias("max_s"))
+
+
+def latency_percentiles(requests: DataFrame, qs=(0.5, 0.9, 0.95, 0.99), keys=("model",), value: str = "seconds") -> DataFrame:
+    """Exact nearest-rank percentiles of ``value`` per key, ``p50`` and so on.
+
+    From a histogram: one row per distinct value (seconds with two decimals), so a key's window holds
+    its value domain and not its requests.
+    """
+    from pyspark.sql import Window
+    hist = requests.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
+    w = Window.partitionBy(*keys)
+    h = hist.select("*", F.sum("__c").over(w.orderBy(value)).alias("__cum"), F.sum("__c").over(w).alias("__n"))
+    return h.groupBy(*keys).agg(F.max("__n").alias("requests"), *[
+        F.min(F.when(F.col("__cum") > F.round((F.col("__n") - 1) * F.lit(q)), F.col(value))).alias(f"p{round(q * 100)}") for q in qs])

@@ -29,19 +29,28 @@ def value_histogram(df: DataFrame, col: str, count_col: str = "count") -> DataFr
     return df.groupBy(col).agg(F.count(F.lit(1)).alias(count_col))
 
 
+#: slices of the value range for running counts
+SLICES = 1000
+
+
 def hist_quantiles(hist: DataFrame, col: str, qs: dict[str, float], count_col: str = "count") -> DataFrame:
     """Exact quantiles from a histogram, one row.
 
     ``nearest`` rule: index round(q * (n - 1)) of the sorted values; the key
-    ``median`` is interpolated (mean of the two middle values). The running
-    and total counts are windows over the histogram (bounded by the value
-    domain), so nothing goes through the driver.
+    ``median`` is interpolated (mean of the two middle values). Running counts have two
+    levels: the value range is cut into ``SLICES`` equal slices, each with a window of its own,
+    and a window over the slices' totals (at most ``SLICES`` + 1 rows) gives what is before a slice.
     """
-    w = Window.orderBy(col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    wall = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    h = hist.select(col, count_col, F.sum(count_col).over(w).alias("__cum"),
-                    F.sum(count_col).over(wall).alias("__n"))
-    n, cum = F.col("__n"), F.col("__cum")
+    lo, hi = hist.select(F.min(col).cast("double")).scalar(), hist.select(F.max(col).cast("double")).scalar()
+    part = F.floor(F.coalesce(F.try_divide(F.col(col) - lo, hi - lo), F.lit(0.0)) * SLICES)
+    h = hist.select(col, count_col, part.alias("__s"))
+    totals = h.groupBy("__s").agg(F.sum(count_col).alias("__t"))
+    every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = totals.select("__s", F.sum("__t").over(every).alias("__n"),
+                           (F.sum("__t").over(Window.orderBy("__s")) - F.col("__t")).alias("__before"))
+    w = Window.partitionBy("__s").orderBy(col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    h = h.withColumn("__in", F.sum(count_col).over(w)).join(before, "__s")
+    n, cum = F.col("__n"), F.col("__before") + F.col("__in")
     aggs = []
     for name, q in qs.items():
         if name == "median":
@@ -93,3 +102,13 @@ def table_quality_profile(tables: dict[str, DataFrame], ts_col: str = "timestamp
                                                    *dlt.columns)
         out = row if out is None else out.unionByName(row)
     return out
+
+
+def quality_histogram(tables: dict[str, DataFrame], ts_col: str = "timestamp") -> DataFrame:
+    """I16: the histogram of rows per second of each table: ``table, count, seconds``."""
+    out = None
+    for name, df in tables.items():
+        h = value_histogram(per_second_counts(df.select(F.col(ts_col).alias("timestamp"))), "count", "seconds")
+        h = h.select(F.lit(name).alias("table"), "count", "seconds")
+        out = h if out is None else out.unionByName(h)
+    return out

@@ -456,7 +456,8 @@ FROM a JOIN s USING (db) GROUP BY a.db, min_M, max_M, mean_M"""
 ORACLE["e14_distinct_count"] = with_views("grid") + "x AS (SELECT 1) SELECT count(DISTINCT db) AS n_db FROM grid"
 ORACLE["e16_slice_filters"] = _G + """x AS (SELECT 1)
 SELECT 'fixed_ram' AS slice, db, ram, cpus, round(mean, 6) AS mean, round(std, 6) AS std FROM gstats WHERE ram = 56
-UNION ALL SELECT 'fixed_cpus', db, ram, cpus, round(mean, 6), round(std, 6) FROM gstats WHERE cpus = 16"""
+UNION ALL SELECT 'fixed_cpus', db, ram, cpus, round(mean, 6), round(std, 6) FROM gstats WHERE cpus = 16
+UNION ALL SELECT 'one_config', db, ram, cpus, round(mean, 6), round(std, 6) FROM gstats WHERE ram = 56 AND cpus = 16"""
 ORACLE["i17_benchmark_report"] = _G + """
 rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY db ORDER BY mean DESC, ram, cpus) AS INTEGER) AS rank FROM gstats)
 SELECT db, ram, cpus, n, round(mean, 6) AS mean, round(std, 6) AS std, round(mean - std, 6) AS band_lo,
@@ -682,3 +683,37 @@ SELECT run_id, model, active_gpus, round(t / ((epoch_us("end") - epoch_us(start)
   round(sys_wh / t * 1000.0, 5) AS system_Wh_per_1k, round(sys_wh / t * avg_pue * 1000.0, 5) AS adjusted_Wh_per_1k
 FROM cr JOIN split USING (run_id) JOIN tok USING (run_id) LEFT JOIN sy USING (run_id) LEFT JOIN cp USING (run_id) LEFT JOIN ap USING (run_id)
 WHERE active_gpus > 0 AND t > 0"""
+
+
+# ----------------------------------------------------------------------------- further building blocks
+ORACLE["i16_quality_histogram"] = " UNION ALL ".join(
+    f"SELECT '{t}' AS \"table\", count, count(*) AS seconds FROM (SELECT count(*) AS count FROM {t} GROUP BY time_bucket(INTERVAL '1 second', CAST({c} AS TIMESTAMP))) GROUP BY count"
+    for t, c in (("events", "ts"), ("lineitem", "l_shipdate"), ("orders", "o_orderdate")))
+ORACLE["h6_ensure_utc"] = """
+SELECT event_id, kind, CASE WHEN kind = 'text' AND event_type = 'error' THEN NULL ELSE ts END AS timestamp
+FROM events, (VALUES ('text'), ('naive'), ('zoned')) k(kind)"""
+ORACLE["i19_latency_percentiles"] = """
+WITH q AS (SELECT 'model-' || CAST(conv_id % 3 AS VARCHAR) AS model, round(length(text) / 100.0, 2) AS s FROM conversations),
+l AS (SELECT model, count(*) AS requests, list_sort(list(s)) AS v FROM q GROUP BY model)
+SELECT model, requests, """ + ", ".join(f"v[CAST(round((requests - 1) * {q}) AS BIGINT) + 1] AS p{round(q * 100)}" for q in (0.5, 0.9, 0.95, 0.99)) + " FROM l"
+ORACLE["a5_experiment_by_id"] = """
+SELECT ts AS timestamp, CASE WHEN event_type = 'signup' THEN 'START' ELSE 'END' END AS status,
+  CASE WHEN user_id % 11 = 0 THEN 'IOR-idle' ELSE 'IOR-backend=' || CASE WHEN user_id % 2 = 0 THEN 'posix' ELSE 'mpiio' END || '-scenario='
+    || ['write_seq_4m','read_seq_4m','write_seq_4k','read_seq_4k','write_rand_4k','read_rand_4k','writeread_rand_4k_shared'][CAST((user_id // 2) % 7 AS INTEGER) + 1]
+    || '_' || CAST(user_id AS VARCHAR) END AS notes
+FROM events WHERE event_type IN ('signup', 'purchase')"""
+ORACLE["b4_load_modes"] = """
+SELECT CAST(step AS BIGINT) AS step, mode, CAST(f * (SELECT count(*) FROM events) AS BIGINT) AS rows
+FROM (VALUES (0, 'create', 1), (1, 'append', 2), (2, 'skip', 2), (3, 'replace', 1)) m(step, mode, f)"""
+ORACLE["b7_render_formats"] = """
+SELECT event_id, event_id || ',' || event_type || ',' || user_id AS csv,
+  '{"event_id":' || event_id || ',"event_type":"' || event_type || '","host":' || user_id || '}' AS json,
+  '# Power ' || event_type || chr(10) || 'vcId_' || (user_id % 10) || '{unit="W"} ' || user_id AS prometheus FROM events"""
+ORACLE["a10_index_records"] = """
+SELECT n_name AS "table", n_name AS label, CAST(n_nationkey AS VARCHAR) AS record_id FROM nation"""
+ORACLE["a15_run_percentiles"] = """
+WITH l AS (SELECT user_id, max(event_id) AS m FROM events GROUP BY user_id)
+SELECT '/llm/run_' || user_id || '.err' AS path, m % 1000 AS p50, m % 1000 + 70 AS p99, m % 1000 + 100 AS p100, m AS n FROM l"""
+ORACLE["a15_run_errors"] = """
+WITH l AS (SELECT user_id, max(event_id) AS m FROM events GROUP BY user_id)
+SELECT '/llm/run_' || user_id || '.err' AS path, m % 50 + 1 AS occurrences, 'POST /v1: timed out' AS error FROM l"""

@@ -394,11 +394,19 @@ def e13_row_count(spark, d):
 
 @query("i16_quality_profile")
 def i16_quality_profile(spark, d):
-    tabs = {"events": V.table(spark, d, "events").select(F.col("ts").alias("timestamp")),
+    p = Q.table_quality_profile(_quality_tables(spark, d))
+    return p.select("table", "rows", *[r(c, 4).alias(c) for c in p.columns[2:]])
+
+
+def _quality_tables(spark, d) -> dict[str, DataFrame]:
+    return {"events": V.table(spark, d, "events").select(F.col("ts").alias("timestamp")),
             "lineitem": V.table(spark, d, "lineitem").select(F.col("l_shipdate").alias("timestamp")),
             "orders": V.table(spark, d, "orders").select(F.col("o_orderdate").alias("timestamp"))}
-    p = Q.table_quality_profile(tabs)
-    return p.select("table", "rows", *[r(c, 4).alias(c) for c in p.columns[2:]])
+
+
+@query("i16_quality_histogram")
+def i16_quality_histogram(spark, d):
+    return Q.quality_histogram(_quality_tables(spark, d))
 
 
 # --------------------------------------------------------------------------- benchmark grid
@@ -1018,3 +1026,80 @@ def h6_timezone_convert(spark, d):
     return e.select("event_id",
                     F.to_utc_timestamp(F.col("ts").cast("timestamp"), "Europe/Rome").cast("timestamp_ntz").alias("utc"),
                     F.from_utc_timestamp(F.col("ts").cast("timestamp"), "Europe/Rome").cast("timestamp_ntz").alias("rome"))
+
+
+@query("h6_ensure_utc")
+def h6_ensure_utc(spark, d):
+    """Text, naive and zoned timestamps of the same events, each normalised by its type."""
+    from wattspark.functions.timecols import ensure_utc
+    e = V.table(spark, d, "events")
+    text = F.when(F.col("event_type") == "error", "garbage").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    parts = [ensure_utc(e.select("event_id", F.lit(kind).alias("kind"), c.alias("timestamp")))
+             for kind, c in (("text", text), ("naive", F.col("ts")), ("zoned", F.col("ts").cast("timestamp")))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("i19_latency_percentiles")
+def i19_latency_percentiles(spark, d):
+    return B.latency_percentiles(TL.parse_llm_requests(C.llm_out_lines(spark, d)))
+
+
+@query("a5_experiment_by_id")
+def a5_experiment_by_id(spark, d):
+    """Experiments of one job id (the I/O job has them all) through the scan's own filter."""
+    return TS.experiment_scan(V.ior_experiments(spark, d), "900001").select("timestamp", "status", "notes")
+
+
+@query("b4_load_modes")
+def b4_load_modes(spark, d):
+    """Rows after loading the events in turn with create, append, skip and replace."""
+    out, parts = _scratch(spark, "modes"), []
+    for k, mode in enumerate(("create", "append", "skip", "replace")):
+        LK.load_folder(spark, f"{d}/events.parquet", out, ts_col="ts", mode=mode)
+        n = spark.read.parquet(out).count()  # one number a mode: the next load changes the table
+        parts.append((k, mode, n))
+    return spark.createDataFrame(parts, "step long, mode string, rows long")
+
+
+@query("b7_render_formats")
+def b7_render_formats(spark, d):
+    """The CSV, JSON and Prometheus renderings of each event."""
+    e = V.table(spark, d, "events").select("event_id", "event_type", F.col("user_id").alias("host"))
+    return e.select("event_id", FM.render_csv(["event_id", "event_type", "host"]).alias("csv"),
+                    FM.render_json(["event_id", "event_type", "host"]).alias("json"),
+                    FM.render_prometheus(F.concat(F.lit("Power "), F.col("event_type")), F.col("host") % 10, F.lit("W"), F.col("host")).alias("prometheus"))
+
+
+@query("a10_index_records")
+def a10_index_records(spark, d):
+    """The record branch of a dataset index: one entry per nation, label and record id of its DOI."""
+    n = V.table(spark, d, "nation")
+    entry = F.struct(F.array(F.struct(F.col("n_name").alias("label"), F.concat(F.lit("10.1234/archive."), F.col("n_nationkey").cast("string")).alias("doi"))).alias("zenodo_records"))
+    js = n.select(F.to_json(F.struct(F.create_map(F.col("n_name"), entry).alias("tables"), F.lit(None).cast("array<struct<key:string,checksum:string>>").alias("files"))).alias("json"))
+    records, _ = LK.index_entries(js)
+    return records
+
+
+def _run_tail_lines(spark, d) -> DataFrame:
+    """Tails of run logs, one per user: percentile rows (the last counts) and an error report."""
+    e = V.table(spark, d, "events").select("event_id", F.concat(F.lit("/llm/run_"), F.col("user_id").cast("string"), F.lit(".err")).alias("path"))
+    n = F.col("event_id")
+    row = F.concat(F.lit("         Aggregated"), *[F.concat(F.lit("   "), (n % 1000 + 10 * k).cast("string")) for k in range(11)], F.lit("   "), n.cast("string"))
+    rows = e.select("path", n.alias("line_no"), row.alias("line"))
+    last = e.groupBy("path").agg(F.max("event_id").alias("m"))
+    tail = last.select("path", F.explode(F.array(
+        F.struct((F.col("m") + 1).alias("line_no"), F.lit("Error report").alias("line")),
+        F.struct((F.col("m") + 2).alias("line_no"), F.lit("# occurrences      Error").alias("line")),
+        F.struct((F.col("m") + 3).alias("line_no"), F.lit("------------------|---------").alias("line")),
+        F.struct((F.col("m") + 4).alias("line_no"), F.concat((F.col("m") % 50 + 1).cast("string"), F.lit("                  POST /v1: timed out")).alias("line")))).alias("x")).select("path", "x.*")
+    return rows.unionByName(tail)
+
+
+@query("a15_run_percentiles")
+def a15_run_percentiles(spark, d):
+    return TL.parse_llm_percentiles(_run_tail_lines(spark, d)).select("path", "p50", "p99", "p100", "n")
+
+
+@query("a15_run_errors")
+def a15_run_errors(spark, d):
+    return TL.parse_llm_errors(_run_tail_lines(spark, d))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 ENERGY_OUT = "host string, energy_J double, energy_Wh double, samples long, late_samples long, last_ts timestamp"
-RATE_OUT = "host string, timestamp timestamp, rate double"
+RATE_OUT = "host string, timestamp timestamp, rate double, late boolean"
 
 
 def _trapezoid(ts_us: np.ndarray, p: np.ndarray, prev_ts, prev_p) -> float:
@@ -81,17 +81,21 @@ class CounterRateProcessor(StatefulProcessor):
         order = np.argsort(ts, kind="stable")
         ts, v = ts[order], pdf["value"].to_numpy(dtype="float64")[order]
         prev = self.state.get() if self.state.exists() else None
+        late = ts[:0]
         if prev is not None:
             keep = ts >= prev[0]
-            ts, v = ts[keep], v[keep]
+            late, ts, v = ts[~keep], ts[keep], v[keep]
             allv = np.concatenate([[prev[1]], v])
             rate = np.clip(np.diff(allv), 0, None)
         else:
             rate = np.concatenate([[0.0], np.clip(np.diff(v), 0, None)]) if len(v) else np.array([])
         if len(ts):
             self.state.update((int(ts[-1]), float(v[-1])))
-        yield pd.DataFrame({"host": [str(key[0])] * len(ts),
-                            "timestamp": pd.to_datetime(ts, unit="us"), "rate": rate.astype("float64")})
+        # a sample older than the last one has no place in the series: it is passed on, marked, without a rate
+        yield pd.DataFrame({"host": [str(key[0])] * (len(ts) + len(late)),
+                            "timestamp": pd.to_datetime(np.concatenate([ts, late]), unit="us"),
+                            "rate": np.concatenate([rate.astype("float64"), np.full(len(late), np.nan)]),
+                            "late": [False] * len(ts) + [True] * len(late)})
 
     def close(self) -> None:
         pass
