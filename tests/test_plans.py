@@ -3,18 +3,14 @@
 import pytest
 
 import __spark_entry__ as E
+from wattspark.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
-# the quality profile's histogram quantiles run one window over distinct values
-# (bounded by the value domain, not by the data); the I17 report ranks grid cells.
-SINGLE_PARTITION_OK = {"i16_quality_profile", "e11_distribution_summary"}
-
-
 def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(k for k in E.queries() if not k.startswith(("j", "a7", "a8", "b"))))
+@pytest.mark.parametrize("name", sorted(k for k in QUERIES if not k.startswith(("j", "a7", "a8", "b"))))
 def test_no_cartesian_or_nested_loop(spark, name):
     p = _plan(E.queries()[name](spark, SF))
     assert "CartesianProduct" not in p
@@ -24,13 +20,11 @@ def test_no_cartesian_or_nested_loop(spark, name):
 @pytest.mark.parametrize("name", ["i3_integrate_power_by_host", "i2_integrate_power", "i9_disk_rates",
                                   "i15_network_rates", "f9_row_index", "d3_start_end_pairing", "i10_io_power_efficiency"])
 def test_ordered_series_not_single_partition(spark, name):
-    """Ordered-series operators must not funnel the raw rows through one task."""
-    qe = E.queries()[name](spark, SF)._jdf.queryExecution()
-    raw_windows = [w for w in qe.executedPlan().toString().split("\n") if "Window [" in w and "__chunk" not in w
-                   and "__carry" not in w]
-    p = qe.executedPlan().toString()
-    # every window over raw rows is partitioned by a chunk column
-    assert "SinglePartition" not in p or name in SINGLE_PARTITION_OK or all("__chunk" in w for w in raw_windows)
+    """Ordered-series operators must not funnel the raw rows through one task: a window over raw rows (one that
+    orders by time) is partitioned by a chunk."""
+    p = E.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    raw = [w for w in p.split("\n") if "Window [" in w and ("lag(" in w or "row_number" in w) and "__last_" not in w]
+    assert raw and all("__chunk" in w for w in raw)
 
 
 def test_scan_pushdown_and_pruning(spark):
@@ -38,3 +32,6 @@ def test_scan_pushdown_and_pruning(spark):
     p = _plan(df)
     assert "PushedFilters: [IsNotNull(ts)" in p
     assert "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint,value:double>" in p
+    # the time bound reaches the scan's filters
+    scan = next(line for line in p.split("\n") if "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint,value:double>" in line)
+    assert ">=" in scan and "<=" in scan
