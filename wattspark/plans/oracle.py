@@ -717,3 +717,7 @@ SELECT '/llm/run_' || user_id || '.err' AS path, m % 1000 AS p50, m % 1000 + 70
 ORACLE["a15_run_errors"] = """
 WITH l AS (SELECT user_id, max(event_id) AS m FROM events GROUP BY user_id)
 SELECT '/llm/run_' || user_id || '.err' AS path, m % 50 + 1 AS occurrences, 'POST /v1: timed out' AS error FROM l"""
+ORACLE["a2_file_time_pruning"] = """
+WITH r AS (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM events)
+SELECT event_id, ts, value FROM events, r
+WHERE epoch_us(ts) BETWEEN lo + round((hi - lo) / 4.0) AND hi - round((hi - lo) / 4.0)"""

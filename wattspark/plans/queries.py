@@ -600,6 +600,7 @@ def a21_prometheus_text(spark, d):
 
 
 # --------------------------------------------------------------------------- scans and lake
+import datetime  # noqa: E402
 import uuid  # noqa: E402
 
 from wattspark.session import scratch_path  # noqa: E402
@@ -1103,3 +1104,26 @@ def a15_run_percentiles(spark, d):
 @query("a15_run_errors")
 def a15_run_errors(spark, d):
     return TL.parse_llm_errors(_run_tail_lines(spark, d))
+
+
+@query("a2_file_time_pruning")
+def a2_file_time_pruning(spark, d):
+    """Events as flat day files ``events_<start>_<end>.parquet``; a scan of the middle half of their time span
+    skips the files whose names lie outside it."""
+    e = V.table(spark, d, "events").select("event_id", "ts", "value")
+    lo, hi = e.agg(F.min("ts"), F.max("ts")).first()
+    out = _scratch(spark, "day-files")
+    e.withColumn("day", F.to_date("ts")).repartition("day").write.partitionBy("day").parquet(out)
+    # one folder per day of the calendar: each file gets its range as its name
+    path = spark._jvm.org.apache.hadoop.fs.Path(out)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    for folder in fs.listStatus(path):
+        if folder.isDirectory() and "=" in folder.getPath().getName():
+            day = datetime.date.fromisoformat(folder.getPath().getName().split("=")[1])
+            parts = [f for f in fs.listStatus(folder.getPath()) if f.getPath().getName().endswith(".parquet")]
+            for k, f in enumerate(parts):
+                name = f"events{k}_{day}_{day + datetime.timedelta(days=1)}.parquet"
+                fs.rename(f.getPath(), spark._jvm.org.apache.hadoop.fs.Path(path, name))
+            fs.delete(folder.getPath(), True)
+    quarter = (hi - lo) / 4
+    return TS.telemetry_scan(spark, out, timefilter=(lo + quarter, hi - quarter), columns=["event_id", "ts", "value"], ts_col="ts")
