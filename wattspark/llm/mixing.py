@@ -8,8 +8,8 @@ the same. Targets default to the margin's own shares to the power ``alpha``, ren
 0: uniform); a table of (dimension, value, share) can be given instead, whose missing values get 0.
 
 DataFrame functions only. Cells come from a partial (map-side) aggregate, so a hot source costs one
-row per task. Margins are aggregates joined back to the cells; each is joined by Spark's choice. Every
-second sweep the cells are written to shared scratch, which keeps plans short and survives lost executors.
+row per task. Margins are aggregates joined back to the cells; each is joined by Spark's choice. Each
+step's cells are written to shared scratch, which keeps plans short and survives lost executors.
 
 Tokens are estimated by words. The topic is the first of ``TOPICS`` whose predicate holds.
 
@@ -27,6 +27,7 @@ from wattspark.llm.common import settle
 DIMENSIONS = ("source", "lang", "topic")
 #: (topic, words of which one must be in the text); the last holds for every other text
 TOPICS = [("tabular", [" | "]), ("legal", ["icense", "rights reserved", "opyright"]), ("contact", ["@"]), ("prose", [])]
+CELLS_A_TASK = 100_000
 #: at most so many copies of one document
 MAX_COPIES = 4
 
@@ -58,17 +59,16 @@ def targets_of(cells: DataFrame, alpha: float) -> DataFrame:
 
 def rake(cells: DataFrame, targets: DataFrame, sweeps: int) -> DataFrame:
     """``cells`` (``source, lang, topic, tokens``) with ``weight``: raked share over token share."""
-    whole = cells.agg(F.sum("tokens").alias("whole"))
-    out = cells.join(F.broadcast(whole)).select(*DIMENSIONS, "tokens", "whole", (F.col("tokens") / F.col("whole")).alias("w"))
-    for sweep in range(sweeps):
+    n, whole = cells.agg(F.count("*"), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    out = cells.select(*DIMENSIONS, "tokens", (F.col("tokens") / F.lit(float(max(whole, 1)))).alias("w"))
+    for _ in range(sweeps):
         for d in DIMENSIONS:
             # one row per value of the margin
             margin = out.groupBy(d).agg(F.sum("w").alias("have")).join(targets.where(F.col("dimension") == d).select(F.col("value").alias(d), "share"), d, "left")
             factor = margin.select(d, F.when(F.col("have") > 0, F.coalesce("share", F.lit(0.0)) / F.col("have")).otherwise(0.0).alias("f"))
-            out = out.join(factor, d).select(*DIMENSIONS, "tokens", "whole", (F.col("w") * F.col("f")).alias("w"))
-        if sweep % 2 == 1 or sweep == sweeps - 1:
-            out = settle(out, "raked")
-    return out.select(*DIMENSIONS, (F.col("w") * F.col("whole") / F.col("tokens")).alias("weight"))
+            # the weights are used twice in each step: written, or the plan would double with every step
+            out = settle(out.join(factor, d).select(*DIMENSIONS, "tokens", (F.col("w") * F.col("f")).alias("w")).coalesce(1 + n // CELLS_A_TASK), "raked")
+    return out.select(*DIMENSIONS, (F.col("w") * F.lit(float(max(whole, 1))) / F.col("tokens")).alias("weight"))
 
 
 def _draw(doc_id: Column, seed: str) -> Column:
