@@ -38,7 +38,7 @@ def counters(df: DataFrame, positions, bits: int, twice: bool = False) -> np.nda
             if b.num_rows:
                 parts.append(positions(b).astype(np.int64))
                 size += len(parts[-1])
-                if size >= 4 << 20:
+                if size >= 1 << 20:
                     yield rows()
                     parts, size = [], 0
         if parts:

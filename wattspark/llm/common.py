@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import hashlib
 import io
 import os
@@ -31,6 +34,15 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, *shared) -> None:
+    """Drop broadcast values whose readers are written, and let Spark's cleaner remove the shuffle files of
+    plans that nothing refers to any more."""
+    for b in shared:
+        b.destroy()
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
@@ -124,7 +136,7 @@ class Words:
 LONG = 4096
 
 
-def _span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+def _span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, block: int = 1 << 18) -> np.ndarray:
     """Hash of the byte spans: a positional polynomial over random byte weights, mixed with the length."""
     out = np.empty(len(start), dtype=U64)
     size = end - start
@@ -164,8 +176,23 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]
 
 
-def pieces(batches, limit: int = 8 << 20, column: str = "text"):
-    """Cut Arrow batches so that each slice holds at most about ``limit`` bytes of text."""
+#: what a worker keeps from task to task, by name: functions that drop it
+CACHES: dict[str, object] = {}
+
+
+def only(cache: str = "") -> None:
+    """Drop what this worker keeps for other operators: it serves many, one after another."""
+    for name in [n for n in CACHES if n != cache]:
+        CACHES.pop(name)()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # a C library without it keeps the memory
+            ctypes.CDLL(None).malloc_trim(0)
+
+
+def pieces(batches, limit: int = 4 << 20, column: str = "text", cache: str = ""):
+    """Cut Arrow batches so that each slice holds at most about ``limit`` bytes of text; of what the worker
+    keeps, only ``cache`` stays."""
+    only(cache)
     for b in batches:
         if not b.num_rows:
             continue

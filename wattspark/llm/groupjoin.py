@@ -10,7 +10,8 @@ work; every order gives the same links.
 2. Groups: members with identical prefix and size. Only prefix elements that a bounded bitmap knows to be
    met twice are shuffled (collisions add rows, never lose one). Pairs of groups that share one
    are filtered by size and by the positions of the shared element.
-3. Stars: in each element's bucket, and in each group, the most typical group (most frequent shingles) is the
+3. Pairs are also dropped when their prefixes share too little for the rest to make up for it.
+   Stars: in each element's bucket, and in each group, the most typical group (most frequent shingles) is the
    hub; its pairs with the others are expanded to members and verified on whole sets. That joins
    near copies of one text without all pairs.
 4. The rest: members of one bucket that are not yet in one component; all those pairs that pass the filters
@@ -31,11 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from wattspark.llm.bitmaps import bit, counters, filter_of, place
-from wattspark.llm.common import U64, Words, as_bytes, mix, pieces, settle, shingles, with_columns
+from wattspark.llm.common import U64, Words, as_bytes, mix, pieces, release, settle, shingles, with_columns
 
 SIZE = 5
 #: size of the counter array that orders shingles, and of the bitmap of shared prefix elements
-ORDER_BITS, SHARED_BITS = 21, 27
+ORDER_BITS, SHARED_BITS = 23, 27
 
 
 def sets_of(texts: list[bytes]) -> list[np.ndarray]:
@@ -62,7 +63,7 @@ def sets_of(texts: list[bytes]) -> list[np.ndarray]:
 def levels_of(counts: np.ndarray) -> np.ndarray:
     """0 for counters that hold no more than chance puts there, then growing with the logarithm."""
     mean = counts.mean() if len(counts) else 0
-    usual = mean + 6 * np.sqrt(mean) + 3
+    usual = mean + 4 * np.sqrt(mean) + 3
     return np.where(counts > usual, 1 + np.floor(2 * np.log2(np.maximum(counts, 1) / usual)), 0).astype(np.uint8)
 
 
@@ -79,13 +80,13 @@ def documents_sets(docs: DataFrame) -> DataFrame:
     src = with_columns(docs, doc_id=F.col("doc_id"), th=F.xxhash64("text"), text=F.col("text"))
 
     def all_shingles(b):
-        found = [place(np.concatenate(s), ORDER_BITS) for part in pieces([b], 4 << 20) if (s := sets_of(as_bytes(part.column("text"))))]
+        found = [place(np.concatenate(s), ORDER_BITS) for part in pieces([b], 2 << 20) if (s := sets_of(as_bytes(part.column("text"))))]
         return np.concatenate(found) if found else np.zeros(0, np.int64)
 
     levels = docs.sparkSession.sparkContext.broadcast(levels_of(counters(src.select("text"), all_shingles, ORDER_BITS)))
 
     def described(batches):
-        for b in pieces(batches, 4 << 20):
+        for b in pieces(batches, 2 << 20):
             sid, size, group, check, score, prefix = [], [], [], [], [], []
             for s in sets_of(as_bytes(b.column("text"))):
                 n = len(s)
@@ -107,20 +108,26 @@ def documents_sets(docs: DataFrame) -> DataFrame:
                  pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["doc_id", "th", "sid", "n", "g", "p", "score", "prefix"])
 
     kind = src.schema["doc_id"].dataType.simpleString()
-    return settle(src.mapInArrow(described, f"doc_id {kind}, th long, sid binary, n int, g long, p long, score int, prefix array<long>"), "sets")
+    out = settle(src.mapInArrow(described, f"doc_id {kind}, th long, sid binary, n int, g long, p long, score int, prefix array<long>"), "sets")
+    release(docs.sparkSession, levels)
+    return out
+
 
+def groups_of(sets: DataFrame) -> DataFrame:
+    """Settled: groups ``g, n, score, multi`` (several members) with their shared prefix elements ``tokens, at``."""
+    def places(flat):  # two hashes, each with half of the bitmap
+        return place(flat, SHARED_BITS), place(flat, SHARED_BITS, 1) + (1 << SHARED_BITS)
 
-def buckets(sets: DataFrame) -> DataFrame:
-    """Settled: shared prefix elements ``token, g, n, pos, score, multi`` (the group has several members)."""
-    tokens = lambda b: place(_flat_list(b.column("prefix")), SHARED_BITS)
-    shared = sets.sparkSession.sparkContext.broadcast(counters(sets.where("n > 0").select("prefix"), tokens, SHARED_BITS, twice=True))
+    tokens = lambda b: np.concatenate(places(_flat_list(b.column("prefix"))))
+    shared = sets.sparkSession.sparkContext.broadcast(counters(sets.where("n > 0").select("prefix"), tokens, SHARED_BITS + 1, twice=True))
 
     def kept(batches):
         for b in batches:
             if b.num_rows:
                 lists = b.column("prefix")
                 flat, n = _flat_list(lists), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-                keep = bit(shared.value, place(flat, SHARED_BITS))
+                one, two = places(flat)
+                keep = bit(shared.value, one) & bit(shared.value, two)
                 pos = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
                 offsets = pa.array(np.append(0, np.cumsum(keep))[np.append(0, np.cumsum(n))].astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
@@ -130,7 +137,19 @@ def buckets(sets: DataFrame) -> DataFrame:
     rows = sets.where("n > 0").select("g", "p", "n", "sid", "score", "prefix").mapInArrow(kept, "g long, p long, n int, sid binary, score int, tokens array<long>, at array<int>")
     groups = rows.where(F.size("tokens") > 0).groupBy("g", "p", "n").agg(
         F.max("score").alias("score"), (F.min("sid") != F.max("sid")).alias("multi"), F.first("tokens").alias("tokens"), F.first("at").alias("at"))
-    return settle(groups.select("g", "n", "score", "multi", F.explode(F.arrays_zip("tokens", "at")).alias("x")).select("x.tokens", "g", "n", F.col("x.at").alias("pos"), "score", "multi").withColumnRenamed("tokens", "token"), "tokens")
+    out = settle(groups.drop("p"), "groups")
+    release(sets.sparkSession, shared)
+    return out
+
+
+def _enough_shared(pairs: DataFrame, groups: DataFrame, a: str, b: str) -> DataFrame:
+    """Those of the distinct group pairs whose prefixes share enough: whatever is shared and not in both
+    prefixes lies behind the one that ends first, so at most max(n - prefix) more can be."""
+    side = lambda g, x: groups.select(F.col("g").alias(g), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"t_{x}"))
+    rows = pairs.join(side(a, "1"), a).join(side(b, "2"), b)
+    behind = lambda n: F.ceil(4 * n / 5) - 1
+    most = F.size(F.array_intersect("t_1", "t_2")) + F.greatest(behind(F.col("n_1")), behind(F.col("n_2")))
+    return rows.where(most >= F.ceil(4 * (F.col("n_1") + F.col("n_2")) / 9)).select(a, b).distinct()
 
 
 def _flat_list(lists: pa.Array) -> np.ndarray:
@@ -157,12 +176,14 @@ def fetch(docs: DataFrame, members: DataFrame, ids: DataFrame) -> DataFrame:
         for b in batches:
             if b.num_rows:
                 b = b.filter(pa.array(bit(shared.value, place(b.column("th").to_numpy(zero_copy_only=False), bits))))
-                for part in pieces([b], 4 << 20):
+                for part in pieces([b], 2 << 20):
                     found = [s for s in sets_of(as_bytes(part.column("text"))) if len(s)]
                     yield pa.RecordBatch.from_arrays([pa.array([_name(s) for s in found], pa.binary()), pa.array([s.astype("<u8").tobytes() for s in found], pa.binary())], names=["sid", "items"])
 
     rows = docs.select(F.xxhash64("text").alias("th"), F.col("text").alias("text")).mapInArrow(chosen, "sid binary, items binary")
-    return settle(rows.groupBy("sid").agg(F.first("items").alias("items")).join(wanted.select("sid"), "sid", "left_semi"), "items")
+    out = settle(rows.groupBy("sid").agg(F.first("items").alias("items")).join(wanted.select("sid"), "sid", "left_semi"), "items")
+    release(docs.sparkSession, shared)
+    return out
 
 
 def verify(pairs: DataFrame, store: DataFrame) -> DataFrame:
@@ -179,7 +200,9 @@ def verify(pairs: DataFrame, store: DataFrame) -> DataFrame:
                 keep.append(100 * both >= 80 * (len(s) - both))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return settle(rows.mapInArrow(exact, "a binary, b binary"), "links")
+    out = settle(rows.mapInArrow(exact, "a binary, b binary"), "links")
+    release(pairs.sparkSession)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -206,12 +229,15 @@ def components(links: DataFrame) -> DataFrame:
 def links_of(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (``a, b`` set ids) that connect all linked sets."""
     members = settle(sets.where("n > 0").groupBy("sid").agg(F.min("th").alias("th"), F.first("n").alias("n"), F.first("g").alias("g")), "members")
-    tokens = buckets(sets)
-    hubs = tokens.groupBy("token").agg(F.count("*").alias("c"), F.max("multi").alias("any"), F.max(F.struct("score", "g", "n", "pos")).alias("hub")).where("c > 1 OR any")
-    rows = settle(tokens.join(hubs.select("token", "hub"), "token"), "buckets")
+    groups = groups_of(sets)
+    tokens = groups.select("g", "n", "score", "multi", F.explode(F.arrays_zip("tokens", "at")).alias("x")).select(F.col("x.tokens").alias("token"), "g", "n", F.col("x.at").alias("pos"), "score", "multi")
+    typical = F.col("score").cast("long") * (1 << 40) + F.pmod("g", F.lit(1 << 40))
+    hubs = tokens.groupBy("token").agg(F.count("*").alias("c"), F.max("multi").alias("any"), *[F.max_by(c, typical).alias(f"hub_{c}") for c in ("g", "n", "pos")]).where("c > 1 OR any").drop("c", "any")
+    rows = settle(tokens.drop("score").join(hubs, "token"), "buckets")
+    release(docs.sparkSession)
     # stars between groups, then from a group's first member to all members of the other, and in the group itself
-    h = F.col("hub")
-    stars = rows.where((F.col("g") != h["g"]) & _may_link(F.col("n"), F.col("pos"), h["n"], h["pos"])).select("g", h["g"].alias("to")).distinct()
+    stars = rows.where((F.col("g") != F.col("hub_g")) & _may_link(F.col("n"), F.col("pos"), F.col("hub_n"), F.col("hub_pos"))).select("g", F.col("hub_g").alias("to")).distinct()
+    stars = _enough_shared(stars, groups, "g", "to")
     several = rows.where("multi").select("g", F.col("g").alias("to")).distinct()
     first = members.groupBy(F.col("g").alias("to")).agg(F.min("sid").alias("hub"))
     tried = settle(_pairs(stars.union(several).join(first, "to").join(members.select("g", "sid"), "g"), "hub", "sid"), "pairs")
@@ -220,13 +246,16 @@ def links_of(docs: DataFrame, sets: DataFrame) -> DataFrame:
     # the rest: members of one bucket in different components
     comp = components(links)
     named = members.select("g", "sid").join(comp, "sid", "left").select("g", "sid", F.coalesce("comp", "sid").alias("comp"))
-    spread = settle(rows.select("token", "g", "n", "pos").join(named, "g").select("token", "sid", "n", "pos", "comp"), "spread")
+    spread = settle(rows.select("token", "g", "n", "pos").join(named, "g"), "spread")
     per = spread.groupBy("token", "comp").agg(F.count("*").alias("c"))
     apart = per.groupBy("token").agg(F.count("*").alias("comps"), F.max(F.struct("c", "comp")).alias("most")).where("comps > 1").select("token", F.col("most.comp").alias("most"))
     left = spread.join(apart, "token")
-    x = left.where("comp != most").select("token", F.col("sid").alias("sid1"), F.col("n").alias("n1"), F.col("pos").alias("p1"), F.col("comp").alias("c1"))
-    y = left.select("token", F.col("sid").alias("sid2"), F.col("n").alias("n2"), F.col("pos").alias("p2"), F.col("comp").alias("c2"))
+    x = left.where("comp != most").select("token", F.col("g").alias("g1"), F.col("sid").alias("sid1"), F.col("n").alias("n1"), F.col("pos").alias("p1"), F.col("comp").alias("c1"))
+    y = left.select("token", F.col("g").alias("g2"), F.col("sid").alias("sid2"), F.col("n").alias("n2"), F.col("pos").alias("p2"), F.col("comp").alias("c2"))
     rest = x.join(y, "token").where((F.col("c1") != F.col("c2")) & _may_link(F.col("n1"), F.col("p1"), F.col("n2"), F.col("p2")))
+    rest = settle(rest.select("g1", "g2", "sid1", "sid2").distinct(), "near")
+    release(docs.sparkSession)
+    rest = rest.where("g1 = g2").unionByName(rest.join(_enough_shared(rest.where("g1 != g2").select("g1", "g2").distinct(), groups, "g1", "g2"), ["g1", "g2"]))
     rest = settle(_pairs(rest, "sid1", "sid2").join(tried, ["a", "b"], "left_anti"), "rest")
     store = fetch(docs, members, rest.select(F.col("a").alias("sid")).union(rest.select("b")))
     return links.union(verify(rest, store))

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from wattspark.llm.common import pieces, with_columns
+from wattspark.llm.common import CACHES, pieces, with_columns
 
 SEGMENT = 256
 #: character classes: padding, space, letters that were not in the training texts, then letters
@@ -108,6 +108,7 @@ class Parser:
         if key not in cls._of:
             cls._of.clear()
             cls._of[key] = cls(model)
+        CACHES["langid"] = cls._of.clear
         return cls._of[key]
 
     def __init__(self, model: dict):
@@ -163,7 +164,7 @@ def predict(docs: DataFrame, model: dict, keep: list[str] = ()) -> DataFrame:
 
     def predicted(batches):
         parser = Parser.get(key, shared.value)
-        for b in pieces(batches, 4 << 20):
+        for b in pieces(batches, 4 << 20, cache="langid"):
             texts = [t or "" for t in b.column("text").to_pylist()]
             if parser.langs:
                 phrases, size, letter = parser.phrases(texts)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from wattspark.llm.bitmaps import bit, counters, filter_of, place
-from wattspark.llm.common import U64, _BYTE, _STEP, as_bytes, mix, pieces, powers, settle, with_columns
+from wattspark.llm.common import U64, _BYTE, _STEP, as_bytes, mix, pieces, powers, release, settle
 
 SPAN, GRAM = 400, 200
 #: a block with more different contexts is counted instead of sorted
@@ -219,7 +219,9 @@ def anchored(rows: DataFrame, span: int, gram: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("k1").take(who), b.column("k2").take(who), pa.array(at[hit], pa.int64()), pa.array(n[hit].astype(np.int32)),
                                               pa.array(a[hit].view(np.int64)), pa.array(f[hit].view(np.int64))], names=["k1", "k2", "at", "n", "a", "f"])
 
-    return settle(rows.select("k1", "k2", "text").mapInArrow(kept, "k1 long, k2 long, at long, n int, a long, f long"), "runs")
+    out = settle(rows.select("k1", "k2", "text").mapInArrow(kept, "k1 long, k2 long, at long, n int, a long, f long"), "runs")
+    release(rows.sparkSession, twice)
+    return out
 
 
 def _texts_of(rows: DataFrame, keys: DataFrame) -> DataFrame:
@@ -234,7 +236,9 @@ def _texts_of(rows: DataFrame, keys: DataFrame) -> DataFrame:
                 yield b.filter(pa.array(bit(shared.value, place(b.column("k2").to_numpy(zero_copy_only=False), bits))))
 
     found = rows.select("k1", "k2", "text").mapInArrow(chosen, "k1 long, k2 long, text string")
-    return settle(found.groupBy("k1", "k2").agg(F.first("text").alias("text")).join(wanted, ["k1", "k2"], "left_semi"), "texts")
+    out = settle(found.groupBy("k1", "k2").agg(F.first("text").alias("text")).join(wanted, ["k1", "k2"], "left_semi"), "texts")
+    release(rows.sparkSession, shared)
+    return out
 
 
 def _sorted_blocks(contexts: DataFrame, span: int) -> DataFrame:

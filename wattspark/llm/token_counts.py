@@ -70,7 +70,7 @@ def count_tokens(docs: DataFrame, vocab: str, limit: int = 1024, chunk_chars: in
     src = with_columns(docs, doc_id=F.col("doc_id"), text=F.col("text"))
 
     def library(batches):
-        for b in pieces(batches):
+        for b in pieces(batches, 2 << 20, cache="tokens"):
             texts = pc.fill_null(b.column("text"), "")
             if vocab.endswith(".model"):
                 import sentencepiece

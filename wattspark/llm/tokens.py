@@ -17,10 +17,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from wattspark.llm.common import CACHES
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: units kept per worker; at the limit the memory is emptied and filled anew
-KEEP = 330_000
+KEEP = 420_000
 
 # letters of which each is of category L, and ASCII marks without the apostrophe (it starts contractions)
 _LET = "A-Za-zÀ-ÖØ-öø-ɏ"
@@ -46,6 +48,7 @@ class UnitEncoder:
         """One per worker and vocabulary file."""
         if path not in cls._of:
             cls._of[path] = cls(path)
+        CACHES["tokens"] = cls._of.clear
         return cls._of[path]
 
     def __init__(self, path: str):
@@ -72,7 +75,7 @@ class UnitEncoder:
 
     def _letters(self, text: str) -> bytes:
         """Ids of one piece of letters (with or without a space before it)."""
-        mapped = text.encode().decode("latin-1").translate(self.chars)
+        mapped = text.replace(" ", "Ġ") if text.isascii() else text.encode().decode("latin-1").translate(self.chars)
         return array.array(self.code, [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
     def _head(self, text: str) -> bytes:
@@ -84,6 +87,8 @@ class UnitEncoder:
         return got
 
     def _unit(self, unit: str) -> bytes:
+        if unit.isascii() and unit.isalpha():
+            return self._letters(" " + unit)
         m = _PLAIN.fullmatch(unit)
         if not m:
             return self._ids(" " + unit)
