@@ -205,6 +205,100 @@ of the Software."""
     assert got[9] == "CC-BY-NC-4.0" and got[3] == got[4] == "" and licences.scan(odd).count() == len(ROWS) and licences.scan(empty).count() == 0
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+ISC = """ISC License
+
+Copyright (c) 2020 Some Body
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+BSD = """BSD 3-Clause License
+
+Copyright (c) 2020, Some Body
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL2 = """ * This program is free software; you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation; either version 2 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU General Public License for more details.
+"""
+GPL3 = GPL2.replace("software;", "software:").replace("Foundation; either version 2", "Foundation, either version 3").replace(" * ", "# ").replace(" *\n", "#\n")
+MPL = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at http://mozilla.org/MPL/2.0/. */
+"""
+APACHE = """# Copyright 2020 Some Body
+#
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License.
+"""
+
+
+def scanned(spark, *texts):
+    rows = licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    return [(r.sentence_ids, r.licences) for r in rows]
+
+
+def test_published_licence_texts(spark):
+    want = [("<MITGrant><MITNotice><MITAsIs><MITLiable>", "MIT"), ("<ISCGrant>", "ISC"), ("<BSDGrant><BSDSource><BSDBinary><BSDNames>", "BSD-3-Clause"),
+            ("<GPL2Grant><GPLWarranty>", "GPL-2.0-or-later"), ("<GPL3Grant><GPLWarranty>", "GPL-3.0-or-later"), ("<MPL2Ref>", "MPL-2.0")]
+    texts = [MIT, ISC, BSD, GPL2, GPL3, MPL]
+    assert scanned(spark, *texts) == want
+    assert scanned(spark, *[t.replace("\n", "\r\n") for t in texts]) == want
+    # a mark that the published text does not have parts a sentence
+    assert scanned(spark, "All rights. Reserved", "Licensed under the Apache License, Version 2.0.\nThe License: see there") == [("", ""), ("<ApacheRef>", "Apache-2.0")]
+
+
 # ------------------------------------------------------------------ 6: decontamination
 def test_leaks(spark, rows, odd, empty):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF0001}/benchmark.parquet").collect()]

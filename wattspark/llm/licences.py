@@ -1,12 +1,16 @@
 """License scans (operator 9): sentence-rule recognition.
 
-A text is cut into sentences; a normalised sentence (lower case, runs of other characters as one
-space) that is a known licence sentence becomes its identifier. The sequence of identifiers is
-matched against ordered rules; a rule that matches consumes its identifiers, so that a header is not
+A known licence sentence (lower case, runs of other characters as one space) that stands whole between two
+ends becomes its identifier. Ends are line ends and sentence marks before white space. The sequence of
+identifiers is matched against ordered rules; a rule that matches consumes its identifiers, so that a header is not
 also reported as the shorter reference which it contains. What no rule consumes is reported as left.
 
-Lines are always sentence ends, since texts put one statement on a line; a wrapped licence text is
-also read with its lines joined, and the reading that recognises more sentences counts.
+A known sentence may run over line ends, blank ones too, so that wrapped texts and notices of one line are
+read alike, wherever they stand in a text. It may run over a sentence mark only where the published text has one
+(``MARKED``: "free software; you can"). Of several that start at one place, the longest counts.
+
+``oracle`` is the SQL of the earlier reading (by line or with all lines joined, whichever knows more sentences);
+both agree on texts whose licence sentences stand on lines of their own.
 
 DataFrame functions only, no shuffle: the sentence table is a constant.
 
@@ -80,13 +84,29 @@ RULES = [
 #: every known sentence has one of these words: texts without them need no cutting
 TRIGGERS = ["licens", "copyright", "warrant", "permission", "rights reserved", "redistribut", "free software"]
 
+#: word pairs of known sentences with a sentence mark between them in the published text
+MARKED = ["software you", "foundation either", "warranty without", "v 2"]
+#: capitals are free in lower-case text: ``L`` is a line end, ``M`` a sentence mark
+_MARKS = [("[.!?;:][ \\t\\r\\n]+", "M"), ("\\n", "L"), ("[^a-z0-9LM]+", " "), ("L[ L]*+", "L"), ("M[ LM]*+", "M"), (" ?L?M", "M"), (" L", "L")]
+
+
+def _pattern() -> str:
+    """A known sentence between two ends, the longest first."""
+    def one(sentence):
+        words = sentence.split()
+        return words[0] + "".join(("[ LM]" if f"{a} {b}" in MARKED else "[ L]") + b for a, b in zip(words, words[1:]))
+
+    return "(?<=[LM])(?:" + "|".join(one(s) for s in sorted(SENTENCES, key=len, reverse=True)) + ")(?=[LM])"
+
 
 def _ids(text: Column) -> Column:
     """Identifiers of the known sentences of ``text`` in order, as ``<A><B>``."""
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    plain = lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
-    sentences = F.transform(F.split(F.regexp_replace(text, "([.!?;:])[ \\t\\r\\n]+", "$1\n"), "\n"), plain)
-    return F.array_join(F.transform(F.filter(sentences, lambda s: F.map_contains_key(known, s)), lambda s: F.concat(F.lit("<"), F.element_at(known, s), F.lit(">"))), "")
+    plain = F.concat(F.lit("\n"), F.lower(text), F.lit("\n"))
+    for pattern, by in _MARKS:
+        plain = F.regexp_replace(plain, pattern, by)
+    found = F.regexp_extract_all(plain, F.lit(_pattern()), F.lit(0))
+    return F.array_join(F.transform(found, lambda s: F.concat(F.lit("<"), F.element_at(known, F.translate(s, "LM", "  ")), F.lit(">"))), "")
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -98,9 +118,7 @@ def scan(docs: DataFrame) -> DataFrame:
         maybe = maybe | lower.contains(t)
     count = lambda c: F.length(c) - F.length(F.replace(c, F.lit("<")))
     rows = docs.select(F.col("doc_id").alias("doc_id"), F.when(maybe, text).alias("text"))
-    by_line, joined = _ids(F.col("text")), _ids(F.regexp_replace("text", "[ \\t\\r]*\\n[ \\t\\r]*", " "))
-    rows = rows.select("doc_id", F.coalesce(by_line, F.lit("")).alias("by_line"), F.coalesce(joined, F.lit("")).alias("joined"))
-    rows = rows.select("doc_id", F.when(count(F.col("joined")) > count(F.col("by_line")), F.col("joined")).otherwise(F.col("by_line")).alias("ids"))
+    rows = rows.select("doc_id", F.coalesce(_ids(F.col("text")), F.lit("")).alias("ids"))
     rows = rows.withColumns({"rest": F.col("ids"), "found": F.lit("")})
     for name, ids in RULES:
         want = "".join(f"<{i}>" for i in ids)
