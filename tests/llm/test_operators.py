@@ -299,6 +299,16 @@ def test_published_licence_texts(spark):
     assert scanned(spark, "All rights. Reserved", "Licensed under the Apache License, Version 2.0.\nThe License: see there") == [("", ""), ("<ApacheRef>", "Apache-2.0")]
 
 
+
+def test_licences_of_mixed_documents(spark):
+    notices = "Licensed under CC BY-NC 4.0\nReleased under the MIT License\nLicensed under the GNU General Public License version 3\n"
+    got = scanned(spark, APACHE, MIT + "\n" + notices, notices + MIT, "Some text.\nAll rights\nreserved", "All  rights  reserved.", "x. ALL RIGHTS\r\n * RESERVED. y")
+    grant = "<MITGrant><MITNotice><MITAsIs><MITLiable>"
+    lines = "<CCBYNC4Ref><MITRef><GPL3Ref>"
+    assert got == [("<ApacheHead><ApacheComply><ApacheCopy><ApacheUrl><ApacheAsIs><ApacheSee>", "Apache-2.0"), (grant + lines, "MIT,GPL-3.0,CC-BY-NC-4.0"),
+                   (lines + grant, "MIT,GPL-3.0,CC-BY-NC-4.0")] + [("<AllRights>", "Proprietary")] * 3
+    assert all(any(t in word for t in licences.WORDS for word in s.split()) for s in licences.SENTENCES)
+
 # ------------------------------------------------------------------ 6: decontamination
 def test_leaks(spark, rows, odd, empty):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF0001}/benchmark.parquet").collect()]

@@ -81,7 +81,10 @@ RULES = [
     ("Proprietary", ["AllRights"]),
 ]
 
-#: every known sentence has one of these words: texts without them need no cutting
+#: every known sentence has one of these inside a single word, which no line end or space can part: texts without them
+#: need no cutting
+WORDS = ["licens", "copyright", "warrant", "permission", "reserved", "redistribut"]
+#: those of the SQL
 TRIGGERS = ["licens", "copyright", "warrant", "permission", "rights reserved", "redistribut", "free software"]
 
 #: word pairs of known sentences with a sentence mark between them in the published text
@@ -113,8 +116,8 @@ def scan(docs: DataFrame) -> DataFrame:
     """``doc_id, n_sentences, sentence_ids, licences, left_ids`` for every row of ``docs``."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lower = F.lower(text)
-    maybe = lower.contains(TRIGGERS[0])
-    for t in TRIGGERS[1:]:
+    maybe = lower.contains(WORDS[0])
+    for t in WORDS[1:]:
         maybe = maybe | lower.contains(t)
     count = lambda c: F.length(c) - F.length(F.replace(c, F.lit("<")))
     rows = docs.select(F.col("doc_id").alias("doc_id"), F.when(maybe, text).alias("text"))
