@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -126,6 +127,23 @@ def test_pii_terms_that_disclose_an_entity(spark):
     assert softer[0] == "report by gardener [TERM] for [EMAIL] number 0"
 
 
+def test_pii_terms_at_any_distance(spark):
+    far = "plain words about the weather and the harvest " * 3
+    # near once and far once; twice in a text; a short name; a number; copies of one text are no evidence
+    rows = [(i, f"Quillfeather wrote, {far} to q.f@mail.example.org no {i} {'Quillfeather' if i else far}, signed Kim, box 7714, quillfeather or kim, the rest") for i in range(3)]
+    rows += [(10 + i, f"{far} the rest to no {i} signed wrote or box") for i in range(200)] + [(300 + i, f"Hapaxon {far} h@mail.example.org") for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r for r in pii.detect(docs).collect()}
+    assert {x.term for r in found.values() for x in r.terms} == {"quillfeather", "kim", "7714"}
+    for i, t in rows[:3]:
+        want = [(m.start(), m.end()) for m in re.finditer("quillfeather|kim|7714", t.lower())]
+        assert [(x.s, x.e) for x in found[i].terms] == want and len(want) >= 5
+    assert all(x in r.text.lower() for r in pii.sanitise(docs).where("doc_id >= 300").collect() for x in ("hapaxon", "[email]"))
+    assert not any(x in r.text.lower() for r in pii.sanitise(docs).where("doc_id < 3").collect() for x in ("quillfeather", "kim", "7714"))
+    alone = {x.term for r in pii.detect(docs, support=1).where("doc_id >= 300").collect() for x in r.terms}
+    assert alone == {"hapaxon"}
+
+
 def test_pii_awkward_rows(odd, empty):
     got = pii.digest(pii.detect(odd)).collect()
     assert len(got) == len(ROWS) and sum(r.n_email for r in got) == 3

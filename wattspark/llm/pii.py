@@ -1,13 +1,18 @@
 """PII (operator 2): patterns find entities, corpus co-occurrence finds the terms that reveal them.
 
-Entities are e-mail addresses, IP addresses, card and phone numbers. A term that stands near an entity
-(within ``WINDOW`` characters) discloses it as far as seeing the term tells of the entity: with document
-frequencies over the whole corpus, ``PMI(entity; term) / IC(entity)``, which is 1 if the term is never seen
-elsewhere. Near an entity, terms of at least ``generalise`` are generalised, those of at least ``remove``
-removed, if ``support`` different texts show the pair (one text alone is no evidence).
+Entities are e-mail addresses, IP addresses, card and phone numbers. A term that stands in a document with an
+entity, at any distance, discloses it as far as seeing the term tells of the entity: with document frequencies over
+the whole corpus, ``PMI(entity; term) / IC(entity)``, which is 1 if the term is never seen elsewhere. In documents
+with the entity, all occurrences of terms of at least ``generalise`` are generalised, those of at least ``remove``
+removed, if ``support`` different texts show the pair (by default one text, or copies of one, is no evidence).
 
-DataFrame functions only. The document frequency of every term comes from one partial aggregate over the
-whole corpus, then joined with the few candidate pairs; nothing is broadcast but by Spark's own size check.
+Terms are runs of letters, marks and digits outside the entities, compared in lower case, and one definition of
+"the document has the term" serves every count. A run of letters under four characters is replaced only in a
+document that has it with a capital (names), so that short function words stay.
+
+DataFrame functions only. The document frequency of every term comes from one partial aggregate over the whole
+corpus. Pairs are made only of entities that ``support`` texts have, once for each different text (copies are
+counted), and added up by a partial aggregate; nothing is broadcast but by Spark's own size check.
 
 Offsets count code points. Defined results: a null text counts as empty and has no spans; rows equal in id
 and text get the same spans; an empty table gives an empty result; extra columns pass through ``sanitise``.
@@ -35,9 +40,9 @@ MAYBE = {
     "phone": lambda t: t.contains("+"),
 }
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-#: characters on each side of an entity in which terms count as near
-WINDOW = 60
-TERM = r"\p{L}{4,}"
+TERM = r"[\p{L}\p{M}\p{N}]++"
+#: letters that a term needs to be replaced in lower case
+LETTERS = 4
 _EMPTY = "cast(array() as array<struct<s:int,e:int,v:string>>)"
 
 
@@ -76,57 +81,78 @@ def _valid(kind: str):
     return check
 
 
-def _near(side: str) -> str:
-    """SQL: the terms left or right of entity ``x`` in ``text``, whole words only."""
-    if side == "left":
-        at, size = f"greatest(x.s - {WINDOW}, 0)", f"least(x.s, {WINDOW})"
-        whole = f"(z.s > 0 or x.s <= {WINDOW})"
-    else:
-        at, size = "x.e", f"{WINDOW}"
-        whole = f"(z.e < {WINDOW} or x.e + {WINDOW} >= length(text))"
-    found = _spans(f"substring(text, {at} + 1, {size})", TERM)
-    return f"transform(filter({found}, z -> {whole}), z -> named_struct('entity', x.entity, 'term', lower(z.v), 's', z.s + {at}, 'e', z.e + {at}))"
+#: SQL: ``text`` with blanks for the spans of ``every``, so that offsets stay
+_MASKED = """aggregate(sort_array(every), named_struct('pos', 0, 'out', ''),
+      (acc, x) -> named_struct('pos', greatest(acc.pos, x.e), 'out', if(x.e > acc.pos,
+        concat(acc.out, substring(text, acc.pos + 1, greatest(x.s - acc.pos, 0)), repeat(' ', x.e - greatest(x.s, acc.pos))), acc.out)),
+      acc -> concat(acc.out, substring(text, acc.pos + 1)))"""
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """Base spans and near terms of each row, settled without the texts: ``doc_id, h1, h2``, the kinds, ``near``."""
+    """Base spans of each row, settled: ``doc_id, h1, h2``, the kinds, ``entities`` and ``words`` (both different
+    ones), and of rows with an entity ``masked``, the text with blanks for them."""
     rows = entities(docs)
     every = "concat(" + ", ".join(f"transform({k}, x -> named_struct('s', x.s, 'e', x.e, 'entity', concat('{k}:', lower(x.v))))" for k in KINDS) + ")"
     rows = rows.withColumn("every", F.expr(every))
-    near = f"flatten(transform(every, x -> concat({_near('left')}, {_near('right')})))"
-    outside = f"filter({near}, n -> not exists(every, x -> x.s < n.e and n.s < x.e))"
-    empty = "cast(array() as array<struct<entity:string,term:string,s:int,e:int>>)"
+    rows = rows.withColumn("masked", F.when(F.size("every") > 0, F.expr(_MASKED)))
+    words = F.array_distinct(F.transform(F.regexp_extract_all(F.coalesce("masked", "text"), F.lit(TERM), F.lit(0)), F.lower))
     return settle(rows.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"),
                               *[F.transform(k, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))).alias(k) for k in KINDS],
-                              F.when(F.size("every") > 0, F.expr(outside)).otherwise(F.expr(empty)).alias("near")), "pii")
+                              F.array_distinct(F.transform("every", lambda x: x["entity"])).alias("entities"), words.alias("words"), "masked"), "pii")
+
+
+def holders(found: DataFrame, support: int) -> tuple[DataFrame, DataFrame]:
+    """(``entity, of_entity`` of the entities that ``support`` texts have; the texts with such, once each:
+    ``h1, h2, copies, held, words``, settled)."""
+    rows = found.where(F.size("entities") > 0)
+    known = settle(rows.select("h1", F.explode("entities").alias("entity")).groupBy("entity")
+                   .agg(F.count("*").alias("of_entity"), F.count_distinct("h1").alias("texts")).where(F.col("texts") >= support).drop("texts"), "pii-known")
+    # the words stay behind while the entities are looked up
+    held = (rows.select("h1", "h2", "entities").dropDuplicates(["h1", "h2"]).select("h1", "h2", F.explode("entities").alias("entity"))
+            .join(known, "entity").groupBy("h1", "h2").agg(F.collect_list("entity").alias("held")))
+    texts = rows.groupBy("h1", "h2").agg(F.count("*").alias("copies"), F.first("words").alias("words"))
+    return known, settle(held.join(texts, ["h1", "h2"]), "pii-held")
+
+
+def _pairs(texts: DataFrame) -> DataFrame:
+    return texts.select("h1", "h2", "copies", F.explode("held").alias("entity"), "words").select("h1", "h2", "copies", "entity", F.explode("words").alias("term"))
 
 
-def disclosures(docs: DataFrame, found: DataFrame, generalise: float, support: int) -> DataFrame:
+def disclosures(found: DataFrame, known: DataFrame, texts: DataFrame, generalise: float, support: int) -> DataFrame:
     """``entity, term, disclosure`` of the pairs that disclose at least ``generalise``."""
     n_docs = found.count()
-    seen = found.select("doc_id", "h1", "h2", F.explode("near").alias("n")).select("doc_id", "h1", "h2", "n.entity", "n.term").distinct()
-    pairs = seen.groupBy("entity", "term").agg(F.count("*").alias("both"), F.count_distinct("h1").alias("texts")).where(F.col("texts") >= support).drop("texts")
-    # documents with the entity, among those with a near term
-    with_entity = seen.select("doc_id", "h1", "h2", "entity").distinct().groupBy("entity").agg(F.count("*").alias("of_entity"))
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    with_term = words.groupBy("term").agg(F.count("*").alias("of_term"))
-    rows = pairs.join(with_entity, "entity").join(with_term, "term")
+    pairs = _pairs(texts).groupBy("entity", "term").agg(F.sum("copies").alias("both"), F.count("*").alias("texts")).where(F.col("texts") >= support).drop("texts")
+    with_term = found.select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("of_term"))
+    rows = pairs.join(known, "entity").join(with_term, "term")
     pmi = F.log(F.lit(float(n_docs)) * F.col("both") / (F.col("of_entity") * F.col("of_term")))
     content = F.log(F.lit(float(n_docs)) / F.col("of_entity"))
     return rows.select("entity", "term", F.when(content > 0, pmi / content).otherwise(0.0).alias("disclosure")).where(F.col("disclosure") >= generalise)
 
 
+#: SQL: where the terms of ``told`` stand in ``masked``
+_HITS = f"""aggregate(
+      filter(zip_with(split(masked, {_quoted(TERM)}, -1), regexp_extract_all(masked, {_quoted(TERM)}, 0), (a, b) -> named_struct('a', length(a), 'v', b, 'term', lower(b))), z -> z.v is not null),
+      named_struct('pos', 0, 'out', {_EMPTY}),
+      (acc, z) -> named_struct('pos', acc.pos + z.a + length(z.v), 'out', if(array_contains(told.term, z.term),
+        concat(acc.out, array(named_struct('s', acc.pos + z.a, 'e', acc.pos + z.a + length(z.v), 'v', z.v))), acc.out)),
+      acc -> acc.out)"""
+
+
 def detect(docs: DataFrame, generalise: float = 0.8, remove: float = 0.95, support: int = 2) -> DataFrame:
     """Per row ``doc_id, h1, h2``, the base kinds and ``terms`` (start, end, term, removed), settled."""
     found = find(docs)
-    told = disclosures(docs, found, generalise, support)
-    # a null id equals a null id here
-    hits = (found.where(F.size("near") > 0).select("doc_id", "h1", "h2", F.explode("near").alias("n")).select("doc_id", "h1", "h2", "n.*").join(told, ["entity", "term"])
-            .groupBy("doc_id", "h1", "h2", "s", "e", "term").agg((F.max("disclosure") >= remove).alias("removed"))
-            .groupBy("doc_id", "h1", "h2").agg(F.sort_array(F.collect_list(F.struct("s", "e", "term", "removed"))).alias("terms")))
-    a, b = found.alias("a"), hits.alias("b")
-    rows = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.h1") == F.col("b.h1")) & (F.col("a.h2") == F.col("b.h2")), "left")
-    return rows.select("a.doc_id", "a.h1", "a.h2", *[f"a.{k}" for k in KINDS], F.coalesce("b.terms", F.expr("cast(array() as array<struct<s:int,e:int,term:string,removed:boolean>>)")).alias("terms"))
+    known, texts = holders(found, support)
+    pairs = disclosures(found, known, texts, generalise, support)
+    told = (_pairs(texts).join(pairs, ["entity", "term"]).groupBy("h1", "h2", "term").agg((F.max("disclosure") >= remove).alias("removed"))
+            .groupBy("h1", "h2").agg(F.collect_list(F.struct("term", "removed")).alias("told")))
+    base = ["doc_id", "h1", "h2", *KINDS]
+    rows = found.where(F.size("entities") > 0).join(told, ["h1", "h2"], "left").select(*base, "told", F.when(F.col("told").isNotNull(), F.expr(_HITS)).alias("hits"))
+    # a short word without a digit needs a capital somewhere in the document
+    apt = rf"filter(hits, x -> x.e - x.s >= {LETTERS} or x.v rlike r'\p{{N}}' or exists(hits, y -> lower(y.v) = lower(x.v) and y.v <> lower(y.v)))"
+    named = f"transform({apt}, x -> named_struct('s', x.s, 'e', x.e, 'term', lower(x.v), 'removed', told.removed[int(array_position(told.term, lower(x.v))) - 1]))"
+    empty = F.expr("cast(array() as array<struct<s:int,e:int,term:string,removed:boolean>>)")
+    rows = rows.select(*base, F.coalesce(F.expr(named), empty).alias("terms"))
+    return rows.unionByName(found.where(F.size("entities") == 0).select(*base, empty.alias("terms")))
 
 
 def digest(found: DataFrame) -> DataFrame:
