@@ -209,6 +209,20 @@ def test_mixing_meets_its_targets(spark, docs, odd, empty):
     assert mixing.sample(odd).columns == odd.columns and mixing.sample(empty).count() == 0 and mixing.calibrate(empty).count() == 0
 
 
+def test_mixing_sample_meets_its_targets(spark):
+    counts = {"big": 5000, "rare": 30, **{f"s{i}": 525 for i in range(19)}}
+    names = [n for n, k in counts.items() for _ in range(k)]
+    docs = spark.createDataFrame([(i, f"ten plain words stand in this text of number {i}", "en", n) for i, n in enumerate(names)], "doc_id long, text string, lang string, source string")
+    drawn = mixing.sample(docs)
+    got = {r.source: r["count"] for r in drawn.groupBy("source").count().collect()}
+    whole, root = sum(got.values()), sum(k ** 0.5 for k in counts.values())
+    want = {n: k ** 0.5 / root for n, k in counts.items()}
+    assert got["big"] / whole == pytest.approx(want["big"], rel=0.1) and got["rare"] / whole == pytest.approx(want["rare"], rel=0.2)
+    assert sum(abs(got[n] / whole - want[n]) for n in counts) < 0.05 and whole == pytest.approx(len(names), rel=0.05)
+    copies = [r["count"] for r in drawn.where("source = 'rare'").groupBy("doc_id").count().collect()]
+    assert len(copies) == 30 and set(copies) <= {5, 6}
+
+
 def test_licences(odd, empty, spark):
     grant = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
 documentation files (the "Software"), to deal in the Software without restriction, including without limitation

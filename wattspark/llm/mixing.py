@@ -4,7 +4,8 @@ Token counts per (source, language, topic) cell are raked: in turn for source, l
 each cell's weight is multiplied by target share / present share of its margin value, for a fixed number
 of sweeps. A cell's weight over its token count, with mean 1 over all tokens, calibrates its documents:
 each is expected ``rate * weight`` times in the sample, drawn by a hash of its id, so a lost task redraws
-the same. Targets default to the margin's own shares to the power ``alpha``, renormalised (1: as is,
+the same. ``sample`` returns a document as many times as it is drawn, so that its token shares meet the targets;
+the ``copies`` of ``calibrate`` stop at ``MAX_COPIES``, as its SQL defines them. Targets default to the margin's own shares to the power ``alpha``, renormalised (1: as is,
 0: uniform); a table of (dimension, value, share) can be given instead, whose missing values get 0.
 
 DataFrame functions only. Cells come from a partial (map-side) aggregate, so a hot source costs one
@@ -28,7 +29,7 @@ DIMENSIONS = ("source", "lang", "topic")
 #: (topic, words of which one must be in the text); the last holds for every other text
 TOPICS = [("tabular", [" | "]), ("legal", ["icense", "rights reserved", "opyright"]), ("contact", ["@"]), ("prose", [])]
 CELLS_A_TASK = 100_000
-#: at most so many copies of one document
+#: at most so many ``copies`` in the table of ``calibrate``; ``sample`` has no such limit
 MAX_COPIES = 4
 
 
@@ -77,8 +78,10 @@ def _draw(doc_id: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") / F.lit(float(16 ** 13))
 
 
-def _copies(weight: Column, draw: Column, rate: float) -> Column:
-    want = F.least(F.round(weight * rate, 9), F.lit(float(MAX_COPIES)))
+def _copies(weight: Column, draw: Column, rate: float, most: int | None = None) -> Column:
+    want = F.round(weight * rate, 9)
+    if most is not None:
+        want = F.least(want, F.lit(float(most)))
     return (F.floor(want) + F.when(draw < want - F.floor(want), 1).otherwise(0)).cast("long")
 
 
@@ -93,16 +96,17 @@ def calibrate(docs: DataFrame, alpha: float = 0.5, sweeps: int = 6, rate: float
     """``doc_id, source, lang, topic, n_tokens, weight, copies`` for every row of ``docs``."""
     slim, weights = weigh(docs, alpha, sweeps, targets)
     rows = slim.join(weights, list(DIMENSIONS), "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
-    return rows.select("doc_id", *DIMENSIONS, "n_tokens", F.round("weight", 6).alias("weight"), _copies(F.col("weight"), _draw(F.col("doc_id"), seed), rate).alias("copies"))
+    return rows.select("doc_id", *DIMENSIONS, "n_tokens", F.round("weight", 6).alias("weight"), _copies(F.col("weight"), _draw(F.col("doc_id"), seed), rate, MAX_COPIES).alias("copies"))
 
 
 def sample(docs: DataFrame, alpha: float = 0.5, sweeps: int = 6, rate: float = 1.0, seed: str = "mix", targets: DataFrame | None = None) -> DataFrame:
-    """The rows of ``docs`` that the calibrated draw takes at least once, with all their columns."""
+    """The rows of ``docs``, each as many times as the calibrated draw takes it, with all their columns."""
     _, weights = weigh(docs, alpha, sweeps, targets)
     weights = weights.select(*[F.col(d).alias(f"__{d}") for d in DIMENSIONS], F.col("weight").alias("__weight"))
     keys = {f"__{n}": c for n, c in _cell_columns(docs).items() if n in DIMENSIONS}
     rows = docs.withColumns(keys).join(weights, list(keys), "left")
-    return rows.where(_copies(F.coalesce("__weight", F.lit(0.0)), _draw(F.col("doc_id"), seed), rate) >= 1).select(*docs.columns)
+    rows = rows.withColumn("__copies", _copies(F.coalesce("__weight", F.lit(0.0)), _draw(F.col("doc_id"), seed), rate)).where("__copies >= 1")
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
 
 
 def oracle(alpha: float = 0.5, sweeps: int = 6, rate: float = 1.0, seed: str = "mix", documents: str = "documents") -> str:
