@@ -460,6 +460,14 @@ def test_repeated_bytes(spark, rows, limit):
     assert sorted(map(tuple, got)) == sorted(B.repeats(rows))
 
 
+def test_runs_do_not_depend_on_the_batch():
+    rng = np.random.default_rng(4)
+    held, full = (rng.integers(0, 256, n, dtype=np.uint8).tobytes() for n in (suffixes._SLICE - 88, suffixes._SLICE + suffixes.SPAN - 1))
+    text, *both = suffixes.runs([held, full])
+    alone = suffixes.runs([full])[1:]
+    assert len(held) + len(full) > 1 << suffixes._LOW and all((x[text == 1] == y).all() if (text == 1).sum() == len(y) else False for x, y in zip(both, alone))
+
+
 def test_repeated_bytes_awkward_rows(odd, empty):
     got = sorted(map(tuple, suffixes.dedup(odd, keep_text=True).drop("kept").collect()), key=str)
     assert got == sorted(B.repeats([(i, t) for i, t, *_ in ROWS]), key=str)

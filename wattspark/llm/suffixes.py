@@ -52,6 +52,9 @@ def runs(texts: list[bytes], span: int = SPAN, gram: int = GRAM):
     for i, t in enumerate(texts):
         for lo in range(0, max(len(t) - span + 1, 0), _SLICE):  # slices share span - 1 bytes: every window is in one
             piece = t[lo:lo + _SLICE + span - 1]
+            if size + len(piece) > 1 << _LOW:  # positions of a batch have _LOW bits
+                flush()
+                part, owner, begin, size = [], [], [], 0
             part.append(piece)
             owner.append(i)
             begin.append(lo)
