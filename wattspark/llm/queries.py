@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wattspark.llm import common as C, licences, mixing, pii
+from wattspark.llm import common as C, licences, line_dedup, merkle, mixing, pii
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -97,3 +97,26 @@ ORACLE["op9_licences"] = licences.oracle()
 def op10_suffix_dedup(spark, d):
     from wattspark.llm import suffixes as S
     return S.dedup(documents(spark, d))
+
+
+@query("op11_line_dedup")
+def op11_line_dedup(spark, d):
+    return line_dedup.digest(line_dedup.dedup(documents(spark, d), min_docs=10, min_chars=1))
+
+
+ORACLE["op11_line_dedup"] = line_dedup.oracle(min_docs=10, min_chars=1)
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark, d):
+    from wattspark.llm import periodic as P
+    return P.digest(P.collapse(P.planted(documents(spark, d)), min_words=12))
+
+
+@query("op13_merkle_manifest")
+def op13_merkle_manifest(spark, d):
+    docs = documents(spark, d)
+    return merkle.digest(merkle.verify(docs, merkle.third(docs["doc_id"])))
+
+
+ORACLE["op13_merkle_manifest"] = merkle.oracle()
