@@ -721,3 +721,20 @@ ORACLE["a2_file_time_pruning"] = """
 WITH r AS (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM events)
 SELECT event_id, ts, value FROM events, r
 WHERE epoch_us(ts) BETWEEN lo + round((hi - lo) / 4.0) AND hi - round((hi - lo) / 4.0)"""
+
+# ----------------------------------------------------------------------------- snapshot tables
+ORACLE["b3_snapshot_lineage"] = """SELECT 'weekday' || (dayofweek(ts) + 1) AS source_file, count(*) AS rows, CAST((dayofweek(ts) + 1) // 2 + 1 AS BIGINT) AS version
+FROM events GROUP BY dayofweek(ts)"""
+ORACLE["b4_snapshot_history"] = """
+WITH e AS (SELECT *, (dayofweek(ts) + 1) // 2 + 1 AS v FROM events),
+s(version, parent, operation) AS (VALUES (1, NULL, 'create'), (2, 1, 'append'), (3, 2, 'append'), (4, 3, 'append'), (5, 4, 'replace'), (6, 5, 'rollback'))
+SELECT CAST(version AS BIGINT) AS version, CAST(parent AS BIGINT) AS parent, operation, count(*) AS n, count(*) AS rows, round(sum(value), 4) AS total
+FROM s JOIN e ON CASE version WHEN 5 THEN event_type = 'view' ELSE v <= version END GROUP BY ALL"""
+ORACLE["a7_snapshot_scan"] = """
+WITH r AS (SELECT epoch_us(min(ts)) AS lo, epoch_us(max(ts)) AS hi FROM events)
+SELECT event_id, ts, user_id, value FROM events, r WHERE event_type IN ('signup', 'purchase')
+AND epoch_us(ts) >= lo + round((hi - lo) / 3.0) AND epoch_us(ts) < lo + round((hi - lo) * 2 / 3.0)"""
+ORACLE["a7_host_lookup"] = """SELECT event_id, ts, user_id, value FROM events
+WHERE user_id = (SELECT user_id FROM events ORDER BY value DESC NULLS LAST, user_id DESC LIMIT 1)"""
+ORACLE["b6_planned_files"] = """SELECT CAST(count(*) AS BIGINT) AS rows, min(ts) AS first_ts, max(ts) AS last_ts, min(user_id) AS first_host, max(user_id) AS last_host,
+CAST(count(*) FILTER (WHERE value IS NULL) AS BIGINT) AS null_values FROM events"""

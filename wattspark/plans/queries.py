@@ -733,6 +733,65 @@ def a10_file_checksum_verify(spark, d):
     return LK.checksum_verify(spark, d, expected).select("file", "status")
 
 
+# --------------------------------------------------------------------------- snapshot tables
+from wattspark.sources import snapshots as SN  # noqa: E402
+
+EVENT_COLUMNS = ["event_id", "ts", "user_id", "event_type", "value"]
+
+
+def _events_snapshots(spark, d) -> SN.SnapshotTable:
+    """events as a snapshot table: one load per weekday pair, a replace that is rolled back, and a skip."""
+    t = SN.SnapshotTable(spark, _scratch(spark, "snapshot-events"), bloom=["user_id", "event_type"], order=["ts"])
+    e = V.table(spark, d, "events").select(*EVENT_COLUMNS)
+    for k, mode in enumerate(("create", "append", "append", "append")):
+        t.load(e.where(F.dayofweek("ts").isin(2 * k, 2 * k + 1)), mode, source=F.concat(F.lit("weekday"), F.dayofweek("ts").cast("string")))
+    t.load(e.where("event_type = 'view'"), "replace", source=F.lit("views"))
+    t.load(e, "skip", source=F.lit("all"))
+    t.rollback(4)
+    return t
+
+
+@query("b3_snapshot_lineage")
+def b3_snapshot_lineage(spark, d):
+    """Rows of each source file and the snapshot that published them."""
+    return _events_snapshots(spark, d).lineage()
+
+
+@query("b4_snapshot_history")
+def b4_snapshot_history(spark, d):
+    """Every snapshot of the table, as read back by its version."""
+    t = _events_snapshots(spark, d)
+    out = None
+    for v in t.versions():
+        one = t.read(v).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.lit(v).cast("long").alias("version"), "n", r("total", 4).alias("total"))
+        out = one if out is None else out.unionByName(one)
+    return out.join(t.history().select("version", "parent", "operation", "rows"), "version")
+
+
+@query("a7_snapshot_scan")
+def a7_snapshot_scan(spark, d):
+    """The run marks of the middle third of the time, files chosen by zone maps and Bloom filters."""
+    t = _events_snapshots(spark, d)
+    lo, hi = t.read().select(F.min("ts"), F.max("ts")).first()
+    return t.scan({"ts": (lo + (hi - lo) / 3, lo + (hi - lo) * 2 / 3)}, {"event_type": ["signup", "purchase"]}).select("event_id", "ts", "user_id", "value")
+
+
+@query("a7_host_lookup")
+def a7_host_lookup(spark, d):
+    """All rows of the host with the greatest sample."""
+    t = _events_snapshots(spark, d)
+    host = t.read().select(F.max_by("user_id", F.struct("value", "user_id"))).first()[0]
+    return t.scan(values={"user_id": [host]}).select("event_id", "ts", "user_id", "value")
+
+
+@query("b6_planned_files")
+def b6_planned_files(spark, d):
+    """What the manifests say of the planned files: rows, and the least and greatest time and host."""
+    m = _events_snapshots(spark, d).files()
+    return m.agg(F.sum("rows").alias("rows"), F.min("zones.ts.low").alias("first_ts"), F.max("zones.ts.high").alias("last_ts"),
+                 F.min("zones.user_id.low").alias("first_host"), F.max("zones.user_id.high").alias("last_host"), F.sum("zones.value.nulls").alias("null_values"))
+
+
 # --------------------------------------------------------------------------- streaming
 from wattspark.streaming import ingest as SI, stateful as SS, pue as SP  # noqa: E402
 
