@@ -1,13 +1,17 @@
 """Streaming equals batch: several ordered micro-batches give the batch totals."""
 
 import datetime as dt
+import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from wattspark.operators import energy
+from wattspark.operators.power import pue_series
 from wattspark.sources import formats as FM
+from wattspark.sources.snapshots import SnapshotTable
 from wattspark.streaming import ingest as SI, stateful as SS, pue as SP
 
 T0 = dt.datetime(2024, 1, 1)
@@ -86,3 +90,129 @@ def test_pue_partials_merge_exactly(spark, tmpdir_path):
     w(a, 0)                                # a replayed batch is de-duplicated
     got = SP.pue_from_partials(spark, state).collect()
     assert [(r.timestamp, r.ratio) for r in got] == [(T0, 1.5)]
+
+
+def _files(root, batches):
+    """One CSV file per batch, in order of their times."""
+    src = os.path.join(root, "in")
+    os.makedirs(src, exist_ok=True)
+    for b, rows in enumerate(batches):
+        path = os.path.join(src, f"b{b}.csv")
+        with open(path, "w") as f:
+            f.writelines(f"{t.isoformat(sep=' ')},{','.join(map(str, rest))}\n" for t, *rest in rows)
+        os.utime(path, (1e9 + 10 * b, 1e9 + 10 * b))
+    return src
+
+
+def _shuffled(n=500, delay=300, parts=5):
+    """Samples in arrival order, each up to ``delay`` seconds behind a later one; ties and repeats included."""
+    rnd = random.Random(3)
+    rows = [(T0 + dt.timedelta(seconds=3 * i, microseconds=rnd.randrange(900_000)), f"h{i % 3}", float(rnd.randrange(200))) for i in range(n)]
+    rows += [(t, h, v + 1) for t, h, v in rows[::50]] + rows[7:400:90]
+    rows.sort(key=lambda r: r[0].timestamp() + rnd.random() * delay)
+    size = -(-len(rows) // parts)
+    return rows, [rows[k:k + size] for k in range(0, len(rows), size)]
+
+
+def _read(spark, src):
+    return spark.readStream.schema("timestamp timestamp, host string, value double").option("maxFilesPerTrigger", 1).csv(src)
+
+
+@pytest.mark.parametrize("small", [4096, 8])  # 8: series are kept in slices
+def test_energy_of_shuffled_samples_equals_batch(spark, tmpdir_path, small):
+    SI.enable_rocksdb(spark)
+    rows, batches = _shuffled()
+    batches[-1] = batches[-1] + [(T0, "h0", 1e6), (T0 + dt.timedelta(seconds=1), "h0", 1e6)]  # far too late
+    src, out = _files(tmpdir_path, batches), os.path.join(tmpdir_path, "out")
+
+    def sink(b, i):
+        b.withColumn("batch_id", F.lit(i)).write.mode("append").parquet(out)
+    q = (SS.stream_energy(_read(spark, src), delay="300 seconds", small=small).writeStream.foreachBatch(sink)
+         .option("checkpointLocation", os.path.join(tmpdir_path, "ck")).outputMode("update").trigger(availableNow=True).start())
+    q.awaitTermination()
+    final = [r for r in rows if r[0] <= max(x[0] for x in rows) - dt.timedelta(seconds=300)]
+    batch = spark.createDataFrame(final, "timestamp timestamp_ntz, host string, value double")
+    want = {r.host: r.energy_J for r in energy.integrate_power(batch, "timestamp", "value", ["host"], tiebreak=["value"]).collect()}
+    got = {r.host: r for r in spark.read.parquet(out).groupBy("host").agg(F.max_by(F.struct("energy_J", "samples", "late_samples"), "batch_id").alias("s")).select("host", "s.*").collect()}
+    assert set(got) == set(want)
+    for h, r in got.items():
+        assert r.energy_J == pytest.approx(want[h])
+        assert r.samples == sum(x[1] == h for x in final) and r.late_samples == (2 if h == "h0" else 0)
+    # state holds what is not final, not the history
+    held = [json.loads(p.json)["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress]
+    assert held[-1] < 40
+
+
+def test_counter_rates_of_shuffled_samples_equal_batch(spark, tmpdir_path):
+    SI.enable_rocksdb(spark)
+    rows, batches = _shuffled()
+    batches[-1] = batches[-1] + [(T0, "h1", 5.0)]
+    src, out = _files(tmpdir_path, batches), os.path.join(tmpdir_path, "out")
+    q = (SS.stream_counter_rate(_read(spark, src), delay="300 seconds", small=20).writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", os.path.join(tmpdir_path, "ck")).outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    final = max(x[0] for x in rows) - dt.timedelta(seconds=300)
+    want = []
+    for h in ("h0", "h1", "h2"):
+        s = sorted((t, v) for t, k, v in rows if k == h and t <= final)
+        want += [(h, t, max(v - (s[i - 1][1] if i else v), 0.0)) for i, (t, v) in enumerate(s)]
+    out = spark.read.parquet(out).select("host", F.col("timestamp").cast("timestamp_ntz").alias("t"), "rate", "late").collect()
+    assert sorted((r.host, r.t, r.rate) for r in out if not r.late) == sorted(want)
+    assert [(r.host, r.t) for r in out if r.late] == [("h1", T0)]
+
+
+def test_silent_series_are_forgotten(spark, tmpdir_path):
+    SI.enable_rocksdb(spark)
+    at = lambda m: T0 + dt.timedelta(minutes=m)
+    batches = [[(at(0), "a", 5.0), (at(1), "b", 1.0)], [(at(30), "b", 4.0)], [(at(60), "b", 6.0)], [(at(61), "a", 9.0), (at(62), "b", 6.5)], [(at(90), "b", 7.0)]]
+    src, out = _files(tmpdir_path, batches), os.path.join(tmpdir_path, "out")
+    q = (SS.stream_counter_rate(_read(spark, src), forget_ms=40 * 60_000).writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", os.path.join(tmpdir_path, "ck")).outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = sorted((r.host, r.rate) for r in spark.read.parquet(out).collect())
+    assert got == [("a", 0.0), ("a", 0.0), ("b", 0.0), ("b", 0.5), ("b", 0.5), ("b", 2.0), ("b", 3.0)]  # not 4.0 from the old value of a
+
+
+def test_joined_pue_streams_equal_batch_over_restarts(spark, tmpdir_path):
+    rnd = random.Random(5)
+    rows = []
+    for i in range(600):
+        t = T0 + dt.timedelta(seconds=17 * i)
+        rows.append((t, "meter", "site", "-", 1000.0 + rnd.randrange(100)) if i % 3 == 0 else (t, "pdu", f"d{i % 4}", f"p{i % 2}", 100.0 + rnd.randrange(50)))
+    arrived = sorted(rows, key=lambda r: r[0].timestamp() + rnd.random() * 500)
+    out, ck = os.path.join(tmpdir_path, "out"), os.path.join(tmpdir_path, "ck")
+
+    def run(batches):
+        src = _files(tmpdir_path, batches)
+        s = spark.readStream.schema("timestamp timestamp, kind string, device string, port string, value double").option("maxFilesPerTrigger", 1).csv(src)
+        pue = SP.stream_pue(s.where("kind = 'meter'"), s.where("kind = 'pdu'"))
+        q = pue.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).outputMode("append").trigger(availableNow=True).start()
+        q.awaitTermination()
+
+    thirds = [arrived[:200], arrived[200:400], arrived[400:]]
+    run(thirds[:2])
+    run(thirds)  # a restart, with one more file
+    seen = min(max(r[0] for r in rows if r[1] == k) for k in ("meter", "pdu"))
+    df = spark.createDataFrame(rows, "timestamp timestamp_ntz, kind string, device string, port string, value double")
+    batch = pue_series(df.where("kind = 'meter'").select("timestamp", F.lit("m").alias("description"), "value"),
+                       df.where("kind = 'pdu'").select("timestamp", F.col("device").alias("connected_device"), "port", F.col("value").alias("value_W")), "m")
+    want = {r.timestamp: r.ratio for r in batch.collect() if r.timestamp + dt.timedelta(minutes=20) <= seen}
+    got = [(r.t, r.ratio) for r in spark.read.parquet(out).select(F.col("timestamp").cast("timestamp_ntz").alias("t"), "ratio").collect()]
+    assert len(got) == len(dict(got)) == len(want) > 10
+    assert all(v == pytest.approx(want[t]) for t, v in got)
+
+
+def test_pue_partials_are_compacted(spark, tmpdir_path):
+    state = os.path.join(tmpdir_path, "partials")
+    rows = [(T0 + dt.timedelta(minutes=m), k, d, "p", 10.0 * m + len(d)) for m in range(0, 90, 3) for k, d in (("meter", "site"), ("pdu", "d1"), ("pdu", "d2"))]
+    df = spark.createDataFrame(rows, "timestamp timestamp_ntz, kind string, device string, port string, value double")
+    once, often = SP.partials_writer(state + "1"), SP.partials_writer(state + "2", compact_every=3)
+    once(df, 0)
+    for b in range(6):
+        part = df.where(F.pmod(F.minute("timestamp") / 3, F.lit(6)) == b)
+        often(part, b)
+        often(part, b)  # replayed
+    table = SnapshotTable(spark, state + "2")
+    assert len(table.entry()["loads"]) < 3
+    key = lambda r: (r.timestamp, round(r.ratio, 9))
+    assert sorted(map(key, SP.pue_from_partials(spark, state + "1").collect())) == sorted(map(key, SP.pue_from_partials(spark, state + "2").collect()))

@@ -738,3 +738,15 @@ ORACLE["a7_host_lookup"] = """SELECT event_id, ts, user_id, value FROM events
 WHERE user_id = (SELECT user_id FROM events ORDER BY value DESC NULLS LAST, user_id DESC LIMIT 1)"""
 ORACLE["b6_planned_files"] = """SELECT CAST(count(*) AS BIGINT) AS rows, min(ts) AS first_ts, max(ts) AS last_ts, min(user_id) AS first_host, max(user_id) AS last_host,
 CAST(count(*) FILTER (WHERE value IS NULL) AS BIGINT) AS null_values FROM events"""
+
+# ----------------------------------------------------------------------------- streams in event order
+#: the watermark after all samples of ``events``, in whole milliseconds: two fifths of the time (and up to a second) behind
+_FINAL = """final AS (SELECT (max(epoch_us(ts)) + 999) // 1000 - 1000 * (CAST(floor(2 * greatest((max(epoch_us(ts)) - min(epoch_us(ts))) / 1e6 / 5, 1.0)) AS BIGINT) + 1) AS ms FROM events)"""
+ORACLE["j4_stream_energy_shuffled"] = with_views("machine_power") + _FINAL + ", power AS (SELECT machine_power.* FROM machine_power, final WHERE epoch_us(timestamp) <= ms * 1000), " + _trapezoid("power", "host", "value", "value") + """
+SELECT host, round(coalesce(any_value(j), 0), 6) AS energy_J, count(*) AS samples, CAST(0 AS BIGINT) AS late_samples
+FROM power LEFT JOIN (SELECT host, sum(p_avg * dt_s) AS j FROM iv WHERE dt_s > 0 GROUP BY host) USING (host) GROUP BY host"""
+ORACLE["j3_stream_counter_rate_shuffled"] = with_views("diskio") + _FINAL + """
+SELECT host, timestamp, coalesce(greatest(CAST(reads AS DOUBLE) - lag(reads) OVER (PARTITION BY host ORDER BY timestamp, reads), 0.0), 0.0) AS rate, false AS late
+FROM diskio, final WHERE epoch_us(timestamp) <= ms * 1000"""
+ORACLE["j5_stream_pue_join"] = with_views("pdu", "meter10", "pdu10", "pue") + """x AS (SELECT least(max(ts) FILTER (WHERE event_type = 'view'), max(ts) FILTER (WHERE event_type != 'view')) AS seen FROM events)
+SELECT timestamp, round(ratio, 9) AS ratio FROM pue, x WHERE timestamp + INTERVAL 20 MINUTE <= seen"""

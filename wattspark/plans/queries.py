@@ -897,6 +897,70 @@ def j5_stream_pue(spark, d):
     return SP.pue_from_partials(spark, state).select("timestamp", r("ratio", 9).alias("ratio"))
 
 
+def _shuffled_stream(spark, samples: DataFrame, measurement: str, tags, fields, batches: int = 5) -> tuple[DataFrame, str]:
+    """Samples as line-protocol files that land out of order, and the delay that covers it: each goes to one of ``batches``
+    stretches of time or, by a hash of itself, to the next one; a micro-batch takes one file."""
+    lo, hi = (x.timestamp() for x in samples.select(F.min("timestamp").cast("timestamp"), F.max("timestamp").cast("timestamp")).first())
+    span = max((hi - lo) / batches, 1.0)
+    at = (F.col("timestamp").cast("timestamp").cast("double") - lo) / span
+    late = F.pmod(F.xxhash64(*samples.columns), F.lit(3)) == 0
+    dealt = samples.withColumn("part", (F.floor(at) + late.cast("int")).cast("int"))
+    src = _scratch(spark, "stream-in")
+    for k in range(batches + 2):
+        part = dealt.where(F.col("part") == k).orderBy(F.xxhash64("timestamp"))
+        part.select(FM.render_line_protocol(part, measurement, tags, fields, "timestamp").alias("line")).coalesce(1).write.mode("append").text(src)
+    return SI.read_line_protocol_stream(spark, src, max_files_per_trigger=1), f"{int(2 * span) + 1} seconds"
+
+
+@query("j4_stream_energy_shuffled")
+def j4_stream_energy_shuffled(spark, d):
+    """Energy of samples that arrive out of order over several micro-batches: the batch result up to the watermark."""
+    SI.enable_rocksdb(spark)
+    p = V.machine_power(spark, d).select("timestamp", "host", "value")
+    parsed, delay = _shuffled_stream(spark, p, "power", ["host"], {"value": "float"})
+    out, ck = _scratch(spark, "stream-energy"), _scratch(spark, "stream-ck")
+    _run(SS.stream_energy(SI.power_rows(parsed), delay=delay).writeStream.foreachBatch(_batches_to(out))
+         .option("checkpointLocation", ck).outputMode("update").trigger(availableNow=True).start())
+    t = _latest_per_key(out, spark, "host")
+    return t.select(F.col("host").cast("bigint").alias("host"), r("energy_J").alias("energy_J"), "samples", "late_samples")
+
+
+@query("j3_stream_counter_rate_shuffled")
+def j3_stream_counter_rate_shuffled(spark, d):
+    SI.enable_rocksdb(spark)
+    dk = V.diskio(spark, d).select("timestamp", "host", "reads")
+    parsed, delay = _shuffled_stream(spark, dk, "diskio", ["host"], {"reads": "int"})
+    out, ck = _scratch(spark, "stream-rate"), _scratch(spark, "stream-ck")
+    s = parsed.select(F.col("time").alias("timestamp"), F.col("tags")["host"].alias("host"), FM.field_double("fields", "reads").alias("value"))
+    _run(SS.stream_counter_rate(s, delay=delay).writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", ck).outputMode("append").trigger(availableNow=True).start())
+    return spark.read.parquet(out).select("host", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "rate", "late")
+
+
+@query("j5_stream_pue_join")
+def j5_stream_pue_join(spark, d):
+    """PUE by a join of two streams, over three micro-batches of which the last comes after a restart."""
+    m = V.energy_meter(spark, d).where(F.col("description") == V.METER_POWER_DESC).select("timestamp", F.lit("meter").alias("kind"), F.lit("site").alias("device"), F.lit("-").alias("port"), "value")
+    p = V.pdu_power(spark, d).select("timestamp", F.lit("pdu").alias("kind"), F.col("connected_device").alias("device"), "port", F.col("value_W").alias("value"))
+    u = m.unionByName(p)
+    src, out, ck = _scratch(spark, "stream-in"), _scratch(spark, "stream-pue"), _scratch(spark, "stream-ck")
+    lo, hi = u.select(F.min("timestamp"), F.max("timestamp")).first()
+    cuts = [None, lo + (hi - lo) / 3, lo + (hi - lo) * 2 / 3, None]
+
+    def more() -> None:
+        pr = SI.read_line_protocol_stream(spark, src)
+        rows = pr.select(F.col("time").alias("timestamp"), F.col("tags")["kind"].alias("kind"), F.col("tags")["device"].alias("device"), F.col("tags")["port"].alias("port"), FM.field_double("fields", "value").alias("value"))
+        pue = SP.stream_pue(rows.where("kind = 'meter'").select("timestamp", "value"), rows.where("kind = 'pdu'").select("timestamp", "device", "port", "value"))
+        _run(pue.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).outputMode("append").trigger(availableNow=True).start())
+
+    for a, b in zip(cuts, cuts[1:]):  # three arrivals, each followed by a stop and a start
+        part = u if a is None else u.where(F.col("timestamp") >= F.lit(a).cast("timestamp_ntz"))
+        part = part if b is None else part.where(F.col("timestamp") < F.lit(b).cast("timestamp_ntz"))
+        part.select(FM.render_line_protocol(part, "site_power", ["kind", "device", "port"], {"value": "float"}, "timestamp").alias("line")).write.mode("append").text(src)
+        more()
+    return spark.read.parquet(out).select(F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), r("ratio", 9).alias("ratio"))
+
+
 # --------------------------------------------------------------------------- building blocks (C, D, E, F, G, H)
 from wattspark.functions import safe as SF_  # noqa: E402
 

@@ -1,11 +1,18 @@
-"""Keyed running state with ``transformWithStateInPandas``.
-
-Per series key the state holds the last sample; each micro-batch's rows of a
-key arrive together, are sorted by time, and are folded into the state, so
-the result over several micro-batches equals the batch operator over the
-union when samples of a key arrive in time order. A sample older than the
-key's last one cannot be placed and is counted in ``late_samples`` (never
-silently dropped from the output).
+"""Series folded in event-time order with ``transformWithStateInPandas``.
+
+Collectors send batches with jitter, so samples of a series arrive out of order and in different
+micro-batches. Each series keeps its samples of the last ``delay`` in state: up to ``SMALL`` in one packed value, more
+of them in time slices (``MapState``: slice number -> packed times and values). An event-time timer fires when the
+watermark passes the oldest one. Then all samples up to the watermark are final: they are folded in order of
+(time, value) and removed from state. Any arrival order within the delay therefore gives the result
+of the batch operator (I2, I9) over the samples up to the watermark.
+
+A sample that comes after its time has been folded can't be placed any more: it is counted (J4) or passed on
+marked, without a rate (J3). Whole milliseconds are compared, as Spark's watermark has no finer unit: a time
+between two of them belongs to the later one.
+
+Memory: input rows are read frame by frame as Spark hands them over, and one slice is held at a time, so
+neither a backlog nor a hot host makes a frame of all its rows.
 """
 
 from __future__ import annotations
@@ -14,11 +21,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 ENERGY_OUT = "host string, energy_J double, energy_Wh double, samples long, late_samples long, last_ts timestamp"
 RATE_OUT = "host string, timestamp timestamp, rate double, late boolean"
+#: the span of a slice of buffered samples
+SLICE_US = 60_000_000
+#: a series with at most so many buffered samples has no slices
+SMALL = 4096
 
 
 def _trapezoid(ts_us: np.ndarray, p: np.ndarray, prev_ts, prev_p) -> float:
@@ -34,82 +45,228 @@ def _trapezoid(ts_us: np.ndarray, p: np.ndarray, prev_ts, prev_p) -> float:
     return float(np.sum(avg[ok] * (dt_ms[ok] / 1000.0)))
 
 
-class EnergyProcessor(StatefulProcessor):
-    """Running trapezoid energy per host; state = (last_ts_us, last_p, total_J, n, late)."""
+def _packed(us: np.ndarray, value: np.ndarray) -> tuple[bytes, bytes]:
+    return us.astype("<i8").tobytes(), value.astype("<f8").tobytes()
+
+
+def _unpack(have: tuple | None) -> tuple[np.ndarray, np.ndarray]:
+    return (np.frombuffer(have[0], "<i8"), np.frombuffer(have[1], "<f8")) if have else (np.zeros(0, "<i8"), np.zeros(0, "<f8"))
+
+
+def _joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    return (np.concatenate([u for u, _ in parts]), np.concatenate([v for _, v in parts])) if parts else _unpack(None)
+
+
+class OrderedProcessor(StatefulProcessor):
+    """Buffers samples and hands those that the watermark makes final to ``fold``, in order.
+
+    Input: ``host, us, value``. ``progress`` holds the watermark that has been folded, the time of the pending timer
+    (-1: none) and whether there are slices. With ``forget_ms`` a series without samples for that long loses its state;
+    ``small`` is how many samples are buffered in one value.
+    """
+
+    def __init__(self, forget_ms: int | None = None, small: int = SMALL):
+        self.forget_ms, self.most = forget_ms, small
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState(
-            "energy", "last_us long, last_p double, total_j double, n long, late long")
+        self.handle = handle
+        self.small = handle.getValueState("small", "us binary, value binary")
+        self.buffer = handle.getMapState("buffer", "slice long", "us binary, value binary")
+        self.progress = handle.getValueState("progress", "folded_ms long, timer_ms long, sliced boolean")
+        self.open(handle)
+
+    # ---- what an operator adds
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        raise NotImplementedError
+
+    def fold(self, key: str, us: np.ndarray, value: np.ndarray) -> pd.DataFrame | None:
+        raise NotImplementedError
+
+    def late(self, key: str, us: np.ndarray) -> pd.DataFrame | None:
+        raise NotImplementedError
+
+    def done(self, key: str) -> pd.DataFrame | None:
+        """Output after a round of folds."""
+        return None
+
+    def last_ms(self) -> int:
+        """Time of the last folded sample, for ``forget_ms``."""
+        raise NotImplementedError
+
+    def forget(self) -> None:
+        raise NotImplementedError
+
+    # ---- buffering
+    def _timer(self, pending: int, want: int) -> int:
+        """Registers ``want`` unless an earlier timer is pending."""
+        if pending != want:
+            if pending >= 0:
+                self.handle.deleteTimer(pending)
+            self.handle.registerTimer(want)
+        return want
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows), ignore_index=True)
-        pdf = pdf.dropna(subset=["timestamp", "value"])
-        if self.state.exists():
-            last_us, last_p, total, n, late = self.state.get()
+        folded, pending, sliced = self.progress.get() or (-1 << 62, -1, False)
+        held = [_unpack(self.small.get())]  # what is in, or goes to, the small buffer
+        oldest = None
+        for pdf in rows:
+            pdf = pdf.dropna(subset=["us", "value"])
+            us, value = pdf["us"].to_numpy(dtype="int64"), pdf["value"].to_numpy(dtype="float64")
+            ms = -(-us // 1000)
+            old = ms <= folded
+            if old.any():
+                out = self.late(str(key[0]), us[old])
+                if out is not None:
+                    yield out
+                us, value, ms = us[~old], value[~old], ms[~old]
+            if not len(us):
+                continue
+            oldest = int(ms.min()) if oldest is None else min(oldest, int(ms.min()))
+            held.append((us, value))
+            if sum(len(u) for u, _ in held) > self.most:
+                self._slice(held)
+                held, sliced = [], True
+        if oldest is None:
+            return
+        us, value = _joined(held)
+        if len(us):
+            self.small.update(_packed(us, value))
+        else:
+            self.small.clear()
+        want = oldest if pending < 0 else min(oldest, pending)
+        self.progress.update((folded, self._timer(pending, max(want, 0)), sliced))
+
+    def _slice(self, held: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Adds samples to their slices."""
+        us, value = _joined(held)
+        of = us // SLICE_US
+        for s in np.unique(of).tolist():
+            at = of == s
+            have = self.buffer.getValue((s,))
+            self.buffer.updateValue((s,), _packed(*_joined([_unpack(have), (us[at], value[at])])))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark, name = int(timerValues.getCurrentWatermarkInMs()), str(key[0])
+        _, _, sliced = self.progress.get()
+        rest = _unpack(self.small.get())
+        nxt = None  # the time that the next timer waits for
+        if sliced:
+            if len(rest[0]):
+                self._slice([rest])
+            rest = _unpack(None)
+            todo = sorted(int(k[0]) for k in self.buffer.keys())
+            while todo and todo[0] * SLICE_US <= mark * 1000:
+                s = todo.pop(0)
+                out, rest = self._fold_until(name, mark, _unpack(self.buffer.getValue((s,))))
+                self.buffer.removeKey((s,))
+                if out is not None:
+                    yield out
+            if todo:  # later slices stay, and so does what is left of this one
+                if len(rest[0]):
+                    self._slice([rest])
+                nxt, rest = -(-(rest[0][0] if len(rest[0]) else todo[0] * SLICE_US) // 1000), _unpack(None)
+            sliced = bool(todo)
+        elif len(rest[0]):
+            out, rest = self._fold_until(name, mark, rest)
+            if out is not None:
+                yield out
+        if len(rest[0]):
+            self.small.update(_packed(*rest))
+            nxt = -(-rest[0][0] // 1000)
         else:
-            last_us, last_p, total, n, late = None, None, 0.0, 0, 0
-        ts = pd.to_datetime(pdf["timestamp"]).astype("datetime64[us]").astype("int64").to_numpy()
-        order = np.lexsort((pdf["value"].to_numpy(), ts))
-        ts, p = ts[order], pdf["value"].to_numpy(dtype="float64")[order]
-        if last_us is not None:
-            old = ts < last_us
-            late += int(old.sum())
-            ts, p = ts[~old], p[~old]
-        total += _trapezoid(ts, p, last_us, last_p)
-        n += len(ts)
-        if len(ts):
-            last_us, last_p = int(ts[-1]), float(p[-1])
-        if last_us is not None:
-            self.state.update((last_us, last_p, total, n, late))
-        yield pd.DataFrame({"host": [str(key[0])], "energy_J": [total], "energy_Wh": [total / 3600.0],
-                            "samples": [n], "late_samples": [late],
-                            "last_ts": [pd.Timestamp(last_us, unit="us") if last_us is not None else pd.NaT]})
+            self.small.clear()
+        out = self.done(name)
+        if out is not None:
+            yield out
+        if nxt is None and self.forget_ms is not None:
+            nxt = self.last_ms() + self.forget_ms
+            if nxt <= mark:  # silent for so long
+                self.forget()
+                self.progress.clear()
+                return
+        if nxt is not None:
+            nxt = int(max(nxt, mark + 1))
+            self.handle.registerTimer(nxt)
+        self.progress.update((mark, -1 if nxt is None else nxt, sliced))
+
+    def _fold_until(self, key: str, mark: int, samples: tuple[np.ndarray, np.ndarray]):
+        """(output, later samples in order) of the samples up to ``mark``."""
+        us, value = samples
+        order = np.lexsort((value, us))
+        us, value = us[order], value[order]
+        final = int(np.searchsorted(us, mark * 1000, side="right"))
+        return self.fold(key, us[:final], value[:final]) if final else None, (us[final:], value[final:])
 
     def close(self) -> None:
         pass
 
 
-class CounterRateProcessor(StatefulProcessor):
+class EnergyProcessor(OrderedProcessor):
+    """Running trapezoid energy per host; state = (last_ts_us, last_p, total_J, n, late)."""
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("energy", "last_us long, last_p double, total_j double, n long, late long")
+
+    def _get(self):
+        return self.state.get() or (None, None, 0.0, 0, 0)
+
+    def fold(self, key, us, value):
+        last_us, last_p, total, n, late = self._get()
+        self.state.update((int(us[-1]), float(value[-1]), total + _trapezoid(us, value, last_us, last_p), n + len(us), late))
+
+    def late(self, key, us):
+        last_us, last_p, total, n, late = self._get()
+        self.state.update((last_us, last_p, total, n, late + len(us)))
+        return self.done(key)
+
+    def done(self, key):
+        last_us, _, total, n, late = self._get()
+        return pd.DataFrame({"host": [key], "energy_J": [total], "energy_Wh": [total / 3600.0], "samples": [n], "late_samples": [late],
+                             "last_ts": [pd.Timestamp(last_us, unit="us") if last_us is not None else pd.NaT]})
+
+
+class CounterRateProcessor(OrderedProcessor):
     """Per-series counter -> clipped increment since the previous sample (reset -> 0)."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def open(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("last", "last_us long, last_v double")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows), ignore_index=True).dropna(subset=["timestamp", "value"])
-        ts = pd.to_datetime(pdf["timestamp"]).astype("datetime64[us]").astype("int64").to_numpy()
-        order = np.argsort(ts, kind="stable")
-        ts, v = ts[order], pdf["value"].to_numpy(dtype="float64")[order]
-        prev = self.state.get() if self.state.exists() else None
-        late = ts[:0]
-        if prev is not None:
-            keep = ts >= prev[0]
-            late, ts, v = ts[~keep], ts[keep], v[keep]
-            allv = np.concatenate([[prev[1]], v])
-            rate = np.clip(np.diff(allv), 0, None)
-        else:
-            rate = np.concatenate([[0.0], np.clip(np.diff(v), 0, None)]) if len(v) else np.array([])
-        if len(ts):
-            self.state.update((int(ts[-1]), float(v[-1])))
-        # a sample older than the last one has no place in the series: it is passed on, marked, without a rate
-        yield pd.DataFrame({"host": [str(key[0])] * (len(ts) + len(late)),
-                            "timestamp": pd.to_datetime(np.concatenate([ts, late]), unit="us"),
-                            "rate": np.concatenate([rate.astype("float64"), np.full(len(late), np.nan)]),
-                            "late": [False] * len(ts) + [True] * len(late)})
+    def fold(self, key, us, value):
+        at, before = self.state.get() or (us[0], value[0])
+        self.state.update((int(us[-1]), float(value[-1])))
+        rate = np.clip(np.diff(np.concatenate([[before], value])), 0, None)
+        if self.forget_ms is not None:  # a new series after the silence, whether or not the state was dropped by then
+            rate[np.diff(np.concatenate([[at], us])) // 1000 >= self.forget_ms] = 0.0
+        return pd.DataFrame({"host": key, "timestamp": pd.to_datetime(us, unit="us"), "rate": rate, "late": False})
 
-    def close(self) -> None:
-        pass
+    def late(self, key, us):
+        return pd.DataFrame({"host": key, "timestamp": pd.to_datetime(us, unit="us"), "rate": np.full(len(us), np.nan), "late": True})
+
+    def last_ms(self) -> int:
+        return (self.state.get() or (0, 0))[0] // 1000
+
+    def forget(self) -> None:
+        self.state.clear()
+
+
+def _series(samples: DataFrame, key: str, delay: str):
+    """Samples by series, with the watermark on whole milliseconds (rounded up). Late rows must reach the processors to be
+    counted, so the time that carries the watermark is not among their columns."""
+    us = F.unix_micros(F.col("timestamp").cast("timestamp"))
+    mark = F.timestamp_millis(F.ceil(us / F.lit(1000)).cast("long"))
+    rows = samples.withColumn("event_time", mark).withWatermark("event_time", delay)
+    return rows.select(F.col(key).cast("string").alias("host"), us.alias("us"), F.col("value").cast("double").alias("value"))
 
 
-def stream_energy(samples: DataFrame, key: str = "host") -> DataFrame:
-    """Running energy per key (update mode: the newest total per key each batch)."""
-    return (samples.select(samples[key].cast("string").alias("host"), "timestamp", "value")
-                   .groupBy("host")
-                   .transformWithStateInPandas(EnergyProcessor(), ENERGY_OUT, "Update", "None"))
+def stream_energy(samples: DataFrame, key: str = "host", delay: str = "0 seconds", small: int = SMALL) -> DataFrame:
+    """Running energy per key over the samples that are final (update mode: the newest total per key each batch).
+    ``delay``: how far behind the newest sample one may arrive."""
+    return (_series(samples, key, delay).groupBy("host")
+            .transformWithStateInPandas(EnergyProcessor(small=small), ENERGY_OUT, "Update", "EventTime"))
 
 
-def stream_counter_rate(samples: DataFrame, key: str = "host") -> DataFrame:
-    """Per-key counter increments (append mode)."""
-    return (samples.select(samples[key].cast("string").alias("host"), "timestamp", "value")
-                   .groupBy("host")
-                   .transformWithStateInPandas(CounterRateProcessor(), RATE_OUT, "Append", "None"))
+def stream_counter_rate(samples: DataFrame, key: str = "host", delay: str = "0 seconds", forget_ms: int | None = None, small: int = SMALL) -> DataFrame:
+    """Per-key counter increments (append mode), each emitted once it is final. ``forget_ms``: state of a key that is
+    silent for so long is dropped; its next sample starts a new series."""
+    return (_series(samples, key, delay).groupBy("host")
+            .transformWithStateInPandas(CounterRateProcessor(forget_ms, small), RATE_OUT, "Append", "EventTime"))
