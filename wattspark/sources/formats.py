@@ -18,8 +18,8 @@ from wattspark.functions.timecols import epoch_us
 # ----------------------------------------------------------------------------- line protocol
 # A token is a run of non-separator characters, where "\x" escapes any character
 # and a double-quoted string (field values) may contain separators.
-_TOKEN = r'((?:"(?:[^"\\]|\\.)*"|[^ \\"]|\\.)+)'
-_ITEM = r'((?:"(?:[^"\\]|\\.)*"|[^,\\"]|\\.)+)'
+_TOKEN = r'((?:"(?:[^"\\]|\\.)*"|[^ \\"]|\\.|")+)'  # a quote that nothing closes is a character
+_ITEM = r'((?:"(?:[^"\\]|\\.)*"|[^,\\"]|\\.|")+)'
 _KEY = r'^((?:[^=\\]|\\.)+)='
 
 
@@ -33,12 +33,21 @@ def _kv_map(items: Column, unescape_values: bool) -> Column:
         v = F.substring(kv, F.length(F.regexp_extract(kv, _KEY, 0)) + 1, 1 << 30)
         return F.struct(_unescape(F.regexp_extract(kv, _KEY, 1)).alias("key"),
                         (_unescape(v) if unescape_values else v).alias("value"))
-    return F.map_from_entries(F.transform(items, entry))
+    return _last_wins(F.transform(items, entry))
+
+
+def _last_wins(entries: Column) -> Column:
+    """Map of key-value entries; of a repeated key the last one counts."""
+    keys = F.reverse(F.transform(entries, lambda x: x["key"]))
+    return F.map_from_entries(F.filter(entries, lambda x, i: F.array_position(keys, x["key"]) == F.size(entries) - i))
 
 
 def _plain_map(s: Column) -> Column:
-    """``k=v,k=v`` without escapes or quotes -> map (code-generated ``str_to_map``)."""
-    return F.when(s == "", F.create_map().cast("map<string,string>")).otherwise(F.str_to_map(s, F.lit(","), F.lit("=")))
+    """``k=v,k=v`` without escapes or quotes -> map (code-generated ``str_to_map``, unless a key is repeated)."""
+    keys = F.split(s, "(=[^,]*)?(,|$)")
+    split = F.transform(F.split(s, ","), lambda kv: F.struct(F.substring_index(kv, "=", 1).alias("key"), F.when(kv.contains("="), F.substring(kv, F.instr(kv, "=") + 1, F.length(kv))).alias("value")))
+    return (F.when(s == "", F.create_map().cast("map<string,string>"))
+            .when(~s.contains(",") | (F.size(F.array_distinct(keys)) == F.size(keys)), F.str_to_map(s, F.lit(","), F.lit("="))).otherwise(_last_wins(split)))
 
 
 # a tag: escape pairs (so an escaped backslash never escapes what follows it) and other characters
@@ -57,7 +66,8 @@ def parse_line_protocol(df: DataFrame, col: str = "line") -> DataFrame:
     ``tags``: map<string,string> (unescaped); ``fields``: map<string,string> of raw
     field tokens (see :func:`field_double` / :func:`field_long`); ``time``:
     TIMESTAMP_NTZ from the nanosecond epoch or NULL. Blank and comment lines and
-    lines without fields are dropped.
+    lines without fields are dropped. Of a repeated tag or field key the last value counts; a quote
+    that is not closed is a plain character.
 
     Lines without a backslash or a double quote (nearly all collector output)
     take a code-generated path (``split`` + ``str_to_map``); the others are
@@ -100,9 +110,9 @@ def field_long(fields: str, name: str) -> Column:
 
 
 def field_string(fields: str, name: str) -> Column:
-    """Quoted string field with escapes removed."""
+    """Quoted string field with escapes removed; NULL if the quote is not closed."""
     v = F.col(fields)[name]
-    return F.when(v.startswith('"'), _unescape(F.regexp_extract(v, r'^"(.*)"$', 1)))
+    return F.when(v.rlike(r'(?s)^".*"$'), _unescape(F.regexp_extract(v, r'(?s)^"(.*)"$', 1)))
 
 
 def escape_tag(c: Column) -> Column:

@@ -42,25 +42,72 @@ def validate_schema(schema: T.StructType, ts_col: str = "timestamp") -> dict[str
     return out
 
 
-def file_schemas(spark: SparkSession, path: str) -> DataFrame:
-    """``file, schema`` of every Parquet file under ``path``; the footers are read by Spark's tasks."""
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True)
-             .load(path).select(F.col("path").alias("file")))  # listing only, no contents
+def parquet_files(spark: SparkSession, path: str) -> DataFrame:
+    """``file`` of every Parquet file under ``path``; a listing, nothing is opened."""
+    return (spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True)
+            .load(path).select(F.col("path").alias("file")))
+
+
+FOOTER = "file string, names array<string>, schema string"
+
 
-    def footers(batches):
+def footers(files: DataFrame) -> DataFrame:
+    """``file, names, schema`` of Parquet files (``file``); names are NULL for a file that has no readable footer.
+
+    Footers are read by Spark's tasks, by byte range, where the workers know the file system; those of other
+    file systems by the driver's own Hadoop client, one after another.
+    """
+    def read(batches):
         import pyarrow as pa
         import pyarrow.fs as pfs
         import pyarrow.parquet as pq
         for b in batches:
-            names = b.column("file").to_pylist()
-            out = []
-            for name in names:
-                fs, inner = pfs.FileSystem.from_uri(name)
-                with fs.open_input_file(inner) as f:
-                    out.append(", ".join(f"{c.name}: {c.type}" for c in pq.read_schema(f)))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(out, pa.string())], names=["file", "schema"])
+            rows = []
+            for name in b.column("file").to_pylist():
+                try:
+                    fs, inner = pfs.FileSystem.from_uri(name)
+                except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+                    rows.append((name, None, ELSEWHERE))
+                    continue
+                try:
+                    with fs.open_input_file(inner) as f:
+                        schema = pq.read_schema(f)
+                    rows.append((name, schema.names, ", ".join(f"{c.name}: {c.type}" for c in schema)))
+                except (pa.ArrowInvalid, OSError):
+                    rows.append((name, None, None))
+            cols = list(zip(*rows)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.list_(pa.string())), pa.array(cols[2], pa.string())], names=["file", "names", "schema"])
+
+    found = files.select("file").mapInArrow(read, FOOTER)
+    other = [r.file for r in found.where(F.col("schema") == ELSEWHERE).select("file").toLocalIterator()]
+    if not other:
+        return found
+    spark = files.sparkSession
+    here = spark.createDataFrame([(name, *_footer_by_hadoop(spark, name)) for name in other], FOOTER)
+    return found.where(F.col("schema").isNull() | (F.col("schema") != ELSEWHERE)).unionByName(here)
+
+
+ELSEWHERE = "(file system unknown to the workers)"
+
+
+def _footer_by_hadoop(spark: SparkSession, name: str) -> tuple[list[str] | None, str | None]:
+    """Column names and schema of a file through Hadoop's file systems."""
+    parquet = spark._jvm.org.apache.parquet.hadoop
+    try:
+        source = parquet.util.HadoopInputFile.fromPath(spark._jvm.org.apache.hadoop.fs.Path(name), spark._jsc.hadoopConfiguration())
+        reader = parquet.ParquetFileReader.open(source)
+    except Exception:  # noqa: BLE001 - whatever the JVM finds wrong with the file
+        return None, None
+    try:
+        fields = list(reader.getFooter().getFileMetaData().getSchema().getFields())
+        return [f.getName() for f in fields], ", ".join(str(f.toString()) for f in fields)
+    finally:
+        reader.close()
 
-    return files.mapInArrow(footers, "file string, schema string")
+
+def file_schemas(spark: SparkSession, path: str) -> DataFrame:
+    """``file, schema`` of every Parquet file under ``path``."""
+    return footers(parquet_files(spark, path)).select("file", F.coalesce("schema", F.lit("no readable footer")).alias("schema"))
 
 
 def infer_schema(spark: SparkSession, path: str) -> T.StructType:
@@ -72,14 +119,26 @@ def infer_schema(spark: SparkSession, path: str) -> T.StructType:
     return spark.read.parquet(first).schema
 
 
-def check_same_schema(spark: SparkSession, path: str) -> None:
-    """Reject a folder whose files differ in columns or types, listing every file that differs from the
-    most common schema."""
+def schema_offenders(spark: SparkSession, path: str) -> DataFrame:
+    """``file, schema, usual`` of the files whose schema is not the most common one."""
     schemas = file_schemas(spark, path)
     kinds = schemas.groupBy("schema").agg(F.count("*").alias("files")).orderBy(F.desc("files"), "schema").take(2)
-    if len(kinds) > 1:
-        bad = schemas.where(F.col("schema") != kinds[0]["schema"]).orderBy("file").collect()
-        raise SchemaError(f"files differ from ({kinds[0]['schema']}): " + "; ".join(f"{r.file} has ({r.schema})" for r in bad))
+    usual = kinds[0]["schema"] if kinds else None
+    return schemas.where(F.col("schema") != F.lit(usual)).withColumn("usual", F.lit(usual))
+
+
+#: an error names at most so many files; ``schema_offenders`` has them all
+NAMED = 50
+
+
+def check_same_schema(spark: SparkSession, path: str) -> None:
+    """Reject a folder whose files differ in columns or types, naming the files that differ from the
+    most common schema."""
+    bad = schema_offenders(spark, path)
+    some = bad.orderBy("file").take(NAMED + 1)
+    if some:
+        more = f"; and {bad.count() - NAMED} more" if len(some) > NAMED else ""
+        raise SchemaError(f"files differ from ({some[0].usual}): " + "; ".join(f"{r.file} has ({r.schema})" for r in some[:NAMED]) + more)
 
 
 def with_day(df: DataFrame, ts_col: str = "timestamp") -> DataFrame:
@@ -154,12 +213,44 @@ def index_entries(index: DataFrame, col: str = "json") -> DataFrame:
     return recs, files
 
 
+#: bytes of a file that a task holds at once
+PIECE = 8 << 20
+
+
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """A10: ``file, md5`` of every Parquet file of a folder. Tasks read files piece by piece, so a file may have any size; on a
+    file system that the workers don't know, a file is read whole, which Spark does up to 2 GB."""
+    def read(batches):
+        import hashlib
+
+        import pyarrow as pa
+        import pyarrow.fs as pfs
+        for b in batches:
+            names, out = b.column("file").to_pylist(), []
+            for name in names:
+                try:
+                    fs, inner = pfs.FileSystem.from_uri(name)
+                except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+                    out.append(None)
+                    continue
+                md5 = hashlib.md5(usedforsecurity=False)
+                with fs.open_input_stream(inner) as f:
+                    while piece := f.read(PIECE):
+                        md5.update(piece)
+                out.append(md5.hexdigest())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(out, pa.string())], names=["file", "md5"])
+
+    content = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+    found = content.select(F.col("path").alias("file")).mapInArrow(read, "file string, md5 string")
+    if found.where("md5 IS NOT NULL").isEmpty() and not found.isEmpty():
+        return content.select(F.col("path").alias("file"), F.md5("content").alias("md5"))
+    return found
+
+
 def checksum_verify(spark: SparkSession, data_dir: str, expected: DataFrame) -> DataFrame:
     """A10: md5 of every parquet file vs the expectation (full outer join):
     file, expected_md5, actual_md5, status ok | mismatch | missing | unexpected."""
-    actual = (spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(data_dir)
-                   .select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"),
-                           F.md5("content").alias("actual_md5")))
+    actual = file_digests(spark, data_dir).select(F.regexp_extract("file", r"([^/]+)$", 1).alias("file"), F.col("md5").alias("actual_md5"))
     j = expected.join(actual, "file", "full")
     status = (F.when(F.col("actual_md5").isNull(), "missing")
                .when(F.col("expected_md5").isNull(), "unexpected")

@@ -42,7 +42,7 @@ def telemetry_scan(spark: SparkSession, path: str, *, timefilter: tuple | None =
 
     ``timefilter=(tmin, tmax)`` keeps files whose name range overlaps it (A2) and
     rows with ``tmin <= ts <= tmax`` (C1, closed). A file that can't be read fails the
-    scan, unless ``tolerant`` (A4): then it is skipped, as are files without a value in one of
+    scan, unless ``tolerant`` (A4): then it is skipped, as are files that lack one of
     the requested ``columns``; :func:`skipped_files` reports both.
     """
     r = spark.read
@@ -80,15 +80,24 @@ UNREADABLE = "unreadable or empty"
 
 def skipped_files(spark: SparkSession, path: str, schema: StructType | None = None,
                   columns: Sequence[str] = ()) -> DataFrame:
-    """A4: ``file, reason`` of what a tolerant scan of ``path`` leaves out: files without a readable
-    row, and files without a value in one of ``columns`` (one row per file, first such column)."""
+    """A4: ``file, reason`` of what a tolerant scan of ``path`` leaves out: files without a readable row, and files
+    that lack one of ``columns`` (one row per file, first such column). A column that a file has counts as there, also if it
+    holds nothing but nulls: only files without a value of a column have their footers looked at.
+    """
+    from wattspark.sources.lake import footers
     files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"))  # listing only
     r = spark.read.option("ignoreCorruptFiles", "true")
     df = (r.schema(schema) if schema is not None else r).parquet(path)
-    read = df.select(F.col("_metadata.file_path").alias("file"), *[F.col(c) for c in columns if c in df.columns])
-    seen = read.groupBy("file").agg(*[F.count(c).alias(f"n_{c}") for c in columns if c in df.columns] or [F.count(F.lit(1)).alias("n")])
-    reason = F.coalesce(*[F.when(F.col(f"n_{c}") == 0 if c in df.columns else F.lit(True), F.lit(f"no value of {c}")) for c in columns], F.lit(None).cast("string"))
-    known = seen.select("file", F.lit(True).alias("__read"), reason.alias("__why"))
+    have = [c for c in columns if c in df.columns]
+    read = df.select(F.col("_metadata.file_path").alias("file"), *[F.col(c) for c in have])
+    seen = read.groupBy("file").agg(*[F.count(c).alias(f"n_{i}") for i, c in enumerate(have)] or [F.count(F.lit(1)).alias("n")])
+    bare = F.lit(len(have) < len(columns))
+    for i in range(len(have)):
+        bare = bare | (F.col(f"n_{i}") == 0)
+    names = footers(seen.where(bare).select("file")).select(F.col("file").alias("__of"), "names")
+    seen = seen.select("file", F.lit(True).alias("__read")).join(names, F.col("file") == F.col("__of"), "left")
+    why = F.coalesce(*[F.when(~F.array_contains("names", c), F.lit(f"no value of {c}")) for c in columns], F.lit(None).cast("string"))
+    known = seen.select("file", "__read", why.alias("__why"))
     return (files.join(known, "file", "left")
             .select("file", F.when(F.col("__read").isNull(), F.lit(UNREADABLE)).otherwise(F.col("__why")).alias("reason"))
             .where(F.col("reason").isNotNull()))
