@@ -1,4 +1,4 @@
-"""Line dedup, periodic runs and the Merkle manifest against plain versions and on awkward rows."""
+"""Line dedup, periodic runs and the Merkle manifest against plain versions and on awkward rows; hashes and hot keys."""
 
 from __future__ import annotations
 
@@ -6,14 +6,14 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SF0001
-from wattspark.llm import line_dedup as L, merkle as M, periodic as P, queries as Q
+from wattspark.llm import common as C, crf, decontaminate, groupjoin, line_dedup as L, merkle as M, mixing, periodic as P, queries as Q, suffixes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BLANK = " \t\n\x0b\f\r"
@@ -278,3 +278,92 @@ def test_oracles_run_on_awkward_rows(odd):
     for df, sql in ((L.digest(L.dedup(plain)), L.oracle()), (M.digest(M.verify(plain, M.third(plain["doc_id"]))), M.oracle())):
         want = con.execute(sql).fetchall()
         assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, want))
+
+
+# ------------------------------------------------------------------ shared: hashes of words and contexts, hot keys
+def alternating(order, a="a", b="b"):
+    """Two words of 2 ** order letters that every polynomial modulo 2 ** 64 takes for the same."""
+    one, two = a, b
+    for _ in range(order):
+        one, two = one + two, two + one
+    return one, two
+
+
+@pytest.mark.parametrize("order", [9, 10, 11, 12])
+def test_constructed_words_have_different_hashes(order):
+    one, two = alternating(order)
+    w = C.Words([f"{one} {two} {one}".encode(), two.encode()], lower=True)
+    assert w.hash[0] == w.hash[2] != w.hash[1] == w.hash[3]
+
+
+def test_word_hashes_depend_on_the_word_only():
+    rng = np.random.default_rng(2)
+    words = ["".join(map(chr, rng.integers(97, 100, n))) for n in [*rng.integers(1, 40, 3000), 4096, 4097, 300_000, 4095]]
+    hashes = {}
+    for k in (1, 7, len(words)):  # texts of k words each, and so different blocks
+        texts = [" ".join(words[i:i + k]).encode() for i in range(0, len(words), k)]
+        for w, x in zip(words, C.Words(texts, lower=True).hash.tolist()):
+            assert hashes.setdefault(w, x) == x
+    assert len(set(hashes.values())) == len(hashes)
+
+
+def test_constructed_words_do_not_link_or_repeat(spark):
+    one, two = alternating(10)
+    rows = [(1, " ".join([one] * 6)), (2, " ".join([two] * 6)), (3, f"{one} x1 x2 x3 x4 {two} x1 x2 x3 x4 y z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    C.ship(spark)
+    assert {r.doc_id: r.component_id for r in groupjoin.classes(df).collect()} == {1: 1, 2: 2, 3: 3}
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    assert {r.doc_id: r.n_repeat_words for r in crf.judge(df, crf.fit(df, labels)).collect()}[3] == 0
+
+
+def test_join_counted_takes_every_row_once(spark, monkeypatch):
+    rows = spark.createDataFrame([(i % 7 if i % 3 else 0, i) for i in range(300)], "k long, v long")
+    counted = rows.groupBy("k").agg(F.count("*").alias("n")).where("k != 5")
+    want = sorted((r.k, r.v) for r in rows.where("k != 5").collect())
+    for hot in (0, 3, 20_000):
+        monkeypatch.setattr(C, "HOT", hot)
+        out = C.join_counted(rows, counted, ["k"], "n")
+        assert sorted((r.k, r.v) for r in out.collect()) == want and set(out.columns) == {"k", "v", "n"}
+
+
+def test_every_planted_passage_is_touched(spark):
+    rnd = random.Random(9)
+    passages = [" ".join("".join(rnd.choice("abcdefgh") for _ in range(7)) for _ in range(n)) for n in (50, 55, 60, 80, 200)]  # 399 bytes and more
+    rows = []
+    for i in range(60):
+        own = [" ".join("".join(rnd.choice("ijklmnop") for _ in range(6)) for _ in range(rnd.randrange(1, 90))) for _ in range(2)]
+        rows.append((i, f"{own[0]} {passages[i % 5]} {own[1]}" if i < 40 else own[0] * 3 if i % 2 else own[0]))
+    C.ship(spark)
+    got = {r.doc_id: r for r in suffixes.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    data = [t.encode() for _, t in rows]
+    count = Counter(t[i:i + 400] for t in data for i in range(len(t) - 399))
+    for (i, _), t in zip(rows, data):
+        gone = set()
+        for k in range(len(t) - 399):
+            if count[t[k:k + 400]] > 1:
+                gone.update(range(k, k + 400))
+        assert got[i].n_removed == len(gone) and got[i].touched == bool(gone)
+        assert not (i < 40 and len(passages[i % 5]) >= 400) or gone
+
+
+def test_copies_are_not_capped(spark):
+    text = "word " * 50
+    rows = [(i, "big" if i else "rare", "en", text) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string")
+    out = mixing.calibrate(df)
+    r = out.where("source = 'rare'").collect()[0]
+    assert r.weight > 20 and r.copies >= int(r.weight)  # half of the square-root shares: far above 4
+    slim, weights = mixing.weigh(df)
+    cells = slim.groupBy(*mixing.DIMENSIONS).agg(F.sum("n_tokens").alias("tokens"))
+    assert max(x.error for x in mixing.margin_error(weights, cells, mixing.targets_of(cells, 0.5)).collect()) < 1e-9
+
+
+@pytest.mark.parametrize("kind", ["smallint", "int", "decimal(10,0)", "string"])
+def test_decontamination_takes_any_id_type(spark, kind):
+    passage = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([("1", f"before it {passage} behind it"), ("2", "clean text")], "doc_id string, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+    items = spark.createDataFrame([("7", passage)], "item_id string, text string").withColumn("item_id", F.col("item_id").cast(kind))
+    C.ship(spark)
+    out = decontaminate.find(docs, items)
+    assert [(str(r.doc_id), str(r.item_id)) for r in out.collect()] == [("1", "7")] and out.schema["item_id"].dataType == items.schema["item_id"].dataType

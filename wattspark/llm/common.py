@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import gc
 import hashlib
 import io
@@ -14,7 +15,7 @@ import zipfile
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wattspark.session import scratch_path
 
@@ -43,6 +44,22 @@ def release(spark: SparkSession, *shared) -> None:
     spark._jvm.System.gc()
 
 
+#: at most so many keys are broadcast by ``join_counted``
+HOT = 20_000
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """``rows`` joined to ``counted``, which has each key once, its number of rows in ``n`` and any other columns.
+
+    Keys that hold at least one in ``HOT`` of all the rows counted are at most ``HOT`` many at any size: they are
+    broadcast, so that a hot key needs no task of its own. The others are joined by hash. Both sides are read twice: settled ones.
+    """
+    total = counted.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    hot, cold = counted.where(F.col(n) * HOT >= total), counted.where(F.col(n) * HOT < total)
+    rest = rows.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(cold, keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(rest)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
@@ -136,25 +153,34 @@ class Words:
 LONG = 4096
 
 
+@functools.cache
+def _place_values() -> np.ndarray:
+    """A random number for every byte value at every place of a word (8 MB, once per worker)."""
+    return np.random.default_rng(20240301).integers(0, 1 << 64, LONG * 256, dtype=U64)
+
+
 def _span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, block: int = 1 << 18) -> np.ndarray:
-    """Hash of the byte spans: a positional polynomial over random byte weights, mixed with the length."""
+    """Hash of the byte spans: the sum of a random number per byte and place (no arithmetic relation between
+    places, as the powers of a base have), mixed with the length."""
     out = np.empty(len(start), dtype=U64)
     size = end - start
     for i in np.flatnonzero(size > LONG).tolist():
         out[i] = int.from_bytes(hashlib.blake2b(data[start[i]:end[i]].tobytes(), digest_size=8).digest(), "little")
     short = np.flatnonzero(size <= LONG)
     start, end = start[short], end[short]
+    values = _place_values()
     at = 0
-    while at < len(start):  # in blocks of bytes: bounded memory, short power tables
+    while at < len(start):  # in blocks of bytes: bounded memory
         lo = int(start[at])
         to = int(np.searchsorted(start, lo + block, side="right"))
-        hi = int(end[to - 1])
-        up, down = powers(hi - lo + 1)
-        total = np.empty(hi - lo + 1, dtype=U64)
-        total[0] = 0
-        np.cumsum(_BYTE[data[lo:hi]] * up[:-1], out=total[1:])
         s, e = start[at:to] - lo, end[at:to] - lo
-        out[short[at:to]] = (total[e] - total[s]) * down[s] + (e - s).astype(U64) * _STEP
+        n = e - s
+        upto = np.cumsum(n)
+        place = np.arange(int(upto[-1])) - np.repeat(upto - n, n)
+        byte = data[np.repeat(s, n) + place + lo]
+        total = np.zeros(len(place) + 1, dtype=U64)
+        np.cumsum(values[place * 256 + byte], out=total[1:])
+        out[short[at:to]] = total[upto] - total[upto - n] + n.astype(U64) * _STEP
         at = to
     return mix(out)
 

@@ -25,6 +25,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from wattspark.llm.common import U64, Words, as_bytes, mix, pieces, shingles, with_columns
 
@@ -171,6 +172,7 @@ def blocks(benchmark: DataFrame):
 def find(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFrame:
     """``doc_id, item_id, similarity, bits, first_word, n_words``: the best window of each matching pair."""
     src = with_columns(docs, doc_id=F.col("doc_id"), text=F.col("text"))
+    item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
     kinds = [src.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()]
     out = None
     for rows in blocks(benchmark):
@@ -181,7 +183,7 @@ def find(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFrame
             for b in pieces(batches, 4 << 20):
                 found = list(items.matches(as_bytes(b.column("text")), least))
                 cols = list(zip(*found)) if found else [()] * 6
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(cols[0], pa.int64())), pa.array(cols[1], _arrow(kinds[1])), pa.array(cols[2], pa.float64()),
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(cols[0], pa.int64())), pa.array(cols[1], item_type), pa.array(cols[2], pa.float64()),
                                                   pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.int32())],
                                                  names=["doc_id", "item_id", "similarity", "bits", "first_word", "n_words"])
 
@@ -190,10 +192,6 @@ def find(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFrame
     return out
 
 
-def _arrow(kind: str):
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
-
 def remove(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFrame:
     """The rows of ``docs``, with all their columns, without a window that matches an item."""
     for rows in blocks(benchmark):

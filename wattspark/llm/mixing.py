@@ -4,8 +4,8 @@ Token counts per (source, language, topic) cell are raked: in turn for source, l
 each cell's weight is multiplied by target share / present share of its margin value, for a fixed number
 of sweeps. A cell's weight over its token count, with mean 1 over all tokens, calibrates its documents:
 each is expected ``rate * weight`` times in the sample, drawn by a hash of its id, so a lost task redraws
-the same. ``sample`` returns a document as many times as it is drawn, so that its token shares meet the targets;
-the ``copies`` of ``calibrate`` stop at ``MAX_COPIES``, as its SQL defines them. Targets default to the margin's own shares to the power ``alpha``, renormalised (1: as is,
+the same. ``copies`` says how often: ``sample`` returns a document that many times, without a limit, so that its token
+shares meet the targets. Targets default to the margin's own shares to the power ``alpha``, renormalised (1: as is,
 0: uniform); a table of (dimension, value, share) can be given instead, whose missing values get 0.
 
 DataFrame functions only. Cells come from a partial (map-side) aggregate, so a hot source costs one
@@ -29,8 +29,6 @@ DIMENSIONS = ("source", "lang", "topic")
 #: (topic, words of which one must be in the text); the last holds for every other text
 TOPICS = [("tabular", [" | "]), ("legal", ["icense", "rights reserved", "opyright"]), ("contact", ["@"]), ("prose", [])]
 CELLS_A_TASK = 100_000
-#: at most so many ``copies`` in the table of ``calibrate``; ``sample`` has no such limit
-MAX_COPIES = 4
 
 
 def topic_of(text: Column) -> Column:
@@ -72,16 +70,24 @@ def rake(cells: DataFrame, targets: DataFrame, sweeps: int) -> DataFrame:
     return out.select(*DIMENSIONS, (F.col("w") * F.lit(float(max(whole, 1))) / F.col("tokens")).alias("weight"))
 
 
+def margin_error(weights: DataFrame, cells: DataFrame, targets: DataFrame) -> DataFrame:
+    """``dimension, error``: per margin the largest relative difference between a value's weighted token share and its target
+    (of targets above 0 that some cell can meet)."""
+    n = cells.join(weights, list(DIMENSIONS)).withColumn("w", F.col("tokens") * F.col("weight"))
+    long = n.select(F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in DIMENSIONS])).alias("m"), "w").select("m.*", "w")
+    whole = long.groupBy("dimension").agg(F.sum("w").alias("all"))
+    have = long.groupBy("dimension", "value").agg(F.sum("w").alias("w")).join(whole, "dimension").join(targets.where("share > 0"), ["dimension", "value"])
+    return have.groupBy("dimension").agg(F.max(F.abs(F.col("w") / F.col("all") / F.col("share") - 1)).alias("error"))
+
+
 def _draw(doc_id: Column, seed: str) -> Column:
     """A number in [0, 1) from 52 bits of the id's md5."""
     key = F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(f"|{seed}"))
     return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") / F.lit(float(16 ** 13))
 
 
-def _copies(weight: Column, draw: Column, rate: float, most: int | None = None) -> Column:
+def _copies(weight: Column, draw: Column, rate: float) -> Column:
     want = F.round(weight * rate, 9)
-    if most is not None:
-        want = F.least(want, F.lit(float(most)))
     return (F.floor(want) + F.when(draw < want - F.floor(want), 1).otherwise(0)).cast("long")
 
 
@@ -96,7 +102,7 @@ def calibrate(docs: DataFrame, alpha: float = 0.5, sweeps: int = 6, rate: float
     """``doc_id, source, lang, topic, n_tokens, weight, copies`` for every row of ``docs``."""
     slim, weights = weigh(docs, alpha, sweeps, targets)
     rows = slim.join(weights, list(DIMENSIONS), "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
-    return rows.select("doc_id", *DIMENSIONS, "n_tokens", F.round("weight", 6).alias("weight"), _copies(F.col("weight"), _draw(F.col("doc_id"), seed), rate, MAX_COPIES).alias("copies"))
+    return rows.select("doc_id", *DIMENSIONS, "n_tokens", F.round("weight", 6).alias("weight"), _copies(F.col("weight"), _draw(F.col("doc_id"), seed), rate).alias("copies"))
 
 
 def sample(docs: DataFrame, alpha: float = 0.5, sweeps: int = 6, rate: float = 1.0, seed: str = "mix", targets: DataFrame | None = None) -> DataFrame:
@@ -126,5 +132,5 @@ def oracle(alpha: float = 0.5, sweeps: int = 6, rate: float = 1.0, seed: str = "
     draw = f"CAST(CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || '|{seed}'), 1, 13) AS BIGINT) AS DOUBLE) / {float(16 ** 13)!r}"
     return sql + f"""
 , final AS (SELECT slim.*, coalesce(w * whole / tokens, 0.0) AS weight, {draw} AS draw FROM slim LEFT JOIN w{k} USING (source, lang, topic)),
- wanted AS (SELECT *, least(round(weight * {rate}, 9), {float(MAX_COPIES)}) AS want FROM final)
+ wanted AS (SELECT *, round(weight * {rate}, 9) AS want FROM final)
 SELECT doc_id, source, lang, topic, n_tokens, round(weight, 6) AS weight, CAST(floor(want) + CASE WHEN draw < want - floor(want) THEN 1 ELSE 0 END AS BIGINT) AS copies FROM wanted"""

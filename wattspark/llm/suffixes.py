@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from wattspark.llm.bitmaps import bit, counters, filter_of, place
-from wattspark.llm.common import U64, _BYTE, _STEP, as_bytes, mix, pieces, powers, release, settle
+from wattspark.llm.common import U64, _BYTE, as_bytes, join_counted, mix, pieces, powers, release, settle
 
 SPAN, GRAM = 400, 200
 #: a block with more different contexts is counted instead of sorted
@@ -40,8 +40,8 @@ _LOW = 20
 
 # ------------------------------------------------------------------ anchors and runs
 def runs(texts: list[bytes], span: int = SPAN, gram: int = GRAM):
-    """(text, first window, number of windows, anchor hash, context hash) of each run, as arrays."""
-    out = [[], [], [], [], []]
+    """(text, first window, number of windows, anchor hash) of each run, as arrays."""
+    out = [[], [], [], []]
     part, owner, begin, size = [], [], [], 0
 
     def flush():
@@ -63,7 +63,7 @@ def runs(texts: list[bytes], span: int = SPAN, gram: int = GRAM):
                 flush()
                 part, owner, begin, size = [], [], [], 0
     flush()
-    kinds = (np.int64, np.int64, np.int64, U64, U64)
+    kinds = (np.int64, np.int64, np.int64, U64)
     return [np.concatenate(x) if x else np.zeros(0, k) for x, k in zip(out, kinds)]
 
 
@@ -96,10 +96,7 @@ def _runs(part, owner, begin, span, gram):
     ends = np.flatnonzero(np.append((new | ~inside)[1:], True) & inside) + 1
     count = ends - first
     k = np.searchsorted(start, first, side="right") - 1
-    a = grams[anchor[first]]
-    stop = first + count - 1 + span
-    f = mix(((total[stop] - total[first]) * down[first]) + (anchor[first] - first).astype(U64) * _STEP + count.astype(U64))
-    return np.array(owner)[k], first - start[k] + np.array(begin)[k], count, a, f
+    return np.array(owner)[k], first - start[k] + np.array(begin)[k], count, grams[anchor[first]]
 
 
 # ------------------------------------------------------------------ two-stage sorting of a batch of contexts
@@ -207,7 +204,8 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def anchored(rows: DataFrame, span: int, gram: int) -> DataFrame:
-    """Settled: ``k1, k2, at, n, a, f`` of the runs whose anchor may occur twice."""
+    """Settled: ``k1, k2, at, n, a, f, f2`` of the runs whose anchor may occur twice; ``f, f2`` are 128 bits of a
+    cryptographic hash of the run's context."""
     def anchors(b):
         found = [place(runs(as_bytes(p.column("text")), span, gram)[3], ANCHOR_BITS) for p in pieces([b], 4 << 20)]
         return np.concatenate(found) if found else np.zeros(0, np.int64)
@@ -216,13 +214,17 @@ def anchored(rows: DataFrame, span: int, gram: int) -> DataFrame:
 
     def kept(batches):
         for b in pieces(batches, 4 << 20):
-            owner, at, n, a, f = runs(as_bytes(b.column("text")), span, gram)
+            texts = as_bytes(b.column("text"))
+            owner, at, n, a = runs(texts, span, gram)
             hit = np.flatnonzero(bit(twice.value, place(a, ANCHOR_BITS)))
-            who = pa.array(owner[hit], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("k1").take(who), b.column("k2").take(who), pa.array(at[hit], pa.int64()), pa.array(n[hit].astype(np.int32)),
-                                              pa.array(a[hit].view(np.int64)), pa.array(f[hit].view(np.int64))], names=["k1", "k2", "at", "n", "a", "f"])
-
-    out = settle(rows.select("k1", "k2", "text").mapInArrow(kept, "k1 long, k2 long, at long, n int, a long, f long"), "runs")
+            who, at, n = owner[hit], at[hit], n[hit]
+            names = b"".join(hashlib.blake2b(texts[k][lo:lo + m - 1 + span], digest_size=16).digest() for k, lo, m in zip(who.tolist(), at.tolist(), n.tolist()))
+            f = np.frombuffer(names, "<i8").reshape(-1, 2)
+            who = pa.array(who, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("k1").take(who), b.column("k2").take(who), pa.array(at, pa.int64()), pa.array(n.astype(np.int32)),
+                                              pa.array(a[hit].view(np.int64)), pa.array(f[:, 0].copy()), pa.array(f[:, 1].copy())], names=["k1", "k2", "at", "n", "a", "f", "f2"])
+
+    out = settle(rows.select("k1", "k2", "text").mapInArrow(kept, "k1 long, k2 long, at long, n int, a long, f long, f2 long"), "runs")
     release(rows.sparkSession, twice)
     return out
 
@@ -295,10 +297,10 @@ def _counted_windows(contexts: DataFrame, span: int) -> DataFrame:
 def stretches(rows: DataFrame, span: int, gram: int, limit: int) -> tuple[DataFrame, DataFrame]:
     """(settled repeated stretches ``k1, k2, at, to``, settled texts of the documents that have some)."""
     found = anchored(rows, span, gram)
-    same = settle(found.groupBy("a", "f").agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2", "at", "n")).alias("one")), "contexts")
-    whole = found.join(same.where("c > 1").select("a", "f"), ["a", "f"], "left_semi").select("k1", "k2", "at", (F.col("at") + F.col("n") - 1 + span).alias("to"))
+    same = settle(found.groupBy("a", "f", "f2").agg(F.count("*").alias("c"), F.min(F.struct("k1", "k2", "at", "n")).alias("one")), "contexts")
+    whole = join_counted(found, same.where("c > 1").select("a", "f", "f2", "c"), ["a", "f", "f2"], "c").select("k1", "k2", "at", (F.col("at") + F.col("n") - 1 + span).alias("to"))
     blocks = same.groupBy("a").agg(F.count("*").alias("contexts"), F.min("c").alias("least")).where("contexts > 1 AND least = 1").select("a", "contexts")
-    chosen = settle(same.join(blocks, "a").select("a", "contexts", "one.*", (F.col("c") == 1).alias("alone")), "chosen")
+    chosen = settle(join_counted(same, settle(blocks, "blocks"), ["a"], "contexts").select("a", "contexts", "one.*", (F.col("c") == 1).alias("alone")), "chosen")
     texts = _texts_of(rows, whole.select("k1", "k2").union(chosen.select("k1", "k2")))
     cut = settle(chosen.join(texts, ["k1", "k2"]).select("a", "k1", "k2", "at", "alone", "contexts", F.substring(F.col("text").cast("binary"), F.col("at").cast("int") + 1, F.col("n") - 1 + span).alias("context")), "cut")
     columns = ["a", "k1", "k2", "at", "alone", "context"]
@@ -307,7 +309,7 @@ def stretches(rows: DataFrame, span: int, gram: int, limit: int) -> tuple[DataFr
 
 
 def dedup(docs: DataFrame, span: int = SPAN, gram: int | None = None, limit: int = LIMIT, keep_text: bool = False) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` per row of ``docs`` (and ``kept``, the bytes left, on demand)."""
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, touched`` per row of ``docs`` (and ``kept``, the bytes left, on demand)."""
     rows = _rows(docs)
     found, texts = stretches(rows, span, gram or max(1, span // 2), limit)
     parts = found.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("at", "to"))).alias("parts"))
@@ -339,6 +341,6 @@ def dedup(docs: DataFrame, span: int = SPAN, gram: int | None = None, limit: int
     done = joined.mapInArrow(cut, "k1 long, k2 long, n_removed long, n_spans long, sha string, kept binary")
     every = rows.select("doc_id", "k1", "k2", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"), *([F.col("text").cast("binary").alias("raw")] if keep_text else []))
     out = every.join(done, ["k1", "k2"], "left").select(
-        "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"), F.coalesce("sha", "whole").alias("kept_sha256"),
+        "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"), F.coalesce("sha", "whole").alias("kept_sha256"), F.col("n_removed").isNotNull().alias("touched"),
         *([F.coalesce(F.when(F.col("sha").isNotNull(), F.col("kept")), "raw").alias("kept")] if keep_text else []))
     return out
