@@ -1,26 +1,56 @@
 """Bounded counters and bitmaps over all rows, merged by block on Spark.
 
 A task gathers positions in a space of ``2**bits`` and hands on one row per block; the blocks are summed
-where they meet, one after another, and only the finished space, whose size is fixed, reaches the driver.
+where they meet, one after another, and only the finished space, whose size is fixed, reaches the driver, as a bit or
+a byte per position, compressed and a few blocks at a time.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
+
+from wattspark.llm.common import U64, mix, settle
+
+#: positions per block row (a power of two), and tasks that merge blocks
+BLOCK, MERGERS = 16, 16
+
 
-from wattspark.llm.common import U64, mix
+def twice(df: DataFrame, positions, bits: int) -> np.ndarray:
+    """Packed bitmap of the positions met at least twice over all rows of ``df``. ``positions(batch)`` gives the
+    positions of an Arrow batch, with repeats."""
+    return _whole(_merged(df, positions, bits, lambda n: np.packbits(n >= 2), most=2), bits, 8)
 
-#: positions per block row
-BLOCK = 16
 
+def levels(df: DataFrame, positions, bits: int) -> np.ndarray:
+    """A byte per position: 0 where it was met no more often than chance puts there, then growing with the logarithm of how often."""
+    counts = settle(_merged(df, positions, bits, lambda n: n.astype("<i4")), "counts")
+    mean = (counts.agg(F.sum("total")).first()[0] or 0) / (1 << bits)
+    usual = mean + 4 * np.sqrt(mean) + 3
+
+    def ranked(batches):
+        for b in batches:
+            n = [np.frombuffer(zlib.decompress(x), "<i4") for x in b.column("bytes").to_pylist()]
+            out = [np.where(x > usual, 1 + np.floor(2 * np.log2(np.maximum(x, 1) / usual)), 0).astype(np.uint8) for x in n]
+            yield pa.RecordBatch.from_arrays([b.column("block"), pa.array([zlib.compress(x.tobytes(), 1) for x in out], pa.binary())], names=["block", "bytes"])
+
+    return _whole(counts.select("block", "bytes").mapInArrow(ranked, "block int, bytes binary"), bits, 1)
 
-def counters(df: DataFrame, positions, bits: int, twice: bool = False) -> np.ndarray:
-    """Counts (or, with ``twice``, whether each position was met at least twice), over all rows of ``df``.
 
-    ``positions(batch)`` gives the positions of an Arrow batch, with repeats.
-    """
+def _whole(blocks: DataFrame, bits: int, per_byte: int) -> np.ndarray:
+    """All blocks in one array; positions that no block has are 0."""
+    out = np.zeros((1 << bits) // per_byte, dtype=np.uint8)
+    for r in blocks.select("block", "bytes").toLocalIterator():
+        part = np.frombuffer(zlib.decompress(r.bytes), np.uint8)
+        out[r.block * len(part):(r.block + 1) * len(part)] = part
+    return out
+
+
+def _merged(df: DataFrame, positions, bits: int, kept, most: int | None = None) -> DataFrame:
+    """``block, total, bytes``: what ``kept`` makes of each block's counts (up to ``most``), compressed, and their sum."""
     blocks = 1 << max(0, bits - BLOCK)
     width = 1 << min(bits, BLOCK)
 
@@ -50,18 +80,12 @@ def counters(df: DataFrame, positions, bits: int, twice: bool = False) -> np.nda
             for k, low in zip(b.column("block").to_pylist(), b.column("low").to_pylist()):
                 n = np.bincount(np.frombuffer(low, "<u2"), minlength=width)
                 if k not in have:
-                    have[k] = np.zeros(width, dtype=np.uint8 if twice else np.int32)
-                have[k] = np.minimum(have[k] + n, 2).astype(np.uint8) if twice else have[k] + n.astype(np.int32)
+                    have[k] = np.zeros(width, dtype=np.int32 if most is None else np.uint8)
+                have[k] = have[k] + n.astype(np.int32) if most is None else np.minimum(have[k] + n, most).astype(np.uint8)
         for k, n in have.items():
-            out = np.packbits(n >= 2).tobytes() if twice else n.astype("<i4").tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([out], pa.binary())], names=["block", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([int(n.sum(dtype=np.int64))], pa.int64()), pa.array([zlib.compress(kept(n).tobytes(), 1)], pa.binary())], names=["block", "total", "bytes"])
 
-    rows = df.mapInArrow(gathered, "block int, low binary").repartition("block").mapInArrow(merged, "block int, bytes binary")
-    out = np.zeros(blocks * width // 8 if twice else blocks * width, dtype=np.uint8 if twice else np.int32)
-    for r in rows.toLocalIterator():  # the fixed space, block by block
-        part = np.frombuffer(r.bytes, np.uint8 if twice else "<i4")
-        out[r.block * len(part):(r.block + 1) * len(part)] = part
-    return out
+    return df.mapInArrow(gathered, "block int, low binary").repartition(MERGERS, "block").mapInArrow(merged, "block int, total long, bytes binary")
 
 
 def bit(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -82,4 +106,4 @@ def filter_of(df: DataFrame, column: str, rows: int, most: int = 27) -> tuple[np
         at = place(b.column(0).to_numpy(zero_copy_only=False), bits)
         return np.concatenate((at, at))
 
-    return counters(df.select(column), twice_over, bits, twice=True), bits
+    return twice(df.select(column), twice_over, bits), bits

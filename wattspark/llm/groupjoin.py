@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from wattspark.llm.bitmaps import bit, counters, filter_of, place
+from wattspark.llm.bitmaps import bit, filter_of, levels, place, twice
 from wattspark.llm.common import U64, Words, as_bytes, mix, pieces, release, settle, shingles, with_columns
 
 SIZE = 5
@@ -60,13 +60,6 @@ def sets_of(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def levels_of(counts: np.ndarray) -> np.ndarray:
-    """0 for counters that hold no more than chance puts there, then growing with the logarithm."""
-    mean = counts.mean() if len(counts) else 0
-    usual = mean + 4 * np.sqrt(mean) + 3
-    return np.where(counts > usual, 1 + np.floor(2 * np.log2(np.maximum(counts, 1) / usual)), 0).astype(np.uint8)
-
-
 def prefix_size(n: int) -> int:
     return n - (4 * n + 4) // 5 + 1  # ceil(0.8 n) in whole numbers
 
@@ -83,14 +76,14 @@ def documents_sets(docs: DataFrame) -> DataFrame:
         found = [place(np.concatenate(s), ORDER_BITS) for part in pieces([b], 2 << 20) if (s := sets_of(as_bytes(part.column("text"))))]
         return np.concatenate(found) if found else np.zeros(0, np.int64)
 
-    levels = docs.sparkSession.sparkContext.broadcast(levels_of(counters(src.select("text"), all_shingles, ORDER_BITS)))
+    order = docs.sparkSession.sparkContext.broadcast(levels(src.select("text"), all_shingles, ORDER_BITS))
 
     def described(batches):
         for b in pieces(batches, 2 << 20):
             sid, size, group, check, score, prefix = [], [], [], [], [], []
             for s in sets_of(as_bytes(b.column("text"))):
                 n = len(s)
-                level = levels.value[place(s, ORDER_BITS)]
+                level = order.value[place(s, ORDER_BITS)]
                 k = prefix_size(n) if n else 0
                 # by level, then by value: s is sorted, so a stable sort of the levels will do
                 first = s[np.argsort(level, kind="stable")[:k]]
@@ -109,7 +102,7 @@ def documents_sets(docs: DataFrame) -> DataFrame:
 
     kind = src.schema["doc_id"].dataType.simpleString()
     out = settle(src.mapInArrow(described, f"doc_id {kind}, th long, sid binary, n int, g long, p long, score int, prefix array<long>"), "sets")
-    release(docs.sparkSession, levels)
+    release(docs.sparkSession, order)
     return out
 
 
@@ -119,7 +112,7 @@ def groups_of(sets: DataFrame) -> DataFrame:
         return place(flat, SHARED_BITS), place(flat, SHARED_BITS, 1) + (1 << SHARED_BITS)
 
     tokens = lambda b: np.concatenate(places(_flat_list(b.column("prefix"))))
-    shared = sets.sparkSession.sparkContext.broadcast(counters(sets.where("n > 0").select("prefix"), tokens, SHARED_BITS + 1, twice=True))
+    shared = sets.sparkSession.sparkContext.broadcast(twice(sets.where("n > 0").select("prefix"), tokens, SHARED_BITS + 1))
 
     def kept(batches):
         for b in batches:

@@ -96,7 +96,8 @@ ORACLE["op9_licences"] = licences.oracle()
 @query("op10_suffix_dedup")
 def op10_suffix_dedup(spark, d):
     from wattspark.llm import suffixes as S
-    return S.dedup(documents(spark, d))
+    out = S.dedup(documents(spark, d))
+    return out.withColumn("touched", out["n_removed"] > 0)
 
 
 @query("op11_line_dedup")

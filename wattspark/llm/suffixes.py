@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from wattspark.llm.bitmaps import bit, counters, filter_of, place
+from wattspark.llm.bitmaps import bit, filter_of, place, twice
 from wattspark.llm.common import U64, _BYTE, as_bytes, join_counted, mix, pieces, powers, release, settle
 
 SPAN, GRAM = 400, 200
@@ -210,13 +210,13 @@ def anchored(rows: DataFrame, span: int, gram: int) -> DataFrame:
         found = [place(runs(as_bytes(p.column("text")), span, gram)[3], ANCHOR_BITS) for p in pieces([b], 4 << 20)]
         return np.concatenate(found) if found else np.zeros(0, np.int64)
 
-    twice = rows.sparkSession.sparkContext.broadcast(counters(rows.select("text"), anchors, ANCHOR_BITS, twice=True))
+    often = rows.sparkSession.sparkContext.broadcast(twice(rows.select("text"), anchors, ANCHOR_BITS))
 
     def kept(batches):
         for b in pieces(batches, 4 << 20):
             texts = as_bytes(b.column("text"))
             owner, at, n, a = runs(texts, span, gram)
-            hit = np.flatnonzero(bit(twice.value, place(a, ANCHOR_BITS)))
+            hit = np.flatnonzero(bit(often.value, place(a, ANCHOR_BITS)))
             who, at, n = owner[hit], at[hit], n[hit]
             names = b"".join(hashlib.blake2b(texts[k][lo:lo + m - 1 + span], digest_size=16).digest() for k, lo, m in zip(who.tolist(), at.tolist(), n.tolist()))
             f = np.frombuffer(names, "<i8").reshape(-1, 2)
@@ -225,7 +225,7 @@ def anchored(rows: DataFrame, span: int, gram: int) -> DataFrame:
                                               pa.array(a[hit].view(np.int64)), pa.array(f[:, 0].copy()), pa.array(f[:, 1].copy())], names=["k1", "k2", "at", "n", "a", "f", "f2"])
 
     out = settle(rows.select("k1", "k2", "text").mapInArrow(kept, "k1 long, k2 long, at long, n int, a long, f long, f2 long"), "runs")
-    release(rows.sparkSession, twice)
+    release(rows.sparkSession, often)
     return out
 
 
@@ -309,7 +309,7 @@ def stretches(rows: DataFrame, span: int, gram: int, limit: int) -> tuple[DataFr
 
 
 def dedup(docs: DataFrame, span: int = SPAN, gram: int | None = None, limit: int = LIMIT, keep_text: bool = False) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256, touched`` per row of ``docs`` (and ``kept``, the bytes left, on demand)."""
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` per row of ``docs`` (and ``kept``, the bytes left, on demand)."""
     rows = _rows(docs)
     found, texts = stretches(rows, span, gram or max(1, span // 2), limit)
     parts = found.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct("at", "to"))).alias("parts"))
@@ -341,6 +341,6 @@ def dedup(docs: DataFrame, span: int = SPAN, gram: int | None = None, limit: int
     done = joined.mapInArrow(cut, "k1 long, k2 long, n_removed long, n_spans long, sha string, kept binary")
     every = rows.select("doc_id", "k1", "k2", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"), *([F.col("text").cast("binary").alias("raw")] if keep_text else []))
     out = every.join(done, ["k1", "k2"], "left").select(
-        "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"), F.coalesce("sha", "whole").alias("kept_sha256"), F.col("n_removed").isNotNull().alias("touched"),
+        "doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"), F.coalesce("sha", "whole").alias("kept_sha256"),
         *([F.coalesce(F.when(F.col("sha").isNotNull(), F.col("kept")), "raw").alias("kept")] if keep_text else []))
     return out
