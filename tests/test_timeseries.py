@@ -132,3 +132,71 @@ def test_trim_ends(spark):
     rows = [(T0 + dt.timedelta(minutes=10 * i), float(i)) for i in range(5)]
     df = spark.createDataFrame(rows, "timestamp timestamp_ntz, v double")
     assert sorted(r.v for r in ts.trim_ends(df, "timestamp").collect()) == [1.0, 2.0, 3.0]
+
+
+def test_depth_lag_equals_lag_on_bursts(spark):
+    """One second holds most samples; null keys and times, ties, several series."""
+    from pyspark.sql import Window
+    from wattspark.operators.timeseries import DEPTH, chunked_lag, depth_lag
+    n = F.col("id")
+    df = spark.range(20_000).select(
+        n.alias("event_id"), F.when(n % 50 == 0, None).when(n % 3 == 0, "b").otherwise("a").alias("host"),
+        F.when(n % 997 == 0, None).otherwise(F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.when(n % 10 == 0, n * 5_000_000).otherwise((n * 7919) % 1000)).cast("timestamp_ntz")).alias("timestamp"),
+        ((n * 31) % 1000).cast("double").alias("value"))
+    w = Window.partitionBy("host").orderBy(F.col("timestamp").asc_nulls_first(), "event_id")
+    want = {r.event_id: (r.pv, r.pt) for r in df.select("event_id", F.lag("value").over(w).alias("pv"), F.lag("timestamp").over(w).alias("pt")).collect()}
+    out = depth_lag(df, ["host"], "timestamp", ["value", "timestamp"], tiebreak=["event_id"], parts=16)
+    assert out.columns == [*df.columns, "prev_value", "prev_timestamp"]
+    assert {r.event_id: (r.prev_value, r.prev_timestamp) for r in out.collect()} == want
+    keyless = chunked_lag(df, [], "timestamp", ["value"], tiebreak=["event_id"], chunk_seconds=DEPTH)
+    w = Window.orderBy(F.col("timestamp").asc_nulls_first(), "event_id")
+    want = {r.event_id: r.pv for r in df.select("event_id", F.lag("value").over(w).alias("pv")).collect()}
+    assert {r.event_id: r.prev_value for r in keyless.collect()} == want
+
+
+def test_a_burst_of_one_second_spreads_over_parts(spark, tmp_path, monkeypatch):
+    from wattspark.operators import timeseries as ts
+    monkeypatch.setattr(ts, "scratch_path", lambda spark, name: str(tmp_path / "depth"))
+    n = F.col("id")
+    df = spark.range(200_000).select(n.alias("event_id"), F.lit("a").alias("host"), F.timestamp_micros(F.lit(1_700_000_000_000_000) + (n * 7919) % 1_000_000).cast("timestamp_ntz").alias("timestamp"), n.cast("double").alias("value"))
+    ts.depth_lag(df, ["host"], "timestamp", ["value"], tiebreak=["event_id"], parts=8)
+    sizes = [r["count"] for r in spark.read.parquet(str(tmp_path / "depth")).groupBy("__part").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * 200_000 / 8
+
+
+def test_energy_in_parts_of_equal_depth(spark):
+    from wattspark.operators import energy
+    from wattspark.operators.timeseries import DEPTH
+    n = F.col("id")
+    df = spark.range(5000).select(n.alias("event_id"), (n % 3).alias("host"), F.timestamp_micros(F.lit(1_700_000_000_000_000) + (n * 7919 % 5000) * 250_000).cast("timestamp_ntz").alias("timestamp"), ((n * 13) % 100).cast("double").alias("value"))
+    a, b = (sorted((r.host, round(r.energy_J, 6)) for r in energy.integrate_power(df, "timestamp", "value", ["host"], tiebreak=["event_id"], chunk_seconds=c).collect()) for c in (None, DEPTH))
+    assert a == b and len(a) == 3
+
+
+def test_dyadic_join_equals_naive_join(spark):
+    import random
+    from wattspark.operators.joins import LEVELS, _bucket, dyadic_cells, dyadic_join
+    rnd = random.Random(4)
+    t0 = 1_700_000_000_000_000
+    pts = [(i, f"h{i % 3}", t0 + rnd.randrange(40 * 86_400_000_000)) for i in range(2000)]
+    iv = []
+    for k in range(120):  # from a microsecond to a month, overlapping, some empty, null or backwards
+        lo = t0 + rnd.randrange(40 * 86_400_000_000)
+        size = rnd.choice([0, 1, 999_999, 1_000_000, 60_000_000, 3_600_000_000, 86_400_000_000, 30 * 86_400_000_000, -5])
+        iv.append((k, f"h{k % 3}", lo, None if k % 40 == 7 else lo + size))
+    iv += [(200 + k, f"h{k % 3}", t, t) for k, (_, _, t) in enumerate(pts[:30]) if pts[k][1] == f"h{k % 3}"]
+    t = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
+    points = spark.createDataFrame(pts, "pid long, host string, us long").select("pid", "host", t("us").alias("ts"))
+    spans = spark.createDataFrame(iv, "run long, host string, lo long, hi long").select("run", "host", t("lo").alias("start"), t("hi").alias("end"))
+    for pad in (0.0, 0.5):
+        p = int(pad * 1e6)
+        want = sorted((i, k) for i, h, x in pts for k, g, lo, hi in iv if hi is not None and h == g and lo - p <= x <= hi + p and hi + p >= lo - p)
+        got = dyadic_join(points, spans, point_ts="ts", start="start", end="end", keys=["host"], pad_seconds=pad)
+        assert got.columns == ["pid", "host", "ts", "run", "start", "end"]
+        assert sorted((r.pid, r.run) for r in got.select("pid", "run").collect()) == want
+    # a month of seconds is a few dozen cells, which cover each second once
+    one = spark.createDataFrame([(12_345, 12_345 + 2_678_400), (-7, 9), (5, 5)], "a long, b long").select("a", "b", dyadic_cells(F.col("a"), F.col("b")).alias("c")).collect()
+    for r in one:
+        assert len(r.c) <= 2 * LEVELS and sum(2 ** x.level for x in r.c) == r.b - r.a + 1
+        assert min(x.cell * 2 ** x.level for x in r.c) == r.a and max((x.cell + 1) * 2 ** x.level for x in r.c) == r.b + 1
+    assert len(one[0].c) < 45

@@ -55,6 +55,50 @@ def range_join(points: DataFrame, intervals: DataFrame, *, point_ts: str, start:
     return out.drop("__pb")
 
 
+#: levels of dyadic cells: 2 ** 40 base cells cover any time range
+LEVELS = 40
+
+
+def dyadic_cells(low: F.Column, high: F.Column) -> F.Column:
+    """The fewest aligned cells of 2 ** level base cells that make up the base cells ``low`` to ``high``: an array of
+    (level, cell) with at most two entries a level."""
+    def at(i):
+        a, b = -F.call_function("shiftright", -low, i), F.call_function("shiftright", high + 1, i)  # [ceil, floor)
+        one = F.lit(1).cast("long")
+        left = F.when((a < b) & (a.bitwiseAND(one) == 1), F.struct(i.alias("level"), a.alias("cell")))
+        right = F.when((a < b) & (b.bitwiseAND(one) == 1), F.struct(i.alias("level"), (b - 1).alias("cell")))
+        return F.array(left, right)
+    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), at)))
+
+
+def dyadic_join(points: DataFrame, intervals: DataFrame, *, point_ts: str, start: str, end: str,
+                keys=(), pad_seconds: float = 0.0, base_seconds: float = 1.0) -> DataFrame:
+    """Like :func:`range_join`, for intervals of very different lengths.
+
+    An interval is cut into aligned cells of 1, 2, 4, .. base cells, at most two of each size: a month costs some forty
+    rows, a second one or two, where one bucket width must suit both. A point looks up its cell on each level that an
+    interval uses (at most ``LEVELS``, known from one small aggregate); the cells of an interval are disjoint, so a pair meets once.
+    """
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    width = int(base_seconds * 1_000_000)
+    lo, hi = F.col(start), F.col(end)
+    if pad_seconds:
+        lo, hi = add_seconds(lo, -pad_seconds), add_seconds(hi, pad_seconds)
+    iv = intervals.where(F.col(start).isNotNull() & F.col(end).isNotNull()).select(
+        *[F.col(k).alias(f"__i_{k}") for k in keys], F.struct(*[c for c in intervals.columns if c not in keys]).alias("__iv"), lo.alias("__lo"), hi.alias("__hi")).where("__hi >= __lo")
+    iv = iv.select("*", F.inline(dyadic_cells(_bucket("__lo", width), _bucket("__hi", width))))
+    used = sorted(r.level for r in iv.select("level").distinct().collect())
+    if not used:
+        used = [0]
+    cells = F.array(*[F.struct(F.lit(n).alias("__level"), F.shiftright("__base", n).alias("__cell")) for n in used])
+    pts = points.select(*points.columns, _bucket(point_ts, width).alias("__base")).select(*points.columns, F.inline(cells))
+    cond = (F.col("__level") == F.col("level")) & (F.col("__cell") == F.col("cell"))
+    for k in keys:
+        cond = cond & (F.col(k) == F.col(f"__i_{k}"))
+    inside = (F.col(point_ts) >= F.col("__lo")) & (F.col(point_ts) <= F.col("__hi"))
+    return pts.join(iv, cond).where(inside).select(*points.columns, *[F.col("__iv")[c].alias(c) for c in intervals.columns if c not in keys])
+
+
 def islands(intervals: DataFrame, *, start: str = "start", end: str = "end", keys=(),
             bucket_seconds: float = DEFAULT_BUCKET_S) -> DataFrame:
     """Disjoint stretches of the union of intervals: one row per (keys, time bucket), ``__b``, with a sorted

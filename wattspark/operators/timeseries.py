@@ -6,19 +6,27 @@ order is split into fixed time *chunks*: the window runs per (keys, chunk),
 and the first row of each chunk takes its predecessor from the last row of
 the previous non-empty chunk (one summary row per chunk, so that side stays
 small). The largest task then holds one chunk of one key.
+
+Where bursts may be denser than any fixed width, ``chunk_seconds=DEPTH`` cuts the order into parts of equal
+*depth* instead: Spark range-partitions the rows by (keys, time, tie-break) with bounds from a sample, and the last
+row of each part is carried into the next. A million samples of one second then spread over tasks like any others.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wattspark.functions.timecols import epoch_us, bucket_start
+from wattspark.session import scratch_path
 
 DEFAULT_CHUNK_S = 3600
 #: a series without keys holds all rows of a stretch of time, so its chunks are shorter
 KEYLESS_CHUNK_S = 60
+#: ``chunk_seconds`` of this value: parts of equal numbers of rows
+DEPTH = "depth"
 
 
 def _cols(x) -> list[str]:
@@ -74,7 +82,7 @@ def _order_key(df: DataFrame, ts_col: str, tiebreak: Sequence[str]) -> Column:
 
 
 def chunked_lag(df: DataFrame, keys, ts_col: str, cols, *, tiebreak=(),
-                chunk_seconds: float | None = None, prefix: str = "prev_") -> DataFrame:
+                chunk_seconds: float | str | None = None, prefix: str = "prev_") -> DataFrame:
     """Add ``prev_<c>`` = value of ``c`` on the previous row of the same series.
 
     Series = ``keys`` (may be empty), ordered by ``ts_col`` then ``tiebreak``.
@@ -88,6 +96,8 @@ def chunked_lag(df: DataFrame, keys, ts_col: str, cols, *, tiebreak=(),
     equi-join on (keys, chunk) - co-partitioned with the large side - brings
     the carry in. The rows are sorted once.
     """
+    if chunk_seconds == DEPTH:
+        return depth_lag(df, keys, ts_col, cols, tiebreak=tiebreak, prefix=prefix)
     keys, cols, tiebreak = _cols(keys), _cols(cols), _cols(tiebreak)
     order_cols = [ts_col] + tiebreak
     ck = "__chunk"
@@ -112,6 +122,34 @@ def chunked_lag(df: DataFrame, keys, ts_col: str, cols, *, tiebreak=(),
     return d.drop(*["__carry_" + c for c in cols], "__rn", ck, *sk)
 
 
+def depth_lag(df: DataFrame, keys, ts_col: str, cols, *, tiebreak=(), prefix: str = "prev_", parts: int | None = None) -> DataFrame:
+    """The same as :func:`chunked_lag`, in parts of equal depth (``parts`` of them, or as many as Spark shuffles to).
+
+    Rows are range-partitioned and sorted once, numbered (partition in the upper bits) and written to the shared
+    checkpoint folder, so that a lost task finds the same parts again. Windows run over (part, keys); the carry is a
+    record per part and key. Rows that are equal in keys, time and tie-break are dealt by a last, arbitrary number.
+    """
+    keys, cols, tiebreak = _cols(keys), _cols(cols), _cols(tiebreak)
+    d, sk = _surrogate_keys(df, keys)
+    order = [F.col(c).asc_nulls_first() for c in [*sk, ts_col, *tiebreak, "__tie"]]
+    d = d.withColumn("__tie", F.monotonically_increasing_id())
+    d = (d.repartitionByRange(parts, *order) if parts else d.repartitionByRange(*order)).sortWithinPartitions(*order)
+    d = d.drop("__tie").withColumn("__at", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__at", 33))
+    path = scratch_path(df.sparkSession, f"wattspark/depth-{uuid.uuid4().hex[:12]}")
+    d.write.parquet(path)
+    d = df.sparkSession.read.schema(d.schema).parquet(path)
+    lasts = d.groupBy(*sk, "__part").agg(*[F.max_by(F.struct(*cols), F.col("__at")).alias("__last")])
+    carry = lasts.select(*sk, "__part", F.lag("__last").over(Window.partitionBy(*sk).orderBy("__part")).alias("__carry"))
+    w = Window.partitionBy("__part", *sk).orderBy("__at")
+    d = d.withColumn("__rn", F.row_number().over(w))
+    for c in cols:
+        d = d.withColumn(prefix + c, F.lag(c).over(w))
+    d = d.join(carry, [*sk, "__part"], "left")
+    for c in cols:
+        d = d.withColumn(prefix + c, F.when(F.col("__rn") == 1, F.col("__carry")[c]).otherwise(F.col(prefix + c)))
+    return d.select(*df.columns, *[prefix + c for c in cols])
+
+
 def diff_over(df: DataFrame, keys, ts_col: str, cols, *, tiebreak=(), clip_at_zero=True,
               fill_first=0, suffix: str = "_rate", chunk_seconds: float | None = None) -> DataFrame:
     """``c - lag(c)`` per series (F7/F8); optionally clipped at 0 and first row filled.

@@ -750,3 +750,7 @@ SELECT host, timestamp, coalesce(greatest(CAST(reads AS DOUBLE) - lag(reads) OVE
 FROM diskio, final WHERE epoch_us(timestamp) <= ms * 1000"""
 ORACLE["j5_stream_pue_join"] = with_views("pdu", "meter10", "pdu10", "pue") + """x AS (SELECT least(max(ts) FILTER (WHERE event_type = 'view'), max(ts) FILTER (WHERE event_type != 'view')) AS seen FROM events)
 SELECT timestamp, round(ratio, 9) AS ratio FROM pue, x WHERE timestamp + INTERVAL 20 MINUTE <= seen"""
+
+# ----------------------------------------------------------------------------- other forms of the same
+ORACLE["f6_lag_depth"] = ORACLE["f6_lag_1"]
+ORACLE["d4_dyadic_join"] = ORACLE["d4_run_window_join"]

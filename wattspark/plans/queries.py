@@ -177,6 +177,13 @@ def d4_run_window_join(spark, d):
     return j.select("run_id", "event_id")
 
 
+@query("d4_dyadic_join")
+def d4_dyadic_join(spark, d):
+    """The same by dyadic cells."""
+    j = R.run_window_join(V.machine_power(spark, d), llm_runs(spark, d), keys=["host"], pad_seconds=60, bucket_seconds=None)
+    return j.select("run_id", "event_id")
+
+
 @query("d5_interval_union_filter")
 def d5_interval_union_filter(spark, d):
     """Power samples inside any paired I/O interval, each once."""
@@ -1113,6 +1120,14 @@ def f6_lag_1(spark, d):
     return out.select("event_id", "index", "prev_power_draw")
 
 
+@query("f6_lag_depth")
+def f6_lag_depth(spark, d):
+    """The same in parts of equal depth."""
+    g = V.gpu_samples(spark, d).select("event_id", "index", "timestamp", "power_draw")
+    out = ts.chunked_lag(g, ["index"], "timestamp", ["power_draw"], tiebreak=["event_id"], chunk_seconds=ts.DEPTH)
+    return out.select("event_id", "index", "prev_power_draw")
+
+
 @query("f7_diff")
 def f7_diff(spark, d):
     """Difference along the whole (key-less) per-second meter series."""
