@@ -710,7 +710,7 @@ SELECT event_id, event_id || ',' || event_type || ',' || user_id AS csv,
   '{"event_id":' || event_id || ',"event_type":"' || event_type || '","host":' || user_id || '}' AS json,
   '# Power ' || event_type || chr(10) || 'vcId_' || (user_id % 10) || '{unit="W"} ' || user_id AS prometheus FROM events"""
 ORACLE["a10_index_records"] = """
-SELECT n_name AS "table", n_name AS label, CAST(n_nationkey AS VARCHAR) AS record_id FROM nation"""
+SELECT l_linestatus AS "table", l_returnflag AS label, l_orderkey || '-' || l_linenumber AS record_id FROM lineitem"""
 ORACLE["a15_run_percentiles"] = """
 WITH l AS (SELECT user_id, max(event_id) AS m FROM events GROUP BY user_id)
 SELECT '/llm/run_' || user_id || '.err' AS path, m % 1000 AS p50, m % 1000 + 70 AS p99, m % 1000 + 100 AS p100, m AS n FROM l"""
@@ -754,3 +754,13 @@ SELECT timestamp, round(ratio, 9) AS ratio FROM pue, x WHERE timestamp + INTERVA
 # ----------------------------------------------------------------------------- other forms of the same
 ORACLE["f6_lag_depth"] = ORACLE["f6_lag_1"]
 ORACLE["d4_dyadic_join"] = ORACLE["d4_run_window_join"]
+
+# ----------------------------------------------------------------------------- rollups and sketches
+ORACLE["i18_stream_rollup"] = ORACLE["i18_devops_groupby"]
+ORACLE["f1_rollup_range"] = with_views("machine_power") + """r AS (SELECT epoch_us(min(timestamp)) AS lo, epoch_us(max(timestamp)) AS hi FROM machine_power)
+SELECT time_bucket(INTERVAL '10 minutes', timestamp) AS timestamp, host, count(*) AS rows, count(value) AS n, round(sum(value), 6) AS total,
+round(avg(value), 6) AS mean, round(min(value), 6) AS low, round(max(value), 6) AS high FROM machine_power, r
+WHERE timestamp >= date_trunc('hour', make_timestamp(CAST(round(lo + (hi - lo) / 3.0) AS BIGINT))) AND timestamp < date_trunc('hour', make_timestamp(CAST(round(lo + (hi - lo) * 2 / 3.0) AS BIGINT))) GROUP BY 1, 2"""
+ORACLE["e11_sketch_summary"] = """WITH x AS (SELECT 'value' AS col, value AS v FROM events UNION ALL SELECT 'host', CAST(user_id AS DOUBLE) FROM events)
+SELECT col, count(v) AS n, CAST(count(*) - count(v) AS BIGINT) AS nulls, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, round(min(v), 6) AS min, round(max(v), 6) AS max,
+true AS ranks_near, true AS distinct_near FROM x GROUP BY col"""

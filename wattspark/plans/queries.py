@@ -800,7 +800,8 @@ def b6_planned_files(spark, d):
 
 
 # --------------------------------------------------------------------------- streaming
-from wattspark.streaming import ingest as SI, stateful as SS, pue as SP  # noqa: E402
+from wattspark.streaming import ingest as SI, stateful as SS, pue as SP, rollup as SR  # noqa: E402
+from wattspark.operators import sketches as SK  # noqa: E402
 
 
 def _lp_input(spark, d, lines: DataFrame) -> str:
@@ -968,6 +969,55 @@ def j5_stream_pue_join(spark, d):
     return spark.read.parquet(out).select(F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), r("ratio", 9).alias("ratio"))
 
 
+CPU_USAGE = ["usage_user", "usage_system", "usage_iowait", "usage_idle", "usage_nice"]
+
+
+@query("i18_stream_rollup")
+def i18_stream_rollup(spark, d):
+    """Maxima per host and minute from a rollup kept by a stream whose samples arrive out of order; one batch comes twice."""
+    c = V.cpu(spark, d)
+    parsed, _ = _shuffled_stream(spark, c, "cpu", ["host", "core_id"], {m: "float" for m in CPU_USAGE}, batches=3)
+    rows = parsed.select(F.col("time").alias("timestamp"), F.col("tags")["host"].alias("host"), *[FM.field_double("fields", m).alias(m) for m in CPU_USAGE])
+    roll, ck = SR.Rollup(spark, _scratch(spark, "rollup"), ["host"], CPU_USAGE), _scratch(spark, "stream-ck")
+    _run(rows.writeStream.foreachBatch(roll.writer("cpu")).option("checkpointLocation", ck).trigger(availableNow=True).start())
+    roll.add(c, "cpu-0")  # a batch that is loaded already
+    return roll.query().select("host", F.col("timestamp").alias("minute"), *[r(f"max_{m}").alias(f"max_{m}") for m in CPU_USAGE])
+
+
+@query("f1_rollup_range")
+def f1_rollup_range(spark, d):
+    """Ten-minute means per host over the middle third of the time, in whole hours, from minute partials of four loads."""
+    p = V.machine_power(spark, d).select("timestamp", "host", "value")
+    lo, hi = p.select(F.min("timestamp"), F.max("timestamp")).first()
+    hour = lambda t: t.replace(minute=0, second=0, microsecond=0)
+    roll = SR.Rollup(spark, _scratch(spark, "rollup"), ["host"], ["value"])
+    for k in range(4):  # every load holds samples of all times
+        roll.add(p.where(F.pmod(F.xxhash64("timestamp", "host"), F.lit(4)) == k), f"part-{k}")
+    t = roll.query(600, hour(lo + (hi - lo) / 3), hour(lo + (hi - lo) * 2 / 3))
+    return t.select("timestamp", "host", "rows", F.col("n_value").alias("n"), r("sum_value").alias("total"), r("mean_value").alias("mean"), r("min_value").alias("low"), r("max_value").alias("high"))
+
+
+@query("e11_sketch_summary")
+def e11_sketch_summary(spark, d):
+    """Event values and hosts summarised from states per day, the last day added later. The quantiles and the distinct count are estimates:
+    given is whether they lie within 2 % in rank and 5 % in number of the exact ones."""
+    e = V.table(spark, d, "events").select("ts", "value", F.col("user_id").cast("double").alias("host"))
+    last = e.select(F.to_date(F.max("ts"))).first()[0]
+    t = SK.SketchTable(spark, _scratch(spark, "sketches"), ["value", "host"], "ts")
+    t.add(e.where(F.to_date("ts") < F.lit(last)), "before")
+    t.add(e.where(F.to_date("ts") >= F.lit(last)), str(last))
+    s = t.summary()
+    long = e.select(F.explode(F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).alias("v")) for c in ("value", "host")])).alias("x")).select("x.*")
+    quantiles = s.select("col", "q25", "median", "q75")  # one row per column
+    ranks = [a for q in ("q25", "median", "q75") for a in (F.count_if(F.col("v") < F.col(q)).alias(f"{q}_below"), F.count_if(F.col("v") <= F.col(q)).alias(f"{q}_upto"))]
+    per = long.join(F.broadcast(quantiles), "col").groupBy("col").agg(*ranks)
+    exact = per.join(long.where(F.col("v").isNotNull()).distinct().groupBy("col").agg(F.count(F.lit(1)).alias("exact")), "col")
+    n, off = F.col("n"), F.lit(0.02)
+    near = [(F.col(f"{q}_below") <= (at + off) * n) & (F.col(f"{q}_upto") >= (at - off) * n) for q, at in (("q25", 0.25), ("median", 0.5), ("q75", 0.75))]
+    return s.join(exact, "col").select("col", "n", "nulls", r("mean").alias("mean"), r("std").alias("std"), r("min").alias("min"), r("max").alias("max"),
+                                       (near[0] & near[1] & near[2]).alias("ranks_near"), (F.abs(F.col("distinct") - F.col("exact")) <= 0.05 * F.col("exact")).alias("distinct_near"))
+
+
 # --------------------------------------------------------------------------- building blocks (C, D, E, F, G, H)
 from wattspark.functions import safe as SF_  # noqa: E402
 
@@ -1211,11 +1261,14 @@ def b7_render_formats(spark, d):
 
 @query("a10_index_records")
 def a10_index_records(spark, d):
-    """The record branch of a dataset index: one entry per nation, label and record id of its DOI."""
-    n = V.table(spark, d, "nation")
-    entry = F.struct(F.array(F.struct(F.col("n_name").alias("label"), F.concat(F.lit("10.1234/archive."), F.col("n_nationkey").cast("string")).alias("doi"))).alias("zenodo_records"))
-    js = n.select(F.to_json(F.struct(F.create_map(F.col("n_name"), entry).alias("tables"), F.lit(None).cast("array<struct<key:string,checksum:string>>").alias("files"))).alias("json"))
-    records, _ = LK.index_entries(js)
+    """The record branch of dataset indexes: one index per order, with an entry per line item under its line status."""
+    li = V.table(spark, d, "lineitem")
+    key = F.concat_ws(".", F.lit("10.1234/archive"), F.col("l_orderkey").cast("string"))
+    record = F.struct(F.col("l_returnflag").alias("label"), F.concat_ws("-", key, F.col("l_linenumber").cast("string")).alias("doi"))
+    tables = li.groupBy("l_orderkey", "l_linestatus").agg(F.collect_list(record).alias("zenodo_records"))  # at most seven lines an order
+    entry = F.struct(F.col("l_linestatus").alias("key"), F.struct("zenodo_records").alias("value"))
+    index = tables.groupBy("l_orderkey").agg(F.map_from_entries(F.collect_list(entry)).alias("tables"))
+    records, _ = LK.index_entries(index.select(F.to_json(F.struct("tables")).alias("json")))
     return records
 
 

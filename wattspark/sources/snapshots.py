@@ -190,6 +190,28 @@ class SnapshotTable:
         part = self._write(rows, None)
         return self._commit(base, "compact", [part], part)
 
+    def read_loads(self, loads: Sequence[str]) -> DataFrame:
+        """Rows of the named loads of the newest snapshot."""
+        kept = [x for x in self.entry()["loads"] if x["load"] in set(loads)]
+        schema = T.StructType.fromJson(json.loads(kept[-1]["schema"]))
+        return self.spark.read.schema(schema).parquet(*[f"{self.root}/data/{x['load']}" for x in kept])
+
+    def replace_loads(self, loads: Sequence[str], df: DataFrame, retries: int = 20) -> int:
+        """A new snapshot in which one load with the rows of ``df`` stands for the named loads. Loads appended in the
+        meantime stay; if one of the named ones is gone, :class:`Conflict` is raised."""
+        gone, part = set(loads), self._write(df, None)
+        for _ in range(retries):
+            base = self.entry()
+            if not gone <= {x["load"] for x in base["loads"]}:
+                raise Conflict(f"loads of {self.root} were replaced by another writer")
+            try:
+                at = next(i for i, x in enumerate(base["loads"]) if x["load"] in gone)
+                kept = [[x for x in side if x["load"] not in gone] for side in (base["loads"][:at], base["loads"][at:])]
+                return self._commit(base, "compact", [*kept[0], part, *kept[1]], part)
+            except Conflict:
+                time.sleep(0.05)
+        raise Conflict(f"{self.root}: no room for version after {retries} tries")
+
     def vacuum(self, keep: int = 1) -> int:
         """Removes log entries but the newest ``keep``, and loads that no remaining one names; returns how many loads.
         Not to be run while a load is written."""
