@@ -78,6 +78,36 @@ def test_byte_coding_round_trip():
 
 
 # ------------------------------------------------------------------ 5: token counts
+def test_spliced_chunks_have_the_ids_of_the_whole_text():
+    encoder, rng = UnitEncoder.get(Q.vocabulary()), random.Random(5)
+    parts = ["的", "是不", "，", "a", "bc", "don't", "'s", "''ll", "12", "!", "?!", " ", "  ", "\n", "\n\n", "\t", "<|endoftext|>", "<|endof", "é", "e\u0301",
+             "\u00a0", "\u3000", "नमस्ते", "🙂", "X" * 30, " the", " \n "]
+    for k in range(1500):
+        text = "".join(rng.choices(parts if k % 2 else rng.sample(parts, 4), k=rng.randint(0, 300)))
+        got = [i for run in token_counts.spliced_ids(encoder, text, rng.choice([20, 33, 64, 200]), rng.choice([2, 4, 16])) for i in run]
+        assert got == encoder.tk.encode(text, add_special_tokens=False).ids, text
+
+
+@pytest.mark.parametrize("unit", ["的一是不", "的一是不，", "x" * 3000 + " "])
+def test_texts_without_spaces_are_encoded_a_bounded_number_of_times(unit):
+    encoder, read = UnitEncoder.get(Q.vocabulary()), []
+
+    class Counting:
+        special = encoder.special
+
+        class tk:
+            @staticmethod
+            def encode(text, add_special_tokens):
+                read.append(len(text))
+                return encoder.tk.encode(text, add_special_tokens=add_special_tokens)
+
+    for n in (20_000, 80_000):
+        text, read = unit * (n // len(unit)), []
+        ids = [i for run in token_counts.spliced_ids(Counting, text, 1000, 16) for i in run]
+        assert ids == encoder.tk.encode(text, add_special_tokens=False).ids
+        assert sum(read) < 8 * n
+
+
 def test_token_counts(spark, rows, odd, empty):
     want = {i: n - 1 for i, (_, n, _) in B.token_rows(rows).items()}
     got = Q.QUERIES["op5_token_counts"](spark, SF0001).collect()

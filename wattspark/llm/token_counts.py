@@ -2,12 +2,13 @@
 
 A text of at most ``chunk_chars`` is encoded as a whole. A longer one is encoded in overlapping
 chunks, with offsets. Two neighbouring chunks are spliced at a boundary that both have and that
-is proven stable: a piece that starts with a space before another character. The pattern scan is
-in its start state there in both chunks, and BPE works piece by piece, so left of the boundary the
-first chunk, and right of it the second chunk, has the ids of the whole text. The boundary keeps
+is proven stable: the start of a piece. The first chunk starts at a piece of the whole text and the pattern looks at most one
+character ahead, so all its pieces but those at its very end are pieces of the whole text; the pattern never looks back, so from a
+common start on the second chunk has the pieces of the whole text as well; and BPE works piece by piece. The boundary keeps
 ``margin`` characters from the first chunk's end and the second one's start, more than any special
 string is long, so no special string can be cut. Without such a boundary the overlap is doubled;
-when it reaches the whole chunk, the chunk itself grows. Memory per document is some chunks.
+when it reaches the whole chunk, or the chunk is one piece, the chunk is doubled. So a text costs time in proportion to its length, and
+memory per document is some chunks, or some times its longest piece, which BPE needs as a whole.
 
 Defined results: null text counts as empty (0 bytes, 0 tokens); equal rows give equal rows; an
 empty table gives an empty result; only ``doc_id`` and ``text`` are read of the input's columns.
@@ -24,13 +25,20 @@ from wattspark.llm.common import pieces, with_columns
 from wattspark.llm.tokens import UnitEncoder
 
 
+#: the characters that stand for white space in a byte-level vocabulary
+_WHITE = "ĠĊĉčċČ"
+
+
 def boundaries(enc, begin: int) -> dict[int, int]:
-    """Offset in the text -> index of the token, for pieces that start with a space and more."""
+    """Offset in the text -> index of the token, for starts of pieces. Pieces that are or start with white space count only as
+    one space before another character: offsets of the others may leave the white space out."""
     out, last = {}, None
     words, tokens, offsets = enc.word_ids, enc.tokens, enc.offsets
     for i, w in enumerate(words):
-        if w is not None and w != last and i and len(tokens[i]) > 1 and tokens[i][0] == "Ġ" and tokens[i][1] not in "ĠĊĉčċČ":
-            out[begin + offsets[i][0]] = i
+        if w is not None and w != last and i:
+            t = tokens[i]
+            if t[0] not in _WHITE or t[0] == "Ġ" and len(t) > 1 and t[1] not in _WHITE:
+                out[begin + offsets[i][0]] = i
         last = w
     return out
 
@@ -46,22 +54,22 @@ def spliced_ids(encoder: UnitEncoder, text: str, chunk_chars: int, overlap: int)
     lo, hi, taken = 0, min(n, chunk_chars), 0
     ids, edges = encoded(lo, hi)
     while hi < n:
+        usable = [p for p, i in edges.items() if p < hi - margin and i >= taken]
         wide = overlap
-        while True:
-            at = hi - wide
-            if at <= lo:  # nothing to align on in the whole chunk: a longer chunk
-                hi = min(n, hi + chunk_chars)
-                ids, edges = encoded(lo, hi)
-                break
-            to = min(n, at + wide + chunk_chars)
+        while usable and hi - wide > lo and hi - wide + margin >= usable[-1]:
+            wide *= 2  # no boundary of the first chunk lies in the overlap
+        both = []
+        while usable and not both and (at := hi - wide) > lo:
+            to = min(n, hi + chunk_chars)
             more, further = encoded(at, to)
-            both = [p for p, i in edges.items() if at + margin < p < hi - margin and i >= taken and p in further]
-            if both:
-                p = max(both)
-                yield ids[taken:edges[p]]
-                lo, hi, ids, edges, taken = at, to, more, further, further[p]
-                break
+            both = [p for p in usable if at + margin < p and p in further]
             wide *= 2
+        if both:
+            yield ids[taken:edges[both[-1]]]
+            lo, hi, ids, edges, taken = at, to, more, further, further[both[-1]]
+        else:  # nothing to align on in the whole chunk: one of twice the length
+            hi = min(n, 2 * hi - lo)
+            ids, edges = encoded(lo, hi)
     yield ids[taken:]
 
 
