@@ -35,7 +35,7 @@ class Rollup:
 
     def __init__(self, spark: SparkSession, root: str, keys: Sequence[str], values: Sequence[str], base_s: int = 60, ts_col: str = "timestamp"):
         self.keys, self.values, self.base_s, self.ts_col = list(keys), list(values), base_s, ts_col
-        self.table = SnapshotTable(spark, root, bloom=self.keys, order=[CELL, *self.keys])
+        self.table = SnapshotTable(spark, root, bloom=self.keys)
 
     # ------------------------------------------------------------------ partials
     def _merge(self, partials: DataFrame, cell: Column) -> DataFrame:
@@ -70,7 +70,9 @@ class Rollup:
             due = [x["load"] for x in loads[k:]]
             if len(due) < FAN:
                 return merged
-            self.table.replace_loads(due, self._merge(self.table.read_loads(due), F.col(CELL)))
+            rows = self._merge(self.table.read_loads(due), F.col(CELL))
+            by = [CELL, *self.keys]  # narrow zones; a batch itself is narrow, and sampling its bounds would compute it twice
+            self.table.replace_loads(due, rows.repartitionByRange(*by).sortWithinPartitions(*by))
             merged += len(due)
 
     def writer(self, stream: str = "stream"):
