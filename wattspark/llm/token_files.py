@@ -1,8 +1,8 @@
 """Token-ID / binary output (operator 1): frequency-ranked ids, byte-aligned variable-length coding.
 
 Pass 1 encodes every text and writes the raw ids to shared scratch, so that nothing is encoded
-twice. Pass 2 counts ids (one row per task and id, summed by Spark); the most frequent id gets
-rank 0. Pass 3 codes each document's ranks: 1 to 4 data bytes a value, and separate control bytes
+twice. Its tasks count the ids they write and add the counts as rows of their own, one per task and id, so that
+pass 2 sums those and reads no ids; the most frequent id gets rank 0. Pass 3 codes each document's ranks: 1 to 4 data bytes a value, and separate control bytes
 with two bits a value (length - 1). The coded rows, smaller than the texts, are range-partitioned
 and sorted by ``doc_id`` and written as a Parquet table, one row a document with ``control`` and
 ``data`` columns; Spark's committer makes the write survive lost executors and any file system.
@@ -93,31 +93,31 @@ def write_token_files(docs: DataFrame, path: str, vocab: str, end_id: int | None
     wide = np.dtype("<u2" if end_id is None or end_id < 1 << 16 else "<u4")
 
     def encoded(batches):
-        encoder = UnitEncoder.get(vocab)
+        encoder, total, key = UnitEncoder.get(vocab), np.zeros(0, dtype=np.int64), pa.null()
         for b in pieces(batches, 2 << 20, cache="tokens"):
             ids, count = encoder.encode(b.column("text"))
             ids = ids.astype(max(wide, encoder.dtype, key=lambda d: d.itemsize))
             if end_id is not None:
                 ids = np.insert(ids, np.cumsum(count), end_id)
                 count = count + 1
+            n = np.bincount(ids)
+            total = np.pad(total, (0, max(0, len(n) - len(total))))
+            total[: len(n)] += n
+            key, none = b.column("doc_id").type, pa.nulls(len(count), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("tie"), pa.array(count, pa.int64()), pa.array(np.full(len(count), ids.dtype.itemsize, np.int8)), _binary(ids, count)],
-                names=["doc_id", "tie", "n_tokens", "width", "ids"])
-
-    src.mapInArrow(encoded, f"doc_id {kind}, tie long, n_tokens long, width byte, ids binary").write.option("compression", "zstd").parquet(raw)
-    ids = spark.read.parquet(raw)
-
-    def counted(batches):
-        total = np.zeros(0, dtype=np.int64)
-        for b in batches:
-            if b.num_rows:
-                n = np.bincount(_flat(b.column("ids"), f"<u{b.column('width')[0].as_py()}"))
-                total = np.pad(total, (0, max(0, len(n) - len(total))))
-                total[: len(n)] += n
+                [b.column("doc_id"), b.column("tie"), pa.array(count, pa.int64()), pa.array(np.full(len(count), ids.dtype.itemsize, np.int8)), _binary(ids, count), none, none],
+                names=["doc_id", "tie", "n_tokens", "width", "ids", "id", "n"])
+        # the task's counts, as rows of their own: the ids need not be read again for them
         seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["id", "n"])
-
-    counts = ids.select("width", "ids").mapInArrow(counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+        if len(seen):
+            empty = [pa.nulls(len(seen), t) for t in (key, pa.int64(), pa.int64(), pa.int8(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*empty, pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())],
+                                             names=["doc_id", "tie", "n_tokens", "width", "ids", "id", "n"])
+
+    src.mapInArrow(encoded, f"doc_id {kind}, tie long, n_tokens long, width byte, ids binary, id long, n long").write.option("compression", "zstd").parquet(raw)
+    written = spark.read.parquet(raw)
+    ids = written.where("ids IS NOT NULL").drop("id", "n")
+    counts = written.where("id IS NOT NULL").groupBy("id").agg(F.sum("n").alias("n"))
     table = counts.collect()  # at most one row per id of the vocabulary
     table.sort(key=lambda r: (-r.n, r.id))
     spark.createDataFrame([(k, r.id, r.n) for k, r in enumerate(table)], "rank long, id long, n long").coalesce(1).write.parquet(f"{path}/ranks")
