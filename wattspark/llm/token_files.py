@@ -126,9 +126,7 @@ def write_token_files(docs: DataFrame, path: str, vocab: str, end_id: int | None
     ranks = spark.sparkContext.broadcast(rank)
 
     def coded(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in pieces(batches, 1 << 20, column="ids"):  # and the worker forgets the encoder
             count = b.column("n_tokens").to_numpy(zero_copy_only=False)
             control, n_control, data, n_data = code(ranks.value[_flat(b.column("ids"), f"<u{b.column('width')[0].as_py()}")], count)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tie"), b.column("n_tokens"), _binary(control, n_control), _binary(data, n_data)],
@@ -164,9 +162,7 @@ def read_token_files(spark: SparkSession, path: str, digest: bool = False) -> Da
     name, out = ("ids_crc32", "long") if digest else ("ids", "binary")
 
     def decoded(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in pieces(batches, 1 << 20, column="data"):
             count = b.column("n_tokens").to_numpy(zero_copy_only=False)
             values = id_of.value[decode(_flat(b.column("control"), np.uint8), _flat(b.column("data"), np.uint8), count)].astype("<u4")
             if digest:
