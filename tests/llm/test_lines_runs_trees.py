@@ -367,3 +367,51 @@ def test_decontamination_takes_any_id_type(spark, kind):
     C.ship(spark)
     out = decontaminate.find(docs, items)
     assert [(str(r.doc_id), str(r.item_id)) for r in out.collect()] == [("1", "7")] and out.schema["item_id"].dataType == items.schema["item_id"].dataType
+
+
+# ------------------------------------------------------------------ 6: recall at the radius
+def test_window_sums_are_those_of_each_bag():
+    rng = np.random.default_rng(5)
+    values = rng.integers(1, 1 << 63, 12).astype(np.uint64)
+    for n, total in [(1, 7), (5, 5), (9, 60), (40, 300)]:
+        h = values[rng.integers(0, len(values), total)]
+        got = decontaminate._window_sums(h, n)
+        for s in range(total - n + 1):
+            bag = Counter(h[s:s + n].tolist())
+            elements = [(x, k) for x, c in bag.items() for k in range(1, c + 1)]
+            hashes = decontaminate._numbered(np.array([x for x, _ in elements], dtype=np.uint64), np.array([k for _, k in elements]))
+            assert (got[s] == decontaminate._votes(hashes).sum(axis=0)).all()
+
+
+def test_no_pair_at_the_threshold_is_outside_the_radius():
+    """Pairs right at a similarity of 0.8: changed words spread out, in one place, and in a repeated shingle."""
+    rng = random.Random(9)
+
+    def words(n):
+        return ["".join(rng.choices("abcdefghij", k=7)) for _ in range(n)]
+
+    pairs = []
+    for _ in range(150):
+        base = words(104)
+        pairs.append((base, base[:89 + 4] + words(11)))                      # 89 of 100 shingles shared at one end
+        pairs.append((base[:84 + 4], base[:79 + 4] + words(5)))
+        own, other = words(1)[0], words(1)[0]                                # a shingle repeated on each side
+        pairs.append((base[:88] + [own] * 12, base[:88] + [other] * 12))
+        short = words(9)
+        pairs.append((short, short[:8]))                                     # four shingles of five
+    matched = worst = 0
+    for item, text in pairs:
+        bags = [Counter(tuple(w[i:i + 5]) for i in range(len(w) - 4)) for w in (item, text)]
+        both = sum((bags[0] & bags[1]).values())
+        similar = both / (sum(bags[0].values()) + sum(bags[1].values()) - both) >= 0.8
+        found = list(decontaminate.Items([(1, " ".join(item))]).matches([" ".join(text).encode()], 0.8))
+        assert bool(found) == similar
+        matched += similar
+        worst = max([worst, *(f[3] for f in found)])
+    assert matched >= 400 and worst <= 28  # three bits within the radius and more
+
+
+def test_items_of_one_repeated_word_and_long_texts():
+    items = decontaminate.Items([(1, "again " * 400), (2, " ".join(f"w{i}" for i in range(300)))])
+    text = " ".join(f"x{i}" for i in range(200_000)) + " " + "again " * 390 + " ".join(f"w{i}" for i in range(20, 300))
+    assert {f[1] for f in items.matches([text.encode(), b"", b"again again again again again"], 0.8)} == {1, 2}

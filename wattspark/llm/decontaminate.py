@@ -1,14 +1,16 @@
 """Benchmark decontamination (operator 6): SimHash of item-sized windows.
 
 Words are compared without ASCII case and punctuation. A document's windows have as many 5-word
-shingles as the item; each window and item has a 64-bit SimHash over its shingles, weighted by how
-often they occur. A multi-index finds the items near a window's fingerprint: of eight 8-bit blocks, two
-fingerprints within ``RADIUS`` bits differ in some block by at most two bits (8 blocks of 3 differing
-bits would be 24), so looking up every block value within two bits misses none of them. The
-weighted Jaccard similarity of the shingles, at least 0.8, then decides.
+shingles as the item; each window and item has a 64-bit SimHash over its numbered shingles: the second
+occurrence of a shingle is an element of its own, so that weighted similarity is that of plain sets. A
+multi-index finds the items near a window's fingerprint: of eight 8-bit blocks, two fingerprints within
+``RADIUS`` bits differ in some block by at most three bits (8 blocks of 4 differing bits would be 32),
+so looking up every block value within three bits misses none of them. The weighted Jaccard
+similarity of the shingles, at least 0.8, then decides.
 
 A similarity above 0 needs a common shingle, so only windows that hold a shingle of their item are
-fingerprinted: no other window could be verified. A document shorter than the item is one window.
+fingerprinted, and only items that share a shingle with the text are looked up: no other pair could be
+verified. A document shorter than the item is one window.
 
 Items are read in blocks of bounded number and size, each against all documents, so the broadcast
 block does not grow with the benchmark.
@@ -30,9 +32,12 @@ from pyspark.sql.pandas.types import to_arrow_type
 from wattspark.llm.common import U64, Words, as_bytes, mix, pieces, shingles, with_columns
 
 SIZE = 5
-#: Hamming radius within which fingerprints are candidates; shingle sets with a Jaccard
-#: similarity of 0.8 differ by 9.7 bits on average, with a standard deviation of 2.9
-RADIUS = 20
+#: Hamming radius within which fingerprints are candidates; sets of numbered shingles with a Jaccard
+#: similarity of 0.8 differ by 9.7 bits on average, with a standard deviation of 2.9 (12 and 3.1 for sets of
+#: four and five), so that a pair right at 0.8 lies outside the radius less than once in ten million times
+RADIUS = 31
+#: what two fingerprints within the radius differ by in at least one of the eight blocks, at most
+BLOCK_RADIUS = RADIUS // 8
 BLOCK_ITEMS, BLOCK_BYTES = 4096, 4 << 20
 _BITS = np.array([bin(v).count("1") for v in range(256)], dtype=np.uint8)
 
@@ -43,6 +48,53 @@ def _votes(hashes: np.ndarray) -> np.ndarray:
     return bits.astype(np.int32) * 2 - 1
 
 
+def _numbered(hashes: np.ndarray, nth: np.ndarray) -> np.ndarray:
+    """Hashes of the elements "``nth`` occurrence of this shingle"; a first one is the shingle itself."""
+    return np.where(nth > 1, mix(hashes + nth.astype(U64) * U64(0x9E3779B97F4A7C15)), hashes)
+
+
+class Occurrences:
+    """How often the shingle at a position occurs in stretches that begin or end there."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.size = len(hashes)
+        same = np.unique(hashes, return_inverse=True)[1].astype(np.int64)
+        key = same * (self.size + 1) + np.arange(self.size)
+        order = np.argsort(key)
+        self.key, self.base = key[order], same * (self.size + 1)
+        self.rank = np.empty(self.size, dtype=np.int64)
+        self.rank[order] = np.arange(self.size)
+
+    def since(self, first: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Occurrences of the shingle at ``at`` in ``first .. at``, both included."""
+        return self.rank[at] - np.searchsorted(self.key, self.base[at] + first) + 1
+
+    def until(self, at: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Occurrences of the shingle at ``at`` in ``at .. end``, ``end`` excluded."""
+        return np.searchsorted(self.key, self.base[at] + end) - self.rank[at]
+
+
+def _bag_votes(hashes: np.ndarray, nth: np.ndarray) -> np.ndarray:
+    """Votes of the numbered shingles, summed in bounded slices."""
+    total = np.zeros(64, dtype=np.int32)
+    for lo in range(0, len(hashes), 8192):
+        total += _votes(_numbered(hashes[lo:lo + 8192], nth[lo:lo + 8192])).sum(axis=0, dtype=np.int32)
+    return total
+
+
+def _window_sums(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Sums of votes of every window of ``n`` of the hashes: a window differs from the one before it by the
+    last occurrence of the shingle that leaves and the next one of the shingle that enters."""
+    seen, steps = Occurrences(hashes), np.arange(len(hashes) - n)
+    head = np.arange(n)
+    out = np.empty((len(steps) + 1, 64), dtype=np.int32)
+    out[0] = _bag_votes(hashes[:n], seen.since(np.zeros(n, dtype=np.int64), head))
+    leaves = _numbered(hashes[steps], seen.until(steps, steps + n))
+    enters = _numbered(hashes[steps + n], seen.since(steps + 1, steps + n))
+    out[1:] = _votes(enters) - _votes(leaves)
+    return np.cumsum(out, axis=0, out=out)
+
+
 def _sign(sums: np.ndarray) -> np.ndarray:
     """Fingerprints, as 8 bytes a row."""
     return np.packbits(sums > 0, axis=1)
@@ -73,10 +125,10 @@ class Items:
             self.bags.append(h[doc == k])
         self.counts = [Counter(b.tolist()) for b in self.bags]
         self.size = np.array([len(b) for b in self.bags], dtype=np.int64)
-        self.prints = np.stack([_sign(_votes(b).sum(axis=0)[None, :])[0] if len(b) else np.zeros(8, np.uint8) for b in self.bags]) if rows else np.zeros((0, 8), np.uint8)
-        # block value -> items of which that block is within two bits
+        self.prints = np.stack([_sign(_window_sums(b, len(b)))[0] if len(b) else np.zeros(8, np.uint8) for b in self.bags]) if rows else np.zeros((0, 8), np.uint8)
+        # block value -> items of which that block is near
         values = np.arange(256, dtype=np.uint8)
-        self.near = [_BITS[values[:, None] ^ self.prints[None, :, b]] <= 2 for b in range(8)]
+        self.near = [_BITS[values[:, None] ^ self.prints[None, :, b]] <= BLOCK_RADIUS for b in range(8)]
         pairs = sorted({(int(x), k) for k, b in enumerate(self.bags) for x in b.tolist()})
         self.keys = np.array(sorted({x for x, _ in pairs}), dtype=U64)
         self.of: dict[int, list[int]] = {}
@@ -123,39 +175,40 @@ class Items:
         for p in hits.tolist():
             for k in self.of[int(h[p])]:
                 by_item.setdefault(k, []).append(p)
-        by_size: dict[int, set[int]] = {}
-        for k, ps in by_item.items():
-            by_size.setdefault(int(self.size[k]), set()).update(ps)
+        by_size: dict[int, list[int]] = {}
+        for k in sorted(by_item):
+            by_size.setdefault(int(self.size[k]), []).append(k)
         best: dict[int, tuple] = {}
-        for size, ps in by_size.items():
-            own = np.flatnonzero(self.size == size)
+        for size, own in by_size.items():
             n = min(size, hi - lo)
-            p = np.array(sorted(ps))
+            at_item = [np.array(by_item[k]) for k in own]
+            p = np.unique(np.concatenate(at_item))
             # starts of the windows of n shingles that hold one of the hits
             mark = np.zeros(hi - lo + 2, dtype=np.int64)
             np.add.at(mark, np.maximum(p - n + 1, lo) - lo, 1)
             np.add.at(mark, np.minimum(p, hi - n) + 1 - lo, -1)
             starts = np.flatnonzero(np.cumsum(mark) > 0) + lo
             for run in np.split(starts, np.flatnonzero(np.diff(starts) > n) + 1):
-                first, last = int(run[0]), int(run[-1]) + n
                 for at in range(0, len(run), 4096):
                     part = run[at:at + 4096]
-                    total = np.zeros((int(part[-1]) + n - int(part[0]) + 1, 64), dtype=np.int32)
-                    np.cumsum(_votes(h[int(part[0]):int(part[-1]) + n]), axis=0, out=total[1:])
-                    prints = _sign(total[part - part[0] + n] - total[part - part[0]])
+                    prints = _sign(_window_sums(h[int(part[0]):int(part[-1]) + n], n)[part - part[0]])
                     near = np.zeros((len(part), len(own)), dtype=bool)
                     for b in range(8):
                         near |= self.near[b][:, own][prints[:, b]]
-                    for i, j in zip(*(x.tolist() for x in np.nonzero(near))):
-                        k, start = int(own[j]), int(part[i])
-                        bits = int(_BITS[prints[i] ^ self.prints[k]].sum())
-                        if bits > RADIUS or (k in best and best[k][0] == 1.0):
-                            continue
-                        bag, other = Counter(h[start:start + n].tolist()), self.counts[k]
-                        both = sum(min(c, other[x]) for x, c in bag.items() if x in other)
-                        similarity = both / (n + size - both)
-                        if similarity >= least and (k not in best or similarity > best[k][0]):
-                            best[k] = (similarity, bits, int(word[start]), n + SIZE - 1)
+                    for j, k in enumerate(own):
+                        bits = _BITS[prints ^ self.prints[k]].sum(axis=1)
+                        # no more shingles can be shared than stand in the window
+                        most = np.searchsorted(at_item[j], part + n) - np.searchsorted(at_item[j], part)
+                        close = near[:, j] & (bits <= RADIUS) & (most * (1 + least) >= least * (n + size) - 1e-6)
+                        for i in np.flatnonzero(close).tolist():
+                            if k in best and best[k][0] == 1.0:
+                                break
+                            start = int(part[i])
+                            bag, other = Counter(h[start:start + n].tolist()), self.counts[k]
+                            both = sum(min(c, other[x]) for x, c in bag.items() if x in other)
+                            similarity = both / (n + size - both)
+                            if similarity >= least and (k not in best or similarity > best[k][0]):
+                                best[k] = (similarity, int(bits[i]), int(word[start]), n + SIZE - 1)
         for k, found in sorted(best.items()):
             yield text, self.ids[k], *found
 
