@@ -7,6 +7,7 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -347,7 +348,11 @@ APACHE = """# Copyright 2020 Some Body
 
 
 def scanned(spark, *texts):
+    """Identifiers and licences of each text, which the SQL must give as well."""
     rows = licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    db = duckdb.connect()
+    db.register("documents", pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())}))
+    assert sorted(db.execute(licences.oracle()).fetchall()) == [tuple(r) for r in rows]
     return [(r.sentence_ids, r.licences) for r in rows]
 
 

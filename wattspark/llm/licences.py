@@ -9,8 +9,8 @@ A known sentence may run over line ends, blank ones too, so that wrapped texts a
 read alike, wherever they stand in a text. It may run over a sentence mark only where the published text has one
 (``MARKED``: "free software; you can"). Of several that start at one place, the longest counts.
 
-``oracle`` is the SQL of the earlier reading (by line or with all lines joined, whichever knows more sentences);
-both agree on texts whose licence sentences stand on lines of their own.
+``oracle`` is the same rule in DuckDB's SQL, whose patterns can't look around: there every end is written
+twice, so that a sentence can take one end before and one behind it and leaves its neighbours theirs.
 
 DataFrame functions only, no shuffle: the sentence table is a constant.
 
@@ -84,8 +84,6 @@ RULES = [
 #: every known sentence has one of these inside a single word, which no line end or space can part: texts without them
 #: need no cutting
 WORDS = ["licens", "copyright", "warrant", "permission", "reserved", "redistribut"]
-#: those of the SQL
-TRIGGERS = ["licens", "copyright", "warrant", "permission", "rights reserved", "redistribut", "free software"]
 
 #: word pairs of known sentences with a sentence mark between them in the published text
 MARKED = ["software you", "foundation either", "warranty without", "v 2"]
@@ -136,16 +134,21 @@ def scan(docs: DataFrame) -> DataFrame:
 def oracle() -> str:
     """DuckDB SQL for ``scan(documents)``."""
     known = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in SENTENCES.items()) + "}"
+    plain = "chr(10) || lower(text) || chr(10)"
+    for pattern, by in _MARKS:
+        plain = f"regexp_replace({plain}, '{pattern.replace('*+', '*')}', '{by}', 'g')"
+    plain = f"replace(replace({plain}, 'L', 'LL'), 'M', 'MM')"
 
-    def ids(text):
-        sentences = f"list_transform(string_split(regexp_replace({text}, '([.!?;:])[ \\t\\r\\n]+', '\\1' || chr(10), 'g'), chr(10)), lambda s: trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')))"
-        return f"coalesce(array_to_string(list_transform(list_filter({sentences}, lambda s: map_contains({known}, s)), lambda s: '<' || {known}[s] || '>'), ''), '')"
+    def one(sentence):
+        words = sentence.split()
+        return words[0] + "".join(("(?: |LL|MM)" if f"{a} {b}" in MARKED else "(?: |LL)") + b for a, b in zip(words, words[1:]))
 
+    pattern = "[LM](" + "|".join(one(x) for x in sorted(SENTENCES, key=len, reverse=True)) + ")[LM]"
     count = lambda c: f"(length({c}) - length(replace({c}, '<', '')))"
-    maybe = " OR ".join(f"contains(lower(coalesce(text, '')), '{t}')" for t in TRIGGERS)
+    maybe = " OR ".join(f"contains(lower(coalesce(text, '')), '{t}')" for t in WORDS)
     sql = f"""WITH cand AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS text, ({maybe}) AS maybe FROM documents),
- hit AS MATERIALIZED (SELECT doc_id, {ids('text')} AS by_line, {ids("regexp_replace(text, '[ \\t\\r]*\\n[ \\t\\r]*', ' ', 'g')")} AS joined FROM cand WHERE maybe),
- seq AS MATERIALIZED (SELECT doc_id, CASE WHEN {count('joined')} > {count('by_line')} THEN joined ELSE by_line END AS ids FROM hit
+ hit AS MATERIALIZED (SELECT doc_id, regexp_extract_all({plain}, '{pattern}', 1) AS found FROM cand WHERE maybe),
+ seq AS MATERIALIZED (SELECT doc_id, coalesce(array_to_string(list_transform(found, lambda s: '<' || {known}[replace(replace(s, 'LL', ' '), 'MM', ' ')] || '>'), ''), '') AS ids FROM hit
    UNION ALL SELECT doc_id, '' FROM cand WHERE NOT maybe),
  r0 AS (SELECT doc_id, ids, ids AS rest, '' AS found FROM seq)"""
     for k, (name, want) in enumerate(RULES):
