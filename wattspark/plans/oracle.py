@@ -721,6 +721,11 @@ ORACLE["a2_file_time_pruning"] = """
 WITH r AS (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM events)
 SELECT event_id, ts, value FROM events, r
 WHERE epoch_us(ts) BETWEEN lo + round((hi - lo) / 4.0) AND hi - round((hi - lo) / 4.0)"""
+ORACLE["a8_day_files"] = """
+WITH r AS (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM events)
+SELECT CAST(ts AS DATE) AS day, count(*) AS rows, round(sum(value), 4) AS total FROM events, r
+WHERE epoch_us(ts) BETWEEN lo + round((hi - lo) / 4.0) AND hi - round((hi - lo) / 4.0) GROUP BY 1"""
+ORACLE["j1_stream_day_files"] = "SELECT user_id, count(*) AS rows, round(sum(value), 4) AS total FROM events GROUP BY user_id"
 
 # ----------------------------------------------------------------------------- snapshot tables
 ORACLE["b3_snapshot_lineage"] = """SELECT 'weekday' || (dayofweek(ts) + 1) AS source_file, count(*) AS rows, CAST((dayofweek(ts) + 1) // 2 + 1 AS BIGINT) AS version

@@ -607,11 +607,10 @@ def a21_prometheus_text(spark, d):
 
 
 # --------------------------------------------------------------------------- scans and lake
-import datetime  # noqa: E402
 import uuid  # noqa: E402
 
 from wattspark.session import scratch_path  # noqa: E402
-from wattspark.sources import telemetry as TS, lake as LK  # noqa: E402
+from wattspark.sources import dayfiles as DF, telemetry as TS, lake as LK  # noqa: E402
 
 
 def _scratch(spark, name: str) -> str:
@@ -1304,17 +1303,32 @@ def a2_file_time_pruning(spark, d):
     e = V.table(spark, d, "events").select("event_id", "ts", "value")
     lo, hi = e.agg(F.min("ts"), F.max("ts")).first()
     out = _scratch(spark, "day-files")
-    e.withColumn("day", F.to_date("ts")).repartition("day").write.partitionBy("day").parquet(out)
-    # one folder per day of the calendar: each file gets its range as its name
-    path = spark._jvm.org.apache.hadoop.fs.Path(out)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    for folder in fs.listStatus(path):
-        if folder.isDirectory() and "=" in folder.getPath().getName():
-            day = datetime.date.fromisoformat(folder.getPath().getName().split("=")[1])
-            parts = [f for f in fs.listStatus(folder.getPath()) if f.getPath().getName().endswith(".parquet")]
-            for k, f in enumerate(parts):
-                name = f"events{k}_{day}_{day + datetime.timedelta(days=1)}.parquet"
-                fs.rename(f.getPath(), spark._jvm.org.apache.hadoop.fs.Path(path, name))
-            fs.delete(folder.getPath(), True)
+    DF.write_day_files(e, out, "events", ts_col="ts")
     quarter = (hi - lo) / 4
     return TS.telemetry_scan(spark, out, timefilter=(lo + quarter, hi - quarter), columns=["event_id", "ts", "value"], ts_col="ts")
+
+
+@query("a8_day_files")
+def a8_day_files(spark, d):
+    """Events extracted to flat day files, the even days first, then the others; the data source reads back the
+    middle half of their time span, choosing files by the bounds. Per day: rows and sum."""
+    e = V.table(spark, d, "events").select("event_id", "ts", "value")
+    lo, hi = e.agg(F.min("ts"), F.max("ts")).first()
+    out = _scratch(spark, "extracted-days")
+    for odd in (0, 1):
+        DF.write_day_files(e.where(F.pmod(F.unix_date(F.to_date("ts")), F.lit(2)) == odd), out, "events", ts_col="ts")
+    quarter = (hi - lo) / 4
+    back = DF.read_day_files(spark, out, ts_col="ts").where(F.col("ts").between(TS._lit_ts(lo + quarter), TS._lit_ts(hi - quarter)))
+    return back.groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("rows"), r(F.sum("value"), 4).alias("total"))
+
+
+@query("j1_stream_day_files")
+def j1_stream_day_files(spark, d):
+    """The same two loads as a stream: every file of a load arrives once, also over a restart between the loads."""
+    e = V.table(spark, d, "events").select("event_id", "ts", "user_id", "value")
+    out, sink, ck = (_scratch(spark, n) for n in ("loaded-days", "streamed-days", "streamed-days-offsets"))
+    for odd in (0, 1):
+        DF.write_day_files(e.where(F.pmod(F.unix_date(F.to_date("ts")), F.lit(2)) == odd), out, "events", ts_col="ts")
+        stream = DF.stream_day_files(spark, out, e.schema).writeStream.format("parquet")
+        stream.option("path", sink).option("checkpointLocation", ck).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(sink).groupBy("user_id").agg(F.count("*").alias("rows"), r(F.sum("value"), 4).alias("total"))
