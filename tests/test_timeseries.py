@@ -200,3 +200,13 @@ def test_dyadic_join_equals_naive_join(spark):
         assert len(r.c) <= 2 * LEVELS and sum(2 ** x.level for x in r.c) == r.b - r.a + 1
         assert min(x.cell * 2 ** x.level for x in r.c) == r.a and max((x.cell + 1) * 2 ** x.level for x in r.c) == r.b + 1
     assert len(one[0].c) < 45
+
+
+def test_dyadic_join_broadcasts_no_cells(spark):
+    """An interval of a year has some fifty cells: their broadcast took the driver's memory where that of the intervals fits."""
+    from wattspark.operators.joins import dyadic_join
+    points = spark.range(2000).selectExpr("id % 50 AS host", "timestamp_seconds(id * 15768)::timestamp_ntz AS ts", "id")
+    spans = spark.range(50).selectExpr("id AS host", "timestamp_seconds(id * 7)::timestamp_ntz AS start", "timestamp_seconds(31536000 - id)::timestamp_ntz AS end", "id AS run")
+    got = dyadic_join(points, spans, point_ts="ts", start="start", end="end", keys=["host"])
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.run, r.id) for r in got.select("run", "id").collect()) == sorted((i % 50, i) for i in range(2000) if i % 50 * 7 <= i * 15768 <= 31536000 - i % 50)

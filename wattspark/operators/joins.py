@@ -78,6 +78,7 @@ def dyadic_join(points: DataFrame, intervals: DataFrame, *, point_ts: str, start
     An interval is cut into aligned cells of 1, 2, 4, .. base cells, at most two of each size: a month costs some forty
     rows, a second one or two, where one bucket width must suit both. A point looks up its cell on each level that an
     interval uses (at most ``LEVELS``, known from one small aggregate); the cells of an interval are disjoint, so a pair meets once.
+    The cells are many times the intervals that Spark has statistics of, so they are never broadcast: both sides are shuffled and merged.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     width = int(base_seconds * 1_000_000)
@@ -86,7 +87,7 @@ def dyadic_join(points: DataFrame, intervals: DataFrame, *, point_ts: str, start
         lo, hi = add_seconds(lo, -pad_seconds), add_seconds(hi, pad_seconds)
     iv = intervals.where(F.col(start).isNotNull() & F.col(end).isNotNull()).select(
         *[F.col(k).alias(f"__i_{k}") for k in keys], F.struct(*[c for c in intervals.columns if c not in keys]).alias("__iv"), lo.alias("__lo"), hi.alias("__hi")).where("__hi >= __lo")
-    iv = iv.select("*", F.inline(dyadic_cells(_bucket("__lo", width), _bucket("__hi", width))))
+    iv = iv.select("*", F.inline(dyadic_cells(_bucket("__lo", width), _bucket("__hi", width)))).hint("merge")
     used = sorted(r.level for r in iv.select("level").distinct().collect())
     if not used:
         used = [0]
