@@ -216,3 +216,87 @@ def test_pue_partials_are_compacted(spark, tmpdir_path):
     assert len(table.entry()["loads"]) < 3
     key = lambda r: (r.timestamp, round(r.ratio, 9))
     assert sorted(map(key, SP.pue_from_partials(spark, state + "1").collect())) == sorted(map(key, SP.pue_from_partials(spark, state + "2").collect()))
+
+
+class _Store:
+    """A state store that counts its calls."""
+
+    def __init__(self):
+        self.calls, self.timers, self.of = 0, set(), {}
+
+    def getValueState(self, name, *schemas):
+        return _Kept(self, self.of.setdefault(name, {}))
+
+    getMapState = getValueState
+
+    def registerTimer(self, t):
+        self.timers.add(t)
+
+    def deleteTimer(self, t):
+        self.timers.discard(t)
+
+
+class _Kept:
+    def __init__(self, store, rows):
+        self.store, self.rows = store, rows
+
+    def _count(self):
+        self.store.calls += 1
+        return self.rows
+
+    def get(self):
+        return self._count().get(())
+
+    def update(self, v):
+        self._count()[()] = v
+
+    def clear(self):
+        self._count().clear()
+
+    def getValue(self, k):
+        return self._count().get(k)
+
+    def updateValue(self, k, v):
+        self._count()[k] = v
+
+    def removeKey(self, k):
+        self._count().pop(k)
+
+    def keys(self):
+        return iter(list(self._count()))
+
+
+class _Mark:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def _run_processor(processor, frames, mark_us):
+    import pandas as pd
+    store = _Store()
+    processor.init(store)
+    out = list(processor.handleInputRows((0,), iter(frames), _Mark(0)))
+    out += list(processor.handleExpiredTimer((0,), _Mark(mark_us // 1000), None))
+    return store.calls, pd.concat(out)
+
+
+def test_state_calls_of_a_hot_series_follow_time_not_samples():
+    """Every frame of a hot series wrote each minute that it held a sample of."""
+    import numpy as np
+    import pandas as pd
+    rng = np.random.default_rng(1)
+    day, n = 86_400_000_000, 60_000
+    us, value = rng.integers(0, 2 * day, n), rng.integers(0, 100, n).astype(float)
+    pdf = pd.DataFrame({"host": "a", "us": us, "value": value})
+    frames = [pdf[k:k + 10_000] for k in range(0, n, 10_000)]
+    calls, out = _run_processor(SS.CounterRateProcessor(), frames, day)
+    assert calls < 400
+    order = np.lexsort((value, us))
+    order = order[us[order] <= day]
+    want = np.clip(np.diff(np.concatenate([value[order[:1]], value[order]])), 0, None)
+    assert (out["rate"].to_numpy() == want).all() and not out["late"].any()
+    parts, again = _run_processor(SS.CounterRateProcessor(flush=15_000), frames, day)  # slices in several parts
+    assert parts > calls and again.reset_index(drop=True).equals(out.reset_index(drop=True))
