@@ -300,3 +300,16 @@ def test_state_calls_of_a_hot_series_follow_time_not_samples():
     assert (out["rate"].to_numpy() == want).all() and not out["late"].any()
     parts, again = _run_processor(SS.CounterRateProcessor(flush=15_000), frames, day)  # slices in several parts
     assert parts > calls and again.reset_index(drop=True).equals(out.reset_index(drop=True))
+
+
+def test_state_calls_of_many_series_follow_their_groups():
+    """Each series had some ten state calls and four pandas frames in every batch."""
+    import numpy as np
+    import pandas as pd
+    n = 3000
+    us = np.arange(n) * 1_000_000
+    pdf = pd.DataFrame({"host": [f"h{i % 1000}" for i in range(n)], "us": us, "value": 2.0})
+    calls, out = _run_processor(SS.EnergyProcessor(), [pdf], int(us[-1]))
+    assert calls < 20
+    assert sorted(out["host"]) == sorted(f"h{i}" for i in range(1000))
+    assert (out["samples"] == 3).all() and (out["energy_J"] == 4000.0).all() and (out["late_samples"] == 0).all()
