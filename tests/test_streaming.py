@@ -302,6 +302,27 @@ def test_state_calls_of_a_hot_series_follow_time_not_samples():
     assert parts > calls and again.reset_index(drop=True).equals(out.reset_index(drop=True))
 
 
+def test_state_calls_do_not_follow_the_span_of_time():
+    """Samples over years went to a slice for every hour, each with four calls."""
+    import numpy as np
+    import pandas as pd
+    rng = np.random.default_rng(2)
+    year, n = 365 * 86_400_000_000, 60_000
+    us, value, host = rng.integers(0, 2 * year, n), rng.integers(0, 100, n).astype(float), rng.integers(0, 3, n)
+    us[::7] = us[3]  # ties, also where slices meet
+    pdf = pd.DataFrame({"host": [f"h{h}" for h in host], "us": us, "value": value})
+    frames = [pdf[k:k + 10_000] for k in range(0, n, 10_000)]
+    for processor, most in ((SS.CounterRateProcessor(), 30), (SS.CounterRateProcessor(flush=15_000), 40), (SS.CounterRateProcessor(small=500), 400)):
+        calls, out = _run_processor(processor, frames, year)
+        assert calls < most
+        for h in range(3):
+            mine = np.flatnonzero((host == h) & (us <= year // 1000 * 1000))
+            mine = mine[np.lexsort((value[mine], us[mine]))]
+            got = out[out["host"] == f"h{h}"]
+            assert (got["timestamp"].to_numpy().astype("datetime64[us]").astype("int64") == us[mine]).all()
+            assert (got["rate"].to_numpy() == np.clip(np.diff(value[mine], prepend=value[mine[0]]), 0, None)).all()
+
+
 def test_state_calls_of_many_series_follow_their_groups():
     """Each series had some ten state calls and four pandas frames in every batch."""
     import numpy as np

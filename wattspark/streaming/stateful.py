@@ -12,18 +12,19 @@ between two of them belongs to the later one.
 
 Each call to the state store costs as much as thousands of samples in an array, so state is kept per group of series
 (a hash of the key, ``GROUPS`` of them): the series of a group share one packed value, and their samples
-another one up to ``SMALL``, or else one per slice of time and flush (``MapState``: slice and flush number -> packed samples).
-Calls so grow with the groups, the span of the delay and the flushes, not with series times batches or with samples.
+another one up to ``SMALL``. More of them go to slices (``MapState``: first time and number -> packed samples): a flush is sorted by
+time and cut by the number of samples, at least ``SMALL`` each. Calls so grow with the groups and with samples / ``SMALL``, not with
+series times batches, with the samples, nor with the span of time.
 
-Memory: input rows are read frame by frame as Spark hands them over and flushed at ``FLUSH`` samples, and the samples of
-one slice are held at a time, so neither a backlog nor a hot host makes a frame of all its rows.
+Memory: input rows are read frame by frame as Spark hands them over and flushed at ``FLUSH`` samples. Slices are read by their first
+time, and what lies before the next one's is folded, so that about one slice of each flush is held at a time and neither a
+backlog nor a hot host makes a frame of all its rows.
 """
 
 from __future__ import annotations
 
 import io
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -32,9 +33,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 ENERGY_OUT = "host string, energy_J double, energy_Wh double, samples long, late_samples long, last_ts timestamp"
 RATE_OUT = "host string, timestamp timestamp, rate double, late boolean"
-#: the span of a slice of buffered samples
-SLICE_US = 3_600_000_000
-#: a group of series with at most so many buffered samples has no slices
+#: a group of series with at most so many buffered samples has no slices, and a slice has at least as many
 SMALL = 16384
 #: so many samples of a group are held in memory before they go to their slices
 FLUSH = 1 << 19
@@ -129,7 +128,7 @@ class OrderedProcessor(StatefulProcessor):
     """Buffers samples and hands those that the watermark makes final to ``fold``, in order.
 
     Input: ``host, us, value`` of a group of series. ``progress`` holds the time of the pending timer (-1: none) and
-    the number of flushes to slices since there were none. A series has the watermark up to which it has been folded. With
+    the number of the next slice (0: there are none). A series has the watermark up to which it has been folded. With
     ``forget_ms`` a series without samples for that long loses its state; ``small`` is how many samples of a group
     are buffered in one value, ``flush`` how many are held in memory.
     """
@@ -144,8 +143,8 @@ class OrderedProcessor(StatefulProcessor):
         self.handle = handle
         self.series = handle.getValueState("series", "packed binary")
         self.small = handle.getValueState("small", PACKED)
-        self.buffer = handle.getMapState("buffer", "slice long, part long", PACKED)
-        self.progress = handle.getValueState("progress", "timer_ms long, parts long")
+        self.buffer = handle.getMapState("buffer", "first_us long, number long", PACKED)
+        self.progress = handle.getValueState("progress", "timer_ms long, slices long")
 
     # ---- what an operator adds
     def fold(self, series: Series, x: Ordered) -> pd.DataFrame | None:
@@ -161,7 +160,7 @@ class OrderedProcessor(StatefulProcessor):
     # ---- buffering
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         series = Series(self.OWN, self.series.get())
-        pending, parts = self.progress.get() or (-1, 0)
+        pending, slices = self.progress.get() or (-1, 0)
         held = [_unpack(self.small.get())]  # what is in, or goes to, the small buffer
         oldest, changed = None, False
         for pdf in rows:
@@ -184,14 +183,14 @@ class OrderedProcessor(StatefulProcessor):
             oldest = int(ms.min()) if oldest is None else min(oldest, int(ms.min()))
             held.append((series.at["id"][row], us, value))
             if sum(len(x[1]) for x in held) > self.flush:
-                parts = self._slice(held, parts)
+                slices = self._slice(_joined(held), slices)
                 held = []
         if changed:
             self.series.update(series.packed())
         if oldest is None:
             return
         if sum(len(x[1]) for x in held) > self.most:
-            parts = self._slice(held, parts)
+            slices = self._slice(_joined(held), slices)
             held = []
         self._keep_small(_joined(held))
         want = max(oldest if pending < 0 else min(oldest, pending), 0)
@@ -199,7 +198,7 @@ class OrderedProcessor(StatefulProcessor):
             if pending >= 0:
                 self.handle.deleteTimer(pending)
             self.handle.registerTimer(want)
-        self.progress.update((want, parts))
+        self.progress.update((want, slices))
 
     def _keep_small(self, samples: tuple) -> None:
         if len(samples[1]):
@@ -207,50 +206,47 @@ class OrderedProcessor(StatefulProcessor):
         else:
             self.small.clear()
 
-    def _slice(self, held: list[tuple], parts: int) -> int:
-        """Adds samples to their slices, as a further part of each; returns the number of parts."""
-        samples = _joined(held)
-        of = samples[1] // SLICE_US
-        order = np.argsort(of, kind="stable")
-        of = of[order]
-        cuts = np.flatnonzero(of[1:] != of[:-1]) + 1
-        for at in np.split(order, cuts) if len(order) else []:
-            self.buffer.updateValue((int(samples[1][at[0]] // SLICE_US), parts), _packed(tuple(a[at] for a in samples)))
-        return parts + 1
+    def _slice(self, samples: tuple, slices: int) -> int:
+        """Adds samples as slices, cut by time into equal numbers; returns the number of the next slice."""
+        order = np.argsort(samples[1], kind="stable")
+        for at in np.array_split(order, max(len(order) // max(self.most, 1), 1)):
+            self.buffer.updateValue((int(samples[1][at[0]]), slices), _packed(tuple(a[at] for a in samples)))
+            slices += 1
+        return slices
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = int(timerValues.getCurrentWatermarkInMs())
         series = Series(self.OWN, self.series.get())
-        _, parts = self.progress.get()
+        _, slices = self.progress.get()
         rest = _unpack(self.small.get())
         folded = np.zeros(len(series.host), bool)
-        nxt = None  # the time that the next timer waits for
-        if parts:
-            if len(rest[1]):
-                parts = self._slice([rest], parts)
-            rest = _unpack(None)
-            todo = [(s, list(ks)) for s, ks in groupby(sorted((int(k[0]), int(k[1])) for k in self.buffer.keys()), lambda k: k[0])]
-            while todo and todo[0][0] * SLICE_US <= mark * 1000:
-                _, keys = todo.pop(0)
-                out, rest = self._fold_until(series, mark, _joined([_unpack(self.buffer.getValue(k)) for k in keys]), folded)
-                for k in keys:
-                    self.buffer.removeKey(k)
+        todo = sorted((int(k[0]), int(k[1])) for k in self.buffer.keys()) if slices else []
+        due = sum(first <= mark * 1000 for first, _ in todo)
+        held, size, most = [rest], len(rest[1]), self.most
+        for first, number in todo[:due]:
+            if size > most:  # all that lies before this slice is here
+                out, rest = self._fold_until(series, first - 1, _joined(held), folded)
+                held, size = [rest], len(rest[1])
+                most = max(self.most, 2 * size)
                 if out is not None:
                     yield out
-            if todo:  # later slices stay, and so does what is left of this one
-                nxt = -(-int(rest[1].min() if len(rest[1]) else todo[0][0] * SLICE_US) // 1000)
-                if len(rest[1]):
-                    parts = self._slice([rest], parts)
-                rest = _unpack(None)
-            else:
-                parts = 0
-        elif len(rest[1]):
-            out, rest = self._fold_until(series, mark, rest, folded)
-            if out is not None:
-                yield out
+            held.append(_unpack(self.buffer.getValue((first, number))))
+            size += len(held[-1][1])
+            self.buffer.removeKey((first, number))
+        out, rest = self._fold_until(series, mark * 1000, _joined(held), folded)
+        if out is not None:
+            yield out
+        todo = todo[due:]
+        # the time that the next timer waits for
+        waits = [int(rest[1].min())] if len(rest[1]) else []
+        waits += [todo[0][0]] if todo else []
+        nxt = -(-min(waits) // 1000) if waits else None
+        if not todo:
+            slices = 0
+        if len(rest[1]) > self.most:
+            slices = self._slice(rest, slices)
+            rest = _unpack(None)
         self._keep_small(rest)
-        if len(rest[1]):
-            nxt = -(-int(rest[1].min()) // 1000)
         series.at["folded_ms"][folded] = mark
         if folded.any():
             out = self.done(series, np.flatnonzero(folded))
@@ -273,11 +269,11 @@ class OrderedProcessor(StatefulProcessor):
         if nxt is not None:
             nxt = int(max(nxt, mark + 1))
             self.handle.registerTimer(nxt)
-        self.progress.update((-1 if nxt is None else nxt, parts))
+        self.progress.update((-1 if nxt is None else nxt, slices))
 
-    def _fold_until(self, series: Series, mark: int, samples: tuple, folded: np.ndarray):
-        """(output, later samples) of the samples up to ``mark``; marks their series as folded."""
-        final = samples[1] <= mark * 1000
+    def _fold_until(self, series: Series, until_us: int, samples: tuple, folded: np.ndarray):
+        """(output, later samples) of the samples up to ``until_us``; marks their series as folded."""
+        final = samples[1] <= until_us
         later = tuple(a[~final] for a in samples)
         if not final.any():
             return None, later
