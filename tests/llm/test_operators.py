@@ -79,6 +79,21 @@ def test_byte_coding_round_trip():
 
 
 # ------------------------------------------------------------------ 5: token counts
+def test_units_of_half_a_million_words_are_encoded_once(monkeypatch):
+    """The memory was emptied at 420,000 units, so rare words were encoded over and over; long units fill no memory."""
+    import pyarrow as pa
+    encoder = UnitEncoder(Q.vocabulary())
+    made = []
+    monkeypatch.setattr(encoder, "_unit", lambda u: made.append(u) or b"\1\0")
+    texts = ["x " + " ".join(f"w{i}" for i in range(k, k + 10_000)) for k in range(0, 500_000, 10_000)]
+    for _ in range(2):
+        for t in texts:
+            encoder.encode(pa.array([t]))
+    assert len(made) == 500_000
+    encoder.encode(pa.array(["x " + "y" * 1000]))
+    assert len(made) == 500_001 and len(encoder.seen) == 500_000
+
+
 def test_spliced_chunks_have_the_ids_of_the_whole_text():
     encoder, rng = UnitEncoder.get(Q.vocabulary()), random.Random(5)
     parts = ["的", "是不", "，", "a", "bc", "don't", "'s", "''ll", "12", "!", "?!", " ", "  ", "\n", "\n\n", "\t", "<|endoftext|>", "<|endof", "é", "e\u0301",

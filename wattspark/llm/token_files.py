@@ -94,7 +94,7 @@ def write_token_files(docs: DataFrame, path: str, vocab: str, end_id: int | None
 
     def encoded(batches):
         encoder, total, key = UnitEncoder.get(vocab), np.zeros(0, dtype=np.int64), pa.null()
-        for b in pieces(batches, 2 << 20, cache="tokens"):
+        for b in pieces(batches, 8 << 20, cache="tokens"):
             ids, count = encoder.encode(b.column("text"))
             ids = ids.astype(max(wide, encoder.dtype, key=lambda d: d.itemsize))
             if end_id is not None:
