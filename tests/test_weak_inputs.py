@@ -3,11 +3,14 @@
 import glob
 import hashlib
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import SF0001
 from wattspark.operators import runs
+from wattspark.plans.queries import QUERIES
 from wattspark.sources import formats as FM, lake as LK, telemetry as TS, textlogs as TL
 
 SCHEMA = "timestamp timestamp_ntz, host string, value double"
@@ -68,6 +71,44 @@ def test_digests_are_made_piece_by_piece(spark, tmpdir_path, monkeypatch):
             assert {r.md5 for r in LK.file_digests(spark, path).collect()} == want
 
 
+def _rows_may_hold(spark, size):
+    """From now on Spark's binary reader refuses files over ``size`` bytes, as it does over 2 GB."""
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", size)
+
+
+def test_files_over_the_length_of_a_row_are_verified(spark):
+    _rows_may_hold(spark, 1000)
+    try:
+        got = {r.file: r.status for r in QUERIES["a10_file_checksum_verify"](spark, SF0001).collect()}
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert got == {f: "mismatch" if f == "region.parquet" else "ok" for f in os.listdir(SF0001) if f.endswith(".parquet")}
+
+
+@pytest.mark.parametrize("whole", [3, 1000, 16 << 20])
+def test_digests_by_any_reader_are_those_of_the_bytes(spark, tmpdir_path, monkeypatch, whole):
+    bom = b"\xef\xbb\xbf"
+    odd = {"a b": b"one\ntwo", "c%20d": b"x\n", "mark": bom, "mark-feed": bom + b"\n", "mark-text": bom + b"a\r\nb", "feed": b"\n", "feeds": b"\n" * 25_000,
+           "returns": b"a\rb\r\n\r", "bytes": random.Random(7).randbytes(300_000), "no-feed": b"\xff\x00" * 50_000, "three": b"a\nb"}
+    for name, data in odd.items():
+        with open(os.path.join(tmpdir_path, f"{name}.parquet"), "wb") as f:
+            f.write(data)
+    spark._jsc.hadoopConfiguration().set(f"fs.viewfs.mounttable.odd{whole}.link./data", "file://" + tmpdir_path)
+    monkeypatch.setattr(LK, "WHOLE", whole, raising=False)
+    want = {f"{name}.parquet": hashlib.md5(data).hexdigest() for name, data in odd.items()}
+    _rows_may_hold(spark, whole)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10k")
+    spark.conf.set("mapreduce.input.linerecordreader.line.maxlength", "1000")
+    try:
+        for path in (tmpdir_path, f"viewfs://odd{whole}/data"):
+            got = LK.file_digests(spark, path).collect()
+            assert {os.path.basename(r.file): r.md5 for r in got} == want and len(got) == len(want)
+            assert {r.file.split(":")[0] for r in got} == {"viewfs" if "viewfs" in path else "file"}
+    finally:
+        for name in ("spark.sql.files.maxPartitionBytes", "mapreduce.input.linerecordreader.line.maxlength", "spark.sql.sources.binaryFile.maxLength"):
+            spark.conf.unset(name)
+
+
 def test_an_error_names_a_bounded_number_of_files(spark, tmpdir_path, monkeypatch):
     path = os.path.join(tmpdir_path, "t")
     for _ in range(4):

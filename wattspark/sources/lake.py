@@ -218,21 +218,32 @@ PIECE = 8 << 20
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """A10: ``file, md5`` of every Parquet file of a folder. Tasks read files piece by piece, so a file may have any size; on a
-    file system that the workers don't know, a file is read whole, which Spark does up to 2 GB."""
+    """A10: ``file, md5`` of every Parquet file of a folder. Tasks read files piece by piece, so a file may have any size;
+    those of a file system that the workers don't know are read by Spark (``_digests_by_spark``)."""
+    def elsewhere(batches):
+        from urllib.parse import quote
+
+        import pyarrow as pa
+        import pyarrow.fs as pfs
+        for b in batches:
+            out = []
+            for name in b.column("file").to_pylist():
+                try:
+                    pfs.FileSystem.from_uri(quote(name, safe=":/@[]"))
+                except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+                    out.append(name)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["file"])
+
     def read(batches):
         import hashlib
+        from urllib.parse import quote
 
         import pyarrow as pa
         import pyarrow.fs as pfs
         for b in batches:
             names, out = b.column("file").to_pylist(), []
             for name in names:
-                try:
-                    fs, inner = pfs.FileSystem.from_uri(name)
-                except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
-                    out.append(None)
-                    continue
+                fs, inner = pfs.FileSystem.from_uri(quote(name, safe=":/@[]"))
                 md5 = hashlib.md5(usedforsecurity=False)
                 with fs.open_input_stream(inner) as f:
                     while piece := f.read(PIECE):
@@ -241,10 +252,72 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(out, pa.string())], names=["file", "md5"])
 
     content = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
-    found = content.select(F.col("path").alias("file")).mapInArrow(read, "file string, md5 string")
-    if found.where("md5 IS NOT NULL").isEmpty() and not found.isEmpty():
-        return content.select(F.col("path").alias("file"), F.md5("content").alias("md5"))
-    return found
+    files = content.select(F.col("path").alias("file"))
+    if files.mapInArrow(elsewhere, "file string").isEmpty():
+        return files.mapInArrow(read, "file string, md5 string")
+    return _digests_by_spark(spark, path, content)
+
+
+#: bytes of a file that a row may hold
+WHOLE = 16 << 20
+#: leading bytes that Hadoop's line reader takes away
+BOM = b"\xef\xbb\xbf"
+
+
+def _digests_by_spark(spark: SparkSession, path: str, content: DataFrame) -> DataFrame:
+    """``file, md5`` of the Parquet files of a folder: those of up to WHOLE bytes from ``content``, Spark's binary reader,
+    longer ones through its text reader, each in one task.
+
+    There a row is a line, so no row holds a file. The lines, joined again, are the file but for a line feed at its end
+    and a byte order mark at its start; its size tells whether it had them. A size that doesn't fit is an error.
+    """
+    def read(batches):
+        import hashlib
+        from urllib.parse import unquote
+
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def digest(at, size, seen, plain, marked):
+            if size - seen not in (0, 1, 3, 4):
+                raise OSError(f"{at}: {seen} of {size} bytes read")
+            md5 = marked if size - seen >= 3 else plain
+            md5.update(b"\n" * ((size - seen) % 3))
+            return pa.RecordBatch.from_arrays([pa.array([unquote(at)], pa.string()), pa.array([md5.hexdigest()], pa.string())], names=["file", "md5"])
+
+        at, size, seen, sums = None, 0, 0, ()
+        for b in batches:
+            runs = pc.run_end_encode(b.column("at"))
+            begin = 0
+            for name, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()):
+                lines = b.column("line").slice(begin, end - begin)
+                text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(lines)], pa.int32()), lines), b"\n")[0].as_buffer()
+                if name != at:
+                    if sums:
+                        yield digest(at, size, seen, *sums)
+                    at, size, seen = name, b.column("size")[begin].as_py(), 0
+                    sums = hashlib.md5(usedforsecurity=False), hashlib.md5(BOM, usedforsecurity=False)
+                else:
+                    seen += 1
+                    for md5 in sums:
+                        md5.update(b"\n")
+                seen += len(text)
+                for md5 in sums:
+                    md5.update(text)
+                begin = end
+        if sums:
+            yield digest(at, size, seen, *sums)
+
+    # a session of its own in which no file is cut: tasks read as much as the longest one has
+    whole = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    whole.conf.set("spark.sql.files.maxPartitionBytes", content.agg(F.max("length")).first()[0])
+    whole.conf.set("spark.sql.files.minPartitionNum", 1)
+    lines = (whole.read.option("pathGlobFilter", "*.parquet").option("lineSep", "\n")
+             .option("mapreduce.input.linerecordreader.line.maxlength", (1 << 31) - 1).text(path)
+             .where(F.col("_metadata.file_size") > WHOLE)
+             .select(F.col("_metadata.file_path").alias("at"), F.col("_metadata.file_size").alias("size"), F.col("value").cast("binary").alias("line")))
+    short = content.where(F.col("length") <= WHOLE).select(F.col("path").alias("file"), F.md5("content").alias("md5"))
+    return short.unionByName(lines.mapInArrow(read, "file string, md5 string"))
 
 
 def checksum_verify(spark: SparkSession, data_dir: str, expected: DataFrame) -> DataFrame:
